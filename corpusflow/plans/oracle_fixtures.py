@@ -189,3 +189,101 @@ pairs AS (
          chunk_type || ',file_explanation'
   FROM {chunks} WHERE chunk_type = 'file')
 """
+
+REVISIONS = """
+revisions AS (
+  SELECT o.o_orderkey + 1 AS revision,
+         CASE WHEN o.o_custkey % 10 <> 0 THEN c.c_name END AS author,
+         o.o_orderdate AS ts,
+         CASE WHEN o.o_orderkey % 13 = 0 THEN '' ELSE o.o_orderpriority END AS message,
+         coalesce(li.n, 0) AS files_changed, o.o_orderstatus AS order_status
+  FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) li
+    ON o.o_orderkey = li.l_orderkey)
+"""
+
+LEDGER = REVISIONS + """,
+ledger AS (
+  SELECT revision AS svn_revision,
+         CASE WHEN st = 'completed' THEN substr(sha256('r' || revision), 1, 40) END AS git_commit_sha,
+         author AS svn_author, ts AS svn_timestamp, message AS svn_message,
+         (revision - 1) // 50 + 1 AS batch_number, ts AS created_at, ts AS updated_at, st AS status,
+         CASE WHEN st = 'failed' THEN 'Test error' END AS error_message,
+         CASE WHEN st = 'failed' THEN (revision - 1) % 3 ELSE 0 END AS retry_count
+  FROM (SELECT *, CASE WHEN (revision - 1) % 97 = 0 THEN 'failed'
+                       WHEN order_status = 'F' THEN 'completed'
+                       WHEN order_status = 'P' THEN 'in_progress' ELSE 'pending' END AS st
+        FROM revisions))
+"""
+
+CHECKPOINT_WRITES = """
+checkpoint_writes AS (
+  SELECT user_id + 1 AS svn_revision, user_id // 50 + 1 AS batch_number, 'user' || user_id AS svn_author,
+         ts AS svn_timestamp, props AS svn_message, ts, event_id AS seq
+  FROM events WHERE event_type = 'signup')
+"""
+
+TRANSITIONS = """
+transitions AS (
+  SELECT user_id + 1 AS svn_revision,
+         CASE event_type WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'in_progress' END
+           AS status,
+         CASE WHEN event_type = 'purchase' THEN substr(sha256('e' || event_id), 1, 40) END AS git_commit_sha,
+         CASE WHEN event_type = 'error' THEN 'error ' || props END AS error_message,
+         ts, event_id AS seq
+  FROM events WHERE event_type IN ('click', 'view', 'purchase', 'error'))
+"""
+
+ERRORS = """
+error_log AS (
+  SELECT event_id AS error_id, event_id % (SELECT count(*) FROM orders) + 1 AS svn_revision,
+         (event_id % (SELECT count(*) FROM orders)) // 50 + 1 AS batch_number,
+         (['TimeoutError','SVNConnectionError','GitPushError','SVNFetchError','GitAuthenticationError'])
+           [event_id % 5 + 1] AS error_type,
+         props AS error_message, ts AS error_timestamp, CASE WHEN event_id % 4 = 0 THEN 1 ELSE 0 END AS resolved
+  FROM events WHERE event_type = 'error')
+"""
+
+RUNS = """
+runs AS (
+  SELECT n_nationkey::BIGINT AS run_id, 'svn://repo/' || lower(n_name) AS svn_url,
+         'git@host:' || lower(n_name) || '.git' AS git_url,
+         TIMESTAMP '2024-01-01 00:00:00' AS start_time, TIMESTAMP '2024-01-01 00:00:00' AS last_update_time,
+         0::BIGINT AS last_checkpoint_revision, n_regionkey::BIGINT AS total_svn_revisions,
+         0::BIGINT AS current_batch_number, 'in_progress' AS migration_status
+  FROM nation),
+run_updates AS (
+  SELECT user_id % 25 AS run_id,
+         CASE event_type WHEN 'click' THEN 'last_checkpoint_revision' WHEN 'view' THEN 'current_batch_number'
+              WHEN 'purchase' THEN 'migration_status' WHEN 'error' THEN 'migration_status' ELSE 'svn_url' END
+           AS field,
+         CASE event_type WHEN 'click' THEN floor(value)::BIGINT::VARCHAR WHEN 'view' THEN event_id::VARCHAR
+              WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE props END AS value,
+         ts, event_id AS seq
+  FROM events),
+run_latest AS (
+  SELECT run_id, field, value FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_id, field ORDER BY ts DESC, seq DESC) AS rn
+    FROM run_updates
+    WHERE field IN ('last_checkpoint_revision','current_batch_number','migration_status','total_svn_revisions'))
+  WHERE rn = 1),
+run_ts AS (
+  SELECT run_id, max(ts) AS u_ts FROM run_updates
+  WHERE field IN ('last_checkpoint_revision','current_batch_number','migration_status','total_svn_revisions')
+  GROUP BY run_id),
+run_pivot AS (
+  SELECT run_id,
+         max(CASE WHEN field = 'last_checkpoint_revision' THEN value END)::BIGINT AS u_lcr,
+         max(CASE WHEN field = 'total_svn_revisions' THEN value END)::BIGINT AS u_tot,
+         max(CASE WHEN field = 'current_batch_number' THEN value END)::BIGINT AS u_cbn,
+         max(CASE WHEN field = 'migration_status' THEN value END) AS u_st
+  FROM run_latest GROUP BY run_id),
+runs_updated AS (
+  SELECT r.run_id, r.svn_url, r.git_url, r.start_time,
+         coalesce(t.u_ts, r.last_update_time) AS last_update_time,
+         coalesce(p.u_lcr, r.last_checkpoint_revision) AS last_checkpoint_revision,
+         coalesce(p.u_tot, r.total_svn_revisions) AS total_svn_revisions,
+         coalesce(p.u_cbn, r.current_batch_number) AS current_batch_number,
+         coalesce(p.u_st, r.migration_status) AS migration_status
+  FROM runs r LEFT JOIN run_pivot p ON r.run_id = p.run_id LEFT JOIN run_ts t ON r.run_id = t.run_id)
+"""

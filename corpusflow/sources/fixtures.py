@@ -303,3 +303,31 @@ def run_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
              .otherwise(F.col("props")))
     return e.select((F.col("user_id") % RUN_COUNT).alias("run_id"), field.alias("field"),
                     value.alias("value"), "ts", F.col("event_id").alias("seq"))
+
+
+def _xml_escape(c: F.Column) -> F.Column:
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+
+
+def revision_log_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``svn log --xml --verbose`` entries, one ``<logentry>`` string per
+    revision: changed paths from line items, no author element when unknown."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    p = (read_table(spark, sf_dir, "lineitem")
+         .select("l_orderkey", F.concat(F.lit("<path action=\"M\">/trunk/shop/p"),
+                                        F.col("l_partkey").cast("string"), F.lit(".java</path>")).alias("p"))
+         .groupBy("l_orderkey").agg(F.array_join(F.collect_list("p"), "").alias("paths")))
+    j = (o.join(c, o.o_custkey == c.c_custkey, "left")
+         .join(p, o.o_orderkey == p.l_orderkey, "left"))
+    rev = (F.col("o_orderkey") + 1).cast("string")
+    author = F.when(F.col("o_custkey") % 10 != 0, F.col("c_name"))
+    msg = F.when(F.col("o_orderkey") % 13 == 0, F.lit("")).otherwise(F.col("o_orderpriority"))
+    xml = F.concat(
+        F.lit("<logentry revision=\""), rev, F.lit("\">"),
+        F.coalesce(F.concat(F.lit("<author>"), _xml_escape(author), F.lit("</author>")), F.lit("")),
+        F.lit("<date>"), F.date_format(F.col("o_orderdate"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</date>"),
+        F.lit("<msg>"), _xml_escape(msg), F.lit("</msg>"),
+        F.coalesce(F.concat(F.lit("<paths>"), F.col("paths"), F.lit("</paths>")), F.lit("")),
+        F.lit("</logentry>"))
+    return j.select(xml.alias("xml"))
