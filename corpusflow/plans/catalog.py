@@ -31,4 +31,4 @@ def query(key: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import queries_corpus, queries_ledger  # noqa: F401
+    from . import queries_changes, queries_corpus, queries_ledger  # noqa: F401

@@ -129,7 +129,7 @@ all_chunks AS (SELECT * FROM tree_chunks UNION ALL SELECT * FROM java_chunks)
 # project files: documents as {source}/{doc_id}.md, version 1 + doc_id % 4
 PROJECT_CHUNKS = """
 project_chunks AS (
-  SELECT source AS project, doc_id % 4 + 1 AS version,
+  SELECT source AS project, (doc_id // 20) % 4 + 1 AS version,
          substr(md5(source || '/' || doc_id || '.md'), 1, 12) AS chunk_id,
          source || '/' || doc_id || '.md' AS file_path, doc_id || '.md' AS chunk_name,
          text AS code_content
@@ -287,3 +287,20 @@ runs_updated AS (
          coalesce(p.u_st, r.migration_status) AS migration_status
   FROM runs r LEFT JOIN run_pivot p ON r.run_id = p.run_id LEFT JOIN run_ts t ON r.run_id = t.run_id)
 """
+
+SNAPSHOTS = """
+snap_cur AS (
+  SELECT 'snap/' || doc_id || '.txt' AS rel_path, text AS content, sha256(text) AS file_sha FROM documents),
+snap_prev AS (
+  SELECT 'snap/' || doc_id || '.txt' AS rel_path,
+         CASE WHEN doc_id % 7 = 0 THEN text || ' (old)' ELSE text END AS content
+  FROM documents WHERE doc_id % 10 <> 0
+  UNION ALL
+  SELECT 'snap/' || (doc_id + 1000000) || '.txt', text FROM documents WHERE doc_id % 11 = 0),
+snap_state AS (SELECT rel_path, sha256(content) AS file_sha FROM snap_prev),
+snap_diff AS (
+  SELECT coalesce(c.rel_path, s.rel_path) AS rel_path,
+         CASE WHEN c.rel_path IS NULL THEN 'deleted' WHEN s.rel_path IS NULL THEN 'new'
+              WHEN c.file_sha <> s.file_sha THEN 'modified' ELSE 'unchanged' END AS change
+  FROM snap_cur c FULL OUTER JOIN snap_state s ON c.rel_path = s.rel_path)
+"""

@@ -133,12 +133,12 @@ def q_training_pairs(spark, sf):
 
 def project_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Versioned pairs: documents as files of the project named by their source,
-    version 1 + doc_id % 4 (FIXTURES.md)."""
+    version 1 + (doc_id div 20) % 4 (every project spans versions 1-4)."""
     d = fixtures.read_table(spark, sf, "documents").select("doc_id", "text", "source")
     files = d.select(
         F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("rel_path"),
         F.lit(".md").alias("ext"), F.col("text").alias("content"),
-        F.col("source").alias("project"), (F.col("doc_id") % 4 + 1).cast("int").alias("pversion"))
+        F.col("source").alias("project"), (F.floor(F.col("doc_id") / 20) % 4 + 1).cast("int").alias("pversion"))
     ch = chunking.extract_generic_chunks(files, FIXED_TS, carry=["project", "pversion"])
     return (pairs.generate_pairs(ch, FIXED_TS, carry=["project", "pversion"])
             .drop("version").withColumnRenamed("pversion", "version"))

@@ -113,30 +113,26 @@ def snapshot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                                        ).alias("rel_path"), F.col("text").alias("content")))
 
 
-def snapshot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Previous index state: drops doc_id%10=0 (new), alters doc_id%7=0 (modified),
-    adds 1,000,000+doc_id for doc_id%11=0 (deleted)."""
+def snapshot_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Previous snapshot: drops doc_id%10=0 (they become new), alters the text
+    of doc_id%7=0 (modified), adds 1,000,000+doc_id for doc_id%11=0 (deleted)."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = d.where(F.col("doc_id") % 10 != 0).select(
-        "doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" (old)"))).otherwise(F.col("text")
-                                                                                                ).alias("text"))
+        "doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" (old)")))
+        .otherwise(F.col("text")).alias("text"))
     gone = d.where(F.col("doc_id") % 11 == 0).select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text")
     prev = kept.unionByName(gone)
-    return prev.select(
+    return _as_files(prev.select(
         F.concat(F.lit("snap/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("rel_path"),
-        ids.checksum(F.col("text")).alias("file_sha"),
-        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("last_indexed"),
-        F.lit(1).alias("chunks_count"))
+        F.col("text").alias("content")))
 
 
-def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as plain-text files of a project named by their ``source``."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    rel = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
-    return _as_files(d.select(rel.alias("rel_path"), F.col("text").alias("content"))).join(
-        d.select(F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")
-                          ).alias("rel_path"), F.col("source").alias("project"),
-                 (F.col("doc_id") % 4 + 1).alias("version")), "rel_path")
+def snapshot_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index state written after indexing the previous snapshot."""
+    return snapshot_previous(spark, sf_dir).select(
+        "rel_path", "file_sha",
+        F.lit("2024-01-01 00:00:00").cast("timestamp").alias("last_indexed"),
+        F.lit(1).alias("chunks_count"))
 
 
 # ---------------------------------------------------------------------------
