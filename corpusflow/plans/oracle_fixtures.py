@@ -304,3 +304,83 @@ snap_diff AS (
               WHEN c.file_sha <> s.file_sha THEN 'modified' ELSE 'unchanged' END AS change
   FROM snap_cur c FULL OUTER JOIN snap_state s ON c.rel_path = s.rel_path)
 """
+
+TOKEN_PAT = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_ \\t\\n\\x0B\\f\\r]"
+
+TURN_PAIRS = """
+turn_pairs AS (
+  SELECT u.conv_id || '-' || u.turn AS pair_id, u.text AS input_text, a.text AS output_text
+  FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant')
+"""
+
+
+def vocab(size: int = 2000) -> str:
+    return f"""
+vocab_counts AS (
+  SELECT token, count(*) AS freq
+  FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN_PAT}')) AS token FROM documents) GROUP BY token),
+vocab AS (
+  SELECT token, (row_number() OVER (ORDER BY freq DESC, token) + 2)::INTEGER AS id
+  FROM (SELECT * FROM vocab_counts WHERE token NOT IN ('<pad>', '<unk>', '<eos>')
+        ORDER BY freq DESC, token LIMIT {size - 3})
+  UNION ALL SELECT '<pad>', 0 UNION ALL SELECT '<unk>', 1 UNION ALL SELECT '<eos>', 2)
+"""
+
+
+def encode(name: str, src: str, key: str, text: str) -> str:
+    """CTE ``name``(key, ids) encoding ``text`` of ``src`` with ``vocab``."""
+    return f"""
+{name}_tok AS (
+  SELECT {key} AS k, unnest(toks) AS token, generate_subscripts(toks, 1) AS pos
+  FROM (SELECT {key}, regexp_extract_all({text}, '{TOKEN_PAT}') AS toks FROM {src})),
+{name}_enc AS (
+  SELECT t.k, list(coalesce(v.id, 1) ORDER BY t.pos) AS ids
+  FROM {name}_tok t LEFT JOIN vocab v ON t.token = v.token GROUP BY t.k),
+{name} AS (
+  SELECT s.{key} AS k, coalesce(e.ids, []::INTEGER[]) AS ids FROM {src} s LEFT JOIN {name}_enc e ON s.{key} = e.k)
+"""
+
+
+def tokenized(max_length: int) -> str:
+    """CTE ``tokenized`` of ``turn_pairs`` (needs ``vocab``)."""
+    comb = "input_text || chr(10) || chr(10) || 'EXPLANATION:' || chr(10) || output_text"
+    return (encode("enc_in", "turn_pairs", "pair_id", "input_text") + "," +
+            encode("enc_all", "turn_pairs", "pair_id", comb) + f""",
+tok_staged AS (
+  SELECT p.pair_id, least(len(i.ids), {max_length}) AS in_len, list_slice(a.ids, 1, {max_length}) AS comb,
+         length({comb}) AS original_length
+  FROM turn_pairs p JOIN enc_in i ON p.pair_id = i.k JOIN enc_all a ON p.pair_id = a.k),
+tok_lab AS (
+  SELECT *, list_concat(list_resize([]::INTEGER[], in_len, -100), list_slice(comb, in_len + 1, len(comb))) AS lab
+  FROM tok_staged),
+tokenized AS (
+  SELECT pair_id, len(comb) AS token_count, original_length,
+         CASE WHEN len(comb) < {max_length} THEN list_resize(comb, {max_length}, 0) ELSE comb END AS input_ids,
+         CASE WHEN len(comb) < {max_length}
+              THEN list_concat(list_resize([]::INTEGER[], len(comb), 1), list_resize([]::INTEGER[], {max_length} - len(comb), 0))
+              ELSE list_resize([]::INTEGER[], {max_length}, 1) END AS attention_mask,
+         CASE WHEN len(comb) < {max_length} THEN list_resize(lab, {max_length}, -100)
+              ELSE list_slice(lab, 1, {max_length}) END AS labels
+  FROM tok_lab)
+""")
+
+
+def packed(src: str, key: str, size: str, max_tokens: int = 2048, max_sequences: int = 16) -> str:
+    """CTE ``packed``(key, size, batch_id): the greedy walk as a recursive CTE."""
+    brk = f"(w.cur_len >= {max_sequences} OR w.cur_tok + o.sz > {max_tokens})"
+    return f"""
+pack_order AS (
+  SELECT {key} AS k, {size} AS sz, row_number() OVER (ORDER BY {size} DESC, {key}) AS rn FROM {src}),
+pack_walk AS (
+  WITH RECURSIVE walk(rn, k, sz, batch_id, cur_len, cur_tok) AS (
+    SELECT rn, k, sz, 0::BIGINT, 1, sz FROM pack_order WHERE rn = 1
+    UNION ALL
+    SELECT o.rn, o.k, o.sz,
+           CASE WHEN {brk} THEN w.batch_id + 1 ELSE w.batch_id END,
+           CASE WHEN {brk} THEN 1 ELSE w.cur_len + 1 END,
+           CASE WHEN {brk} THEN o.sz ELSE w.cur_tok + o.sz END
+    FROM walk w JOIN pack_order o ON o.rn = w.rn + 1)
+  SELECT k, sz, batch_id FROM walk),
+packed AS (SELECT k AS {key}, sz AS {size}, batch_id FROM pack_walk)
+"""
