@@ -78,7 +78,7 @@ def _fill(template: str, **cols: Column) -> Column:
 def clean_javadoc(raw: Column) -> Column:
     """Drop ``/**``, ``*`` runs and ``*/``, then trim all whitespace."""
     stripped = F.regexp_replace(raw, r"/?\*+/?", "")
-    return F.regexp_replace(stripped, r"^\s+|\s+$", "")
+    return F.regexp_replace(stripped, r"(?U)^\s+|\s+$", "")
 
 
 def describe_file(content: Column) -> Column:
@@ -144,7 +144,7 @@ def classify_error(error_class: Column) -> Column:
 
 def commit_message(message: Column, revision: Column, files_changed: Column) -> Column:
     """Trimmed message (or a placeholder), then the revision footer."""
-    body = F.coalesce(F.nullif(F.regexp_replace(message, r"^\s+|\s+$", ""), F.lit("")),
+    body = F.coalesce(F.nullif(F.regexp_replace(message, r"(?U)^\s+|\s+$", ""), F.lit("")),
                       F.lit(EMPTY_COMMIT_MESSAGE))
     footer = F.concat(F.lit("\n\n[SVN r"), revision.cast("string"), F.lit("]"))
     changed = F.when(F.coalesce(files_changed, F.lit(0)) != 0,

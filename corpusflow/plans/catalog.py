@@ -31,4 +31,5 @@ def query(key: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import queries_changes, queries_corpus, queries_ledger, queries_tokens  # noqa: F401
+    from . import (queries_changes, queries_corpus, queries_ledger, queries_retrieval,  # noqa: F401
+                   queries_tokens)
