@@ -427,3 +427,69 @@ cites AS (
                     || '...' || chr(10), '' ORDER BY rank) AS context
   FROM topk GROUP BY qid)
 """
+
+META_FILES = """
+md_files AS (
+  SELECT 'docs/' || doc_id || '.md' AS rel_path,
+         '# Doc ' || doc_id || chr(10) || chr(10) || split_part(text, chr(10), 1) || chr(10) || chr(10) || '## ' ||
+         lang || chr(10) || text ||
+         CASE WHEN doc_id % 4 = 0 THEN chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' ELSE '' END AS content
+  FROM documents),
+yaml_files AS (
+  SELECT 'conf/' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.yaml' ELSE '.yml' END AS rel_path,
+         'lang: ' || lang || chr(10) || 'source: ' || source || chr(10) || 'n_chars: ' || n_chars || chr(10) ||
+         'meta:' || chr(10) || '  id: ' || doc_id || chr(10) AS content
+  FROM documents),
+java_meta AS (
+  SELECT rel_path, nullif(regexp_extract(content, 'package\\s+([\\w.]+)', 1), '') AS package,
+         regexp_extract_all(content, '(public\\s+)?(class|interface)\\s+(\\w+)', 3) AS classes,
+         regexp_extract_all(content, 'import\\s+([\\w.*]+)', 1) AS imports,
+         length(content) - length(replace(content, chr(10), '')) + 1 AS lines
+  FROM java_files),
+md_meta AS (
+  SELECT rel_path, regexp_extract_all(content, '(?m)^#+\\s+(.+)$', 1) AS headings,
+         length(content) - length(replace(content, chr(10), '')) + 1 AS lines,
+         contains(content, '```') AS has_code_blocks
+  FROM md_files),
+yaml_meta AS (
+  SELECT rel_path, list_sort(list_distinct(regexp_extract_all(content, '(?m)^(\\w+):\\s*', 1))) AS keys,
+         length(content) - length(replace(content, chr(10), '')) + 1 AS lines
+  FROM yaml_files),
+all_meta AS (
+  SELECT rel_path, 'JavaFileHandler' AS handler, 'java' AS file_type,
+         'Java file' || coalesce(' in package ' || package, '') ||
+         CASE WHEN len(classes) > 0 THEN ' containing classes: ' || array_to_string(classes, ', ') ELSE '' END
+           AS description, lines
+  FROM java_meta
+  UNION ALL
+  SELECT rel_path, 'MarkdownFileHandler', 'markdown',
+         'Documentation file' || CASE WHEN len(headings) > 0
+                                      THEN ' with sections: ' || array_to_string(list_slice(headings, 1, 3), ', ')
+                                      ELSE '' END, lines
+  FROM md_meta
+  UNION ALL
+  SELECT rel_path, 'YamlFileHandler', 'yaml',
+         'YAML configuration file' || CASE WHEN len(keys) > 0
+                                           THEN ' with properties: ' || array_to_string(list_slice(keys, 1, 5), ', ')
+                                           ELSE '' END, lines
+  FROM yaml_meta)
+"""
+
+WALKED_TREE = """
+walked AS (
+  SELECT *, CASE WHEN rel_path LIKE '%.java' THEN 'JavaFileHandler' WHEN rel_path LIKE '%.md' THEN 'MarkdownFileHandler'
+                 WHEN rel_path LIKE '%.yaml' OR rel_path LIKE '%.yml' THEN 'YamlFileHandler' END AS handler
+  FROM doc_tree WHERE NOT regexp_matches(rel_path, '(^|/)(\\.[^/]*|node_modules|dist|build|target)/')),
+by_ext AS (SELECT ext, count(*)::BIGINT AS n_files FROM walked GROUP BY ext),
+by_handler AS (
+  SELECT handler, count(*)::BIGINT AS n_files, arg_min(ext, rel_path) AS extension,
+         array_to_string(list_slice(list(rel_path ORDER BY rel_path), 1, 3), ',') AS examples
+  FROM walked WHERE handler IS NOT NULL GROUP BY handler)
+"""
+
+PROJECTS = """
+projects AS (
+  SELECT s_suppkey, 'src' || s_suppkey AS project_name, 'Project of ' || s_name AS description,
+         (['microservices','documentation','monolith'])[s_nationkey % 3 + 1] AS project_type
+  FROM supplier)
+"""

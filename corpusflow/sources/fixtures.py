@@ -327,3 +327,25 @@ def revision_log_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(F.concat(F.lit("<paths>"), F.col("paths"), F.lit("</paths>")), F.lit("")),
         F.lit("</logentry>"))
     return j.select(xml.alias("xml"))
+
+
+PROJECT_TYPES = ["microservices", "documentation", "monolith"]
+
+
+def projects(spark: SparkSession, sf_dir: str, keep_mod: int | None = None, label: str = "Project of ") -> DataFrame:
+    """Project configs, one per supplier: ``src{s_suppkey}`` (src0..src19 own
+    the versioned document pairs); ``keep_mod`` keeps suppliers whose key is
+    a multiple of it."""
+    s = read_table(spark, sf_dir, "supplier")
+    if keep_mod:
+        s = s.where(F.col("s_suppkey") % keep_mod == 0)
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    return s.select(
+        F.concat(F.lit("src"), F.col("s_suppkey").cast("string")).alias("project_name"),
+        F.concat(F.lit("/work/"), F.lower("s_name")).alias("project_root"),
+        _pick(PROJECT_TYPES, F.col("s_nationkey") % 3).alias("project_type"),
+        F.array(F.lit(".java"), F.lit(".md")).alias("file_types"),
+        F.concat(F.lit(label), F.col("s_name")).alias("description"),
+        F.lit("gpt2").alias("model_name"),
+        F.create_map(F.lit("epochs"), F.lit("3"), F.lit("batch_size"), F.lit("4")).alias("training_config"),
+        ts.alias("created_at"), ts.alias("last_updated"))
