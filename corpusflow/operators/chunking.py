@@ -294,3 +294,25 @@ def chunks_by_type(chunks: DataFrame) -> DataFrame:
 def chunks_per_file(chunks: DataFrame) -> DataFrame:
     """A4: chunk count stored per file."""
     return chunks.groupBy("file_path").agg(F.count(F.lit(1)).cast("int").alias("chunks_count"))
+
+
+# ---------------------------------------------------------------------------
+# SQL table function
+# ---------------------------------------------------------------------------
+
+def register_chunk_udtf(spark, name: str = "chunk_code"):
+    """Register ``chunk_code(path, content)`` for ``LATERAL`` use in SQL;
+    yields the class and method spans of one Java file."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="chunk_type string, chunk_name string, start_line int, end_line int, "
+                     "parent_class string, code_content string")
+    class ChunkCode:
+        def eval(self, path: str, content: str):
+            if content is None:
+                return
+            for kind, cname, sl, el, body, parent, _rtype, _doc in java_spans(content):
+                yield kind, cname, sl, el, parent, body
+
+    spark.udtf.register(name, ChunkCode)
+    return ChunkCode

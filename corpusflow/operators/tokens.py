@@ -10,9 +10,12 @@ Masking, padding and truncation (K3) are native array expressions.
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,16 +75,23 @@ def encoder_from_vocab(vocab: DataFrame, unk_id: int = UNK_ID) -> VocabEncoder:
     return VocabEncoder({r["token"]: int(r["id"]) for r in vocab.collect()}, unk_id)
 
 
+_ENCODERS: dict[str, object] = {}
+
+
 def encode_columns(df: DataFrame, columns: dict[str, str], encoder) -> DataFrame:
     """Add ``out = ids of in`` for each (in -> out) with an object
     that has ``encode_batch``; the encoder is broadcast once per executor."""
     spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(encoder)
+    # cloudpickle so encoders defined in notebooks or functions travel by value
+    bc = spark.sparkContext.broadcast(cloudpickle.dumps(encoder))
+    token = uuid.uuid4().hex
     out_fields = [T.StructField(o, T.ArrayType(T.IntegerType())) for o in columns.values()]
     schema = T.StructType(df.schema.fields + out_fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = bc.value
+        enc = _ENCODERS.get(token)
+        if enc is None:  # once per reused Python worker
+            enc = _ENCODERS[token] = pickle.loads(bc.value)
         for pdf in batches:
             for src, dst in columns.items():
                 pdf[dst] = enc.encode_batch(pdf[src].tolist())
