@@ -98,14 +98,18 @@ def extract_generic_chunks(files: DataFrame, extracted_at: Column | None = None,
 _LITERALS = re.compile(
     r'//[^\n]*|/\*.*?(?:\*/|\Z)|"""(?:.|\n)*?(?:"""|\Z)|"(?:\\.|[^"\\\n])*"?|\'(?:\\.|[^\'\\\n])*\'?',
     re.DOTALL)
-_CLASS = re.compile(
-    r"(?<![\w$.@])(?:(?:public|protected|private|abstract|static|final|sealed|non-sealed|strictfp)\s+)*"
-    r"(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)")
-_METHOD = re.compile(
-    r"(?<![\w$.@])(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*"
+_CLASS_KEYWORD = re.compile(r"\b(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)")
+_CLASS_HEAD = re.compile(
+    r"\s*(?:@[\w$.]+(?:\s*\([^()]*\))?\s*)*"
+    r"((?:(?:public|protected|private|abstract|static|final|sealed|non-sealed|strictfp)\s+)*)")
+# A method body opens after ")" (array dims, throws clause); the head before
+# the matching "(" is then matched in full from the previous ; { or }.
+_METHOD_TAIL = re.compile(r"\)\s*(?:\[\s*\]\s*)*(?:throws\s+[\w$.,\s<>]+?)?\s*\{")
+_METHOD_HEAD = re.compile(
+    r"\s*(?:@[\w$.]+(?:\s*\([^()]*\))?\s*)*"
+    r"((?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*"
     r"(?:<[^<>{};]*(?:<[^<>{};]*>[^<>{};]*)*>\s*)?"
-    r"([A-Za-z_$][\w$.]*(?:\s*<[^{};()]*>)?(?:\s*\[\s*\])*)\s+([A-Za-z_$][\w$]*)\s*"
-    r"\(([^(){};]*(?:\([^(){};]*\)[^(){};]*)*)\)\s*(?:\[\s*\]\s*)*(?:throws\s+[\w$.,\s<>]+?)?\s*\{")
+    r"([A-Za-z_$][\w$.]*(?:\s*<[^{};()]*>)?(?:\s*\[\s*\])*)\s+([A-Za-z_$][\w$]*))\s*")
 _NOT_NAMES = frozenset("if for while switch catch synchronized return new else do try throw case assert".split())
 _NOT_TYPES = frozenset("new return else throw case package import class interface enum record".split())
 _BETWEEN_DOC_AND_DECL = re.compile(r"\s*(?:@[\w$.]+(?:\s*\([^()]*\))?\s*)*")
@@ -139,18 +143,44 @@ def java_spans(text: str) -> list[tuple]:
         return bisect.bisect_left(newlines, pos) + 1
 
     decls = []  # (start, kind, name, open_brace, return_type)
-    for m in _CLASS.finditer(masked):
-        j = m.end()
-        k = j
+    for m in _CLASS_KEYWORD.finditer(masked):
+        kw = m.start()
+        if kw and masked[kw - 1] in "$.@":          # Foo.class, @interface
+            continue
+        k = m.end()
         while k < n and masked[k] not in "{;":
             k += 1
-        if k < n and masked[k] == "{":
-            decls.append((m.start(), "class", m.group(2), k, None))
-    for m in _METHOD.finditer(masked):
-        rtype, name = m.group(1), m.group(2)
+        if k >= n or masked[k] != "{":
+            continue
+        seg = max(masked.rfind(";", 0, kw), masked.rfind("{", 0, kw), masked.rfind("}", 0, kw)) + 1
+        h = _CLASS_HEAD.fullmatch(masked, seg, kw)
+        start = h.start(1) if h is not None and h.group(1) else kw
+        decls.append((start, "class", m.group(2), k, None))
+    for m in _METHOD_TAIL.finditer(masked):
+        close = m.start()
+        depth, i = 0, close
+        while i >= 0:
+            c = masked[i]
+            if c == ")":
+                depth += 1
+            elif c == "(":
+                depth -= 1
+                if depth == 0:
+                    break
+            elif c in ";{}":
+                i = -1
+                break
+            i -= 1
+        if i < 0:
+            continue
+        seg = max(masked.rfind(";", 0, i), masked.rfind("{", 0, i), masked.rfind("}", 0, i)) + 1
+        h = _METHOD_HEAD.fullmatch(masked, seg, i)
+        if h is None:
+            continue
+        rtype, name = h.group(2), h.group(3)
         if name in _NOT_NAMES or rtype in _NOT_TYPES:
             continue
-        decls.append((m.start(), "method", name, m.end() - 1, re.sub(r"\s+", " ", rtype)))
+        decls.append((h.start(1), "method", name, m.end() - 1, re.sub(r"\s+", " ", rtype)))
 
     # one pass over braces: matching close and the enclosing open brace
     close_of: dict[int, int] = {}
@@ -194,15 +224,20 @@ def java_spans(text: str) -> list[tuple]:
     return out
 
 
-def _java_span_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for rel_path, content in zip(pdf["rel_path"], pdf["content"]):
-            if content is None:
-                continue
-            for kind, name, sl, el, body, parent, rtype, doc in java_spans(content):
-                rows.append((rel_path, kind, name, sl, el, body, parent, rtype, doc))
-        yield pd.DataFrame(rows, columns=SPAN_SCHEMA.fieldNames())
+def _java_span_batches(with_file: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for rel_path, content in zip(pdf["rel_path"], pdf["content"]):
+                if content is None:
+                    continue
+                if with_file:
+                    rows.append((rel_path, "file", "file_content", 1, content.count("\n") + 1, content,
+                                 None, None, None))
+                for kind, name, sl, el, body, parent, rtype, doc in java_spans(content):
+                    rows.append((rel_path, kind, name, sl, el, body, parent, rtype, doc))
+            yield pd.DataFrame(rows, columns=SPAN_SCHEMA.fieldNames())
+    return run
 
 
 def java_file_chunks(files: DataFrame, extracted_at: Column | None = None,
@@ -227,20 +262,23 @@ def java_file_chunks(files: DataFrame, extracted_at: Column | None = None,
 
 
 def java_member_chunks(files: DataFrame, extracted_at: Column | None = None,
-                       width: int = ids.CHUNK_HASH_WIDTH) -> DataFrame:
-    """Class and method chunks: spans in Python, everything else native."""
-    spans = files.select("rel_path", "content").mapInPandas(_java_span_batches, SPAN_SCHEMA)
+                       width: int = ids.CHUNK_HASH_WIDTH, with_file: bool = False) -> DataFrame:
+    """Class and method chunks (and the file chunk when ``with_file``): spans
+    in Python, everything else native. One pass over each file."""
+    spans = files.select("rel_path", "content").mapInPandas(_java_span_batches(with_file), SPAN_SCHEMA)
     doc = F.nullif(describe.clean_javadoc(F.col("javadoc")), F.lit(""))
-    is_method = F.col("chunk_type") == "method"
-    inferred = F.when(is_method, describe.describe_method(F.col("chunk_name"), F.col("return_type"))
-                      ).otherwise(describe.describe_class(F.col("chunk_name")))
+    kind = F.col("chunk_type")
+    inferred = (F.when(kind == "method", describe.describe_method(F.col("chunk_name"), F.col("return_type")))
+                .when(kind == "class", describe.describe_class(F.col("chunk_name")))
+                .otherwise(describe.describe_file(F.col("code_content"))))
+    line = F.when(kind == "file", F.lit(0)).otherwise(F.col("start_line"))
     return spans.select(
-        ids.chunk_id(F.col("rel_path"), F.col("chunk_type"), F.col("start_line"), width).alias("chunk_id"),
+        ids.chunk_id(F.col("rel_path"), kind, line, width).alias("chunk_id"),
         F.col("rel_path").alias("file_path"),
         F.lit("java").alias("file_type"),
         "chunk_type", "chunk_name", "start_line", "end_line", "code_content",
         F.coalesce(doc, inferred).alias("description"),
-        F.when(is_method, F.col("parent_class")).otherwise(F.lit("")).alias("context"),
+        F.when(kind == "method", F.col("parent_class")).otherwise(F.lit("")).alias("context"),
         ids.checksum(F.col("code_content")).alias("checksum"),
         _stamp(extracted_at).alias("extracted_at"),
         "parent_class",
@@ -250,9 +288,9 @@ def java_member_chunks(files: DataFrame, extracted_at: Column | None = None,
 
 def extract_java_chunks(files: DataFrame, extracted_at: Column | None = None,
                         width: int = ids.CHUNK_HASH_WIDTH) -> DataFrame:
-    """File chunk + class chunks + method chunks of Java files."""
-    return java_file_chunks(files, extracted_at, width).unionByName(
-        java_member_chunks(files, extracted_at, width))
+    """File chunk + class chunks + method chunks of Java files, from one
+    pass over each file."""
+    return java_member_chunks(files, extracted_at, width, with_file=True)
 
 
 # ---------------------------------------------------------------------------

@@ -53,30 +53,34 @@ def chunk_order(chunks: DataFrame) -> DataFrame:
 
 
 def jaccard_scores(questions: DataFrame, chunks: DataFrame, qid: str = "qid", question: str = "question",
-                   broadcast_questions: bool | None = None) -> DataFrame:
+                   broadcast_questions: bool | None = None, keep_order: bool = False) -> DataFrame:
     """J4 + F5: (qid, chunk_id, score) for every pair sharing a term (score > 0).
 
     The question side is broadcast only when its term rows are counted below
     ``BROADCAST_TERM_ROWS``; otherwise a shuffle join, where AQE splits hot
-    terms (skew join).
+    terms (skew join). ``keep_order`` carries the chunk's file-order key so
+    the top-k needs no second pass over the chunks.
     """
     qt = questions.select(F.col(qid).alias("qid"), terms(F.col(question)).alias("_t")).select(
         "qid", F.size("_t").alias("nq"), F.explode("_t").alias("term"))
-    ct = chunks.select("chunk_id", terms(F.concat_ws(" ", "chunk_name", "description")).alias("_t")).select(
-        "chunk_id", F.size("_t").alias("nc"), F.explode("_t").alias("term"))
+    src = chunk_order(chunks) if keep_order else chunks
+    extra = ["_ord"] if keep_order else []
+    ct = src.select("chunk_id", *extra, terms(F.concat_ws(" ", "chunk_name", "description")).alias("_t")).select(
+        "chunk_id", *extra, F.size("_t").alias("nc"), F.explode("_t").alias("term"))
     if broadcast_questions is None:
         broadcast_questions = qt.count() <= BROADCAST_TERM_ROWS
     side = F.broadcast(qt) if broadcast_questions else qt
-    shared = (ct.join(side, "term")
-              .groupBy("qid", "chunk_id").agg(F.count(F.lit(1)).alias("shared"),
-                                              F.first("nq").alias("nq"), F.first("nc").alias("nc")))
-    return shared.select("qid", "chunk_id",
+    aggs = [F.count(F.lit(1)).alias("shared"), F.first("nq").alias("nq"), F.first("nc").alias("nc")]
+    aggs += [F.first("_ord").alias("_ord")] if keep_order else []
+    shared = ct.join(side, "term").groupBy("qid", "chunk_id").agg(*aggs)
+    return shared.select("qid", "chunk_id", *extra,
                          (F.col("shared") / (F.col("nq") + F.col("nc") - F.col("shared"))).alias("score"))
 
 
-def retrieve_topk(scores: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
+def retrieve_topk(scores: DataFrame, chunks: DataFrame | None = None, k: int = TOP_K) -> DataFrame:
     """Best ``k`` chunks per question, score descending, ties in file order."""
-    ordered = scores.join(chunk_order(chunks).select("chunk_id", "_ord"), "chunk_id")
+    ordered = scores if "_ord" in scores.columns else \
+        scores.join(chunk_order(chunks).select("chunk_id", "_ord"), "chunk_id")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("_ord"))
     return ordered.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_ord")
 
@@ -136,8 +140,8 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, cache: DataFrame |
     n_sources, confidence, prompt (null for cached answers).
     """
     todo = questions if cache is None else cache_misses(questions, cache)
-    scores = jaccard_scores(todo, chunks)
-    cites = citations(retrieve_topk(scores, chunks, k), chunks)
+    scores = jaccard_scores(todo, chunks, keep_order=True)
+    cites = citations(retrieve_topk(scores, k=k), chunks)
     fresh = todo.join(cites, "qid", "left").select(
         "qid", "question", F.lit(False).alias("from_cache"), F.lit(None).cast("string").alias("answer"),
         "citations",

@@ -76,5 +76,13 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+def read_table(spark: SparkSession, sf_dir: str, name: str, min_splits: int | None = None) -> DataFrame:
+    """Parquet table scan. A table read as fewer splits than the session's
+    parallelism (small files, one row group) is spread round-robin so that
+    CPU-heavy narrow stages (regex, chunking, encoding) use every core; a
+    large table already has enough splits and is left as scanned."""
+    df = spark.read.parquet(table_path(sf_dir, name))
+    want = min_splits if min_splits is not None else spark.sparkContext.defaultParallelism
+    if want > 1 and df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
