@@ -85,6 +85,65 @@ def retrieve_topk(scores: DataFrame, chunks: DataFrame | None = None, k: int = T
     return ordered.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_ord")
 
 
+# A term is "hot" when more than max(HOT_MIN_DF, chunks / HOT_FRACTION) chunks
+# contain it; the hot set is then at most HOT_FRACTION x (mean terms per chunk).
+HOT_MIN_DF = 1000
+HOT_FRACTION = 1000
+
+
+def topk_jaccard(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, qid: str = "qid",
+                 question: str = "question", hot_df: int | None = None) -> DataFrame:
+    """J4 + W1 exactly, without enumerating pairs that share only frequent terms.
+
+    * cold terms (in at most ``hot_df`` chunks): pairs sharing one are
+      enumerated, at most ``hot_df`` chunks per question term, and scored
+      exactly from both term arrays;
+    * hot terms: a chunk sharing only hot terms with a question scores by its
+      hot signature (its hot terms) and its term count alone, so chunks are
+      grouped by (signature, count) and only each group's first ``k`` chunks
+      in file order are candidates (a row_number <= k filter, run as a
+      per-partition top-k before the shuffle). Any other member of the
+      group has ``k`` candidates ranked ahead of it (equal or higher score,
+      earlier in file order), so the top-k is unchanged.
+
+    Output: qid, chunk_id, score, rank (1..k).
+    """
+    q = questions.select(F.col(qid).alias("qid"), terms(F.col(question)).alias("tq"))
+    c = chunk_order(chunks).select("chunk_id", "_ord", terms(F.concat_ws(" ", "chunk_name", "description")).alias("tc"))
+    ct = c.select("chunk_id", "_ord", "tc", F.explode("tc").alias("term"))
+    if hot_df is None:
+        hot_df = max(HOT_MIN_DF, chunks.count() // HOT_FRACTION)
+    # document frequencies: a partial aggregate; the hot set is bounded as above
+    hot = (ct.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > hot_df)
+           .select("term", F.lit(True).alias("hot")))
+    qt = q.select("qid", "tq", F.explode("tq").alias("term"))
+    q_side = F.broadcast(qt) if qt.count() <= BROADCAST_TERM_ROWS else qt
+    tagged = ct.join(F.broadcast(hot), "term", "left")
+
+    # cold: every pair sharing a cold term, scored exactly
+    cold_pairs = (tagged.where(F.col("hot").isNull()).join(q_side.join(F.broadcast(hot), "term", "left_anti"), "term")
+                  .groupBy("qid", "chunk_id").agg(F.first("_ord").alias("_ord"), F.first("tc").alias("tc"),
+                                                  F.first("tq").alias("tq")))
+    cold = cold_pairs.select("qid", "chunk_id", "_ord", jaccard(F.col("tq"), F.col("tc")).alias("score"))
+
+    # hot: chunks grouped by (hot signature, term count); first k of each group
+    per_chunk = (tagged.where(F.col("hot")).groupBy("chunk_id")
+                 .agg(F.first("_ord").alias("_ord"), F.size(F.first("tc")).alias("nc"),
+                      F.array_sort(F.collect_set("term")).alias("sig")))
+    w = Window.partitionBy("sig", "nc").orderBy("_ord")
+    heads = per_chunk.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    groups = heads.select("sig", "nc").distinct()
+    q_hot = q_side.join(F.broadcast(hot), "term").select("qid", F.size("tq").alias("nq"), "term")
+    gq = (groups.select("sig", "nc", F.explode("sig").alias("term")).join(q_hot, "term")
+          .groupBy("qid", "sig", "nc").agg(F.count(F.lit(1)).alias("s"), F.first("nq").alias("nq")))
+    hot_cands = gq.join(heads, ["sig", "nc"]).select(
+        "qid", "chunk_id", "_ord", (F.col("s") / (F.col("nq") + F.col("nc") - F.col("s"))).alias("score"))
+
+    best = (cold.unionByName(hot_cands).groupBy("qid", "chunk_id")
+            .agg(F.max("score").alias("score"), F.first("_ord").alias("_ord")))
+    return retrieve_topk(best, k=k)
+
+
 def citations(topk: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per question, the ordered citation structs and context pieces."""
     j = topk.join(chunks.select("chunk_id", "file_path", "chunk_type", "chunk_name", "code_content"), "chunk_id")
@@ -140,8 +199,7 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, cache: DataFrame |
     n_sources, confidence, prompt (null for cached answers).
     """
     todo = questions if cache is None else cache_misses(questions, cache)
-    scores = jaccard_scores(todo, chunks, keep_order=True)
-    cites = citations(retrieve_topk(scores, k=k), chunks)
+    cites = citations(topk_jaccard(todo, chunks, k), chunks)
     fresh = todo.join(cites, "qid", "left").select(
         "qid", "question", F.lit(False).alias("from_cache"), F.lit(None).cast("string").alias("answer"),
         "citations",

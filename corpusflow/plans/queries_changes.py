@@ -10,7 +10,7 @@ from ..operators import versions as V
 from ..sources import fixtures as fx
 from . import oracle_fixtures as ofx
 from .catalog import query
-from .queries_corpus import FIXED_TS, project_pairs
+from .queries_corpus import fixed_ts, project_pairs
 
 W = ofx.with_ctes
 
@@ -41,8 +41,8 @@ def q_changed_files(spark, sf):
 def _reindex(spark, sf):
     cur, state = fx.snapshot_files(spark, sf), fx.snapshot_state(spark, sf)
     diff = C.diff_snapshots(cur, state)
-    old_chunks = chunking.extract_generic_chunks(fx.snapshot_previous(spark, sf), FIXED_TS)
-    new_chunks = chunking.extract_generic_chunks(C.changed_only(cur, state), FIXED_TS)
+    old_chunks = chunking.extract_generic_chunks(fx.snapshot_previous(spark, sf), fixed_ts())
+    new_chunks = chunking.extract_generic_chunks(C.changed_only(cur, state), fixed_ts())
     return state, diff, old_chunks, new_chunks
 
 
@@ -58,7 +58,7 @@ def q_index_upsert(spark, sf):
 SELECT rel_path, file_sha, 1::BIGINT AS chunks_count FROM snap_cur""")
 def q_index_state(spark, sf):
     state, diff, _, new_chunks = _reindex(spark, sf)
-    st = C.next_state(state, diff, new_chunks, FIXED_TS)
+    st = C.next_state(state, diff, new_chunks, fixed_ts())
     return st.select("rel_path", "file_sha", F.col("chunks_count").cast("bigint").alias("chunks_count"))
 
 

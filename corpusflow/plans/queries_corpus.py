@@ -11,7 +11,9 @@ from ..sources import fixtures
 from . import oracle_fixtures as ofx
 from .catalog import query
 
-FIXED_TS = F.lit("2024-01-01 00:00:00").cast("timestamp")
+def fixed_ts() -> F.Column:
+    """Extraction/creation time stamped on derived rows (deterministic)."""
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
 
 
 # ---------------------------------------------------------------------------
@@ -28,7 +30,7 @@ def corpus_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.extract_chunks(corpus_files(spark, sf), FIXED_TS)
+    return chunking.extract_chunks(corpus_files(spark, sf), fixed_ts())
 
 
 def chunk_view(df: DataFrame) -> DataFrame:
@@ -78,12 +80,12 @@ def q_ext_filter(spark, sf):
        CHUNK_VIEW_SQL.format(src="tree_chunks WHERE file_type <> 'java'"))
 def q_generic_chunks(spark, sf):
     t = indexed_tree(spark, sf).where(F.col("ext") != ".java")
-    return chunk_view(chunking.extract_generic_chunks(t, FIXED_TS))
+    return chunk_view(chunking.extract_generic_chunks(t, fixed_ts()))
 
 
 @query("java_chunks", ofx.with_ctes(ofx.JAVA) + CHUNK_VIEW_SQL.format(src="java_chunks"))
 def q_java_chunks(spark, sf):
-    return chunk_view(chunking.extract_java_chunks(fixtures.java_files(spark, sf), FIXED_TS))
+    return chunk_view(chunking.extract_java_chunks(fixtures.java_files(spark, sf), fixed_ts()))
 
 
 @query("all_chunks", ofx.with_ctes(ofx.JAVA, ofx.DOC_TREE, ofx.TREE_CHUNKS, ofx.ALL_CHUNKS) +
@@ -96,7 +98,7 @@ def q_all_chunks(spark, sf):
        "SELECT chunk_id, chunk_name, start_line::BIGINT AS start_line FROM java_chunks "
        "WHERE chunk_type IN ('class', 'method')")
 def q_chunks_of_type(spark, sf):
-    c = chunking.extract_java_chunks(fixtures.java_files(spark, sf), FIXED_TS)
+    c = chunking.extract_java_chunks(fixtures.java_files(spark, sf), fixed_ts())
     return chunking.chunks_of_type(c, ["class", "method"]).select(
         "chunk_id", "chunk_name", F.col("start_line").cast("bigint").alias("start_line"))
 
@@ -128,7 +130,7 @@ def q_instruction_pairs(spark, sf):
 @query("training_pairs", ofx.with_ctes(ofx.JAVA, ofx.DOC_TREE, ofx.TREE_CHUNKS, ofx.ALL_CHUNKS,
                                         ofx.pairs_of("all_chunks")) + PAIR_VIEW_SQL)
 def q_training_pairs(spark, sf):
-    return pair_view(pairs.generate_pairs(all_chunks(spark, sf), FIXED_TS))
+    return pair_view(pairs.generate_pairs(all_chunks(spark, sf), fixed_ts()))
 
 
 def project_pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -139,8 +141,8 @@ def project_pairs(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("rel_path"),
         F.lit(".md").alias("ext"), F.col("text").alias("content"),
         F.col("source").alias("project"), (F.floor(F.col("doc_id") / 20) % 4 + 1).cast("int").alias("pversion"))
-    ch = chunking.extract_generic_chunks(files, FIXED_TS, carry=["project", "pversion"])
-    return (pairs.generate_pairs(ch, FIXED_TS, carry=["project", "pversion"])
+    ch = chunking.extract_generic_chunks(files, fixed_ts(), carry=["project", "pversion"])
+    return (pairs.generate_pairs(ch, fixed_ts(), carry=["project", "pversion"])
             .drop("version").withColumnRenamed("pversion", "version"))
 
 

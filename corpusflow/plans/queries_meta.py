@@ -13,7 +13,7 @@ from ..functions import paths
 from . import composed
 from . import oracle_fixtures as ofx
 from .catalog import query
-from .queries_corpus import FIXED_TS, corpus_files, project_pairs
+from .queries_corpus import fixed_ts, corpus_files, project_pairs
 
 W = ofx.with_ctes
 
@@ -119,7 +119,7 @@ def q_project_rollup(spark, sf):
         d.withColumn("rel_path", F.concat_ws("/", "source", F.col("doc_id").cast("string"))), "rel_path", "text"
     ).join(d.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("rel_path"),
                     F.col("source").alias("project")), "rel_path")
-    ch = chunking.extract_generic_chunks(files, FIXED_TS, carry=["project"])
+    ch = chunking.extract_generic_chunks(files, fixed_ts(), carry=["project"])
     return PR.project_rollup(fx.projects(spark, sf), ch)
 
 
@@ -149,4 +149,4 @@ SELECT (SELECT count(*) FROM indexed_tree) + (SELECT count(*) FROM java_files) A
        coalesce(max(token_count), 0)::BIGINT AS max_tokens, coalesce(min(token_count), 0)::BIGINT AS min_tokens
 FROM counted""")
 def q_corpus_report(spark, sf):
-    return composed.corpus_report(corpus_files(spark, sf), created_at=FIXED_TS)
+    return composed.corpus_report(corpus_files(spark, sf), created_at=fixed_ts())

@@ -11,7 +11,7 @@ from ..session import cut_lineage
 from ..sources import fixtures as fx
 from . import oracle_fixtures as ofx
 from .catalog import query
-from .queries_corpus import FIXED_TS
+from .queries_corpus import fixed_ts
 
 W = ofx.with_ctes
 
@@ -20,7 +20,7 @@ def code_index(spark, sf) -> DataFrame:
     """The chunk table questions are answered from: the Java chunks, written
     once to the shared checkpoint folder (a stored index, as in production)
     because retrieval reads it for scoring and again for citations."""
-    return cut_lineage(chunking.extract_java_chunks(fx.java_files(spark, sf), FIXED_TS))
+    return cut_lineage(chunking.extract_java_chunks(fx.java_files(spark, sf), fixed_ts()))
 
 
 BASE = (ofx.JAVA, ofx.QUESTIONS)
@@ -40,7 +40,7 @@ def q_jaccard_scores(spark, sf):
 SELECT qid, rank::BIGINT AS rank, chunk_id, round(score, 6) AS score FROM topk""")
 def q_retrieve_topk(spark, sf):
     chunks = code_index(spark, sf)
-    t = R.retrieve_topk(R.jaccard_scores(fx.questions(spark, sf), chunks, keep_order=True), k=3)
+    t = R.topk_jaccard(fx.questions(spark, sf), chunks, 3)
     return t.select("qid", F.col("rank").cast("bigint").alias("rank"), "chunk_id",
                     F.round("score", 6).alias("score"))
 
@@ -48,8 +48,7 @@ def q_retrieve_topk(spark, sf):
 @query("citations", W(*BASE, ofx.retrieval("questions", 2)) + " SELECT qid, chunk_ids FROM cites")
 def q_citations(spark, sf):
     chunks = code_index(spark, sf)
-    c = R.citations(R.retrieve_topk(R.jaccard_scores(fx.questions(spark, sf), chunks, keep_order=True), k=2),
-                    chunks)
+    c = R.citations(R.topk_jaccard(fx.questions(spark, sf), chunks, 2), chunks)
     return c.select("qid", F.array_join(F.transform("citations", lambda x: x["chunk_id"]), ",").alias("chunk_ids"))
 
 

@@ -44,3 +44,22 @@ def test_answers_cache_and_prompt(spark):
 def test_extract_answer(spark):
     df = spark.createDataFrame([("x ANSWER: one ANSWER:  two \n",), ("no mark ",)], "t string")
     assert [r[0] for r in df.select(R.extract_answer(F.col("t"))).collect()] == ["two", "no mark"]
+
+
+def test_topk_hot_cold_equals_brute_force(spark):
+    import random
+    rnd = random.Random(3)
+    words = ["get", "data", "set", "user", "order", "id", "name", "list", "map", "x1", "x2", "x3"]
+    chunks = spark.createDataFrame([
+        (f"c{i}", f"f{i % 7}.java", i, rnd.choice(["file", "class", "method"]), rnd.choice(words),
+         " ".join(rnd.sample(words, rnd.randint(0, 4))), "code") for i in range(300)],
+        "chunk_id string, file_path string, start_line int, chunk_type string, chunk_name string, "
+        "description string, code_content string")
+    qs = spark.createDataFrame([(i, " ".join(rnd.sample(words, rnd.randint(1, 5)))) for i in range(40)],
+                               "qid long, question string")
+    brute = R.retrieve_topk(R.jaccard_scores(qs, chunks), chunks, k=3)
+    for hot_df in (0, 5, 30, 10_000):   # everything hot ... nothing hot
+        fast = R.topk_jaccard(qs, chunks, k=3, hot_df=hot_df)
+        a = sorted((r.qid, r.rank, r.chunk_id, round(r.score, 12)) for r in brute.collect())
+        b = sorted((r.qid, r.rank, r.chunk_id, round(r.score, 12)) for r in fast.collect())
+        assert a == b, hot_df
