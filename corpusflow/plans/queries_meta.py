@@ -150,3 +150,10 @@ SELECT (SELECT count(*) FROM indexed_tree) + (SELECT count(*) FROM java_files) A
 FROM counted""")
 def q_corpus_report(spark, sf):
     return composed.corpus_report(corpus_files(spark, sf), created_at=fixed_ts())
+
+
+@query("build_dataset", W(ofx.JAVA, ofx.DOC_TREE, ofx.TREE_CHUNKS, ofx.ALL_CHUNKS, ofx.pairs_of("all_chunks")) + """
+SELECT 'shop' AS project, 1::BIGINT AS version, pair_type, count(*)::BIGINT AS n_pairs FROM pairs GROUP BY pair_type""")
+def q_build_dataset(spark, sf):
+    _, stats = composed.build_dataset(corpus_files(spark, sf), "shop", 1, created_at=fixed_ts())
+    return stats.select("project", F.col("version").cast("bigint").alias("version"), "pair_type", "n_pairs")
