@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Prompt pieces, relevance label and confidence rule.
 CONTEXT_HEADER = "RELEVANT CODE CONTEXT:\n"
 SNIPPET_CUT = 300
@@ -35,9 +37,14 @@ PROMPT_RELATED = ("What other methods, classes, or files are related to '", "'?"
 BROADCAST_TERM_ROWS = 2_000_000
 
 
+# Whitespace of ``str.split()``: ASCII controls \t-\r and \x1c-\x1f, space,
+# NEL, NBSP, and the Unicode space separators and line/paragraph separators.
+WHITESPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+
+
 def terms(text: Column) -> Column:
     """Lower-cased, whitespace-split, distinct terms."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(text), WHITESPACE), lambda t: t != ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -91,6 +98,13 @@ HOT_MIN_DF = 1000
 HOT_FRACTION = 1000
 
 
+def hot_terms(chunk_terms: DataFrame, hot_df: int) -> list[str]:
+    """Terms in more than ``hot_df`` chunks. Counting is a partial aggregate;
+    the result is bounded by (term occurrences) / ``hot_df`` and collected."""
+    counts = chunk_terms.select(F.explode("tc").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return sorted(r["term"] for r in counts.where(F.col("df") > hot_df).select("term").collect())
+
+
 def topk_jaccard(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, qid: str = "qid",
                  question: str = "question", hot_df: int | None = None) -> DataFrame:
     """J4 + W1 exactly, without enumerating pairs that share only frequent terms.
@@ -106,35 +120,40 @@ def topk_jaccard(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, qid: s
       group has ``k`` candidates ranked ahead of it (equal or higher score,
       earlier in file order), so the top-k is unchanged.
 
+    The hot set is bounded (see ``hot_terms``) and used as an IN-set inside
+    array lambdas, so signatures and cold terms are narrow per-row filters.
     Output: qid, chunk_id, score, rank (1..k).
     """
     q = questions.select(F.col(qid).alias("qid"), terms(F.col(question)).alias("tq"))
-    c = chunk_order(chunks).select("chunk_id", "_ord", terms(F.concat_ws(" ", "chunk_name", "description")).alias("tc"))
-    ct = c.select("chunk_id", "_ord", "tc", F.explode("tc").alias("term"))
+    # the slim term table is read three times: write it once to the shared folder
+    c = materialize(chunk_order(chunks).select(
+        "chunk_id", "_ord", terms(F.concat_ws(" ", "chunk_name", "description")).alias("tc")), "chunk_terms")
     if hot_df is None:
-        hot_df = max(HOT_MIN_DF, chunks.count() // HOT_FRACTION)
-    # document frequencies: a partial aggregate; the hot set is bounded as above
-    hot = (ct.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > hot_df)
-           .select("term", F.lit(True).alias("hot")))
+        hot_df = max(HOT_MIN_DF, c.count() // HOT_FRACTION)
+    hot = hot_terms(c, hot_df)
+
+    def is_hot(t: Column) -> Column:
+        return t.isin(hot) if hot else F.lit(False)
+
     qt = q.select("qid", "tq", F.explode("tq").alias("term"))
     q_side = F.broadcast(qt) if qt.count() <= BROADCAST_TERM_ROWS else qt
-    tagged = ct.join(F.broadcast(hot), "term", "left")
 
     # cold: every pair sharing a cold term, scored exactly
-    cold_pairs = (tagged.where(F.col("hot").isNull()).join(q_side.join(F.broadcast(hot), "term", "left_anti"), "term")
-                  .groupBy("qid", "chunk_id").agg(F.first("_ord").alias("_ord"), F.first("tc").alias("tc"),
-                                                  F.first("tq").alias("tq")))
-    cold = cold_pairs.select("qid", "chunk_id", "_ord", jaccard(F.col("tq"), F.col("tc")).alias("score"))
+    ct_cold = c.select("chunk_id", "_ord", "tc", F.explode(F.filter("tc", lambda t: ~is_hot(t))).alias("term"))
+    cold = (ct_cold.join(q_side.where(~is_hot(F.col("term"))), "term")
+            .groupBy("qid", "chunk_id").agg(F.first("_ord").alias("_ord"), F.first("tc").alias("tc"),
+                                            F.first("tq").alias("tq"))
+            .select("qid", "chunk_id", "_ord", jaccard(F.col("tq"), F.col("tc")).alias("score")))
 
     # hot: chunks grouped by (hot signature, term count); first k of each group
-    per_chunk = (tagged.where(F.col("hot")).groupBy("chunk_id")
-                 .agg(F.first("_ord").alias("_ord"), F.size(F.first("tc")).alias("nc"),
-                      F.array_sort(F.collect_set("term")).alias("sig")))
+    # a term never contains whitespace, so the space-joined signature is a unique string key
+    sig = (c.select("chunk_id", "_ord", F.size("tc").alias("nc"), F.array_sort(F.filter("tc", is_hot)).alias("_s"))
+           .where(F.size("_s") > 0).select("chunk_id", "_ord", "nc", F.array_join("_s", " ").alias("sig")))
     w = Window.partitionBy("sig", "nc").orderBy("_ord")
-    heads = per_chunk.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+    heads = sig.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
     groups = heads.select("sig", "nc").distinct()
-    q_hot = q_side.join(F.broadcast(hot), "term").select("qid", F.size("tq").alias("nq"), "term")
-    gq = (groups.select("sig", "nc", F.explode("sig").alias("term")).join(q_hot, "term")
+    q_hot = q_side.where(is_hot(F.col("term"))).select("qid", F.size("tq").alias("nq"), "term")
+    gq = (groups.select("sig", "nc", F.explode(F.split("sig", " ")).alias("term")).join(q_hot, "term")
           .groupBy("qid", "sig", "nc").agg(F.count(F.lit(1)).alias("s"), F.first("nq").alias("nq")))
     hot_cands = gq.join(heads, ["sig", "nc"]).select(
         "qid", "chunk_id", "_ord", (F.col("s") / (F.col("nq") + F.col("nc") - F.col("s"))).alias("score"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking
 from ..operators import retrieval as R
-from ..session import cut_lineage
+from ..session import materialize
 from ..sources import fixtures as fx
 from . import oracle_fixtures as ofx
 from .catalog import query
@@ -20,7 +20,7 @@ def code_index(spark, sf) -> DataFrame:
     """The chunk table questions are answered from: the Java chunks, written
     once to the shared checkpoint folder (a stored index, as in production)
     because retrieval reads it for scoring and again for citations."""
-    return cut_lineage(chunking.extract_java_chunks(fx.java_files(spark, sf), fixed_ts()))
+    return materialize(chunking.extract_java_chunks(fx.java_files(spark, sf), fixed_ts()), "code_index")
 
 
 BASE = (ofx.JAVA, ofx.QUESTIONS)

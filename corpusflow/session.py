@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,6 +73,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared checkpoint folder and read
+    it back: the lineage is cut like a checkpoint, and later reads still get
+    column pruning and predicate pushdown (an RDD checkpoint gets neither)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
@@ -82,7 +93,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, min_splits: int | No
     CPU-heavy narrow stages (regex, chunking, encoding) use every core; a
     large table already has enough splits and is left as scanned."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    want = min_splits if min_splits is not None else spark.sparkContext.defaultParallelism
-    if want > 1 and df.rdd.getNumPartitions() < want:
+    try:
+        want = min_splits if min_splits is not None else spark.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001  (no RDD access, e.g. a Connect session: keep the scan)
+        return df
+    if want > 1 and splits < want:
         df = df.repartition(want)
     return df
