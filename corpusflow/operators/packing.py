@@ -29,6 +29,8 @@ from pyspark.sql import types as T
 
 DEFAULT_MAX_TOKENS = 2048
 DEFAULT_MAX_SEQUENCES = 16
+# The run table is folded in one task and broadcast: its size is checked.
+MAX_DISTINCT_SIZES = 1_000_000
 
 _RUN_SCHEMA = T.StructType([
     T.StructField("size", T.LongType()),
@@ -92,6 +94,9 @@ def pack_batches(df: DataFrame, id_col: str = "pair_id", size_col: str = "token_
     slim = df.select(F.col(id_col).alias("_id"), F.col(size_col).cast("long").alias("_size"))
     runs = slim.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).select(
         F.col("_size").alias("size"), "n", F.lit(0).alias("shard"))
+    n_sizes = runs.count()
+    if n_sizes > MAX_DISTINCT_SIZES:
+        raise ValueError(f"{n_sizes} distinct sizes; cap them first (token counts <= max_length)")
     folded = runs.groupBy("shard").applyInPandas(
         lambda pdf: _fold_runs(max_tokens, max_sequences)(pdf[["size", "n"]]), _RUN_SCHEMA)
 

@@ -189,18 +189,17 @@ def token_stats(tokenized: DataFrame) -> DataFrame:
 
 
 def longest(df: DataFrame, column: str = "input_ids") -> DataFrame:
-    """The global max length (one row)."""
+    """The global max length (one row; a partial aggregate)."""
     return df.agg(F.coalesce(F.max(F.size(column)), F.lit(0)).alias("max_len"))
 
 
 def pad_to_longest(df: DataFrame, pad_id: int = PAD_ID) -> DataFrame:
     """Pad ids (pad id) and mask (0) to the global max id length; labels
     to the same length with the ignore index (they may already be longer)."""
-    m = F.broadcast(longest(df))  # one row
-    j = df.crossJoin(m)
-    pad = F.col("max_len") - F.size("input_ids")
-    lab_pad = F.col("max_len") - F.size("labels")
-    return j.select(
+    max_len = F.lit(longest(df).first()["max_len"])  # one scalar
+    pad = max_len - F.size("input_ids")
+    lab_pad = max_len - F.size("labels")
+    return df.select(
         *[c for c in df.columns if c not in ("input_ids", "attention_mask", "labels")],
         F.concat("input_ids", _repeat(pad_id, pad)).alias("input_ids"),
         F.concat("attention_mask", _repeat(0, pad)).alias("attention_mask"),

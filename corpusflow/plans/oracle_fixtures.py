@@ -94,7 +94,12 @@ doc_tree AS (
          (['src','docs/_x','.git','build','node_modules/m','a/target/b'])[(doc_id // 8) % 6 + 1] || '/' ||
          doc_id || (['.java','.py','.xml','.yaml','.properties','.sql','.md','.html'])[doc_id % 8 + 1] AS rel_path,
          (['.java','.py','.xml','.yaml','.properties','.sql','.md','.html'])[doc_id % 8 + 1] AS ext
-  FROM documents),
+  FROM documents
+  UNION ALL
+  SELECT page_id, html,
+         (['src','docs/_x','.git','build','node_modules/m','a/target/b'])[(page_id // 8) % 6 + 1] || '/page' ||
+         page_id || '.html', '.html'
+  FROM pages),
 indexed_tree AS (
   SELECT * FROM doc_tree
   WHERE NOT regexp_matches(rel_path, '(^|/)(\\.[^/]*|node_modules|dist|build|target)/')

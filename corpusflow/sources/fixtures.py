@@ -77,11 +77,16 @@ def _as_files(df: DataFrame) -> DataFrame:
 
 
 def doc_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents laid out as a virtual source tree, hidden/build dirs included."""
+    """Documents (and web pages, as ``.html``) laid out as a virtual source
+    tree, hidden and build directories included."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     rel = F.concat(_pick(TREE_DIRS, F.floor(F.col("doc_id") / 8) % 6), F.lit("/"),
                    F.col("doc_id").cast("string"), _pick(TREE_EXTS, F.col("doc_id") % 8))
-    return _as_files(d.select(rel.alias("rel_path"), F.col("text").alias("content")))
+    p = read_table(spark, sf_dir, "pages").select("page_id", "html")
+    prel = F.concat(_pick(TREE_DIRS, F.floor(F.col("page_id") / 8) % 6), F.lit("/page"),
+                    F.col("page_id").cast("string"), F.lit(".html"))
+    return _as_files(d.select(rel.alias("rel_path"), F.col("text").alias("content")).unionByName(
+        p.select(prel.alias("rel_path"), F.col("html").alias("content"))))
 
 
 def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,12 +259,10 @@ def retry_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error rows: error events with an exception class and a revision."""
-    n_orders = read_table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n_orders"))
+    n_orders = read_table(spark, sf_dir, "orders").count()  # one scalar
     e = _events(spark, sf_dir).where(F.col("event_type") == "error")
-    # one-row side: the order count
-    j = e.crossJoin(F.broadcast(n_orders))
-    rev = (F.col("event_id") % F.col("n_orders") + 1)
-    return j.select(
+    rev = (F.col("event_id") % F.lit(n_orders) + 1)
+    return e.select(
         F.col("event_id").alias("error_id"),
         rev.alias("svn_revision"),
         (F.floor((rev - 1) / LEDGER_BATCH_SIZE) + 1).cast("int").alias("batch_number"),
