@@ -36,20 +36,23 @@ def dataset_report(pairs_df: DataFrame) -> DataFrame:
 
 def corpus_report(files: DataFrame, max_length: int = tokens.DEFAULT_MAX_LENGTH,
                   created_at: Column | None = None) -> DataFrame:
-    """Index, dataset and token statistics of a corpus in one row.
+    """Index, dataset and token statistics of a corpus in one row, from
+    one pass: every file yields exactly one ``explain_file`` pair and every
+    chunk exactly one explain_* pair, so files, chunks, pairs and token
+    counts are a single aggregate over the pairs.
 
     Token counts come from the token rule directly (one id per token, so the
     count equals K3's ``token_count`` without building ids).
     """
     ch = chunking.extract_chunks(files, created_at)
     ps = pairs.generate_pairs(ch, created_at)
-    counted = ps.select(F.least(F.size(tokens.tokens(tokens.combine(F.col("input_text"), F.col("output_text")))),
-                                F.lit(max_length)).alias("token_count"))
-    f = files.agg(F.count(F.lit(1)).alias("total_files"))
-    c = ch.agg(F.count(F.lit(1)).alias("total_chunks"))
-    t = counted.agg(F.count(F.lit(1)).alias("total_pairs"),
-                    F.coalesce(F.sum("token_count"), F.lit(0)).cast("bigint").alias("total_tokens"),
-                    F.coalesce(F.round(F.avg("token_count"), 6), F.lit(0.0)).alias("avg_tokens_per_pair"),
-                    F.coalesce(F.max("token_count"), F.lit(0)).cast("bigint").alias("max_tokens"),
-                    F.coalesce(F.min("token_count"), F.lit(0)).cast("bigint").alias("min_tokens"))
-    return f.crossJoin(c).crossJoin(t)  # one-row aggregates
+    t = F.least(F.size(tokens.tokens(tokens.combine(F.col("input_text"), F.col("output_text")))), F.lit(max_length))
+    kind = F.col("pair_type")
+    return ps.select(kind, t.alias("token_count")).agg(
+        F.count_if(kind == "explain_file").alias("total_files"),
+        F.count_if(kind.isin("explain_file", "explain_class", "explain_method")).alias("total_chunks"),
+        F.count(F.lit(1)).alias("total_pairs"),
+        F.coalesce(F.sum("token_count"), F.lit(0)).cast("bigint").alias("total_tokens"),
+        F.coalesce(F.round(F.avg("token_count"), 6), F.lit(0.0)).alias("avg_tokens_per_pair"),
+        F.coalesce(F.max("token_count"), F.lit(0)).cast("bigint").alias("max_tokens"),
+        F.coalesce(F.min("token_count"), F.lit(0)).cast("bigint").alias("min_tokens"))
