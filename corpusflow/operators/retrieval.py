@@ -59,6 +59,20 @@ def chunk_order(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("_ord", F.struct(F.col("file_path"), F.col("start_line"), rank.alias("k")))
 
 
+def retrieval_index(chunks: DataFrame) -> DataFrame:
+    """The slim table retrieval reads: chunk id, file-order key, terms, the
+    columns a citation shows and the prompt snippet. Written once to the
+    shared folder; scoring then reads only (id, order, terms) columns."""
+    return materialize(chunk_order(chunks).select(
+        "chunk_id", "_ord", terms(F.concat_ws(" ", "chunk_name", "description")).alias("tc"),
+        "file_path", "chunk_type", "chunk_name", F.substring("code_content", 1, SNIPPET_CUT).alias("snippet")),
+        "retrieval_index")
+
+
+def _index(chunks: DataFrame) -> DataFrame:
+    return chunks if "tc" in chunks.columns else retrieval_index(chunks)
+
+
 def jaccard_scores(questions: DataFrame, chunks: DataFrame, qid: str = "qid", question: str = "question",
                    broadcast_questions: bool | None = None, keep_order: bool = False) -> DataFrame:
     """J4 + F5: (qid, chunk_id, score) for every pair sharing a term (score > 0).
@@ -70,10 +84,13 @@ def jaccard_scores(questions: DataFrame, chunks: DataFrame, qid: str = "qid", qu
     """
     qt = questions.select(F.col(qid).alias("qid"), terms(F.col(question)).alias("_t")).select(
         "qid", F.size("_t").alias("nq"), F.explode("_t").alias("term"))
-    src = chunk_order(chunks) if keep_order else chunks
     extra = ["_ord"] if keep_order else []
-    ct = src.select("chunk_id", *extra, terms(F.concat_ws(" ", "chunk_name", "description")).alias("_t")).select(
-        "chunk_id", *extra, F.size("_t").alias("nc"), F.explode("_t").alias("term"))
+    if "tc" in chunks.columns:
+        src = chunks.select("chunk_id", *extra, F.col("tc").alias("_t"))
+    else:
+        src = (chunk_order(chunks) if keep_order else chunks).select(
+            "chunk_id", *extra, terms(F.concat_ws(" ", "chunk_name", "description")).alias("_t"))
+    ct = src.select("chunk_id", *extra, F.size("_t").alias("nc"), F.explode("_t").alias("term"))
     if broadcast_questions is None:
         broadcast_questions = qt.count() <= BROADCAST_TERM_ROWS
     side = F.broadcast(qt) if broadcast_questions else qt
@@ -125,9 +142,8 @@ def topk_jaccard(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, qid: s
     Output: qid, chunk_id, score, rank (1..k).
     """
     q = questions.select(F.col(qid).alias("qid"), terms(F.col(question)).alias("tq"))
-    # the slim term table is read three times: write it once to the shared folder
-    c = materialize(chunk_order(chunks).select(
-        "chunk_id", "_ord", terms(F.concat_ws(" ", "chunk_name", "description")).alias("tc")), "chunk_terms")
+    # the slim index is read three times: it is written once to the shared folder
+    c = _index(chunks).select("chunk_id", "_ord", "tc")
     if hot_df is None:
         hot_df = max(HOT_MIN_DF, c.count() // HOT_FRACTION)
     hot = hot_terms(c, hot_df)
@@ -165,12 +181,14 @@ def topk_jaccard(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, qid: s
 
 def citations(topk: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per question, the ordered citation structs and context pieces."""
-    j = topk.join(chunks.select("chunk_id", "file_path", "chunk_type", "chunk_name", "code_content"), "chunk_id")
+    snippet = F.col("snippet") if "snippet" in chunks.columns else F.substring("code_content", 1, SNIPPET_CUT)
+    j = topk.join(chunks.select("chunk_id", "file_path", "chunk_type", "chunk_name", snippet.alias("snippet")),
+                  "chunk_id")
     item = F.struct(
         F.col("rank"), F.col("chunk_id"), F.col("file_path").alias("file"), F.col("chunk_type"),
         F.col("chunk_name").alias("name"), F.lit(RELEVANCE).alias("relevance"),
         F.concat(F.lit("\n"), F.upper("chunk_type"), F.lit(": "), F.col("chunk_name"), F.lit("\n"),
-                 F.substring("code_content", 1, SNIPPET_CUT), F.lit("...\n")).alias("context"))
+                 F.col("snippet"), F.lit("...\n")).alias("context"))
     return j.groupBy("qid").agg(F.sort_array(F.collect_list(item)).alias("citations"))
 
 
@@ -218,7 +236,8 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, cache: DataFrame |
     n_sources, confidence, prompt (null for cached answers).
     """
     todo = questions if cache is None else cache_misses(questions, cache)
-    cites = citations(topk_jaccard(todo, chunks, k), chunks)
+    idx = _index(chunks)
+    cites = citations(topk_jaccard(todo, idx, k), idx)
     fresh = todo.join(cites, "qid", "left").select(
         "qid", "question", F.lit(False).alias("from_cache"), F.lit(None).cast("string").alias("answer"),
         "citations",

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking
 from ..operators import retrieval as R
-from ..session import materialize
 from ..sources import fixtures as fx
 from . import oracle_fixtures as ofx
 from .catalog import query
@@ -17,10 +16,13 @@ W = ofx.with_ctes
 
 
 def code_index(spark, sf) -> DataFrame:
-    """The chunk table questions are answered from: the Java chunks, written
-    once to the shared checkpoint folder (a stored index, as in production)
-    because retrieval reads it for scoring and again for citations."""
-    return materialize(chunking.extract_java_chunks(fx.java_files(spark, sf), fixed_ts()), "code_index")
+    """The chunk table questions are answered from: the Java chunks."""
+    return chunking.extract_java_chunks(fx.java_files(spark, sf), fixed_ts())
+
+
+def search_index(spark, sf) -> DataFrame:
+    """The slim retrieval index over ``code_index``, written once."""
+    return R.retrieval_index(code_index(spark, sf))
 
 
 BASE = (ofx.JAVA, ofx.QUESTIONS)
@@ -39,16 +41,15 @@ def q_jaccard_scores(spark, sf):
 @query("retrieve_topk", W(*BASE, ofx.retrieval("questions", 3)) + """
 SELECT qid, rank::BIGINT AS rank, chunk_id, round(score, 6) AS score FROM topk""")
 def q_retrieve_topk(spark, sf):
-    chunks = code_index(spark, sf)
-    t = R.topk_jaccard(fx.questions(spark, sf), chunks, 3)
+    t = R.topk_jaccard(fx.questions(spark, sf), search_index(spark, sf), 3)
     return t.select("qid", F.col("rank").cast("bigint").alias("rank"), "chunk_id",
                     F.round("score", 6).alias("score"))
 
 
 @query("citations", W(*BASE, ofx.retrieval("questions", 2)) + " SELECT qid, chunk_ids FROM cites")
 def q_citations(spark, sf):
-    chunks = code_index(spark, sf)
-    c = R.citations(R.topk_jaccard(fx.questions(spark, sf), chunks, 2), chunks)
+    idx = search_index(spark, sf)
+    c = R.citations(R.topk_jaccard(fx.questions(spark, sf), idx, 2), idx)
     return c.select("qid", F.array_join(F.transform("citations", lambda x: x["chunk_id"]), ",").alias("chunk_ids"))
 
 
