@@ -13,21 +13,22 @@ from .catalog import query
 W = ofx.with_ctes
 
 
-def _us(c: str) -> F.Column:
-    return F.unix_micros(F.col(c).cast("timestamp")).alias(c.replace("_at", "") + "_us"
-                                                            if c.endswith("_at") else c + "_us")
+def wall_clock(c: str) -> F.Column:
+    """A timestamp as its wall-clock text: the same in every session time zone
+    (the supplied timestamps carry no zone)."""
+    return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
 
 
 def ledger_view(df: DataFrame) -> DataFrame:
     return df.select("svn_revision", "git_commit_sha", "svn_author", "svn_message",
                      F.col("batch_number").cast("bigint").alias("batch_number"), "status", "error_message",
                      F.col("retry_count").cast("bigint").alias("retry_count"),
-                     F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"))
+                     wall_clock("updated_at"))
 
 
 LEDGER_VIEW_SQL = """SELECT svn_revision::BIGINT AS svn_revision, git_commit_sha, svn_author, svn_message,
        batch_number::BIGINT AS batch_number, status, error_message, retry_count::BIGINT AS retry_count,
-       epoch_us(updated_at) AS updated_us FROM {src}"""
+       strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f') AS updated_at FROM {src}"""
 
 
 # ---------------------------------------------------------------------------
@@ -184,13 +185,12 @@ def q_errors_joined(spark, sf):
 
 
 RUN_VIEW_SQL = """SELECT run_id, last_checkpoint_revision, current_batch_number, migration_status,
-       total_svn_revisions, epoch_us(last_update_time) AS last_update_us FROM {src}"""
+       total_svn_revisions, strftime(last_update_time, '%Y-%m-%d %H:%M:%S.%f') AS last_update_time FROM {src}"""
 
 
 def run_view(df: DataFrame) -> DataFrame:
     return df.select("run_id", "last_checkpoint_revision", "current_batch_number", "migration_status",
-                     "total_svn_revisions",
-                     F.unix_micros(F.col("last_update_time")).alias("last_update_us"))
+                     "total_svn_revisions", wall_clock("last_update_time"))
 
 
 @query("run_update", W(ofx.RUNS) + RUN_VIEW_SQL.format(src="runs_updated"))
