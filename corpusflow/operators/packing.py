@@ -92,7 +92,13 @@ def pack_batches(df: DataFrame, id_col: str = "pair_id", size_col: str = "token_
     in descending size order, ties in ``id_col`` order (stable sort)."""
     spark = df.sparkSession
     slim = df.select(F.col(id_col).alias("_id"), F.col(size_col).cast("long").alias("_size"))
-    runs = slim.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).select(
+    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one range exchange feeds everything below (Spark reuses the identical exchange)
+    ordered = (slim.repartitionByRange(n_parts, F.desc("_size"), F.asc("_id"))
+               .sortWithinPartitions(F.desc("_size"), F.asc("_id")))
+    # rows per (size, range partition): bounded by sizes x partitions
+    counts = ordered.groupBy("_size", F.spark_partition_id().alias("_pid")).agg(F.count(F.lit(1)).alias("_cnt"))
+    runs = counts.groupBy("_size").agg(F.sum("_cnt").alias("n")).select(
         F.col("_size").alias("size"), "n", F.lit(0).alias("shard"))
     n_sizes = runs.count()
     if n_sizes > MAX_DISTINCT_SIZES:
@@ -100,15 +106,10 @@ def pack_batches(df: DataFrame, id_col: str = "pair_id", size_col: str = "token_
     folded = runs.groupBy("shard").applyInPandas(
         lambda pdf: _fold_runs(max_tokens, max_sequences)(pdf[["size", "n"]]), _RUN_SCHEMA)
 
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (slim.repartitionByRange(n_parts, F.desc("_size"), F.asc("_id"))
-               .sortWithinPartitions(F.desc("_size"), F.asc("_id")))
     local = ordered.mapInPandas(_local_ranks, "_id " + slim.schema["_id"].dataType.simpleString() +
                                 ", _size long, _pid int, _local long")
-    counts = local.groupBy("_size", "_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy("_size").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_size", "_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    # offsets: one row per (size, range partition) -> bounded by partitions x sizes
     ranked = local.join(F.broadcast(offsets), ["_size", "_pid"]).select(
         "_id", "_size", (F.col("_off") + F.col("_local")).alias("_rank"))
     r = ranked.join(F.broadcast(folded), ranked["_size"] == folded["size"])
