@@ -40,3 +40,22 @@ def test_restart_and_replay(spark):
     batch = L.ledger_upsert(base, writes(spark, [(2, 1, "b", None, "x", "2024-02-01 00:00:00", 1),
                                                  (1, 1, "c", None, "y", "2024-03-01 00:00:00", 2)]))
     assert {r.svn_revision: (r.svn_author, r.status) for r in batch.collect()} == final
+
+
+def test_reindex_stream_polls_and_restart(spark):
+    from corpusflow.sources.files import files_from_table
+    root = jobs.scratch_dir(spark, "t-reindex")
+    poll1 = files_from_table(spark.createDataFrame([("a.md", "one"), ("b.md", "two")], "p string, c string"), "p", "c")
+    poll2 = files_from_table(spark.createDataFrame([("a.md", "one"), ("c.md", "three")], "p string, c string"), "p", "c")
+    poll1.coalesce(1).write.parquet(f"{root}/polls")
+    jobs.empty_index(spark, f"{root}/index")
+    args = (f"{root}/polls", poll1.schema, f"{root}/index", f"{root}/ds", f"{root}/ck")
+    jobs.stream_reindex(spark, *args)
+    jobs.stream_reindex(spark, *args)   # restart, nothing new: nothing re-applied
+    poll2.coalesce(1).write.mode("append").parquet(f"{root}/polls")
+    jobs.stream_reindex(spark, *args)
+    chunks = {r.file_path for r in jobs.latest_snapshot(spark, f"{root}/index/chunks").collect()}
+    assert chunks == {"a.md", "c.md"}                       # b.md deleted, c.md new
+    ds = spark.read.parquet(f"{root}/ds")
+    per_version = {r.version: r.n for r in ds.groupBy("version").agg(F.count("*").alias("n")).collect()}
+    assert per_version == {1: 2, 2: 1}                      # version 2 holds only the new file's pair
