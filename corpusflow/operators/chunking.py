@@ -12,7 +12,6 @@ import bisect
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,6 +134,12 @@ def java_spans(text: str) -> list[tuple]:
     a method belongs to its innermost enclosing class only; braces inside
     strings and comments are ignored; an unbalanced body runs to the end.
     """
+    return [(k, n, sl, el, text[so:eo], p, t, d) for k, n, sl, el, so, eo, p, t, d in java_span_offsets(text)]
+
+
+def java_span_offsets(text: str) -> list[tuple]:
+    """As ``java_spans`` with (start, end) character offsets instead of text:
+    (chunk_type, name, start_line, end_line, start, end, parent, return_type, raw_javadoc)."""
     masked, docs = _mask(text)
     n = len(text)
     newlines = [m.start() for m in re.finditer("\n", text)]
@@ -220,59 +225,58 @@ def java_spans(text: str) -> list[tuple]:
                 if s >= start and e <= end:
                     javadoc = text[s:e]
                     break
-        out.append((kind, name, line_at(start), line_at(end), text[start:end], parent, rtype, javadoc))
+        out.append((kind, name, line_at(start), line_at(end), start, end, parent, rtype, javadoc))
     return out
 
 
-def _java_span_batches(with_file: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for rel_path, content in zip(pdf["rel_path"], pdf["content"]):
-                if content is None:
+_SPAN_FIELDS = [("chunk_type", "string"), ("chunk_name", "string"), ("start_line", "int32"),
+                ("end_line", "int32"), ("start_off", "int32"), ("end_off", "int32"),
+                ("parent_class", "string"), ("return_type", "string"), ("javadoc", "string")]
+SPANS_DDL = ("rel_path string, content string, spans array<struct<chunk_type: string, chunk_name: string, "
+             "start_line: int, end_line: int, start_off: int, end_off: int, parent_class: string, "
+             "return_type: string, javadoc: string>>")
+
+
+def _java_span_arrow(with_file: bool):
+    """Arrow batches in, the same batches out plus a ``spans`` list column:
+    paths and contents pass through untouched, Python returns offsets only."""
+    def run(batches):
+        import pyarrow as pa
+        span_type = pa.list_(pa.struct([pa.field(n, pa.int32() if t == "int32" else pa.string())
+                                        for n, t in _SPAN_FIELDS]))
+        for rb in batches:
+            contents = rb.column(1).to_pylist()
+            spans = []
+            for text in contents:
+                if text is None:
+                    spans.append(None)
                     continue
-                if with_file:
-                    rows.append((rel_path, "file", "file_content", 1, content.count("\n") + 1, content,
-                                 None, None, None))
-                for kind, name, sl, el, body, parent, rtype, doc in java_spans(content):
-                    rows.append((rel_path, kind, name, sl, el, body, parent, rtype, doc))
-            yield pd.DataFrame(rows, columns=SPAN_SCHEMA.fieldNames())
+                items = [("file", "file_content", 1, text.count("\n") + 1, 0, len(text), None, None, None)] \
+                    if with_file else []
+                items.extend(java_span_offsets(text))
+                spans.append(items)
+            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(spans, type=span_type)],
+                                             names=["rel_path", "content", "spans"])
     return run
 
 
-def java_file_chunks(files: DataFrame, extracted_at: Column | None = None,
-                     width: int = ids.CHUNK_HASH_WIDTH) -> DataFrame:
-    """The file-level chunk of each Java file (no parsing needed)."""
-    return files.select(
-        ids.chunk_id(F.col("rel_path"), F.lit("file"), F.lit(0), width).alias("chunk_id"),
-        F.col("rel_path").alias("file_path"),
-        F.lit("java").alias("file_type"),
-        F.lit("file").alias("chunk_type"),
-        F.lit("file_content").alias("chunk_name"),
-        F.lit(1).alias("start_line"),
-        line_count(F.col("content")).alias("end_line"),
-        F.col("content").alias("code_content"),
-        describe.describe_file(F.col("content")).alias("description"),
-        F.lit("").alias("context"),
-        ids.checksum(F.col("content")).alias("checksum"),
-        _stamp(extracted_at).alias("extracted_at"),
-        F.lit(None).cast("string").alias("parent_class"),
-        F.lit(None).cast("string").alias("parent_method"),
-    )
-
-
 def java_member_chunks(files: DataFrame, extracted_at: Column | None = None,
                        width: int = ids.CHUNK_HASH_WIDTH, with_file: bool = False) -> DataFrame:
-    """Class and method chunks (and the file chunk when ``with_file``): spans
-    in Python, everything else native. One pass over each file."""
-    spans = files.select("rel_path", "content").mapInPandas(_java_span_batches(with_file), SPAN_SCHEMA)
+    """Class and method chunks (and the file chunk when ``with_file``): span
+    offsets in Python (``mapInArrow``, contents passed through zero-copy),
+    texts cut and everything else derived natively. One pass over each file."""
+    spans = files.select("rel_path", "content").mapInArrow(_java_span_arrow(with_file), SPANS_DDL)
+    x = spans.select("rel_path", "content", F.explode("spans").alias("s"))
+    code = F.col("content").substr(F.col("s.start_off") + 1, F.col("s.end_off") - F.col("s.start_off"))
+    flat = x.select("rel_path", "s.chunk_type", "s.chunk_name", "s.start_line", "s.end_line",
+                    code.alias("code_content"), "s.parent_class", "s.return_type", "s.javadoc")
     doc = F.nullif(describe.clean_javadoc(F.col("javadoc")), F.lit(""))
     kind = F.col("chunk_type")
     inferred = (F.when(kind == "method", describe.describe_method(F.col("chunk_name"), F.col("return_type")))
                 .when(kind == "class", describe.describe_class(F.col("chunk_name")))
                 .otherwise(describe.describe_file(F.col("code_content"))))
     line = F.when(kind == "file", F.lit(0)).otherwise(F.col("start_line"))
-    return spans.select(
+    return flat.select(
         ids.chunk_id(F.col("rel_path"), kind, line, width).alias("chunk_id"),
         F.col("rel_path").alias("file_path"),
         F.lit("java").alias("file_type"),

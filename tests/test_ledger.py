@@ -101,3 +101,13 @@ def test_batches(spark):
          for r in L.batch_bounds(L.assign_batches(revs, start=1, size=50)).collect()}
     assert b == {1: (1, 50, 50), 2: (51, 100, 50), 3: (101, 120, 20)}
     assert [r.revision for r in L.revisions_in_range(revs, 10, 100, limit=5).collect()] == [10, 11, 12, 13, 14]
+
+
+def test_new_checkpoint_is_pending(spark):
+    led = ten_created(spark, completed=tuple(range(1, 11)))
+    assert L.pending_revisions(led).count() == 0
+    w = spark.createDataFrame([(42, 1, "testuser", None, "msg", "2024-01-01 00:00:00", 1)],
+                              "svn_revision long, batch_number int, svn_author string, svn_timestamp timestamp, "
+                              "svn_message string, ts string, seq long").withColumn("ts", F.col("ts").cast("timestamp"))
+    pend = L.pending_revisions(L.ledger_upsert(led, w)).collect()
+    assert [(r.svn_revision, r.status, r.batch_number) for r in pend] == [(42, "pending", 1)]
