@@ -39,6 +39,7 @@ CHUNK_SCHEMA = T.StructType([
     T.StructField("parent_method", T.StringType()),
 ])
 
+
 def line_count(content: Column) -> Column:
     """``len(text.split('\\n'))``."""
     return (F.length(content) - F.length(F.regexp_replace(content, "\n", "")) + 1).cast("int")
