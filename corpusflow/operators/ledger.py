@@ -193,11 +193,12 @@ def apply_status(ledger: DataFrame, transitions: DataFrame) -> DataFrame:
 
 
 def retry_counts(ledger: DataFrame, retries: DataFrame) -> DataFrame:
-    """Add one per retry of a revision."""
-    n = retries.groupBy("svn_revision").agg(F.count(F.lit(1)).alias("n_retries"))
-    return ledger.join(n, "svn_revision", "left").withColumn(
-        "retry_count", (F.col("retry_count") + F.coalesce(F.col("n_retries"), F.lit(0))).cast("int")
-    ).drop("n_retries")
+    """Add one per retry of a revision; each retry stamps the update time."""
+    n = retries.groupBy("svn_revision").agg(F.count(F.lit(1)).alias("n_retries"), F.max("ts").alias("_ts"))
+    return ledger.join(n, "svn_revision", "left").withColumns({
+        "retry_count": (F.col("retry_count") + F.coalesce(F.col("n_retries"), F.lit(0))).cast("int"),
+        "updated_at": F.coalesce(F.col("_ts"), F.col("updated_at")),
+    }).drop("n_retries", "_ts")
 
 
 def resume_gaps(spark: SparkSession, ledger: DataFrame, total: int) -> DataFrame:

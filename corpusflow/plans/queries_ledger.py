@@ -156,12 +156,14 @@ def q_ledger_apply(spark, sf):
 
 @query("retry_counts", W(ofx.LEDGER) + """
 SELECT l.svn_revision::BIGINT AS svn_revision,
-       (l.retry_count + coalesce(e.n, 0))::BIGINT AS retry_count
-FROM ledger l LEFT JOIN (SELECT user_id + 1 AS svn_revision, count(*) AS n FROM events
+       (l.retry_count + coalesce(e.n, 0))::BIGINT AS retry_count,
+       strftime(coalesce(e.ts, l.updated_at), '%Y-%m-%d %H:%M:%S.%f') AS updated_at
+FROM ledger l LEFT JOIN (SELECT user_id + 1 AS svn_revision, count(*) AS n, max(ts) AS ts FROM events
                          WHERE event_type = 'error' GROUP BY 1) e ON l.svn_revision = e.svn_revision""")
 def q_retry_counts(spark, sf):
     r = L.retry_counts(fx.ledger(spark, sf), fx.retry_events(spark, sf))
-    return r.select("svn_revision", F.col("retry_count").cast("bigint").alias("retry_count"))
+    return r.select("svn_revision", F.col("retry_count").cast("bigint").alias("retry_count"),
+                    wall_clock("updated_at"))
 
 
 @query("resume_gaps", W(ofx.LEDGER) + """
