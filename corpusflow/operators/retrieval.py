@@ -179,6 +179,61 @@ def topk_jaccard(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, qid: s
     return retrieve_topk(best, k=k)
 
 
+def jaccard_summary(questions: DataFrame, chunks: DataFrame, qid: str = "qid", question: str = "question",
+                    hot_df: int | None = None) -> DataFrame:
+    """J4 in aggregate: per question, the number of chunks sharing a term
+    (score > 0), the best score and the sum of scores, exactly, without
+    enumerating pairs that share only hot terms.
+
+    Pairs sharing a cold term are scored one by one. Every other candidate
+    shares only hot terms, so its score depends on its (hot signature, term
+    count) group alone: such pairs are counted per group, minus the group's
+    chunks already counted through a cold term.
+    """
+    q = questions.select(F.col(qid).alias("qid"), terms(F.col(question)).alias("tq"))
+    c = _index(chunks).select("chunk_id", "tc")
+    if hot_df is None:
+        hot_df = max(HOT_MIN_DF, c.count() // HOT_FRACTION)
+    hot = hot_terms(c, hot_df)
+
+    def is_hot(t: Column) -> Column:
+        return t.isin(hot) if hot else F.lit(False)
+
+    qt = q.select("qid", "tq", F.explode("tq").alias("term"))
+    q_side = F.broadcast(qt) if qt.count() <= BROADCAST_TERM_ROWS else qt
+    keyed = c.select("chunk_id", "tc", F.size("tc").alias("nc"),
+                     F.array_join(F.array_sort(F.filter("tc", is_hot)), " ").alias("sig"))
+
+    cold = (keyed.select("chunk_id", "tc", "nc", "sig", F.explode(F.filter("tc", lambda t: ~is_hot(t))).alias("term"))
+            .join(q_side.where(~is_hot(F.col("term"))), "term")
+            .groupBy("qid", "chunk_id").agg(F.first("tc").alias("tc"), F.first("tq").alias("tq"),
+                                            F.first("nc").alias("nc"), F.first("sig").alias("sig"))
+            .select("qid", "nc", "sig", jaccard(F.col("tq"), F.col("tc")).alias("score"),
+                    (F.size(F.array_intersect(F.split("sig", " "), F.col("tq"))) > 0).alias("also_hot")))
+    cold_stats = cold.groupBy("qid").agg(F.count(F.lit(1)).alias("n_c"), F.sum("score").alias("sum_c"),
+                                         F.max("score").alias("max_c"))
+    overlap = (cold.where(F.col("also_hot") & (F.col("sig") != ""))
+               .groupBy("qid", "sig", "nc").agg(F.count(F.lit(1)).alias("dup")))
+
+    groups = (keyed.where(F.col("sig") != "").groupBy("sig", "nc").agg(F.count(F.lit(1)).alias("g_n")))
+    q_hot = q_side.where(is_hot(F.col("term"))).select("qid", F.size("tq").alias("nq"), "term")
+    gq = (groups.select("sig", "nc", "g_n", F.explode(F.split("sig", " ")).alias("term")).join(q_hot, "term")
+          .groupBy("qid", "sig", "nc").agg(F.count(F.lit(1)).alias("s"), F.first("nq").alias("nq"),
+                                           F.first("g_n").alias("g_n")))
+    hot_only = (gq.join(overlap, ["qid", "sig", "nc"], "left")
+                .select("qid", (F.col("g_n") - F.coalesce("dup", F.lit(0))).alias("m"),
+                        (F.col("s") / (F.col("nq") + F.col("nc") - F.col("s"))).alias("score"))
+                .where(F.col("m") > 0))
+    hot_stats = hot_only.groupBy("qid").agg(F.sum("m").alias("n_h"), F.sum(F.col("m") * F.col("score")).alias("sum_h"),
+                                            F.max("score").alias("max_h"))
+    j = cold_stats.join(hot_stats, "qid", "full_outer")
+    return j.select(
+        "qid",
+        (F.coalesce("n_c", F.lit(0)) + F.coalesce("n_h", F.lit(0))).alias("n_candidates"),
+        F.greatest(F.coalesce("max_c", F.lit(0.0)), F.coalesce("max_h", F.lit(0.0))).alias("max_score"),
+        (F.coalesce("sum_c", F.lit(0.0)) + F.coalesce("sum_h", F.lit(0.0))).alias("sum_score"))
+
+
 def citations(topk: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per question, the ordered citation structs and context pieces."""
     snippet = F.col("snippet") if "snippet" in chunks.columns else F.substring("code_content", 1, SNIPPET_CUT)

@@ -32,10 +32,9 @@ BASE = (ofx.JAVA, ofx.QUESTIONS)
 SELECT qid, count(*)::BIGINT AS n_candidates, round(max(score), 6) AS max_score, round(sum(score), 6) AS sum_score
 FROM scores GROUP BY qid""")
 def q_jaccard_scores(spark, sf):
-    s = R.jaccard_scores(fx.questions(spark, sf), code_index(spark, sf))
-    return s.groupBy("qid").agg(F.count(F.lit(1)).alias("n_candidates"),
-                                F.round(F.max("score"), 6).alias("max_score"),
-                                F.round(F.sum("score"), 6).alias("sum_score"))
+    s = R.jaccard_summary(fx.questions(spark, sf), search_index(spark, sf))
+    return s.select("qid", F.col("n_candidates").cast("bigint").alias("n_candidates"),
+                    F.round("max_score", 6).alias("max_score"), F.round("sum_score", 6).alias("sum_score"))
 
 
 @query("retrieve_topk", W(*BASE, ofx.retrieval("questions", 3)) + """

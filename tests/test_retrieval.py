@@ -63,3 +63,23 @@ def test_topk_hot_cold_equals_brute_force(spark):
         a = sorted((r.qid, r.rank, r.chunk_id, round(r.score, 12)) for r in brute.collect())
         b = sorted((r.qid, r.rank, r.chunk_id, round(r.score, 12)) for r in fast.collect())
         assert a == b, hot_df
+
+
+def test_jaccard_summary_equals_all_pairs(spark):
+    import random
+    rnd = random.Random(5)
+    words = ["get", "data", "set", "user", "order", "id", "name", "list", "x1", "x2"]
+    chunks = spark.createDataFrame([
+        (f"c{i}", f"f{i % 5}.java", i, "method", rnd.choice(words), " ".join(rnd.sample(words, rnd.randint(0, 4))), "")
+        for i in range(250)],
+        "chunk_id string, file_path string, start_line int, chunk_type string, chunk_name string, "
+        "description string, code_content string")
+    qs = spark.createDataFrame([(i, " ".join(rnd.sample(words, rnd.randint(1, 4)))) for i in range(30)],
+                               "qid long, question string")
+    pairs = R.jaccard_scores(qs, chunks).groupBy("qid").agg(
+        F.count("*").alias("n"), F.max("score").alias("mx"), F.sum("score").alias("sm"))
+    want = {r.qid: (r.n, round(r.mx, 9), round(r.sm, 9)) for r in pairs.collect()}
+    for hot_df in (0, 10, 40, 10_000):
+        got = {r.qid: (r.n_candidates, round(r.max_score, 9), round(r.sum_score, 9))
+               for r in R.jaccard_summary(qs, chunks, hot_df=hot_df).collect()}
+        assert got == want, hot_df
