@@ -123,7 +123,8 @@ def collate(tokenized: DataFrame, packed: DataFrame, id_col: str = "pair_id",
             size_col: str = "token_count") -> DataFrame:
     """Rectangular arrays per batch (at most ``max_sequences`` rows each),
     rows in packing order (size descending, then id)."""
-    j = tokenized.join(packed.select(id_col, "batch_id", (-F.col(size_col)).alias("_neg")), id_col)
+    # the token arrays are wide: never let a size estimate broadcast them
+    j = tokenized.hint("merge").join(packed.select(id_col, "batch_id", (-F.col(size_col)).alias("_neg")), id_col)
     rows = F.sort_array(F.collect_list(F.struct(
         F.col("_neg"), F.col(id_col), "input_ids", "attention_mask", "labels")))
     g = j.groupBy("batch_id").agg(rows.alias("_rows"))

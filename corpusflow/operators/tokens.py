@@ -148,15 +148,17 @@ def pad_or_truncate(ids: Column, labels: Column, max_length: int, pad_id: int =
 
 def tokenize_pairs(pairs: DataFrame, encoder, max_length: int = DEFAULT_MAX_LENGTH,
                    pad_id: int = PAD_ID, mask_header: bool = False,
-                   key: str = "pair_id") -> DataFrame:
+                   key: str = "pair_id", carry: list[str] | None = None) -> DataFrame:
     """K3: combined text, input-masked labels, pad/truncate, counts.
 
     Rows with a missing input or output are dropped (the reference skips a
     pair whose tokenisation raises). ``mask_header`` also masks the
     EXPLANATION header (decision 12; off by default like the reference).
+    ``carry`` columns are passed through unchanged.
     """
+    carry = list(carry or [])
     base = pairs.where(F.col("input_text").isNotNull() & F.col("output_text").isNotNull()).select(
-        key, "input_text", combine(F.col("input_text"), F.col("output_text")).alias("_combined"))
+        key, *carry, "input_text", combine(F.col("input_text"), F.col("output_text")).alias("_combined"))
     if mask_header:
         base = base.withColumn("_prompt", F.concat(F.col("input_text"), F.lit(EXPLANATION_HEADER)))
         enc = encode_columns(base, {"_prompt": "_in_ids", "_combined": "_all_ids"}, encoder)
@@ -164,11 +166,11 @@ def tokenize_pairs(pairs: DataFrame, encoder, max_length: int = DEFAULT_MAX_LENG
         enc = encode_columns(base, {"input_text": "_in_ids", "_combined": "_all_ids"}, encoder)
     in_len = F.least(F.size("_in_ids"), F.lit(max_length))
     comb = F.slice(F.col("_all_ids"), 1, max_length)
-    staged = enc.select(key, comb.alias("_comb"), in_len.alias("_in_len"),
+    staged = enc.select(key, *carry, comb.alias("_comb"), in_len.alias("_in_len"),
                         F.length("_combined").cast("int").alias("original_length"))
     padded = pad_or_truncate(F.col("_comb"), mask_labels(F.col("_comb"), F.col("_in_len")), max_length, pad_id)
     return staged.select(
-        key, padded["input_ids"].alias("input_ids"), padded["attention_mask"].alias("attention_mask"),
+        key, *carry, padded["input_ids"].alias("input_ids"), padded["attention_mask"].alias("attention_mask"),
         padded["labels"].alias("labels"), F.size("_comb").cast("int").alias("token_count"),
         "original_length")
 

@@ -195,3 +195,32 @@ def q_tokenize_report(spark, sf):
     st = K.token_stats(t).select("total_pairs", "total_tokens", "avg_tokens_per_pair")
     bs = P.batch_stats(P.pack_batches(t)).select("total_batches", "avg_batch_size")
     return st.crossJoin(bs)  # two one-row aggregates
+
+
+# ---------------------------------------------------------------------------
+# the corpus pairs (the reference's own tokenisation input), full window
+# ---------------------------------------------------------------------------
+
+@query("tokenize_corpus", W(ofx.JAVA, ofx.DOC_TREE, ofx.TREE_CHUNKS, ofx.ALL_CHUNKS, ofx.pairs_of("all_chunks")) + f""",
+counted AS (
+  SELECT pair_type,
+         least(len(regexp_extract_all(input_text || chr(10) || chr(10) || 'EXPLANATION:' || chr(10) || output_text,
+                                      '{ofx.TOKEN_PAT}')), 1024) AS token_count,
+         least(len(regexp_extract_all(input_text, '{ofx.TOKEN_PAT}')), 1024) AS in_len
+  FROM pairs)
+SELECT pair_type, count(*)::BIGINT AS n_pairs, sum(token_count)::BIGINT AS total_tokens,
+       sum(greatest(token_count - in_len, 0))::BIGINT AS label_tokens,
+       count(*) FILTER (WHERE token_count <= in_len)::BIGINT AS fully_masked
+FROM counted GROUP BY pair_type""")
+def q_tokenize_corpus(spark, sf):
+    from . import queries_corpus
+    from ..operators import pairs as PR
+    ps = PR.generate_pairs(queries_corpus.all_chunks(spark, sf), queries_corpus.fixed_ts())
+    enc = K.encoder_from_vocab(vocab(spark, sf))
+    t = K.tokenize_pairs(ps.select("pair_id", "pair_type", "input_text", "output_text"), enc,
+                         max_length=K.DEFAULT_MAX_LENGTH, carry=["pair_type"])
+    labels = F.size(F.filter("labels", lambda x: x != K.IGNORE_INDEX))
+    return t.groupBy("pair_type").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.sum("token_count").cast("bigint").alias("total_tokens"),
+        F.sum(labels).cast("bigint").alias("label_tokens"),
+        F.count_if(labels == 0).cast("bigint").alias("fully_masked"))
