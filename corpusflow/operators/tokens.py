@@ -78,15 +78,18 @@ def encoder_from_vocab(vocab: DataFrame, unk_id: int = UNK_ID) -> VocabEncoder:
 _ENCODERS: dict[str, object] = {}
 
 
-def encode_columns(df: DataFrame, columns: dict[str, str], encoder) -> DataFrame:
+def encode_columns(df: DataFrame, columns: dict[str, str], encoder, keep: list[str] | None = None) -> DataFrame:
     """Add ``out = ids of in`` for each (in -> out) with an object
-    that has ``encode_batch``; the encoder is broadcast once per executor."""
+    that has ``encode_batch``; the encoder is broadcast once per executor.
+    ``keep`` limits the columns sent back from Python (default: all)."""
     spark = df.sparkSession
     # cloudpickle so encoders defined in notebooks or functions travel by value
     bc = spark.sparkContext.broadcast(cloudpickle.dumps(encoder))
     token = uuid.uuid4().hex
+    keep = list(df.columns) if keep is None else list(keep)
     out_fields = [T.StructField(o, T.ArrayType(T.IntegerType())) for o in columns.values()]
-    schema = T.StructType(df.schema.fields + out_fields)
+    schema = T.StructType([df.schema[c] for c in keep] + out_fields)
+    out_names = keep + list(columns.values())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _ENCODERS.get(token)
@@ -95,7 +98,7 @@ def encode_columns(df: DataFrame, columns: dict[str, str], encoder) -> DataFrame
         for pdf in batches:
             for src, dst in columns.items():
                 pdf[dst] = enc.encode_batch(pdf[src].tolist())
-            yield pdf
+            yield pdf[out_names]
 
     return df.mapInPandas(run, schema)
 
@@ -158,16 +161,29 @@ def tokenize_pairs(pairs: DataFrame, encoder, max_length: int = DEFAULT_MAX_LENG
     """
     carry = list(carry or [])
     base = pairs.where(F.col("input_text").isNotNull() & F.col("output_text").isNotNull()).select(
-        key, *carry, "input_text", combine(F.col("input_text"), F.col("output_text")).alias("_combined"))
-    if mask_header:
-        base = base.withColumn("_prompt", F.concat(F.col("input_text"), F.lit(EXPLANATION_HEADER)))
-        enc = encode_columns(base, {"_prompt": "_in_ids", "_combined": "_all_ids"}, encoder)
+        key, *carry, "input_text", "output_text",
+        (F.length("input_text") + len(EXPLANATION_HEADER) + F.length("output_text")).cast("int")
+        .alias("original_length"))
+    keep = [key, *carry, "original_length"]   # texts are not sent back from Python
+    if isinstance(encoder, VocabEncoder):
+        # The token rule never crosses whitespace, and the header is fenced by
+        # newlines, so ids(combined) = ids(input) + ids(header) + ids(output):
+        # each text is encoded once.
+        header = F.array(*[F.lit(i) for i in encoder.encode_batch([EXPLANATION_HEADER])[0]]).cast("array<int>")
+        enc = encode_columns(base, {"input_text": "_in_ids", "output_text": "_out_ids"}, encoder, keep)
+        enc = enc.withColumn("_all_ids", F.concat("_in_ids", header, "_out_ids"))
+        if mask_header:
+            enc = enc.withColumn("_in_ids", F.concat("_in_ids", header))
     else:
-        enc = encode_columns(base, {"input_text": "_in_ids", "_combined": "_all_ids"}, encoder)
+        base = base.withColumn("_combined", combine(F.col("input_text"), F.col("output_text")))
+        prompt = "input_text"
+        if mask_header:
+            base = base.withColumn("_prompt", F.concat(F.col("input_text"), F.lit(EXPLANATION_HEADER)))
+            prompt = "_prompt"
+        enc = encode_columns(base, {prompt: "_in_ids", "_combined": "_all_ids"}, encoder, keep)
     in_len = F.least(F.size("_in_ids"), F.lit(max_length))
     comb = F.slice(F.col("_all_ids"), 1, max_length)
-    staged = enc.select(key, *carry, comb.alias("_comb"), in_len.alias("_in_len"),
-                        F.length("_combined").cast("int").alias("original_length"))
+    staged = enc.select(key, *carry, comb.alias("_comb"), in_len.alias("_in_len"), "original_length")
     padded = pad_or_truncate(F.col("_comb"), mask_labels(F.col("_comb"), F.col("_in_len")), max_length, pad_id)
     return staged.select(
         key, *carry, padded["input_ids"].alias("input_ids"), padded["attention_mask"].alias("attention_mask"),

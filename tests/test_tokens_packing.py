@@ -87,3 +87,25 @@ def test_vocab_specials_first(spark):
     texts = spark.createDataFrame([("b b a",), ("b c",)], "text string")
     v = {r.token: r.id for r in K.build_vocab(texts, vocab_size=5).collect()}
     assert v == {"<pad>": 0, "<unk>": 1, "<eos>": 2, "b": 3, "a": 4}
+
+
+def test_decomposed_encoding_equals_whole_text(spark):
+    """ids(input + header + output) == ids(input) + ids(header) + ids(output) for
+    the built-in rule: the fast path must equal encoding the combined text."""
+    from tests.conftest import SF_SMALL
+    from corpusflow.sources import fixtures as fx
+    turns = fx.turn_pairs(spark, SF_SMALL)
+    vocab = K.build_vocab(fx.read_table(spark, SF_SMALL, "documents"), vocab_size=500)
+    fast = K.encoder_from_vocab(vocab)
+
+    class Wrapped:  # any other encoder object takes the generic path
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode_batch(self, texts):
+            return self.inner.encode_batch(texts)
+
+    for mask_header in (False, True):
+        a = K.tokenize_pairs(turns, fast, max_length=64, mask_header=mask_header)
+        b = K.tokenize_pairs(turns, Wrapped(fast), max_length=64, mask_header=mask_header)
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
