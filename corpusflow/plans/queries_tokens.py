@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import packing as P
+from ..operators import pairs as PR
 from ..operators import tokens as K
 from ..sources import fixtures as fx
 from . import oracle_fixtures as ofx
 from .catalog import query
+from .queries_corpus import all_chunks, fixed_ts
 
 W = ofx.with_ctes
 VOCAB_SIZE = 2000
@@ -213,9 +215,7 @@ SELECT pair_type, count(*)::BIGINT AS n_pairs, sum(token_count)::BIGINT AS total
        count(*) FILTER (WHERE token_count <= in_len)::BIGINT AS fully_masked
 FROM counted GROUP BY pair_type""")
 def q_tokenize_corpus(spark, sf):
-    from . import queries_corpus
-    from ..operators import pairs as PR
-    ps = PR.generate_pairs(queries_corpus.all_chunks(spark, sf), queries_corpus.fixed_ts())
+    ps = PR.generate_pairs(all_chunks(spark, sf), fixed_ts())
     enc = K.encoder_from_vocab(vocab(spark, sf))
     t = K.tokenize_pairs(ps.select("pair_id", "pair_type", "input_text", "output_text"), enc,
                          max_length=K.DEFAULT_MAX_LENGTH, carry=["pair_type"])
