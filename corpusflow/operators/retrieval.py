@@ -44,7 +44,7 @@ WHITESPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\
 
 def terms(text: Column) -> Column:
     """Lower-cased, whitespace-split, distinct terms."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), WHITESPACE), lambda t: t != ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), WHITESPACE), ""))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -195,7 +195,7 @@ def token_stats(tokenized: DataFrame) -> DataFrame:
     """A5: count, sum, avg, max, min of token counts (zeros when empty), and
     rows whose labels are all masked (an input filling the window)."""
     t = F.col("token_count")
-    fully_masked = F.forall("labels", lambda x: x == IGNORE_INDEX)
+    fully_masked = F.size(F.array_remove("labels", IGNORE_INDEX)) == 0
     return tokenized.agg(
         F.count(F.lit(1)).alias("total_pairs"),
         F.coalesce(F.sum(t), F.lit(0)).cast("bigint").alias("total_tokens"),

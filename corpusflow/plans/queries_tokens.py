@@ -219,7 +219,7 @@ def q_tokenize_corpus(spark, sf):
     enc = K.encoder_from_vocab(vocab(spark, sf))
     t = K.tokenize_pairs(ps.select("pair_id", "pair_type", "input_text", "output_text"), enc,
                          max_length=K.DEFAULT_MAX_LENGTH, carry=["pair_type"])
-    labels = F.size(F.filter("labels", lambda x: x != K.IGNORE_INDEX))
+    labels = F.size(F.array_remove("labels", K.IGNORE_INDEX))
     return t.groupBy("pair_type").agg(
         F.count(F.lit(1)).alias("n_pairs"), F.sum("token_count").cast("bigint").alias("total_tokens"),
         F.sum(labels).cast("bigint").alias("label_tokens"),
