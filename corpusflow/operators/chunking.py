@@ -99,6 +99,10 @@ _METHOD_HEAD = re.compile(
     r"([A-Za-z_$][\w$.]*(?:\s*<[^{};()]*>)?(?:\s*\[\s*\])*)\s+([A-Za-z_$][\w$]*))\s*")
 _NOT_NAMES = frozenset("if for while switch catch synchronized return new else do try throw case assert".split())
 _NOT_TYPES = frozenset("new return else throw case package import class interface enum record".split())
+# A constructor head: modifiers and the class name, no return type.
+_CTOR_HEAD = re.compile(
+    r"\s*(?:@[\w$.]+(?:\s*\([^()]*\))?\s*)*"
+    r"((?:(?:public|protected|private)\s+)?(?:<[^<>{};]*>\s*)?([A-Za-z_$][\w$]*))\s*")
 _BETWEEN_DOC_AND_DECL = re.compile(r"\s*(?:@[\w$.]+(?:\s*\([^()]*\))?\s*)*")
 
 
@@ -169,6 +173,9 @@ def java_span_offsets(text: str) -> list[tuple]:
         seg = max(masked.rfind(";", 0, i), masked.rfind("{", 0, i), masked.rfind("}", 0, i)) + 1
         h = _METHOD_HEAD.fullmatch(masked, seg, i)
         if h is None:
+            c = _CTOR_HEAD.fullmatch(masked, seg, i)
+            if c is not None and c.group(2) not in _NOT_NAMES:   # kept only inside its own class
+                decls.append((c.start(1), "ctor", c.group(2), m.end() - 1, c.group(2)))  # returns its class
             continue
         rtype, name = h.group(2), h.group(3)
         if name in _NOT_NAMES or rtype in _NOT_TYPES:
@@ -193,10 +200,14 @@ def java_span_offsets(text: str) -> list[tuple]:
     for start, kind, name, brace, rtype in sorted(decls):
         end = close_of.get(brace, n - 1) + 1
         enclosing = parent_of.get(brace)
-        if kind == "method":
+        if kind in ("method", "ctor"):
             parent = class_at_brace.get(enclosing) if enclosing is not None else None
             if parent is None:  # not directly inside a class body
                 continue
+            if kind == "ctor":
+                if name != parent:   # a call like foo(x) { ... } is not a declaration
+                    continue
+                kind = "method"
         else:
             parent = name
         # javadoc directly before the declaration, else the first one inside

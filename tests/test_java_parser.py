@@ -70,3 +70,11 @@ def test_javadoc_directly_before_wins():
     m = [x for x in java_spans(src) if x[0] == "method"][0]
     assert m[7] == "/** Adds one. */"
     assert m[2] == 4   # starts at the first token of the declaration
+
+
+def test_constructors_are_methods_of_their_class():
+    src = ("public class Box {\n  private int v;\n  public Box(int v) {\n    this.v = v;\n  }\n"
+           "  Box() { this(0); }\n  int get() { return v; }\n}\n")
+    got = [(k, n, s, e, p) for k, n, s, e, _b, p, _t, _d in java_spans(src)]
+    assert got == [("class", "Box", 1, 8, "Box"), ("method", "Box", 3, 5, "Box"),
+                   ("method", "Box", 6, 6, "Box"), ("method", "get", 7, 7, "Box")]
