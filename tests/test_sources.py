@@ -62,3 +62,10 @@ def test_dataset_versions_roundtrip(spark, tmp_path):
     cur = versions.read_dataset_version(table, "proj")
     assert [r.pair_id for r in cur.collect()] == ["p2"]
     assert sorted(os.listdir(os.path.join(path, "project=proj"))) == ["version=1", "version=2"]
+
+
+def test_log_entry_empty_vs_missing_author(spark):
+    df = spark.createDataFrame([('<logentry revision="1"><author></author><date>d</date><msg></msg></logentry>',),
+                                ('<logentry revision="2"><date>d</date></logentry>',)], "xml string")
+    rows = sorted(tuple(r) for r in ledger.parse_log_xml(df).collect())
+    assert rows == [(1, "", "d", "", 0), (2, "unknown", "d", "", 0)]   # empty element vs no element
