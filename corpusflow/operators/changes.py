@@ -14,19 +14,29 @@ from pyspark.sql import functions as F
 NEW, MODIFIED, UNCHANGED, DELETED = "new", "modified", "unchanged", "deleted"
 
 
-def diff_snapshots(current: DataFrame, state: DataFrame, force: bool = False) -> DataFrame:
+def diff_snapshots(current: DataFrame, state: DataFrame, force: bool = False,
+                   carry: list[str] | None = None) -> DataFrame:
     """Classify each path as new / modified / unchanged / deleted.
 
-    ``force`` treats every current file as new (a full re-index).
+    ``force`` treats every current file as new (a full re-index). ``carry``
+    keeps columns of the current files (e.g. path, ext, content) so that the
+    files to re-index come from the same join (``changed_files``).
     """
-    cur = current.select(F.col("rel_path"), F.col("file_sha").alias("cur_sha"))
+    carry = list(carry or [])
+    cur = current.select(F.col("rel_path"), F.col("file_sha").alias("cur_sha"), *carry)
     old = state.select(F.col("rel_path"), F.col("file_sha").alias("old_sha"))
     j = cur.join(old, "rel_path", "full_outer")
     change = (F.when(F.col("cur_sha").isNull(), F.lit(DELETED))
               .when(F.lit(force) | F.col("old_sha").isNull(), F.lit(NEW))
               .when(F.col("cur_sha") != F.col("old_sha"), F.lit(MODIFIED))
               .otherwise(F.lit(UNCHANGED)))
-    return j.select("rel_path", "cur_sha", "old_sha", change.alias("change"))
+    return j.select("rel_path", "cur_sha", "old_sha", change.alias("change"), *carry)
+
+
+def changed_files(diff: DataFrame) -> DataFrame:
+    """F3 from a diff that carried path, ext and content: the new or modified files."""
+    return diff.where(F.col("change").isin(NEW, MODIFIED)).select(
+        "path", "rel_path", "ext", "content", F.col("cur_sha").alias("file_sha"))
 
 
 def deleted_files(state: DataFrame, current: DataFrame) -> DataFrame:

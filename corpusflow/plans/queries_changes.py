@@ -40,9 +40,9 @@ def q_changed_files(spark, sf):
 
 def _reindex(spark, sf):
     cur, state = fx.snapshot_files(spark, sf), fx.snapshot_state(spark, sf)
-    diff = C.diff_snapshots(cur, state)
+    diff = C.diff_snapshots(cur, state, carry=["path", "ext", "content"])   # one join for both uses
     old_chunks = chunking.extract_generic_chunks(fx.snapshot_previous(spark, sf), fixed_ts())
-    new_chunks = chunking.extract_generic_chunks(C.changed_only(cur, state), fixed_ts())
+    new_chunks = chunking.extract_generic_chunks(C.changed_files(diff), fixed_ts())
     return state, diff, old_chunks, new_chunks
 
 

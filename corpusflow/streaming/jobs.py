@@ -81,15 +81,16 @@ def stream_reindex(spark: SparkSession, snapshots_dir: str, files_schema: T.Stru
         stamp = F.current_timestamp()
         state = spark.read.parquet(_snapshot_path(f"{index_path}/state", batch_id))
         old_chunks = spark.read.parquet(_snapshot_path(f"{index_path}/chunks", batch_id))
-        diff = changes.diff_snapshots(batch, state)
-        new_chunks = chunking.extract_chunks(changes.changed_only(batch, state), stamp)
-        new_chunks = new_chunks.persist()
+        # the diff and the new chunks feed three writes each: keep them for this batch only
+        diff = changes.diff_snapshots(batch, state, carry=["path", "ext", "content"]).persist()
+        new_chunks = chunking.extract_chunks(changes.changed_files(diff), stamp).persist()
         write_snapshot(changes.upsert_index(old_chunks, new_chunks, diff), f"{index_path}/chunks", batch_id + 1)
         write_snapshot(changes.next_state(state, diff, new_chunks, stamp), f"{index_path}/state", batch_id + 1)
         new_pairs = pairs.generate_pairs(new_chunks, stamp, version=batch_id + 1)
         (new_pairs.withColumn("project", F.lit(project)).write.mode("overwrite")
          .parquet(f"{dataset_path}/project={project}/version={batch_id + 1}"))
         new_chunks.unpersist()
+        diff.unpersist()
 
     q = (spark.readStream.format("parquet").schema(files_schema).option("maxFilesPerTrigger", 1)
          .load(snapshots_dir)
