@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, secrets
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +27,9 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Capped water-filling over all documents."""
     return (mixing.mix(table(spark, sf_dir, "documents"))
             .select("doc_id", "size", "source_size", "target", "taken"))
+
+
+@query("op9_secret_scan", secrets.ORACLE)
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, told from copied examples by ownership."""
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
