@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,3 +36,42 @@ def global_rank(df: DataFrame, order: list, name: str, out: str = "rank") -> Dat
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     return (placed.join(before, "_part")
             .withColumn(out, F.col("_before") + F.col("_place")).drop("_part", "_place", "_before"))
+
+
+def key_ranges(rows: DataFrame, key: str, weight: str, target: int, most: int = 20_000) -> list[int]:
+    """Lower bounds, ascending, that cut an integer key into ranges of about ``target`` weight
+    (at least a ``most``-th of all weight): the same for the same rows, however they are
+    partitioned. Bins of equal width are summed, and bins that are too heavy are cut in eight
+    until they are light or hold one key; at most ``8 * most`` bin sums reach the driver at once."""
+    lo, hi, total = rows.agg(F.min(key), F.max(key), F.sum(weight)).first()
+    if lo is None:
+        return []
+    target = max(target, -(-int(total or 0) // most))
+    place = F.col(key) - F.lit(lo)
+    shift = max(0, (hi - lo).bit_length() - 11)
+    part, done = rows.filter(F.col(key).isNotNull()), []
+    while True:
+        sums = part.groupBy(F.shiftright(place, shift).alias("bin")).agg(F.sum(weight).alias("w")).collect()
+        heavy = [b for b, w in sums if (w or 0) > target and shift > 0]
+        done += [(lo + (b << shift), int(w or 0)) for b, w in sums if not ((w or 0) > target and shift > 0)]
+        if not heavy:
+            break
+        part, shift = rows.filter(F.shiftright(place, shift).isin(heavy)), max(0, shift - 3)
+    bounds, run = [], 0
+    for at, w in sorted(done):
+        if not bounds or run + w > target:
+            bounds.append(at)
+            run = 0
+        run += w
+    return bounds
+
+
+def range_of(key: str, bounds: list[int]):
+    """Number (0, 1, ...) of the range of ``key_ranges`` that a key lies in; null lies in 0."""
+    cuts = np.asarray(bounds[1:], dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def find(keys: pd.Series) -> pd.Series:
+        at = np.searchsorted(cuts, keys.fillna(np.iinfo(np.int64).min).to_numpy(dtype=np.int64), side="right")
+        return pd.Series(at.astype(np.int32))
+    return find(F.col(key).cast("long"))

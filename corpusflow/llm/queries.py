@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, secrets
+from . import mixing, secrets, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,11 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents, told from copied examples by ownership."""
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+@query("op2_warc_archives", warc.ORACLE)
+def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back."""
+    root = warc.fresh_root(spark)
+    warc.write(table(spark, sf_dir, "pages"), root)
+    return warc.read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
