@@ -5,10 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, secrets, warc
+from . import mixing, secrets, transducer, viterbi, warc
 from .common import table
 
+def vocabulary() -> str:
+    """Path of the vocabulary that the queries use."""
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -41,3 +48,19 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = warc.fresh_root(spark)
     warc.write(table(spark, sf_dir, "pages"), root)
     return warc.read(spark, root).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op3_sentencepiece")
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded: doc_id, n_tokens, token_ids, and whether the decoded text
+    is the text (it is, unless the text holds the vocabulary's own blank mark)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    done = viterbi.decode(viterbi.encode(docs, vocabulary()), vocabulary())
+    return done.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
+                       (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
+@query("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents."""
+    return transducer.count(table(spark, sf_dir, "documents"), vocabulary())
