@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, transducer, viterbi, warc
+from . import langid, mixing, secrets, transducer, viterbi, warc
 from .common import table
 
 def vocabulary() -> str:
@@ -64,3 +64,12 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents."""
     return transducer.count(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; trained on the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(~langid.held_out()))
+    rows = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
+    return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "known")
