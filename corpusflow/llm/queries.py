@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, secrets, transducer, viterbi, warc
+from . import langid, mixing, parsing, secrets, transducer, viterbi, warc
 from .common import table
 
 def vocabulary() -> str:
@@ -73,3 +73,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~langid.held_out()))
     rows = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
     return langid.identify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "known")
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return parsing.fingerprint(table(spark, sf_dir, "documents"))
