@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, parsing, secrets, transducer, viterbi, warc
+from . import langid, mixing, parsing, quality, secrets, transducer, viterbi, warc
 from .common import table
 
 def vocabulary() -> str:
@@ -79,3 +79,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts."""
     return parsing.fingerprint(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality")
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of all documents; sources are the hosts, languages their paths."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
