@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, parsing, quality, secrets, transducer, viterbi, warc
+from . import langid, minhash, mixing, parsing, quality, secrets, transducer, viterbi, warc
 from .common import table
 
 def vocabulary() -> str:
@@ -85,3 +85,9 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality and toxicity of all documents; sources are the hosts, languages their paths."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_minhash_dedup")
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
