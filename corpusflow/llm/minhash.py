@@ -29,8 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keep_as_table
 from .components import components
@@ -168,7 +169,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per row."""
+    """(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per row; also the set's key, the
+    component's root node (both null for an empty set), and whether the doc_id is null."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = keep_as_table(rows.mapInArrow(_sign, "doc_id long, n long, key binary, bands array<long>"), "minhash-rows")
     nodes = keep_as_table(
@@ -204,7 +206,58 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     named = (nodes.select("node", "key", "doc_id").join(roots, "node", "left")
              .withColumn("root", F.coalesce("root", "node")))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_key = named.join(least, "root").select("key", "component_id")
+    of_key = named.join(least, "root").select("key", "root", "component_id")
     return (signed.select("doc_id", F.col("n").alias("n_shingles"), "key").join(of_key, "key", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+            .select("doc_id", "n_shingles", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "key", "root")
+            .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+            .withColumn("doc_id_order", F.col("doc_id").isNull()))
+
+
+
+def _keyed(names: list[str], at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for a, b in blocks(texts, BLOCK_CHARS):
+                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(keys, pa.binary())], names=[*names, "_key"])
+    return run
+
+
+def deduplicate(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: one of the least doc_id, and if rows repeat
+    that doc_id, of the least set key and then of the least text. Rows without words all stay, and so
+    do all columns."""
+    found = keep_as_table(near_duplicates(docs, similarity), "minhash-found")
+    chosen = found.filter(F.col("key").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id_order", "doc_id", "key")).alias("c"))
+    chosen = chosen.select(F.col("c.doc_id").alias("_id"), F.col("c.key").alias("_chosen"))
+    wordless = found.filter(F.col("key").isNull()).select(F.col("doc_id").alias("_id"))
+    ids = keep_as_table(chosen.select("_id").unionByName(wordless).distinct(), "minhash-kept")
+    own = F.col("doc_id").cast("long")
+    rows = docs.join(ids, own.eqNullSafe(F.col("_id")), "left_semi")
+    repeats = keep_as_table(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id")), "minhash-repeats")
+    if not repeats.limit(1).count():
+        return rows
+    once = rows.join(repeats, own.eqNullSafe(F.col("_id")), "left_anti")
+    again = rows.join(repeats, own.eqNullSafe(F.col("_id")), "left_semi")
+    keyed = again.mapInArrow(_keyed(again.columns, again.columns.index("text")), T.StructType([*again.schema.fields, T.StructField("_key", T.BinaryType())]))
+    named = keyed.join(chosen, own.eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_chosen")), "left")
+    first = Window.partitionBy("_id", "_key").orderBy("text", *[c for c in docs.columns if c != "text"])
+    picked = named.filter(F.col("_chosen").isNotNull()).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
+    return once.unionByName(picked.select(*docs.columns)).unionByName(named.filter(F.col("_key").isNull()).select(*docs.columns))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)])
+                                 WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 85 * (p.n + q.n - common)),
+r(v, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v),
+m AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN m ON m.v = d.doc_id
+"""

@@ -70,22 +70,30 @@ def _cut(rows: DataFrame, bucket: str) -> DataFrame:
             .select("source_key", F.col(f"cut.{bucket}").alias("cut"), F.col("cut.before").alias("before")))
 
 
+def _order(seed: str) -> F.Column:
+    """A document's place in the seeded random order."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
+def _key() -> F.Column:
+    """The source as a key that may be joined on; null is a key too."""
+    return F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+
+
 def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """Repetitions of each document. Input: doc_id, text, source. Output: doc_id, source, size,
-    source_size, target, ``copies`` (times the mix takes it), taken (= copies * size)."""
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    source_size, target, ``copies`` (times the mix takes it), taken (= copies * size); also source_key,
+    order, whole and extra, of which copies is made."""
     rows = keep_as_table(
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), order.alias("order")), "mix-sizes")
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _order(seed).alias("order")), "mix-sizes")
     sources = source_weights(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     filled = water_fill(keep_as_table(sources, "mix-weights"), max_epochs)
     plan = keep_as_table(
         filled.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
         .withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
-        .withColumn("source_key", F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))),
-        "mix-plan")
-    key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))
+        .withColumn("source_key", _key()), "mix-plan")
     digit = lambda a: F.conv(F.substring("order", a, 3), 16, 10).cast("int")
-    d = (rows.withColumn("source_key", key).drop("source").join(plan, "source_key")
+    d = (rows.withColumn("source_key", _key()).drop("source").join(plan, "source_key")
          .withColumn("b1", digit(1)).withColumn("b2", digit(4)))
     cut1 = _cut(d, "b1").withColumnsRenamed({"cut": "cut1", "before": "before1"})
     d = d.join(cut1, "source_key", "left")
@@ -101,7 +109,23 @@ def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> Data
     outside = d.filter(~F.coalesce(on_edge, F.lit(False))).withColumn("extra", F.coalesce(full, F.lit(False)).cast("long"))
     both = inside.unionByName(outside).withColumn("copies", (F.col("whole") + F.col("extra")).cast("long"))
     return both.select("doc_id", "source", "size", "source_size", "target", "copies",
-                       (F.col("copies") * F.col("size")).alias("taken"))
+                       (F.col("copies") * F.col("size")).alias("taken"), "source_key", "order", "whole", "extra")
+
+
+
+def apply_mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """``docs`` as the mix takes them: each row as many times as its copies say (none, once, ...). All
+    columns stay. A source's cut in the random order (one row a source) is brought to the rows, so
+    texts are not shuffled for it while that table is small enough for the planner to broadcast;
+    rows equal in doc_id and size at the cut are taken alike."""
+    place = lambda: F.struct("order", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), "size")
+    cuts = keep_as_table(mix(docs, max_epochs, seed).groupBy("source_key")
+                         .agg(F.first("whole").alias("_whole"), F.max(F.when(F.col("extra") > 0, place())).alias("_cut")), "mix-cuts")
+    hidden = docs.select(F.struct(*docs.columns).alias("_row"), _key().alias("source_key"), _order(seed).alias("order"),
+                         word_count(F.col("text")).alias("size"), "doc_id")
+    copies = (F.col("_whole") + F.coalesce(place() <= F.col("_cut"), F.lit(False)).cast("long")).cast("int")
+    return (hidden.join(cuts, "source_key").withColumn("_copies", copies).filter("_copies > 0")
+            .select("_row", F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).select("_row.*"))
 
 
 ORACLE = r"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, minhash, mixing, parsing, quality, secrets, transducer, viterbi, warc
+from . import embeddings, langid, minhash, mixing, parsing, quality, secrets, transducer, viterbi, warc
 from .common import table
 
 def vocabulary() -> str:
@@ -87,7 +87,14 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op10_minhash_dedup")
+@query("op10_minhash_dedup", minhash.ORACLE)
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return (minhash.near_duplicates(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_shingles", "component_id", "kept"))
+
+
+@query("op1_embedding_dedup", embeddings.ORACLE)
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all vectors."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
