@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pieces import blocks
+from .pieces import blocks, text_blocks
 
 SAMPLE = 2000
 MIN_SHARE = 2e-5
@@ -192,9 +192,8 @@ def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in blocks(texts, BLOCK_CHARS):
-                langs, score, known = sent.value.decide(texts[a:b])
+            for a, b, texts in text_blocks(batch.column(at), BLOCK_CHARS):
+                langs, score, known = sent.value.decide(texts)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(langs, pa.string()), pa.array(score), pa.array(known)],
                                                  names=[*names, "lang_pred", "score", "known"])
     return docs.mapInArrow(run, shape)

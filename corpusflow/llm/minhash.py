@@ -35,13 +35,13 @@ from pyspark.sql import types as T
 
 from .common import keep_as_table
 from .components import components
-from .pieces import blocks
+from .pieces import text_blocks
 
 WIDTH = 5
 ROWS, BANDS = 7, 48
 RING_BITS = 20
 SIMILARITY = 85  # percent
-BLOCK_CHARS, GATHER = 1_000_000, 8192
+BLOCK_BYTES, GATHER = 1_000_000, 8192
 _SEPARATORS = (9, 10, 11, 12, 13, 32)
 
 
@@ -135,9 +135,9 @@ def bands(signature: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> doc_id, n, key (of the set; null if empty), bands."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for a, b in blocks(texts, BLOCK_CHARS):
-            sets = shingle_sets(texts[a:b])
+        ids = batch.column(0)
+        for a, b, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+            sets = shingle_sets(texts)
             full = [s for s in sets if len(s)]
             hashes = iter(bands(signatures(full)).tolist())
             yield pa.RecordBatch.from_arrays(
@@ -149,9 +149,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) -> key, shingles."""
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for a, b in blocks(texts, BLOCK_CHARS):
-            sets = [s for s in shingle_sets(texts[a:b]) if len(s)]
+        for _, _, texts in text_blocks(batch.column(0), BLOCK_BYTES):
+            sets = [s for s in shingle_sets(texts) if len(s)]
             sizes = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -217,9 +216,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 def _keyed(names: list[str], at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in blocks(texts, BLOCK_CHARS):
-                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets(texts[a:b])]
+            for a, b, texts in text_blocks(batch.column(at), BLOCK_BYTES):
+                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets(texts)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(keys, pa.binary())], names=[*names, "_key"])
     return run
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow.compute as pc
 
 SPACE = "▁"
 _NEVER = np.int64(1) << 40
@@ -205,6 +206,18 @@ def blocks(texts: list, most: int):
         yield a, len(texts)
 
 
+def text_blocks(column, most: int):
+    """(first row, end row, texts) of runs of rows of an Arrow string column with at most ``most`` bytes
+    together (or one row), so that only one run at a time becomes Python strings. Null is ''."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    a = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + most, side="right")) - 1)
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
+        a = b
+
+
 def cuts_word(pieces: Pieces) -> str:
     """Pattern of the units that can be tokenised alone: no piece reaches across their borders."""
     apart = "".join(sorted(c for c in "\n\t\r" if c not in pieces.index))

@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep_as_table
-from .pieces import WordStore, blocks
+from .pieces import WordStore, text_blocks
 
 SAMPLE = 20_000
 WORDS = 2000
 MIN_Z = 4.0
 HEADS = ("quality", "toxic")
-BLOCK_CHARS = 4_000_000
+BLOCK_BYTES = 4_000_000
 STORE_WORDS = 300_000
 RATIOS = 6  # numeric features after the two lexicon scores
 _EDGE = "\"'`.,;:!?()[]{}<>*#$%&=+|/\\~-_"
@@ -165,9 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = WordStore(STORE_WORDS)
         for batch in batches:
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for a, b in blocks(texts, BLOCK_CHARS):
-                x = np.column_stack([sent.value.lexicon_scores(texts[a:b], store), _ratios(texts[a:b])])
+            for a, b, texts in text_blocks(batch.column(0), BLOCK_BYTES):
+                x = np.column_stack([sent.value.lexicon_scores(texts, store), _ratios(texts)])
                 yield pa.RecordBatch.from_arrays([pa.array(list(x)), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)],
                                                  names=["x", "quality", "toxic"])
     table = (rows.filter("half = 1").select("text", "quality", "toxic")
@@ -194,9 +193,8 @@ def evidence(docs: DataFrame, model: Classifier, host: str, path: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = WordStore(STORE_WORDS)
         for batch in batches:
-            texts = [t or "" for t in batch.column(3).to_pylist()]
-            for a, b in blocks(texts, BLOCK_CHARS):
-                x = sent.value.logits(texts[a:b], store)
+            for a, b, texts in text_blocks(batch.column(3), BLOCK_BYTES):
+                x = sent.value.logits(texts, store)
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(a, b - a) for k in range(3)], pa.array(x[:, 0]), pa.array(x[:, 1])],
                                                  names=["doc_id", "host", "path", *HEADS])
     return rows.mapInArrow(run, "doc_id long, host string, path string, quality double, toxic double")

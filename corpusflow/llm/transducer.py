@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import SPACE, Pieces, WordStore, blank_run, blocks, cuts_word, prepared, send
+from .pieces import SPACE, Pieces, WordStore, blank_run, cuts_word, prepared, send, text_blocks
 
-BLOCK_CHARS = 4_000_000
+BLOCK_BYTES = 4_000_000
 STORE_WORDS = 300_000
 MOST_STATES = 300_000
 CHUNK, GUESS, ROUNDS = 64, 32, 16
@@ -253,10 +253,9 @@ def count(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(path, lambda: sent.value)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
             out: list[int] = []
-            for a, b in blocks(texts, BLOCK_CHARS):
-                out += machine.counts([t or "" for t in texts[a:b]])
+            for _, _, texts in text_blocks(batch.column(2), BLOCK_BYTES):
+                out += machine.counts(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
