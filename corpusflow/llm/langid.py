@@ -14,7 +14,7 @@ rate in the language that has them most, which leaves out what other languages'
 Defined results: null text, and text without a letter, is ``und`` with score 0; a text whose
 n-grams no language has gets the language with the most training rows, with score 0; ties go to the
 language that sorts first; without training rows every text is ``und``; repeated rows are predicted
-each; other columns pass through ``identify``.
+each; other columns pass through ``identify``, which replaces those of its own names.
 
 Scale: prediction is narrow (no shuffle), over whole texts in windows of bounded size; the filter (1
 to a few MB, by the bounds above) is broadcast.
@@ -183,19 +183,21 @@ def fit(train: DataFrame, sample: int = SAMPLE, min_share: float = MIN_SHARE, mi
     return made
 
 
-def identify(docs: DataFrame, model: Filter, text: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, score and known (share of the n-grams that the language has)."""
+def identify(docs: DataFrame, model: Filter, text: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:
+    """``docs`` with the language, the score and the share of the n-grams that the language has.
+    Columns of these names are replaced."""
+    docs = docs.drop(*out)
     names, at = docs.columns, docs.columns.index(text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    shape = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()),
-                          T.StructField("known", T.DoubleType())])
+    kinds = (T.StringType(), T.DoubleType(), T.DoubleType())
+    shape = T.StructType([*docs.schema.fields, *map(T.StructField, out, kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in text_blocks(batch.column(at), BLOCK_CHARS):
                 langs, score, known = sent.value.decide(texts)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(langs, pa.string()), pa.array(score), pa.array(known)],
-                                                 names=[*names, "lang_pred", "score", "known"])
+                                                 names=[*names, *out])
     return docs.mapInArrow(run, shape)
 
 

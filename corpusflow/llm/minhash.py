@@ -218,7 +218,7 @@ def _keyed(names: list[str], at: int):
         for batch in batches:
             for a, b, texts in text_blocks(batch.column(at), BLOCK_BYTES):
                 keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in shingle_sets(texts)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(keys, pa.binary())], names=[*names, "_key"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(keys, pa.binary())], names=[*names, "_mh_key"])
     return run
 
 
@@ -228,21 +228,21 @@ def deduplicate(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     do all columns."""
     found = keep_as_table(near_duplicates(docs, similarity), "minhash-found")
     chosen = found.filter(F.col("key").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id_order", "doc_id", "key")).alias("c"))
-    chosen = chosen.select(F.col("c.doc_id").alias("_id"), F.col("c.key").alias("_chosen"))
-    wordless = found.filter(F.col("key").isNull()).select(F.col("doc_id").alias("_id"))
-    ids = keep_as_table(chosen.select("_id").unionByName(wordless).distinct(), "minhash-kept")
+    chosen = chosen.select(F.col("c.doc_id").alias("_mh_id"), F.col("c.key").alias("_mh_chosen"))
+    wordless = found.filter(F.col("key").isNull()).select(F.col("doc_id").alias("_mh_id"))
+    ids = keep_as_table(chosen.select("_mh_id").unionByName(wordless).distinct(), "minhash-kept")
     own = F.col("doc_id").cast("long")
-    rows = docs.join(ids, own.eqNullSafe(F.col("_id")), "left_semi")
-    repeats = keep_as_table(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id")), "minhash-repeats")
+    rows = docs.join(ids, own.eqNullSafe(F.col("_mh_id")), "left_semi")
+    repeats = keep_as_table(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_mh_id")), "minhash-repeats")
     if not repeats.limit(1).count():
         return rows
-    once = rows.join(repeats, own.eqNullSafe(F.col("_id")), "left_anti")
-    again = rows.join(repeats, own.eqNullSafe(F.col("_id")), "left_semi")
-    keyed = again.mapInArrow(_keyed(again.columns, again.columns.index("text")), T.StructType([*again.schema.fields, T.StructField("_key", T.BinaryType())]))
-    named = keyed.join(chosen, own.eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_chosen")), "left")
-    first = Window.partitionBy("_id", "_key").orderBy("text", *[c for c in docs.columns if c != "text"])
-    picked = named.filter(F.col("_chosen").isNotNull()).withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return once.unionByName(picked.select(*docs.columns)).unionByName(named.filter(F.col("_key").isNull()).select(*docs.columns))
+    once = rows.join(repeats, own.eqNullSafe(F.col("_mh_id")), "left_anti")
+    again = rows.join(repeats, own.eqNullSafe(F.col("_mh_id")), "left_semi")
+    keyed = again.mapInArrow(_keyed(again.columns, again.columns.index("text")), T.StructType([*again.schema.fields, T.StructField("_mh_key", T.BinaryType())]))
+    named = keyed.join(chosen, own.eqNullSafe(F.col("_mh_id")) & (F.col("_mh_key") == F.col("_mh_chosen")), "left")
+    first = Window.partitionBy("_mh_id", "_mh_key").orderBy("text", *[c for c in docs.columns if c != "text"])
+    picked = named.filter(F.col("_mh_chosen").isNotNull()).withColumn("_mh_n", F.row_number().over(first)).filter("_mh_n = 1")
+    return once.unionByName(picked.select(*docs.columns)).unionByName(named.filter(F.col("_mh_key").isNull()).select(*docs.columns))
 
 
 ORACLE = r"""

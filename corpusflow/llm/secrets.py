@@ -147,7 +147,7 @@ def redact(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
     added = F.col("kind").isin(*[k for k in KINDS if k not in BASE])
     rows = classify(spans, max_owners).filter(added & F.col("live")).select("value").distinct()
     live_rows = spans.join(rows, "value", "left_semi").filter(added).select("value", "repo")
-    per_doc = live_rows.groupBy("repo").agg(F.collect_set("value").alias("_live"))
+    per_doc = live_rows.groupBy(F.col("repo").alias("_of")).agg(F.collect_set("value").alias("_live"))
     shape = docs.columns
     text = F.coalesce(F.col("text"), F.lit(""))
     maybe = F.lit(False)
@@ -155,7 +155,7 @@ def redact(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
         if kind not in BASE:
             maybe |= text.rlike(FAST.get(kind, KINDS[kind][0]))
     joined = (docs.filter(maybe).withColumn("_repo", F.col("doc_id").cast("string"))
-              .join(per_doc, F.col("_repo").eqNullSafe(F.col("repo")), "left")
+              .join(per_doc, F.col("_repo").eqNullSafe(F.col("_of")), "left")
               .select(*[docs[c] for c in shape], "_live"))
     out = docs.filter(~maybe).withColumn("_live", F.lit(None).cast("array<string>")).unionByName(joined)
     new = F.col("text")
