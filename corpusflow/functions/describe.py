@@ -76,9 +76,12 @@ def _fill(template: str, **cols: Column) -> Column:
 
 
 def clean_javadoc(raw: Column) -> Column:
-    """Drop ``/**``, ``*`` runs and ``*/``, then trim all whitespace."""
-    stripped = F.regexp_replace(raw, r"/?\*+/?", "")
-    return F.regexp_replace(stripped, r"(?U)^\s+|\s+$", "")
+    """The comment's text: without its opening and closing, and without the star that starts
+    a line; stars inside the text stay. White space around the text goes."""
+    body = F.regexp_replace(raw, r"\A\s*/\*+", "")
+    body = F.regexp_replace(body, r"\*+/\s*\z", "")
+    body = F.regexp_replace(body, r"(?m)^([ \t]*)\*+(?!\S*\*)", "$1")
+    return F.regexp_replace(body, r"(?U)^\s+|\s+$", "")
 
 
 def describe_file(content: Column) -> Column:

@@ -20,45 +20,58 @@ MD_DESC, MD_SECTIONS, MD_MAX_SECTIONS = "Documentation file", " with sections: "
 YAML_DESC, YAML_PROPS, YAML_MAX_KEYS = "YAML configuration file", " with properties: ", 5
 MAX_EXAMPLES = 3
 
-PACKAGE_RE = r"package\s+([\w.]+)"
-CLASS_RE = r"(public\s+)?(class|interface)\s+(\w+)"
-IMPORT_RE = r"import\s+([\w.*]+)"
-HEADING_RE = r"(?dm)^#+\s+(.+)$"
-YAML_KEY_RE = r"(?dm)^(\w+):\s*"
+# Java, from the language's grammar. Comments and string or character literals are blanked first.
+JAVA_OPAQUE = (r"""(?s)"{3}.*?"{3}|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|/\*.*?\*/|//[^\n]*""")
+JAVA_NAME = r"[\p{L}_$][\p{L}\p{N}_$]*"
+JAVA_QUALIFIED = JAVA_NAME + r"(?:\s*\.\s*" + JAVA_NAME + ")*"
+JAVA_STATEMENT = r"(?m)(?:^|(?<=;))\s*"  # package and import clauses stand at the start of a statement
+JAVA_PACKAGE = JAVA_STATEMENT + r"package\s+(" + JAVA_QUALIFIED + r")\s*;"
+JAVA_IMPORT = JAVA_STATEMENT + r"import\s+(?:static\s+)?(" + JAVA_QUALIFIED + r"(?:\s*\.\s*\*)?)\s*;"
+JAVA_TYPE = (r"(?<![\p{L}\p{N}_$.])(?:class|interface|enum|record)\s+(" + JAVA_NAME
+             + r")(?=\s*[<({]|\s+(?:extends|implements|permits)\b)")
+# Markdown: fenced code is blanked; a heading has one to six marks, a blank, and text.
+MD_FENCE = r"(?sm)^ {0,3}`{3}[^\n]*\n.*?(?:^ {0,3}`{3}[^\n]*$|\z)"
+MD_HEADING = r"(?dm)^ {0,3}#{1,6}[ \t]+([^ \t\n][^\n]*)$"
+# YAML: a plain or quoted scalar at the start of a line, then a colon that ends the line or precedes a blank.
+YAML_TOP_KEY = r"(?dm)^[\"']?([^\s#\"'\[\]{}&*!|>%@`,?:-][^\n:#\"']*?)[\"']?[ \t]*:(?=[ \t]|$)"
+
+
+def _extract_all(text: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
-def _extract_all(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), group)
+def _described(intro: str, *parts: tuple[Column, str, Column]) -> Column:
+    """``intro``, then label and value of each part whose condition holds."""
+    return F.concat(F.lit(intro), *[F.when(there, F.concat(F.lit(label), value)).otherwise(F.lit("")) for there, label, value in parts])
 
 
 def java_metadata(content: Column) -> dict[str, Column]:
-    """Package, classes, imports, lines; and the X12 description."""
-    package = F.nullif(F.regexp_extract(content, PACKAGE_RE, 1), F.lit(""))
-    classes = _extract_all(content, CLASS_RE, 3)
-    desc = F.concat(
-        F.lit(JAVA_DESC),
-        F.when(package.isNotNull(), F.concat(F.lit(JAVA_IN_PACKAGE), package)).otherwise(F.lit("")),
-        F.when(F.size(classes) > 0, F.concat(F.lit(JAVA_CLASSES), F.array_join(classes, ", "))).otherwise(F.lit("")))
-    return {"file_type": F.lit("java"), "package": package, "classes": classes,
-            "imports": _extract_all(content, IMPORT_RE, 1), "lines": line_count(content), "description": desc}
+    """Package, declared types, imports, lines; and the X12 description. Words in comments and
+    literals do not count."""
+    code = F.regexp_replace(content, JAVA_OPAQUE, " ")
+    tight = lambda c: F.regexp_replace(c, r"\s+", "")
+    package = F.nullif(tight(F.regexp_extract(code, JAVA_PACKAGE, 1)), F.lit(""))
+    types = _extract_all(code, JAVA_TYPE)
+    return {"file_type": F.lit("java"), "package": package, "classes": types,
+            "imports": F.transform(_extract_all(code, JAVA_IMPORT), tight), "lines": line_count(content),
+            "description": _described(JAVA_DESC, (package.isNotNull(), JAVA_IN_PACKAGE, package),
+                                      (F.size(types) > 0, JAVA_CLASSES, F.array_join(types, ", ")))}
 
 
 def markdown_metadata(content: Column) -> dict[str, Column]:
-    """Headings, lines, code fence flag; description with three sections."""
-    headings = _extract_all(content, HEADING_RE, 1)
-    desc = F.concat(F.lit(MD_DESC), F.when(F.size(headings) > 0, F.concat(
-        F.lit(MD_SECTIONS), F.array_join(F.slice(headings, 1, MD_MAX_SECTIONS), ", "))).otherwise(F.lit("")))
+    """Headings outside code blocks, lines, code fence flag; description with three sections."""
+    headings = F.transform(_extract_all(F.regexp_replace(content, MD_FENCE, ""), MD_HEADING), lambda h: F.rtrim(h))
     return {"file_type": F.lit("markdown"), "headings": headings, "lines": line_count(content),
-            "has_code_blocks": content.contains("```"), "description": desc}
+            "has_code_blocks": content.contains("```"),
+            "description": _described(MD_DESC, (F.size(headings) > 0, MD_SECTIONS, F.array_join(F.slice(headings, 1, MD_MAX_SECTIONS), ", ")))}
 
 
 def yaml_metadata(content: Column) -> dict[str, Column]:
     """Top-level keys (distinct, sorted: decision 18), lines; description
     with the first five keys."""
-    keys = F.array_sort(F.array_distinct(_extract_all(content, YAML_KEY_RE, 1)))
-    desc = F.concat(F.lit(YAML_DESC), F.when(F.size(keys) > 0, F.concat(
-        F.lit(YAML_PROPS), F.array_join(F.slice(keys, 1, YAML_MAX_KEYS), ", "))).otherwise(F.lit("")))
-    return {"file_type": F.lit("yaml"), "top_level_keys": keys, "lines": line_count(content), "description": desc}
+    keys = F.array_sort(F.array_distinct(_extract_all(content, YAML_TOP_KEY)))
+    return {"file_type": F.lit("yaml"), "top_level_keys": keys, "lines": line_count(content),
+            "description": _described(YAML_DESC, (F.size(keys) > 0, YAML_PROPS, F.array_join(F.slice(keys, 1, YAML_MAX_KEYS), ", ")))}
 
 
 @dataclass
