@@ -2,8 +2,8 @@
 
 Input is a ``files`` table (rel_path, ext, content, ...). File chunks and
 generic chunks are pure column expressions. Java class and method spans need
-a brace scan, which runs per file in ``mapInPandas``; it returns only spans,
-names and raw comments, and native columns derive ids, hashes and texts.
+a brace scan, which runs per file in ``mapInArrow``; it returns members' texts,
+names and raw comments, and native columns derive ids, hashes and descriptions.
 """
 
 from __future__ import annotations
@@ -135,6 +135,12 @@ def java_span_offsets(text: str) -> list[tuple]:
     masked, docs = _mask(text)
     n = len(text)
     newlines = [m.start() for m in re.finditer("\n", text)]
+    stops = [m.start() for m in re.finditer("[;{}]", masked)]
+
+    def segment(pos: int) -> int:
+        """Start of the statement or body that ``pos`` lies in."""
+        k = bisect.bisect_left(stops, pos)
+        return stops[k - 1] + 1 if k else 0
 
     def line_at(pos: int) -> int:
         return bisect.bisect_left(newlines, pos) + 1
@@ -149,7 +155,7 @@ def java_span_offsets(text: str) -> list[tuple]:
             k += 1
         if k >= n or masked[k] != "{":
             continue
-        seg = max(masked.rfind(";", 0, kw), masked.rfind("{", 0, kw), masked.rfind("}", 0, kw)) + 1
+        seg = segment(kw)
         h = _CLASS_HEAD.fullmatch(masked, seg, kw)
         start = h.start(1) if h is not None and h.group(1) else kw
         decls.append((start, "class", m.group(2), k, None))
@@ -170,7 +176,7 @@ def java_span_offsets(text: str) -> list[tuple]:
             i -= 1
         if i < 0:
             continue
-        seg = max(masked.rfind(";", 0, i), masked.rfind("{", 0, i), masked.rfind("}", 0, i)) + 1
+        seg = segment(i)
         h = _METHOD_HEAD.fullmatch(masked, seg, i)
         if h is None:
             c = _CTOR_HEAD.fullmatch(masked, seg, i)
@@ -194,7 +200,7 @@ def java_span_offsets(text: str) -> list[tuple]:
         elif stack:
             close_of[stack.pop()] = p
     class_at_brace = {d[3]: d[2] for d in decls if d[1] == "class"}
-    doc_ends = [e for _, e in docs]
+    doc_starts, doc_ends = [s for s, _ in docs], [e for _, e in docs]
 
     out = []
     for start, kind, name, brace, rtype in sorted(decls):
@@ -220,63 +226,65 @@ def java_span_offsets(text: str) -> list[tuple]:
                     and not text[line_start:s].strip()):
                 javadoc = text[s:e]
         if javadoc is None:
-            for s, e in docs:
-                if s >= start and e <= end:
-                    javadoc = text[s:e]
-                    break
+            i = bisect.bisect_left(doc_starts, start)
+            if i < len(docs) and docs[i][1] <= end:
+                javadoc = text[docs[i][0]:docs[i][1]]
         out.append((kind, name, line_at(start), line_at(end), start, end, parent, rtype, javadoc))
     return out
 
 
-_SPAN_FIELDS = [("chunk_type", "string"), ("chunk_name", "string"), ("start_line", "int32"),
-                ("end_line", "int32"), ("start_off", "int32"), ("end_off", "int32"),
-                ("parent_class", "string"), ("return_type", "string"), ("javadoc", "string")]
-SPANS_DDL = ("rel_path string, content string, spans array<struct<chunk_type: string, chunk_name: string, "
-             "start_line: int, end_line: int, start_off: int, end_off: int, parent_class: string, "
-             "return_type: string, javadoc: string>>")
+_MEMBER_FIELDS = [("chunk_type", "string"), ("chunk_name", "string"), ("start_line", "int32"),
+                  ("end_line", "int32"), ("code", "string"), ("parent_class", "string"),
+                  ("return_type", "string"), ("javadoc", "string"), ("nth", "int32")]
+MEMBERS_DDL = ("rel_path string, members array<struct<chunk_type: string, chunk_name: string, start_line: int, "
+               "end_line: int, code: string, parent_class: string, return_type: string, javadoc: string, nth: int>>")
 
 
-def _java_span_arrow(with_file: bool):
-    """Arrow batches in, the same batches out plus a ``spans`` list column:
-    paths and contents pass through untouched, Python returns offsets only."""
+def java_members(text: str, with_file: bool = False) -> list[tuple]:
+    """Members of one file as (type, name, first line, last line, text, parent, return type, javadoc,
+    nth): ``nth`` counts members of one type that start on the same line."""
+    spans = [("file", "file_content", 1, text.count("\n") + 1, 0, len(text), None, None, None)] if with_file else []
+    seen: dict[tuple[str, int], int] = {}
+    out = []
+    for kind, name, first, last, a, b, parent, rtype, doc in spans + java_span_offsets(text):
+        nth = seen.get((kind, first), 0)
+        seen[kind, first] = nth + 1
+        out.append((kind, name, first, last, text[a:b], parent, rtype, doc, nth))
+    return out
+
+
+def _java_members_arrow(with_file: bool):
+    """Arrow batches of (rel_path, content) in, (rel_path, members) out, a bounded number of files at a time."""
     def run(batches):
         import pyarrow as pa
-        span_type = pa.list_(pa.struct([pa.field(n, pa.int32() if t == "int32" else pa.string())
-                                        for n, t in _SPAN_FIELDS]))
+        member = pa.list_(pa.struct([pa.field(n, pa.int32() if t == "int32" else pa.string()) for n, t in _MEMBER_FIELDS]))
         for rb in batches:
-            contents = rb.column(1).to_pylist()
-            spans = []
-            for text in contents:
-                if text is None:
-                    spans.append(None)
-                    continue
-                items = [("file", "file_content", 1, text.count("\n") + 1, 0, len(text), None, None, None)] \
-                    if with_file else []
-                items.extend(java_span_offsets(text))
-                spans.append(items)
-            yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(spans, type=span_type)],
-                                             names=["rel_path", "content", "spans"])
+            for a in range(0, rb.num_rows, 64):
+                part = rb.slice(a, 64)
+                members = [None if t is None else java_members(t, with_file) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(members, type=member)], names=["rel_path", "members"])
     return run
 
 
 def java_member_chunks(files: DataFrame, extracted_at: Column | None = None,
                        width: int = ids.CHUNK_HASH_WIDTH, with_file: bool = False) -> DataFrame:
-    """Class and method chunks (and the file chunk when ``with_file``): span
-    offsets in Python (``mapInArrow``, contents passed through zero-copy),
-    texts cut and everything else derived natively. One pass over each file."""
-    spans = files.select("rel_path", "content").mapInArrow(_java_span_arrow(with_file), SPANS_DDL)
-    x = spans.select("rel_path", "content", F.explode("spans").alias("s"))
-    code = F.col("content").substr(F.col("s.start_off") + 1, F.col("s.end_off") - F.col("s.start_off"))
-    flat = x.select("rel_path", "s.chunk_type", "s.chunk_name", "s.start_line", "s.end_line",
-                    code.alias("code_content"), "s.parent_class", "s.return_type", "s.javadoc")
+    """Class and method chunks (and the file chunk when ``with_file``): the Arrow function returns
+    each member with its text, so that a file is cut in one pass however many members it has;
+    ids, hashes and descriptions are derived natively. Members of one type on one line get
+    ids ``..._{line}``, ``..._{line}.2``, and so on."""
+    spans = files.select("rel_path", "content").mapInArrow(_java_members_arrow(with_file), MEMBERS_DDL)
+    flat = spans.select("rel_path", F.explode("members").alias("s")).select(
+        "rel_path", "s.chunk_type", "s.chunk_name", "s.start_line", "s.end_line",
+        F.col("s.code").alias("code_content"), "s.parent_class", "s.return_type", "s.javadoc", "s.nth")
     doc = F.nullif(describe.clean_javadoc(F.col("javadoc")), F.lit(""))
     kind = F.col("chunk_type")
     inferred = (F.when(kind == "method", describe.describe_method(F.col("chunk_name"), F.col("return_type")))
                 .when(kind == "class", describe.describe_class(F.col("chunk_name")))
                 .otherwise(describe.describe_file(F.col("code_content"))))
-    line = F.when(kind == "file", F.lit(0)).otherwise(F.col("start_line"))
+    line = F.when(kind == "file", F.lit("0")).otherwise(F.col("start_line").cast("string"))
+    place = F.when(F.col("nth") > 0, F.concat_ws(".", line, (F.col("nth") + 1).cast("string"))).otherwise(line)
     return flat.select(
-        ids.chunk_id(F.col("rel_path"), kind, line, width).alias("chunk_id"),
+        ids.chunk_id(F.col("rel_path"), kind, place, width).alias("chunk_id"),
         F.col("rel_path").alias("file_path"),
         F.lit("java").alias("file_type"),
         "chunk_type", "chunk_name", "start_line", "end_line", "code_content",
