@@ -5,32 +5,40 @@ batches greedily: a new batch opens when the sequence count is reached or the
 tokens would overflow; an oversize pair stays alone. Sorted by length, every
 batch is a contiguous run, and all pairs of one size behave alike, so:
 
-1. count rows per size (a partially aggregated groupBy; at most
-   ``max_length + 1`` sizes after truncation),
-2. fold that run-length table once, in one pandas task over those few rows,
+1. range-partition and sort (id, size), and write that once, with each row's
+   partition and place in it,
+2. count rows per size and partition (a partial aggregate of that table),
+3. fold the counts per size in one streamed pass (one row per distinct size),
    giving for each size the batch its first rows join and how many fit in
    a fresh batch,
-3. give every row its exact rank inside its size run with range
-   partitioning and per-partition offsets (no group holds all rows),
-4. derive the batch id with column arithmetic.
+4. a row's rank in its size run is its place less the run's first place in
+   the partition, plus the counts of the partitions before; the batch id is
+   arithmetic on the rank.
 
 The result equals the sequential fold row for row, at any scale.
+
+In the given order (``pack_batches_in_order``) a batch is also a contiguous
+run, but where it starts depends on all rows before. A partition's rows can
+be entered in at most ``max_sequences`` ways (the row at which its first own
+batch starts), so every partition is folded once for each way, in parallel,
+and the partitions' maps are composed in order: one row per partition and way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 DEFAULT_MAX_TOKENS = 2048
 DEFAULT_MAX_SEQUENCES = 16
-# The run table is folded in one task and broadcast: its size is checked.
-MAX_DISTINCT_SIZES = 1_000_000
+PLACE_BITS = (1 << 33) - 1  # of monotonically_increasing_id: the row's place in its partition
 
 _RUN_SCHEMA = T.StructType([
     T.StructField("size", T.LongType()),
@@ -42,47 +50,41 @@ _RUN_SCHEMA = T.StructType([
 
 
 def _fold_runs(max_tokens: int, max_sequences: int):
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("size", ascending=False)
+    """Streamed fold of (size, n) in descending size order."""
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batch, cur_len, cur_tok = -1, max_sequences, 0  # no batch open yet
-        out = []
-        for size, n in zip(pdf["size"].tolist(), pdf["n"].tolist()):
-            size, n = int(size), int(n)
-            per_batch = max_sequences if size <= 0 else max(1, min(max_sequences, max_tokens // size))
-            if batch < 0:
-                room = 0
-            elif size <= 0:
-                room = max_sequences - cur_len
-            else:
-                room = min(max_sequences - cur_len, max(0, (max_tokens - cur_tok) // size))
-            take = max(0, min(n, room))
-            rest = n - take
-            out.append((size, batch, take, batch + 1, per_batch))
-            if rest > 0:
-                n_new = -(-rest // per_batch)
-                batch += n_new
-                cur_len = rest - (n_new - 1) * per_batch
-                cur_tok = cur_len * size
-            else:
-                cur_len += take
-                cur_tok += take * size
-        return pd.DataFrame(out, columns=_RUN_SCHEMA.fieldNames())
+        for pdf in frames:
+            out = []
+            for size, n in zip(pdf["size"].tolist(), pdf["n"].tolist()):
+                per_batch = max_sequences if size <= 0 else max(1, min(max_sequences, max_tokens // size))
+                if batch < 0:
+                    room = 0
+                elif size <= 0:
+                    room = max_sequences - cur_len
+                else:
+                    room = min(max_sequences - cur_len, max(0, (max_tokens - cur_tok) // size))
+                take = max(0, min(n, room))
+                rest = n - take
+                out.append((size, batch, take, batch + 1, per_batch))
+                if rest > 0:
+                    n_new = -(-rest // per_batch)
+                    batch += n_new
+                    cur_len = rest - (n_new - 1) * per_batch
+                    cur_tok = cur_len * size
+                else:
+                    cur_len += take
+                    cur_tok += take * size
+            yield pd.DataFrame(out, columns=_RUN_SCHEMA.fieldNames())
     return fold
 
 
-def _local_ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rank of each row inside its size run, within one sorted range partition."""
-    pid = TaskContext.get().partitionId()
-    last_size, counter = None, 0
-    for pdf in batches:
-        sizes = pdf["_size"].tolist()
-        ranks = []
-        for s in sizes:
-            if s != last_size:
-                last_size, counter = s, 0
-            ranks.append(counter)
-            counter += 1
-        yield pd.DataFrame({"_id": pdf["_id"], "_size": pdf["_size"], "_pid": pid, "_local": ranks})
+def _placed(df: DataFrame, order: list, num_partitions: int | None, name: str) -> DataFrame:
+    """``df`` range-partitioned and sorted, written once: partition numbers (_pid) and places in the
+    partition (_place) are fixed from then on."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                       .withColumn("_pid", F.spark_partition_id())
+                       .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(PLACE_BITS))), name)
 
 
 def pack_batches(df: DataFrame, id_col: str = "pair_id", size_col: str = "token_count",
@@ -90,35 +92,128 @@ def pack_batches(df: DataFrame, id_col: str = "pair_id", size_col: str = "token_
                  num_partitions: int | None = None) -> DataFrame:
     """W2 + W3: (id, size, batch_id, seq) for every row; batch ids start at 0
     in descending size order, ties in ``id_col`` order (stable sort)."""
-    spark = df.sparkSession
     slim = df.select(F.col(id_col).alias("_id"), F.col(size_col).cast("long").alias("_size"))
-    n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # one range exchange feeds everything below (Spark reuses the identical exchange)
-    ordered = (slim.repartitionByRange(n_parts, F.desc("_size"), F.asc("_id"))
-               .sortWithinPartitions(F.desc("_size"), F.asc("_id")))
-    # rows per (size, range partition): bounded by sizes x partitions
-    counts = ordered.groupBy("_size", F.spark_partition_id().alias("_pid")).agg(F.count(F.lit(1)).alias("_cnt"))
-    runs = counts.groupBy("_size").agg(F.sum("_cnt").alias("n")).select(
-        F.col("_size").alias("size"), "n", F.lit(0).alias("shard"))
-    n_sizes = runs.count()
-    if n_sizes > MAX_DISTINCT_SIZES:
-        raise ValueError(f"{n_sizes} distinct sizes; cap them first (token counts <= max_length)")
-    folded = runs.groupBy("shard").applyInPandas(
-        lambda pdf: _fold_runs(max_tokens, max_sequences)(pdf[["size", "n"]]), _RUN_SCHEMA)
-
-    local = ordered.mapInPandas(_local_ranks, "_id " + slim.schema["_id"].dataType.simpleString() +
-                                ", _size long, _pid int, _local long")
+    placed = _placed(slim, [F.desc("_size"), F.asc("_id")], num_partitions, "pack-sorted")
+    # rows per (size, range partition), and the place at which the size starts there
+    counts = placed.groupBy("_size", "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_place").alias("_first"))
+    runs = counts.groupBy("_size").agg(F.sum("_cnt").alias("n")).select(F.col("_size").alias("size"), "n")
+    folded = (runs.repartition(1).sortWithinPartitions(F.desc("size"))
+              .mapInPandas(_fold_runs(max_tokens, max_sequences), _RUN_SCHEMA))
     w = Window.partitionBy("_size").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_size", "_pid", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    ranked = local.join(F.broadcast(offsets), ["_size", "_pid"]).select(
-        "_id", "_size", (F.col("_off") + F.col("_local")).alias("_rank"))
-    r = ranked.join(F.broadcast(folded), ranked["_size"] == folded["size"])
+    offsets = counts.select("_size", "_pid", (F.coalesce(F.sum("_cnt").over(w), F.lit(0)) - F.col("_first")).alias("_off"))
+    r = (placed.join(offsets, ["_size", "_pid"]).withColumn("_rank", F.col("_off") + F.col("_place"))
+         .join(folded, F.col("_size") == F.col("size")))
     batch = F.when(F.col("_rank") < F.col("head_take"), F.col("head_batch")).otherwise(
         F.col("first_new") + F.floor((F.col("_rank") - F.col("head_take")) / F.col("per_batch")))
     return r.select(F.col("_id").alias(id_col), F.col("_size").alias(size_col),
                     batch.cast("long").alias("batch_id"))
 
 
+def _fits(count: int, tokens: int, size: int, max_tokens: int, max_sequences: int) -> bool:
+    return count > 0 and count < max_sequences and tokens + max(size, 0) <= max_tokens
+
+
+def _partition_maps(max_tokens: int, max_sequences: int):
+    """(_pid, _size) rows of a partition in order -> for each entry (rows that belong to an earlier
+    partition's batch): batches opened, and the open batch's rows and tokens at the end. ``heads`` are
+    the first sizes, by which the batch open before decides the entry."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pid, heads, ways, at = None, [], None, 0
+        done = []
+
+        def close():
+            if pid is not None:
+                done.append(pd.DataFrame([(pid, e, at, heads, *w) for e, w in enumerate(ways)],
+                                         columns=["_pid", "entry", "rows", "heads", "opened", "count", "tokens"]))
+        for pdf in frames:
+            for p, size in zip(pdf["_pid"].tolist(), pdf["_size"].tolist()):
+                if p != pid:
+                    close()
+                    pid, heads, at, ways = p, [], 0, [(0, 0, 0)] * (max_sequences + 1)
+                if at <= max_sequences:
+                    heads = [*heads, size]
+                for e in range(max_sequences + 1):
+                    if at >= e:
+                        opened, count, tokens = ways[e]
+                        ways[e] = (opened, count + 1, tokens + max(size, 0)) if _fits(count, tokens, size, max_tokens, max_sequences) \
+                            else (opened + 1, 1, max(size, 0))
+                at += 1
+            yield from done
+            done.clear()
+        close()
+        yield from done
+    return run
+
+
+def _compose(max_tokens: int, max_sequences: int):
+    """Streamed composition of the partitions' maps in order -> (_pid, entry, first batch of its own,
+    batch open before)."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        batch, count, tokens, pid, entry = -1, 0, 0, None, 0
+        for pdf in frames:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r[0] != pid:
+                    pid, entry = r[0], 0
+                    joined_count, joined_tokens = count, tokens
+                    for size in r.heads:
+                        if not _fits(joined_count, joined_tokens, size, max_tokens, max_sequences):
+                            break
+                        entry, joined_count, joined_tokens = entry + 1, joined_count + 1, joined_tokens + max(size, 0)
+                if r.entry == entry:
+                    out.append((pid, entry, batch + 1, batch))
+                    if entry >= r.rows:  # all rows went to the batch open before
+                        count, tokens = joined_count, joined_tokens
+                    else:
+                        batch, count, tokens = batch + r.opened, r.count, r.tokens
+            yield pd.DataFrame(out, columns=["_pid", "entry", "first_own", "before"])
+    return run
+
+
+def _numbered(max_tokens: int, max_sequences: int, schema: list[str]):
+    """Rows of a partition in order, with its entry -> rows with batch_id."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pid, batch, count, tokens, at = None, 0, 0, 0, 0
+        for pdf in frames:
+            ids = np.empty(len(pdf), np.int64)
+            for k, (p, size, entry, first, before) in enumerate(zip(
+                    pdf["_pid"].tolist(), pdf["_size"].tolist(), pdf["entry"].tolist(), pdf["first_own"].tolist(), pdf["before"].tolist())):
+                if p != pid:
+                    pid, batch, count, tokens, at = p, first - 1, 0, 0, 0
+                if at < entry:
+                    ids[k] = before
+                else:
+                    if _fits(count, tokens, size, max_tokens, max_sequences):
+                        count, tokens = count + 1, tokens + max(size, 0)
+                    else:
+                        batch, count, tokens = batch + 1, 1, max(size, 0)
+                    ids[k] = batch
+                at += 1
+            yield pd.DataFrame({schema[0]: pdf["_id"], schema[1]: pdf["_size"], "batch_id": ids})
+    return run
+
+
+def pack_batches_in_order(df: DataFrame, order_col: str, id_col: str = "pair_id", size_col: str = "token_count",
+                          max_tokens: int = DEFAULT_MAX_TOKENS, max_sequences: int = DEFAULT_MAX_SEQUENCES,
+                          num_partitions: int | None = None) -> DataFrame:
+    """W3 with ``sort_by_length=False``: batches of rows in ``order_col`` order, ties in ``id_col`` order.
+    The sequential part is one row per partition and entry; a partition's own rows are streamed."""
+    slim = df.select(F.col(order_col).alias("_order"), F.col(id_col).alias("_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("_size"))
+    placed = _placed(slim, [F.asc("_order"), F.asc("_id")], num_partitions, "pack-ordered")
+    # whole range partitions, in order: dealt by their numbers, sorted by place
+    dealt = placed.repartition("_pid").sortWithinPartitions("_pid", "_place")
+    maps = dealt.select("_pid", "_size").mapInPandas(
+        _partition_maps(max_tokens, max_sequences),
+        "_pid int, entry int, rows long, heads array<long>, opened long, count long, tokens long")
+    entries = materialize(maps.repartition(1).sortWithinPartitions("_pid", "entry")
+                          .mapInPandas(_compose(max_tokens, max_sequences), "_pid int, entry int, first_own long, before long"), "pack-entries")
+    joined = (placed.join(entries, "_pid").select("_pid", "_place", "_id", "_size", "entry", "first_own", "before")
+              .repartition("_pid").sortWithinPartitions("_pid", "_place"))
+    kind = slim.schema["_id"].dataType.simpleString()
+    return joined.select("_pid", "_id", "_size", "entry", "first_own", "before").mapInPandas(
+        _numbered(max_tokens, max_sequences, [id_col, size_col]), f"{id_col} {kind}, {size_col} long, batch_id long")
+
+
 def collate(tokenized: DataFrame, packed: DataFrame, id_col: str = "pair_id",
             size_col: str = "token_count") -> DataFrame:
     """Rectangular arrays per batch (at most ``max_sequences`` rows each),
