@@ -44,5 +44,5 @@ def not_in_skipped_dir(rel_path: Column) -> Column:
 
 
 def ext_in(ext: Column, exts: list[str] | None = None) -> Column:
-    """extension whitelist."""
-    return ext.isin(exts or DEFAULT_EXTENSIONS)
+    """extension whitelist (a project's own list, or the default with ``.yml``)."""
+    return ext.isin(exts or INDEXED_EXTENSIONS)

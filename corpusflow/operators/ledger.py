@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import describe
+from ..session import materialize
 
 # Fixed values of the reference: status names, batch size, metadata whitelist.
 PENDING, IN_PROGRESS, COMPLETED, FAILED, SKIPPED = "pending", "in_progress", "completed", "failed", "skipped"
@@ -150,17 +151,21 @@ def ledger_upsert(ledger: DataFrame, writes: DataFrame) -> DataFrame:
     svn_message, ts, seq. A replaced row restarts as pending and loses its
     sha, error and retry count.
     """
-    fresh = writes.select(
-        "svn_revision", F.lit(None).cast("string").alias("git_commit_sha"), "svn_author",
-        "svn_timestamp", "svn_message", "batch_number",
-        F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"),
-        F.lit(PENDING).alias("status"), F.lit(None).cast("string").alias("error_message"),
-        F.lit(0).alias("retry_count"), "ts", F.col("seq").cast("bigint").alias("seq"))
-    current = ledger.select(*LEDGER_COLUMNS, F.col("updated_at").alias("ts"), F.lit(-1).cast("bigint").alias("seq"))
-    both = current.unionByName(fresh)
-    row = F.struct(*[F.col(c) for c in LEDGER_COLUMNS if c != "svn_revision"])
-    won = both.groupBy("svn_revision").agg(F.max_by(row, _order()).alias("r"))
-    return won.select("svn_revision", "r.*")
+    row = F.struct(
+        F.lit(None).cast("string").alias("git_commit_sha"), "svn_author", "svn_timestamp", "svn_message", "batch_number",
+        F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), F.lit(PENDING).alias("status"),
+        F.lit(None).cast("string").alias("error_message"), F.lit(0).alias("retry_count"))
+    # one row per written revision; written, so that its size is known to the planner: while it is
+    # small it is broadcast, and the ledger is neither shuffled nor sorted
+    last = materialize(writes.withColumn("seq", F.col("seq").cast("bigint")).groupBy("svn_revision")
+                       .agg(F.max_by(row, _order()).alias("_new"), F.max(_order()).alias("_at")), "ledger-writes")
+    wins = F.coalesce(F.col("_at") > F.struct(F.col("updated_at").alias("ts"), F.lit(-1).cast("bigint").alias("seq")), F.lit(False))
+    fields = [c for c in LEDGER_COLUMNS if c != "svn_revision"]
+    kept = ledger.select(*LEDGER_COLUMNS).join(last, "svn_revision", "left").select(
+        "svn_revision", *[F.when(wins, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in fields])
+    met = ledger.select("svn_revision").join(last.select("svn_revision"), "svn_revision", "left_semi")
+    new = last.join(met, "svn_revision", "left_anti").select("svn_revision", "_new.*")
+    return kept.unionByName(new.select(*kept.columns))
 
 
 def apply_status(ledger: DataFrame, transitions: DataFrame) -> DataFrame:
@@ -173,13 +178,13 @@ def apply_status(ledger: DataFrame, transitions: DataFrame) -> DataFrame:
     o = _order()
     done = F.col("status") == COMPLETED
     fail = F.col("status") == FAILED
-    per_rev = transitions.groupBy("svn_revision").agg(
+    per_rev = materialize(transitions.groupBy("svn_revision").agg(
         F.max_by("status", o).alias("t_status"),
         F.max("ts").alias("t_ts"),
         F.max_by("git_commit_sha", F.when(done, o)).alias("t_sha"),
         F.max(done).alias("t_done"),
         F.max_by("error_message", F.when(fail, o)).alias("t_error"),
-    )
+    ), "ledger-transitions")  # its size is known: broadcast while small
     j = ledger.join(per_rev, "svn_revision", "left")
     return j.select(
         "svn_revision",

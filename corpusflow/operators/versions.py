@@ -7,6 +7,7 @@ pruned and nothing is overwritten while it may be read.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,18 +15,22 @@ from .pairs import PAIR_COLUMNS
 
 
 def write_dataset_version(pairs: DataFrame, path: str, project: str, version: int) -> None:
-    """Stamp project and version and append the partition."""
+    """Write the pairs as partition (project, version). A repeated write replaces that one
+    partition, so a retry leaves no row twice; other versions are not touched."""
     (pairs.withColumn("version", F.lit(version).cast("int")).withColumn("project", F.lit(project))
-     .write.mode("append").partitionBy("project", "version").parquet(path))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project", "version").parquet(path))
 
 
 def next_version(spark: SparkSession, path: str, project: str) -> int:
-    """Version number for the next build of ``project`` (1 when none)."""
+    """Version number for the next build of ``project`` (1 when none). Only a missing data set
+    counts as none; any other failure to read it is raised."""
     try:
-        cur = spark.read.parquet(path).where(F.col("project") == project).agg(F.max("version")).first()[0]
-    except Exception:  # noqa: BLE001  (no data set written yet)
-        cur = None
-    return int(cur or 0) + 1
+        written = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return 1
+        raise
+    return int(written.where(F.col("project") == project).agg(F.max("version")).first()[0] or 0) + 1
 
 
 def current_version(pairs: DataFrame) -> DataFrame:

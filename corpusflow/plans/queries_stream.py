@@ -32,21 +32,21 @@ def q_stream_reindex(spark, sf):
     root = jobs.scratch_dir(spark, "stream-reindex")
     prev, cur = fx.snapshot_previous(spark, sf), fx.snapshot_files(spark, sf)
     # two polls of the tree: the previous snapshot, then the current one
-    prev.coalesce(1).write.parquet(f"{root}/polls")
-    cur.coalesce(1).write.mode("append").parquet(f"{root}/polls")
+    jobs.publish_poll(prev.repartition(5), f"{root}/polls", 1)
+    jobs.publish_poll(cur.repartition(4), f"{root}/polls", 2)
     jobs.empty_index(spark, f"{root}/index")
     jobs.stream_reindex(spark, f"{root}/polls", cur.schema, f"{root}/index", f"{root}/dataset",
                         f"{root}/_checkpoint")
     return jobs.latest_snapshot(spark, f"{root}/index/chunks").select("chunk_id", "file_path", "checksum")
 
 
-@query("stream_event_log", "SELECT event_id, event_type FROM events")
+@query("stream_event_log", "SELECT event_id, event_type, props FROM events")
 def q_stream_event_log(spark, sf):
     root = jobs.scratch_dir(spark, "stream-events")
-    ev = fx.read_table(spark, sf, "events").select("event_id", "ts", "event_type", "value")
+    ev = fx.read_table(spark, sf, "events").select("event_id", "ts", "event_type", "value", "props")
     ev.repartition(4).write.parquet(f"{root}/incoming")
     jobs.stream_event_log(spark, f"{root}/incoming", ev.schema, f"{root}/log", f"{root}/_checkpoint")
-    return spark.read.parquet(f"{root}/log").select("event_id", "event_type")
+    return spark.read.parquet(f"{root}/log").select("event_id", "event_type", "props")
 
 
 def _share_oracles() -> None:

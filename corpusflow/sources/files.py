@@ -7,6 +7,8 @@ source; after that, work runs on a compact ``files`` table
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,29 +38,34 @@ def select_indexable(files: DataFrame, exts: list[str] | None = None) -> DataFra
     return files.where(paths.not_in_skipped_dir(F.col("rel_path")) & paths.ext_in(F.col("ext"), exts))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system's scheme and made absolute, as Spark reports the files under it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+
+
 def scan_source_tree(spark: SparkSession, root: str, exts: list[str] | None = None,
                      keep_all: bool = False) -> DataFrame:
-    """Recursive walk of ``root`` into a files table.
+    """Recursive walk of ``root`` (relative, absolute, or with a scheme) into a files table.
 
     The file checksum is taken over the raw bytes (as the reference's change
-    detector does); content is decoded text. Hidden and build directories
-    are pruned by F1 and extensions by F2 unless ``keep_all``. Spark's file
-    source itself skips names starting with ``_`` or ``.``; use a prepared
+    detector does); content is decoded text. Extensions (F2) are a glob filter of the listing, so files
+    of others are never opened; hidden and build directories are pruned by F1. ``keep_all`` turns
+    both off. Spark's file source itself skips names starting with ``_`` or ``.``; use a prepared
     files table when such directories matter.
     """
-    root_uri = root.rstrip("/")
-    raw = (spark.read.format("binaryFile")
-           .option("recursiveFileLookup", "true")
-           .load(root_uri))
-    # binaryFile paths are URIs (file:/...); strip scheme up to the root
-    local = F.regexp_replace(F.col("path"), r"^file:(//)?", "")
-    root_local = root_uri.replace("file://", "").replace("file:", "")
-    rel = paths.relative_path(local, root_local)
-    files = raw.select(
-        local.alias("path"), rel.alias("rel_path"), paths.extension(rel).alias("ext"),
-        decode_text(F.col("content")).alias("content"),
-        F.sha2(F.col("content"), 256).alias("file_sha"))
-    return files if keep_all else select_indexable(files, exts)
+    base = qualified(spark, root)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if not keep_all:
+        reader = reader.option("pathGlobFilter", "*{" + ",".join(exts or paths.INDEXED_EXTENSIONS) + "}")
+    # the same file system may write its root with one slash or three
+    tidy = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    rel = paths.relative_path(tidy(F.col("path")), re.sub("^file:/+", "file:/", base))
+    raw = reader.load(base).withColumn("rel_path", rel).withColumn("ext", paths.extension(F.col("rel_path")))
+    if not keep_all:
+        raw = select_indexable(raw, exts)
+    return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "rel_path", "ext",
+                      decode_text(F.col("content")).alias("content"), F.sha2(F.col("content"), 256).alias("file_sha"))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, lenient: bool = True) -> DataFrame:

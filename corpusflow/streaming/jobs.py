@@ -42,6 +42,13 @@ def write_snapshot(df: DataFrame, path: str, n: int) -> None:
     df.write.mode("overwrite").parquet(_snapshot_path(path, n))
 
 
+def drop_snapshot(spark: SparkSession, path: str, n: int) -> None:
+    """Delete a snapshot that no replay can need any more (a replay of batch b reads snapshot b)."""
+    if n >= 0:
+        target = spark._jvm.org.apache.hadoop.fs.Path(_snapshot_path(path, n))
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 # ---------------------------------------------------------------------------
 # Ledger updates
 # ---------------------------------------------------------------------------
@@ -54,10 +61,12 @@ def stream_ledger(spark: SparkSession, updates_dir: str, updates_schema: T.Struc
     reads snapshot b and writes snapshot b+1, so a restart neither loses nor
     repeats an update: the checkpoint skips committed batches, and a batch
     replayed after a crash rewrites the same snapshot from the same input.
+    Snapshots that no replay can need are dropped.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
         base = spark.read.parquet(_snapshot_path(ledger_path, batch_id))
         write_snapshot(ledger.ledger_upsert(base, batch), ledger_path, batch_id + 1)
+        drop_snapshot(spark, ledger_path, batch_id - 1)
 
     q = (spark.readStream.format("parquet").schema(updates_schema)
          .option("maxFilesPerTrigger", files_per_batch).load(updates_dir)
@@ -70,19 +79,36 @@ def stream_ledger(spark: SparkSession, updates_dir: str, updates_schema: T.Struc
 # Re-index on change
 # ---------------------------------------------------------------------------
 
-def stream_reindex(spark: SparkSession, snapshots_dir: str, files_schema: T.StructType, index_path: str,
+POLL_SCHEMA = "poll long, path string"
+
+
+def publish_poll(files: DataFrame, polls_dir: str, poll: int) -> None:
+    """Publish a full snapshot of the source files as poll ``poll``: its rows go to any number of
+    files under ``data/poll=N`` (a repeated write replaces them), and only then is it announced by
+    one small file under ``ready``."""
+    path = f"{polls_dir}/data/poll={poll}"
+    files.write.mode("overwrite").parquet(path)
+    (files.sparkSession.createDataFrame([(poll, path)], POLL_SCHEMA).coalesce(1)
+     .write.mode("overwrite").json(f"{polls_dir}/ready/{poll:012d}"))
+
+
+def stream_reindex(spark: SparkSession, polls_dir: str, files_schema: T.StructType, index_path: str,
                    dataset_path: str, checkpoint: str, project: str = "default") -> None:
-    """Each micro-batch is a full snapshot of the source files: diff it with
-    the index state (J1), chunk only new/modified files (U3), merge the chunk
-    index (J3), and write the pairs of the new chunks as dataset version
-    ``batch_id + 1`` (U4, S5). ``index_path`` holds ``chunks`` and ``state``
-    snapshots; ``snapshot=0`` must exist (it may be empty)."""
-    def apply(batch: DataFrame, batch_id: int) -> None:
+    """Re-index per announced poll (``publish_poll``): diff the poll's whole snapshot with the index
+    state (J1), chunk only new/modified files (U3), merge the chunk index (J3), and write the pairs of
+    the new chunks as dataset version ``batch_id + 1`` (U4, S5). One announcement is one micro-batch,
+    so a snapshot is read whole, however many files it has. ``index_path`` holds ``chunks`` and
+    ``state`` snapshots; ``snapshot=0`` must exist (it may be empty)."""
+    def apply(announced: DataFrame, batch_id: int) -> None:
+        polls = announced.orderBy("poll").collect()  # one row by maxFilesPerTrigger
+        if len(polls) != 1:
+            raise ValueError(f"micro-batch {batch_id} announces {len(polls)} polls")
+        files = spark.read.schema(files_schema).parquet(polls[0]["path"])
         stamp = F.current_timestamp()
         state = spark.read.parquet(_snapshot_path(f"{index_path}/state", batch_id))
         old_chunks = spark.read.parquet(_snapshot_path(f"{index_path}/chunks", batch_id))
         # the diff and the new chunks feed three writes each: keep them for this batch only
-        diff = changes.diff_snapshots(batch, state, carry=["path", "ext", "content"]).persist()
+        diff = changes.diff_snapshots(files, state, carry=["path", "ext", "content"]).persist()
         new_chunks = chunking.extract_chunks(changes.changed_files(diff), stamp).persist()
         write_snapshot(changes.upsert_index(old_chunks, new_chunks, diff), f"{index_path}/chunks", batch_id + 1)
         write_snapshot(changes.next_state(state, diff, new_chunks, stamp), f"{index_path}/state", batch_id + 1)
@@ -91,9 +117,11 @@ def stream_reindex(spark: SparkSession, snapshots_dir: str, files_schema: T.Stru
          .parquet(f"{dataset_path}/project={project}/version={batch_id + 1}"))
         new_chunks.unpersist()
         diff.unpersist()
+        for kind in ("chunks", "state"):
+            drop_snapshot(spark, f"{index_path}/{kind}", batch_id - 1)
 
-    q = (spark.readStream.format("parquet").schema(files_schema).option("maxFilesPerTrigger", 1)
-         .load(snapshots_dir)
+    q = (spark.readStream.format("json").schema(POLL_SCHEMA).option("maxFilesPerTrigger", 1)
+         .option("recursiveFileLookup", "true").load(f"{polls_dir}/ready")
          .writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()

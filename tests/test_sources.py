@@ -26,6 +26,20 @@ def test_scan_source_tree(spark, tmp_path):
     assert got == {"src/A.java": ".java", "docs/readme.md": ".md"}
 
 
+def test_scan_relative_root_under_a_skipped_name(spark, tmp_path, monkeypatch):
+    for rel in ("build/proj/src/a.yml", "build/proj/b c.md", "build/proj/build/no.md", "build/proj/d.bin"):
+        p = tmp_path / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text("k: v")
+    # Spark resolves a relative path in the folder that its JVM was started in
+    here = spark._jvm.java.lang.System.getProperty("user.dir")
+    for root in (os.path.relpath(tmp_path / "build" / "proj", here), f"file://{tmp_path}/build/proj/", f"{tmp_path}/build/proj"):
+        got = {r["rel_path"]: r["path"] for r in files.scan_source_tree(spark, root).collect()}
+        assert set(got) == {"src/a.yml", "b c.md"} and got["b c.md"] == str(tmp_path / "build/proj/b c.md")
+    only = files.scan_source_tree(spark, f"{tmp_path}/build/proj", exts=[".bin"])   # a project's own list
+    assert [r["rel_path"] for r in only.collect()] == ["d.bin"]
+
+
 def test_read_jsonl_lenient_and_strict(spark, tmp_path):
     p = tmp_path / "pairs.jsonl"
     p.write_text('{"pair_id": "a", "n": 1}\n\nnot json\n{"pair_id": "b", "n": 2}\n')
@@ -57,6 +71,8 @@ def test_dataset_versions_roundtrip(spark, tmp_path):
     assert versions.next_version(spark, path, "proj") == 1
     versions.write_dataset_version(pairs, path, "proj", 1)
     versions.write_dataset_version(pairs.withColumn("pair_id", F.lit("p2")), path, "proj", 2)
+    versions.write_dataset_version(pairs.withColumn("pair_id", F.lit("p2")), path, "proj", 2)   # a retry
+    assert spark.read.parquet(path).where("version = 2").count() == 1
     assert versions.next_version(spark, path, "proj") == 3
     table = spark.read.parquet(path)
     cur = versions.read_dataset_version(table, "proj")
