@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import describe, ids
 
-# Prompt templates and cut lengths of the reference.
+# Prompt templates, and the reference's cut lengths (for callers who want its cuts).
 METHOD_EXPLAIN_PREFIX = "Explain this Java method:\n\n"
 METHOD_QA = ("What does the method '", "' do in class '", "'?")
 METHOD_USAGE = ("How to use the ", "() method?\n\nMethod code:\n")
@@ -36,11 +36,14 @@ def _pair(ordinal: int, pair_type: str, input_text: Column, output_text: Column,
 
 
 def generate_pairs(chunks: DataFrame, created_at: Column | None = None, version: int = 1,
-                   file_type_name: str | None = None, carry: list[str] | None = None) -> DataFrame:
+                   file_type_name: str | None = None, carry: list[str] | None = None,
+                   class_cut: int | None = None, file_cut: int | None = None) -> DataFrame:
     """U4: three pairs per method, two per class, one per file chunk.
 
     ``file_type_name`` replaces the word "Java" in the file prompt (the
-    reference always says Java); the default keeps the reference text.
+    reference always says Java); the default keeps the reference text. Class and file texts are
+    whole, unless ``class_cut`` / ``file_cut`` (CLASS_CUT, FILE_CUT) name a length, after which
+    ``...`` stands.
     """
     c = F.col
     code, name, kind = c("code_content"), c("chunk_name"), c("chunk_type")
@@ -49,6 +52,7 @@ def generate_pairs(chunks: DataFrame, created_at: Column | None = None, version:
     desc = describe.fallback_description(c("description"), kind, name, parent, c("file_path"))
     file_prefix = FILE_EXPLAIN_PREFIX if file_type_name is None else \
         FILE_EXPLAIN_PREFIX.replace("Java", file_type_name)
+    cut = lambda n: code if n is None else F.concat(F.substring(code, 1, n), F.lit(ELLIPSIS))
     method_pairs = F.array(
         _pair(1, "explain_method", F.concat(F.lit(METHOD_EXPLAIN_PREFIX), code), desc,
               [kind, F.lit("method_explanation"), parent_or_empty]),
@@ -59,14 +63,13 @@ def generate_pairs(chunks: DataFrame, created_at: Column | None = None, version:
               describe.usage_text(code, name), [kind, F.lit("method_usage"), parent_or_empty]),
     )
     class_pairs = F.array(
-        _pair(1, "explain_class", F.concat(F.lit(CLASS_EXPLAIN_PREFIX), F.substring(code, 1, CLASS_CUT),
-                                           F.lit(ELLIPSIS)), desc, [kind, F.lit("class_explanation")]),
+        _pair(1, "explain_class", F.concat(F.lit(CLASS_EXPLAIN_PREFIX), cut(class_cut)), desc, [kind, F.lit("class_explanation")]),
         _pair(2, "qa", F.concat(F.lit(CLASS_QA[0]), name, F.lit(CLASS_QA[1])), desc,
               [kind, F.lit("class_qa")]),
     )
     file_pairs = F.array(
-        _pair(1, "explain_file", F.concat(F.lit(file_prefix), F.substring(code, 1, FILE_CUT), F.lit(ELLIPSIS)),
-              desc, [kind, F.lit("file_explanation")]),
+        _pair(1, "explain_file", F.concat(F.lit(file_prefix), cut(file_cut)), desc,
+              [kind, F.lit("file_explanation")]),
     )
     per_chunk = (F.when(kind == "method", method_pairs).when(kind == "class", class_pairs)
                  .when(kind == "file", file_pairs))

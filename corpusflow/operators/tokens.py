@@ -151,9 +151,12 @@ def pad_or_truncate(ids: Column, labels: Column, max_length: int, pad_id: int =
 
 def tokenize_pairs(pairs: DataFrame, encoder, max_length: int = DEFAULT_MAX_LENGTH,
                    pad_id: int = PAD_ID, mask_header: bool = False,
-                   key: str = "pair_id", carry: list[str] | None = None) -> DataFrame:
+                   key: str = "pair_id", carry: list[str] | None = None, windows: bool = False) -> DataFrame:
     """K3: combined text, input-masked labels, pad/truncate, counts.
 
+    A pair beyond ``max_length`` tokens is cut like the reference's, or, with ``windows``, gives
+    further rows: ``window_no`` 0, 1, ... of ``max_length`` tokens each, so that no token is lost.
+
     Rows with a missing input or output are dropped (the reference skips a
     pair whose tokenisation raises). ``mask_header`` also masks the
     EXPLANATION header (decision 12; off by default like the reference).
@@ -181,12 +184,18 @@ def tokenize_pairs(pairs: DataFrame, encoder, max_length: int = DEFAULT_MAX_LENG
             base = base.withColumn("_prompt", F.concat(F.col("input_text"), F.lit(EXPLANATION_HEADER)))
             prompt = "_prompt"
         enc = encode_columns(base, {prompt: "_in_ids", "_combined": "_all_ids"}, encoder, keep)
-    in_len = F.least(F.size("_in_ids"), F.lit(max_length))
-    comb = F.slice(F.col("_all_ids"), 1, max_length)
-    staged = enc.select(key, *carry, comb.alias("_comb"), in_len.alias("_in_len"), "original_length")
+    number = []
+    first = F.lit(0)
+    if windows:
+        number, first = ["window_no"], F.col("window_no") * max_length
+        last = F.greatest(F.ceil(F.size("_all_ids") / max_length).cast("int") - 1, F.lit(0))
+        enc = enc.withColumn("window_no", F.explode(F.sequence(F.lit(0), last)))
+    in_len = F.least(F.greatest(F.size("_in_ids") - first, F.lit(0)), F.lit(max_length))
+    comb = F.slice(F.col("_all_ids"), first + 1, max_length)
+    staged = enc.select(key, *carry, *number, comb.alias("_comb"), in_len.alias("_in_len"), "original_length")
     padded = pad_or_truncate(F.col("_comb"), mask_labels(F.col("_comb"), F.col("_in_len")), max_length, pad_id)
     return staged.select(
-        key, *carry, padded["input_ids"].alias("input_ids"), padded["attention_mask"].alias("attention_mask"),
+        key, *carry, *number, padded["input_ids"].alias("input_ids"), padded["attention_mask"].alias("attention_mask"),
         padded["labels"].alias("labels"), F.size("_comb").cast("int").alias("token_count"),
         "original_length")
 

@@ -34,19 +34,18 @@ def dataset_report(pairs_df: DataFrame) -> DataFrame:
                      ",").alias("pairs_by_type"))
 
 
-def corpus_report(files: DataFrame, max_length: int = tokens.DEFAULT_MAX_LENGTH,
-                  created_at: Column | None = None) -> DataFrame:
+def corpus_report(files: DataFrame, created_at: Column | None = None) -> DataFrame:
     """Index, dataset and token statistics of a corpus in one row, from
     one pass: every file yields exactly one ``explain_file`` pair and every
     chunk exactly one explain_* pair, so files, chunks, pairs and token
     counts are a single aggregate over the pairs.
 
     Token counts come from the token rule directly (one id per token, so the
-    count equals K3's ``token_count`` without building ids).
+    count equals the sum of K3's window counts without building ids); nothing is cut.
     """
     ch = chunking.extract_chunks(files, created_at)
     ps = pairs.generate_pairs(ch, created_at)
-    t = F.least(F.size(tokens.tokens(tokens.combine(F.col("input_text"), F.col("output_text")))), F.lit(max_length))
+    t = F.size(tokens.tokens(tokens.combine(F.col("input_text"), F.col("output_text"))))
     kind = F.col("pair_type")
     return ps.select(kind, t.alias("token_count")).agg(
         F.count_if(kind == "explain_file").alias("total_files"),

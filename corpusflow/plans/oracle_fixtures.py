@@ -142,7 +142,7 @@ project_chunks AS (
 project_pairs AS (
   SELECT project, version, substr(md5(chunk_id || '|explain_file|1'), 1, 16) AS pair_id, chunk_id,
          'explain_file' AS pair_type,
-         'Summarize the purpose of this Java file:' || chr(10) || chr(10) || substr(code_content, 1, 800) || '...'
+         'Summarize the purpose of this Java file:' || chr(10) || chr(10) || code_content
            AS input_text,
          'File: ' || chunk_name AS output_text
   FROM project_chunks)
@@ -177,7 +177,7 @@ pairs AS (
   FROM {chunks} WHERE chunk_type = 'method'
   UNION ALL
   SELECT substr(md5(chunk_id || '|explain_class|1'), 1, 16), chunk_id, 'explain_class',
-         'Explain this Java class:' || chr(10) || chr(10) || substr(code_content, 1, 1000) || '...',
+         'Explain this Java class:' || chr(10) || chr(10) || code_content,
          coalesce(nullif(description, ''), 'Java class ''' || chunk_name || ''''),
          chunk_type || ',class_explanation'
   FROM {chunks} WHERE chunk_type = 'class'
@@ -189,7 +189,7 @@ pairs AS (
   FROM {chunks} WHERE chunk_type = 'class'
   UNION ALL
   SELECT substr(md5(chunk_id || '|explain_file|1'), 1, 16), chunk_id, 'explain_file',
-         'Summarize the purpose of this Java file:' || chr(10) || chr(10) || substr(code_content, 1, 800) || '...',
+         'Summarize the purpose of this Java file:' || chr(10) || chr(10) || code_content,
          coalesce(nullif(description, ''), 'Code content from ' || file_path),
          chunk_type || ',file_explanation'
   FROM {chunks} WHERE chunk_type = 'file')
@@ -320,11 +320,11 @@ turn_pairs AS (
 """
 
 
-def vocab(size: int = 2000) -> str:
+def vocab(size: int = 2000, texts: str = "SELECT text FROM documents") -> str:
     return f"""
 vocab_counts AS (
   SELECT token, count(*) AS freq
-  FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN_PAT}')) AS token FROM documents) GROUP BY token),
+  FROM (SELECT unnest(regexp_extract_all(text, '{TOKEN_PAT}')) AS token FROM ({texts})) GROUP BY token),
 vocab AS (
   SELECT token, (row_number() OVER (ORDER BY freq DESC, token) + 2)::INTEGER AS id
   FROM (SELECT * FROM vocab_counts WHERE token NOT IN ('<pad>', '<unk>', '<eos>')

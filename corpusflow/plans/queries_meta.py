@@ -115,10 +115,8 @@ FROM projects p LEFT JOIN (SELECT source, count(*) AS n FROM documents GROUP BY
   ON p.project_name = c.source""")
 def q_project_rollup(spark, sf):
     d = fx.read_table(spark, sf, "documents").select("doc_id", "text", "source")
-    files = src_files.files_from_table(
-        d.withColumn("rel_path", F.concat_ws("/", "source", F.col("doc_id").cast("string"))), "rel_path", "text"
-    ).join(d.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("rel_path"),
-                    F.col("source").alias("project")), "rel_path")
+    named = d.withColumn("rel_path", F.concat_ws("/", "source", F.col("doc_id").cast("string")))
+    files = src_files.files_from_table(named, "rel_path", "text", carry={"source": "project"})
     ch = chunking.extract_generic_chunks(files, fixed_ts(), carry=["project"])
     return PR.project_rollup(fx.projects(spark, sf), ch)
 
@@ -140,8 +138,8 @@ def q_dataset_report(spark, sf):
 
 @query("corpus_report", W(ofx.JAVA, ofx.DOC_TREE, ofx.TREE_CHUNKS, ofx.ALL_CHUNKS, ofx.pairs_of("all_chunks")) + f""",
 counted AS (
-  SELECT least(len(regexp_extract_all(input_text || chr(10) || chr(10) || 'EXPLANATION:' || chr(10) || output_text,
-                                      '{ofx.TOKEN_PAT}')), 1024) AS token_count FROM pairs)
+  SELECT len(regexp_extract_all(input_text || chr(10) || chr(10) || 'EXPLANATION:' || chr(10) || output_text,
+                                '{ofx.TOKEN_PAT}')) AS token_count FROM pairs)
 SELECT (SELECT count(*) FROM indexed_tree) + (SELECT count(*) FROM java_files) AS total_files,
        (SELECT count(*) FROM all_chunks) AS total_chunks,
        count(*) AS total_pairs, coalesce(sum(token_count), 0)::BIGINT AS total_tokens,

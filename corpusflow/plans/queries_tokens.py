@@ -149,13 +149,13 @@ def q_repair_nulls(spark, sf):
 
 DOC_SIZES_SQL = f"""
 doc_sizes AS (
-  SELECT doc_id, least(len(regexp_extract_all(text, '{ofx.TOKEN_PAT}')), 1024) AS token_count FROM documents)
+  SELECT doc_id, len(regexp_extract_all(text, '{ofx.TOKEN_PAT}')) AS token_count FROM documents)
 """
 
 
 def doc_sizes(spark, sf) -> DataFrame:
     d = fx.read_table(spark, sf, "documents")
-    return d.select("doc_id", F.least(F.size(K.tokens(F.col("text"))), F.lit(1024)).alias("token_count"))
+    return d.select("doc_id", F.size(K.tokens(F.col("text"))).alias("token_count"))
 
 
 @query("pack_batches", W(DOC_SIZES_SQL, ofx.packed("doc_sizes", "doc_id", "token_count")) +
@@ -165,6 +165,17 @@ def q_pack_batches(spark, sf):
     return p.select("doc_id", F.col("token_count").cast("bigint").alias("token_count"), "batch_id")
 
 
+# the walk in the given order: by doc_id, longest first nowhere
+IN_ORDER_SQL = ofx.packed("doc_sizes", "doc_id", "token_count").replace("ORDER BY token_count DESC, doc_id", "ORDER BY doc_id")
+
+
+@query("pack_batches_in_order", W(DOC_SIZES_SQL, IN_ORDER_SQL) +
+       " SELECT doc_id, token_count::BIGINT AS token_count, batch_id FROM packed")
+def q_pack_batches_in_order(spark, sf):
+    p = P.pack_batches_in_order(doc_sizes(spark, sf), "doc_id", id_col="doc_id")
+    return p.select("doc_id", "token_count", "batch_id")
+
+
 @query("batch_stats", W(DOC_SIZES_SQL, ofx.packed("doc_sizes", "doc_id", "token_count")) + """,
 sizes AS (SELECT batch_id, count(*) AS n FROM packed GROUP BY batch_id)
 SELECT count(*)::BIGINT AS total_batches, coalesce(round(avg(n), 6), 0.0) AS avg_batch_size,
@@ -203,24 +214,47 @@ def q_tokenize_report(spark, sf):
 # the corpus pairs (the reference's own tokenisation input), full window
 # ---------------------------------------------------------------------------
 
-@query("tokenize_corpus", W(ofx.JAVA, ofx.DOC_TREE, ofx.TREE_CHUNKS, ofx.ALL_CHUNKS, ofx.pairs_of("all_chunks")) + f""",
+@query("tokenize_windows", TOKENIZED_SQL + f""",
+n AS (SELECT pair_id, in_len AS n_in, ids FROM (
+  SELECT a.k AS pair_id, len(i.ids) AS in_len, a.ids FROM enc_all a JOIN enc_in i ON a.k = i.k)),
+w AS (SELECT *, unnest(range(greatest(1, (len(ids) + {MAX_LENGTH} - 1) // {MAX_LENGTH}))) AS window_no FROM n),
+c AS (SELECT *, list_slice(ids, window_no * {MAX_LENGTH} + 1, (window_no + 1) * {MAX_LENGTH}) AS part,
+      least(greatest(n_in - window_no * {MAX_LENGTH}, 0), {MAX_LENGTH}) AS masked FROM w)
+SELECT pair_id, window_no::BIGINT AS window_no, len(part)::BIGINT AS token_count,
+       array_to_string(list_resize(part, {MAX_LENGTH}, 0), ' ') AS input_ids,
+       array_to_string(list_resize(list_concat(list_resize([]::INTEGER[], least(masked, len(part)), -100),
+                                               list_slice(part, masked + 1, len(part))), {MAX_LENGTH}, -100), ' ') AS labels
+FROM c""")
+def q_tokenize_windows(spark, sf):
+    t = K.tokenize_pairs(fx.turn_pairs(spark, sf), K.encoder_from_vocab(vocab(spark, sf)), max_length=MAX_LENGTH, windows=True)
+    return t.select("pair_id", F.col("window_no").cast("bigint").alias("window_no"), F.col("token_count").cast("bigint").alias("token_count"),
+                    _s("input_ids").alias("input_ids"), _s("labels").alias("labels"))
+
+
+CORPUS_VOCAB = 32000
+
+
+@query("tokenize_corpus", W(ofx.JAVA, ofx.DOC_TREE, ofx.TREE_CHUNKS, ofx.ALL_CHUNKS, ofx.pairs_of("all_chunks"),
+                            ofx.vocab(CORPUS_VOCAB, "SELECT input_text AS text FROM pairs UNION ALL SELECT output_text FROM pairs")) + f""",
+toks AS (
+  SELECT pair_type, regexp_extract_all(input_text || chr(10) || chr(10) || 'EXPLANATION:' || chr(10) || output_text, '{ofx.TOKEN_PAT}') AS t,
+         len(regexp_extract_all(input_text, '{ofx.TOKEN_PAT}')) AS n_in FROM pairs),
 counted AS (
-  SELECT pair_type,
-         least(len(regexp_extract_all(input_text || chr(10) || chr(10) || 'EXPLANATION:' || chr(10) || output_text,
-                                      '{ofx.TOKEN_PAT}')), 1024) AS token_count,
-         least(len(regexp_extract_all(input_text, '{ofx.TOKEN_PAT}')), 1024) AS in_len
-  FROM pairs)
-SELECT pair_type, count(*)::BIGINT AS n_pairs, sum(token_count)::BIGINT AS total_tokens,
-       sum(greatest(token_count - in_len, 0))::BIGINT AS label_tokens,
-       count(*) FILTER (WHERE token_count <= in_len)::BIGINT AS fully_masked
-FROM counted GROUP BY pair_type""")
+  SELECT pair_type, count(*)::BIGINT AS n_pairs, sum((len(t) + {K.DEFAULT_MAX_LENGTH - 1}) // {K.DEFAULT_MAX_LENGTH})::BIGINT AS n_windows,
+         sum(len(t))::BIGINT AS total_tokens, sum(len(t) - n_in)::BIGINT AS label_tokens FROM toks GROUP BY pair_type),
+ids AS (
+  SELECT pair_type, sum(coalesce(v.id, 1))::BIGINT AS id_sum, count(*) FILTER (v.id IS NULL)::BIGINT AS unknown
+  FROM (SELECT pair_type, unnest(t) AS token FROM toks) x LEFT JOIN vocab v ON x.token = v.token GROUP BY pair_type)
+SELECT * FROM counted JOIN ids USING (pair_type)""")
 def q_tokenize_corpus(spark, sf):
-    ps = PR.generate_pairs(all_chunks(spark, sf), fixed_ts())
-    enc = K.encoder_from_vocab(vocab(spark, sf))
-    t = K.tokenize_pairs(ps.select("pair_id", "pair_type", "input_text", "output_text"), enc,
-                         max_length=K.DEFAULT_MAX_LENGTH, carry=["pair_type"])
+    ps = PR.generate_pairs(all_chunks(spark, sf), fixed_ts()).select("pair_id", "pair_type", "input_text", "output_text")
+    texts = ps.select(F.explode(F.array("input_text", "output_text")).alias("text"))
+    enc = K.encoder_from_vocab(K.build_vocab(texts, "text", CORPUS_VOCAB))
+    t = K.tokenize_pairs(ps, enc, max_length=K.DEFAULT_MAX_LENGTH, carry=["pair_type"], windows=True)
+    real = F.slice("input_ids", 1, F.col("token_count"))
     labels = F.size(F.array_remove("labels", K.IGNORE_INDEX))
     return t.groupBy("pair_type").agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.sum("token_count").cast("bigint").alias("total_tokens"),
-        F.sum(labels).cast("bigint").alias("label_tokens"),
-        F.count_if(labels == 0).cast("bigint").alias("fully_masked"))
+        F.count_if(F.col("window_no") == 0).cast("bigint").alias("n_pairs"), F.count(F.lit(1)).alias("n_windows"),
+        F.sum("token_count").cast("bigint").alias("total_tokens"), F.sum(labels).cast("bigint").alias("label_tokens"),
+        F.sum(F.aggregate(real, F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("id_sum"),
+        F.sum(F.size(real) - F.size(F.array_remove(real, K.UNK_ID))).cast("bigint").alias("unknown"))

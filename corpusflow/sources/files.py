@@ -90,9 +90,10 @@ def append_event(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
-def files_from_table(df: DataFrame, rel_path: str, content: str) -> DataFrame:
-    """Files table from any (path, text) relation."""
+def files_from_table(df: DataFrame, rel_path: str, content: str, carry: dict[str, str] | None = None) -> DataFrame:
+    """Files table from any (path, text) relation; ``carry`` renames further columns into it."""
     return df.select(
+        *[F.col(old).alias(new) for old, new in (carry or {}).items()],
         F.col(rel_path).alias("path"), F.col(rel_path).alias("rel_path"),
         paths.extension(F.col(rel_path)).alias("ext"), F.col(content).alias("content"),
         ids.checksum(F.col(content)).alias("file_sha"))

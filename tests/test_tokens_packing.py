@@ -109,3 +109,53 @@ def test_decomposed_encoding_equals_whole_text(spark):
         a = K.tokenize_pairs(turns, fast, max_length=64, mask_header=mask_header)
         b = K.tokenize_pairs(turns, Wrapped(fast), max_length=64, mask_header=mask_header)
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def in_order(rows, max_tokens, max_seq):
+    out, batch, n, tok = {}, -1, 0, 0
+    for i, s in rows:
+        if batch < 0 or n >= max_seq or tok + s > max_tokens:
+            batch, n, tok = batch + 1, 0, 0
+        out[i] = batch
+        n, tok = n + 1, tok + s
+    return out
+
+
+def test_pack_does_not_depend_on_exchange_reuse(spark):
+    rnd = random.Random(8)
+    sizes = [(i, rnd.randint(0, 3000)) for i in range(900)]
+    df = spark.createDataFrame(sizes, "pair_id long, token_count long").repartition(7)
+    want = sequential(sizes, 2048, 16)
+    for reuse in ("true", "false"):
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        try:
+            assert {r.pair_id: r.batch_id for r in P.pack_batches(df, num_partitions=6).collect()} == want
+        finally:
+            spark.conf.unset("spark.sql.exchange.reuse")
+
+
+def test_pack_in_given_order_equals_sequential_fold(spark):
+    rnd = random.Random(9)
+    for n, top, parts in [(600, 400, 7), (300, 3000, 40), (40, 5, 60), (0, 5, 3)]:
+        rows = [(i, rnd.randint(0, top)) for i in range(n)]
+        rnd.shuffle(rows)
+        df = spark.createDataFrame([(k, i, s) for k, (i, s) in enumerate(rows)], "k long, pair_id long, token_count long").repartition(5)
+        got = {r.pair_id: r.batch_id for r in P.pack_batches_in_order(df, "k", num_partitions=parts).collect()}
+        assert got == in_order(rows, 2048, 16)
+
+
+def test_windows_lose_no_token(spark):
+    rnd = random.Random(3)
+    text = lambda n: " ".join(rnd.choice("ab") for _ in range(n))
+    rows = [("p", text(20), text(7)), ("q", "a", "b"), ("r", "", ""), ("s", text(6), "")]
+    pairs = spark.createDataFrame(rows, "pair_id string, input_text string, output_text string")
+    enc = tiny_encoder()
+    got = K.tokenize_pairs(pairs, enc, max_length=8, windows=True).orderBy("pair_id", "window_no").collect()
+    for key, a, b in rows:
+        mine = [r for r in got if r.pair_id == key]
+        want = enc.encode_batch([a + K.EXPLANATION_HEADER + b])[0]
+        assert [i for r in mine for i in r.input_ids[:r.token_count]] == want
+        labels = [i for r in mine for i in r.labels[:r.token_count]]
+        n_in = len(enc.encode_batch([a])[0])
+        assert labels == [-100] * n_in + want[n_in:]
+        assert [r.window_no for r in mine] == list(range(len(mine))) and len(mine) == -(-len(want) // 8)
