@@ -31,5 +31,5 @@ def query(key: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import (queries_changes, queries_corpus, queries_ledger, queries_meta,  # noqa: F401
+    from . import (queries_changes, queries_corpus, queries_io, queries_ledger, queries_meta,  # noqa: F401
                    queries_retrieval, queries_stream, queries_tokens)

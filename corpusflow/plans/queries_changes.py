@@ -101,12 +101,27 @@ def q_pairs_since(spark, sf):
             .groupBy("project", "pair_type").agg(F.count(F.lit(1)).alias("n_pairs")))
 
 
-@query("version_delta", W(ofx.PROJECT_CHUNKS) + """
-SELECT p.pair_id, p.project, p.version::BIGINT AS version FROM project_pairs p
-WHERE NOT EXISTS (SELECT 1 FROM project_pairs q WHERE q.project = p.project AND q.version = p.version - 1
+# a version also repeats every pair of the version before whose id starts with an even digit
+ROLLED_SQL = """,
+rolled AS (
+  SELECT pair_id, project, version, input_text, output_text FROM project_pairs
+  UNION ALL
+  SELECT pair_id, project, version + 1, input_text, output_text FROM project_pairs
+  WHERE substr(pair_id, 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e'))"""
+
+
+def rolled_pairs(spark, sf):
+    p = project_pairs(spark, sf)
+    again = p.where(F.substring("pair_id", 1, 1).isin(*"02468ace")).withColumn("version", F.col("version") + 1)
+    return p.unionByName(again)
+
+
+@query("version_delta", W(ofx.PROJECT_CHUNKS) + ROLLED_SQL + """
+SELECT p.pair_id, p.project, p.version::BIGINT AS version FROM rolled p
+WHERE NOT EXISTS (SELECT 1 FROM rolled q WHERE q.project = p.project AND q.version = p.version - 1
                   AND q.input_text = p.input_text AND q.output_text = p.output_text)""")
 def q_version_delta(spark, sf):
-    d = V.version_delta(project_pairs(spark, sf))
+    d = V.version_delta(rolled_pairs(spark, sf))
     return d.select("pair_id", "project", F.col("version").cast("bigint").alias("version"))
 
 

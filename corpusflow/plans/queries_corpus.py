@@ -59,14 +59,8 @@ FROM pairs"""
 # Scan and filter
 # ---------------------------------------------------------------------------
 
-@query("scan_source_tree", ofx.with_ctes(ofx.DOC_TREE) + """
-SELECT rel_path, ext, sha256(content) AS file_sha FROM indexed_tree""")
-def q_scan_source_tree(spark, sf):
-    return indexed_tree(spark, sf).select("rel_path", "ext", "file_sha")
-
-
 @query("ext_filter", ofx.with_ctes(ofx.DOC_TREE) + """
-SELECT rel_path, ext FROM doc_tree WHERE ext IN ('.java','.py','.xml','.yaml','.properties','.sql','.md')""")
+SELECT rel_path, ext FROM doc_tree WHERE ext IN ('.java','.py','.xml','.yaml','.properties','.sql','.md','.yml')""")
 def q_ext_filter(spark, sf):
     t = fixtures.doc_tree(spark, sf)
     return t.where(paths.ext_in(F.col("ext"))).select("rel_path", "ext")

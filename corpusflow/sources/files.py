@@ -68,6 +68,30 @@ def scan_source_tree(spark: SparkSession, root: str, exts: list[str] | None = No
                       decode_text(F.col("content")).alias("content"), F.sha2(F.col("content"), 256).alias("file_sha"))
 
 
+def write_source_tree(files: DataFrame, root: str) -> int:
+    """Write a files table (rel_path, content) as a tree of UTF-8 files under ``root``, each by the task
+    that holds its row; returns the number of files. A repeated write replaces them. Null content
+    gives an empty file."""
+    base = qualified(files.sparkSession, root)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+        system, top = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", base))
+        made = set()
+        for batch in batches:
+            for rel, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = f"{top}/{rel}"
+                folder = target.rpartition("/")[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(target, compression=None) as out:
+                    out.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+    return files.select("rel_path", "content").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, lenient: bool = True) -> DataFrame:
     """S3: JSON Lines; lenient drops malformed lines, strict fails on the first."""
     mode = "DROPMALFORMED" if lenient else "FAILFAST"
