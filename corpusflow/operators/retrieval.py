@@ -33,10 +33,6 @@ PROMPT_FILE = ("Summarize the purpose and main components of the file '", "'.")
 PROMPT_LOGIC = "Explain the logic of this code snippet:\n\n"
 PROMPT_RELATED = ("What other methods, classes, or files are related to '", "'?")
 
-# A question-term side up to this many rows is broadcast (checked by count).
-BROADCAST_TERM_ROWS = 2_000_000
-
-
 # Whitespace of ``str.split()``: ASCII controls \t-\r and \x1c-\x1f, space,
 # NEL, NBSP, and the Unicode space separators and line/paragraph separators.
 WHITESPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
@@ -59,13 +55,18 @@ def chunk_order(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("_ord", F.struct(F.col("file_path"), F.col("start_line"), rank.alias("k")))
 
 
-def retrieval_index(chunks: DataFrame) -> DataFrame:
+def _snippet(cut: int | None) -> Column:
+    """The part of a chunk that a prompt shows: ``cut`` characters, or all of it."""
+    return F.col("code_content") if cut is None else F.substring("code_content", 1, cut)
+
+
+def retrieval_index(chunks: DataFrame, snippet_cut: int | None = SNIPPET_CUT) -> DataFrame:
     """The slim table retrieval reads: chunk id, file-order key, terms, the
-    columns a citation shows and the prompt snippet. Written once to the
-    shared folder; scoring then reads only (id, order, terms) columns."""
+    columns a citation shows and the prompt snippet (``snippet_cut`` characters, None for whole
+    chunks). Written once to the shared folder; scoring then reads only (id, order, terms) columns."""
     return materialize(chunk_order(chunks).select(
         "chunk_id", "_ord", terms(F.concat_ws(" ", "chunk_name", "description")).alias("tc"),
-        "file_path", "chunk_type", "chunk_name", F.substring("code_content", 1, SNIPPET_CUT).alias("snippet")),
+        "file_path", "chunk_type", "chunk_name", _snippet(snippet_cut).alias("snippet")),
         "retrieval_index")
 
 
@@ -74,12 +75,11 @@ def _index(chunks: DataFrame) -> DataFrame:
 
 
 def jaccard_scores(questions: DataFrame, chunks: DataFrame, qid: str = "qid", question: str = "question",
-                   broadcast_questions: bool | None = None, keep_order: bool = False) -> DataFrame:
+                   keep_order: bool = False) -> DataFrame:
     """J4 + F5: (qid, chunk_id, score) for every pair sharing a term (score > 0).
 
-    The question side is broadcast only when its term rows are counted below
-    ``BROADCAST_TERM_ROWS``; otherwise a shuffle join, where AQE splits hot
-    terms (skew join). ``keep_order`` carries the chunk's file-order key so
+    The planner broadcasts the question side by its size in bytes, or joins by a shuffle, where
+    AQE splits hot terms (skew join). ``keep_order`` carries the chunk's file-order key so
     the top-k needs no second pass over the chunks.
     """
     qt = questions.select(F.col(qid).alias("qid"), terms(F.col(question)).alias("_t")).select(
@@ -91,12 +91,7 @@ def jaccard_scores(questions: DataFrame, chunks: DataFrame, qid: str = "qid", qu
         src = (chunk_order(chunks) if keep_order else chunks).select(
             "chunk_id", *extra, terms(F.concat_ws(" ", "chunk_name", "description")).alias("_t"))
     ct = src.select("chunk_id", *extra, F.size("_t").alias("nc"), F.explode("_t").alias("term"))
-    if broadcast_questions is None:
-        broadcast_questions = qt.count() <= BROADCAST_TERM_ROWS
-    side = F.broadcast(qt) if broadcast_questions else qt
-    aggs = [F.count(F.lit(1)).alias("shared"), F.first("nq").alias("nq"), F.first("nc").alias("nc")]
-    aggs += [F.first("_ord").alias("_ord")] if keep_order else []
-    shared = ct.join(side, "term").groupBy("qid", "chunk_id").agg(*aggs)
+    shared = ct.join(qt, "term").groupBy("qid", "chunk_id", *extra, "nq", "nc").agg(F.count(F.lit(1)).alias("shared"))
     return shared.select("qid", "chunk_id", *extra,
                          (F.col("shared") / (F.col("nq") + F.col("nc") - F.col("shared"))).alias("score"))
 
@@ -152,13 +147,11 @@ def topk_jaccard(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, qid: s
         return t.isin(hot) if hot else F.lit(False)
 
     qt = q.select("qid", "tq", F.explode("tq").alias("term"))
-    q_side = F.broadcast(qt) if qt.count() <= BROADCAST_TERM_ROWS else qt
 
     # cold: every pair sharing a cold term, scored exactly
     ct_cold = c.select("chunk_id", "_ord", "tc", F.explode(F.filter("tc", lambda t: ~is_hot(t))).alias("term"))
-    cold = (ct_cold.join(q_side.where(~is_hot(F.col("term"))), "term")
-            .groupBy("qid", "chunk_id").agg(F.first("_ord").alias("_ord"), F.first("tc").alias("tc"),
-                                            F.first("tq").alias("tq"))
+    cold = (ct_cold.join(qt.where(~is_hot(F.col("term"))), "term")
+            # scored before the shuffle: the term arrays stay where they are
             .select("qid", "chunk_id", "_ord", jaccard(F.col("tq"), F.col("tc")).alias("score")))
 
     # hot: chunks grouped by (hot signature, term count); first k of each group
@@ -168,14 +161,14 @@ def topk_jaccard(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, qid: s
     w = Window.partitionBy("sig", "nc").orderBy("_ord")
     heads = sig.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
     groups = heads.select("sig", "nc").distinct()
-    q_hot = q_side.where(is_hot(F.col("term"))).select("qid", F.size("tq").alias("nq"), "term")
+    q_hot = qt.where(is_hot(F.col("term"))).select("qid", F.size("tq").alias("nq"), "term")
     gq = (groups.select("sig", "nc", F.explode(F.split("sig", " ")).alias("term")).join(q_hot, "term")
           .groupBy("qid", "sig", "nc").agg(F.count(F.lit(1)).alias("s"), F.first("nq").alias("nq")))
     hot_cands = gq.join(heads, ["sig", "nc"]).select(
         "qid", "chunk_id", "_ord", (F.col("s") / (F.col("nq") + F.col("nc") - F.col("s"))).alias("score"))
 
-    best = (cold.unionByName(hot_cands).groupBy("qid", "chunk_id")
-            .agg(F.max("score").alias("score"), F.first("_ord").alias("_ord")))
+    # a pair comes once for each shared cold term, always with the same score
+    best = cold.unionByName(hot_cands).groupBy("qid", "chunk_id", "_ord").agg(F.max("score").alias("score"))
     return retrieve_topk(best, k=k)
 
 
@@ -200,23 +193,21 @@ def jaccard_summary(questions: DataFrame, chunks: DataFrame, qid: str = "qid", q
         return t.isin(hot) if hot else F.lit(False)
 
     qt = q.select("qid", "tq", F.explode("tq").alias("term"))
-    q_side = F.broadcast(qt) if qt.count() <= BROADCAST_TERM_ROWS else qt
     keyed = c.select("chunk_id", "tc", F.size("tc").alias("nc"),
                      F.array_join(F.array_sort(F.filter("tc", is_hot)), " ").alias("sig"))
 
     cold = (keyed.select("chunk_id", "tc", "nc", "sig", F.explode(F.filter("tc", lambda t: ~is_hot(t))).alias("term"))
-            .join(q_side.where(~is_hot(F.col("term"))), "term")
-            .groupBy("qid", "chunk_id").agg(F.first("tc").alias("tc"), F.first("tq").alias("tq"),
-                                            F.first("nc").alias("nc"), F.first("sig").alias("sig"))
-            .select("qid", "nc", "sig", jaccard(F.col("tq"), F.col("tc")).alias("score"),
-                    (F.size(F.array_intersect(F.split("sig", " "), F.col("tq"))) > 0).alias("also_hot")))
+            .join(qt.where(~is_hot(F.col("term"))), "term")
+            .select("qid", "chunk_id", "nc", "sig", jaccard(F.col("tq"), F.col("tc")).alias("score"),
+                    (F.size(F.array_intersect(F.split("sig", " "), F.col("tq"))) > 0).alias("also_hot"))
+            .distinct())
     cold_stats = cold.groupBy("qid").agg(F.count(F.lit(1)).alias("n_c"), F.sum("score").alias("sum_c"),
                                          F.max("score").alias("max_c"))
     overlap = (cold.where(F.col("also_hot") & (F.col("sig") != ""))
                .groupBy("qid", "sig", "nc").agg(F.count(F.lit(1)).alias("dup")))
 
     groups = (keyed.where(F.col("sig") != "").groupBy("sig", "nc").agg(F.count(F.lit(1)).alias("g_n")))
-    q_hot = q_side.where(is_hot(F.col("term"))).select("qid", F.size("tq").alias("nq"), "term")
+    q_hot = qt.where(is_hot(F.col("term"))).select("qid", F.size("tq").alias("nq"), "term")
     gq = (groups.select("sig", "nc", "g_n", F.explode(F.split("sig", " ")).alias("term")).join(q_hot, "term")
           .groupBy("qid", "sig", "nc").agg(F.count(F.lit(1)).alias("s"), F.first("nq").alias("nq"),
                                            F.first("g_n").alias("g_n")))
@@ -236,7 +227,7 @@ def jaccard_summary(questions: DataFrame, chunks: DataFrame, qid: str = "qid", q
 
 def citations(topk: DataFrame, chunks: DataFrame) -> DataFrame:
     """Per question, the ordered citation structs and context pieces."""
-    snippet = F.col("snippet") if "snippet" in chunks.columns else F.substring("code_content", 1, SNIPPET_CUT)
+    snippet = F.col("snippet") if "snippet" in chunks.columns else _snippet(SNIPPET_CUT)
     j = topk.join(chunks.select("chunk_id", "file_path", "chunk_type", "chunk_name", snippet.alias("snippet")),
                   "chunk_id")
     item = F.struct(

@@ -397,7 +397,7 @@ def terms_sql(x: str) -> str:
 
 QUESTIONS = """
 questions AS (
-  SELECT item_id * 2 AS qid, array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 8), ' ') AS question
+  SELECT item_id * 2 AS qid, text AS question
   FROM benchmark
   UNION ALL
   SELECT item_id * 2 + 1, CASE item_id % 3 WHEN 1 THEN lower(q) WHEN 2 THEN upper(q) ELSE q END
@@ -411,11 +411,11 @@ hits AS (SELECT q.qid, q.question, c.answer FROM questions q JOIN answer_cache c
 
 
 def retrieval(src: str, k: int) -> str:
-    """CTEs ``scores`` and ``topk`` for questions of ``src`` against ``java_chunks``."""
+    """CTEs ``scores`` and ``topk`` for questions of ``src`` against ``all_chunks``."""
     return f"""
 q_terms AS (SELECT qid, unnest(tq) AS term, len(tq) AS nq FROM (SELECT qid, {terms_sql('question')} AS tq FROM {src})),
 c_terms AS (SELECT chunk_id, unnest(tc) AS term, len(tc) AS nc
-            FROM (SELECT chunk_id, {terms_sql("chunk_name || ' ' || description")} AS tc FROM java_chunks)),
+            FROM (SELECT chunk_id, {terms_sql("chunk_name || ' ' || description")} AS tc FROM all_chunks)),
 scores AS (
   SELECT qid, chunk_id, count(*) / (any_value(nq) + any_value(nc) - count(*)) AS score
   FROM q_terms JOIN c_terms USING (term) GROUP BY qid, chunk_id),
@@ -423,7 +423,7 @@ ranked AS (
   SELECT s.qid, s.chunk_id, s.score, c.file_path, c.chunk_type, c.chunk_name, c.code_content,
          row_number() OVER (PARTITION BY s.qid ORDER BY s.score DESC, c.file_path, c.start_line,
                             CASE c.chunk_type WHEN 'file' THEN 0 WHEN 'class' THEN 1 ELSE 2 END) AS rank
-  FROM scores s JOIN java_chunks c ON s.chunk_id = c.chunk_id),
+  FROM scores s JOIN all_chunks c ON s.chunk_id = c.chunk_id),
 topk AS (SELECT * FROM ranked WHERE rank <= {k}),
 cites AS (
   SELECT qid, count(*) AS n_sources, string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids,

@@ -10,22 +10,22 @@ from ..operators import retrieval as R
 from ..sources import fixtures as fx
 from . import oracle_fixtures as ofx
 from .catalog import query
-from .queries_corpus import fixed_ts
+from .queries_corpus import all_chunks, fixed_ts
 
 W = ofx.with_ctes
 
 
 def code_index(spark, sf) -> DataFrame:
-    """The chunk table questions are answered from: the Java chunks."""
+    """The Java chunks."""
     return chunking.extract_java_chunks(fx.java_files(spark, sf), fixed_ts())
 
 
 def search_index(spark, sf) -> DataFrame:
-    """The slim retrieval index over ``code_index``, written once."""
-    return R.retrieval_index(code_index(spark, sf))
+    """The slim retrieval index over all chunks (documents' tree and Java), written once."""
+    return R.retrieval_index(all_chunks(spark, sf))
 
 
-BASE = (ofx.JAVA, ofx.QUESTIONS)
+BASE = (ofx.JAVA, ofx.DOC_TREE, ofx.TREE_CHUNKS, ofx.ALL_CHUNKS, ofx.QUESTIONS)
 
 
 @query("jaccard_scores", W(*BASE, ofx.retrieval("questions", 3)) + """
@@ -75,7 +75,7 @@ answers AS (
 
 
 def answers(spark, sf) -> DataFrame:
-    return R.answer_questions(fx.questions(spark, sf), code_index(spark, sf), fx.answer_cache(spark, sf))
+    return R.answer_questions(fx.questions(spark, sf), all_chunks(spark, sf), fx.answer_cache(spark, sf))
 
 
 @query("answer_questions", ANSWERS_SQL + """
