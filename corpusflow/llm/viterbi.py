@@ -13,7 +13,8 @@ Decoding joins the pieces, turns marks into blanks, drops the first, and replace
 
 Defined results: null text encodes and decodes as null text with no ids; empty text has no ids; a
 text that holds the mark character itself decodes with a blank in its place, as the library does;
-repeated rows are encoded each; other columns pass through ``encode`` unchanged.
+repeated rows are encoded each; other columns pass through, and one of
+the result's name is replaced.
 
 Scale: narrow, no shuffle. The vocabulary's tables (a few MB) are broadcast. A task holds one block of texts and a bounded store of encoded words.
 """
@@ -28,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .pieces import SPACE, Pieces, WordStore, blank_run, blocks, cuts_word, prepared, send
+from .pieces import SPACE, Pieces, WordStore, blank_run, cuts_word, prepared, send, text_blocks
 
-BLOCK_CHARS = 4_000_000
+BLOCK_BYTES = 2_000_000
 STORE_WORDS = 250_000
+BLOCK_ROWS = 500
+CELLS = 300_000  # characters of equally long words that advance together
+STORE_PAIRS = 1_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -74,14 +78,14 @@ class Encoder:
 
     def _stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``Pieces.stable`` with a bounded store of pairs met before."""
-        key = a * np.int64(len(self.p.text) + 1) + b
+        key = a.astype(np.int64) * np.int64(len(self.p.text) + 1) + b
         at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
         new = self.known[at] != key
         if new.any():
             fresh = np.unique(key[new])
             n = np.int64(len(self.p.text) + 1)
             answer = self.p.stable(fresh // n, fresh % n)
-            if len(self.known) > 4_000_000:
+            if len(self.known) > STORE_PAIRS:
                 self.known, self.known_stable = fresh, answer
                 return self._stable(a, b)
             keys = np.concatenate([self.known, fresh])
@@ -107,7 +111,7 @@ class Encoder:
             at = np.full(key.shape, -1, np.int64)
             at[alive] = self._probe(key[alive])
             hit = at >= 0
-            piece = np.where(hit, self.piece[at], -1)
+            piece = np.where(hit, self.piece[at], -1).astype(np.int32)
             if span == 1:
                 piece[piece < 0] = self.p.unknown
             found.append(piece)
@@ -156,7 +160,7 @@ class Encoder:
             else:
                 by_size.setdefault(len(body) + (blanks > 0), []).append(w)
         for size, group in by_size.items():
-            step = max(1, 2_000_000 // size)
+            step = max(1, CELLS // size)
             for a in range(0, len(group), step):
                 part = group[a:a + step]
                 units = [w[-size:] for w in part]
@@ -203,10 +207,11 @@ class Encoder:
         get = self.store.now.__getitem__
         return [np.frombuffer(b"".join(map(get, u)), np.int32) for u in units]
 
-    def decode(self, ids: np.ndarray) -> str:
-        # an empty text has no ids; else the blank put in front goes
-        text = b"".join(map(self.p.decoded.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+
+def decoded(pieces: Pieces, ids: np.ndarray) -> str:
+    """Text of ids. The blank that encoding put in front goes."""
+    text = b"".join(map(pieces.decoded.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")
+    return text[1:] if text.startswith(" ") else text
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -221,6 +226,7 @@ def encoder(path: str, pieces) -> Encoder:
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """``docs`` with ``out``: the ids of column ``text`` (null for null)."""
+    docs = docs.drop(out)
     names, sent = docs.columns, send(docs.sparkSession, path)
     arrow = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     at = names.index(text)
@@ -228,28 +234,31 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, lambda: sent.value)
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for a, b in blocks(texts, BLOCK_CHARS):
-                ids = enc.encode([t or "" for t in texts[a:b]])
+            column = batch.column(at)
+            for a, b, texts in text_blocks(column, BLOCK_BYTES):
+                ids = enc.encode(texts)
                 sizes = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids), pa.int32()),
-                                                 mask=pa.array([t is None for t in texts[a:b]]))
+                                                 mask=column.slice(a, b - a).is_null())
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], names=[*names, out])
     return docs.mapInArrow(run, arrow)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with ``out``: the text of column ``ids`` (null for null)."""
+    encoded = encoded.drop(out)
     names, sent = encoded.columns, send(encoded.sparkSession, path)
     arrow = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
     at = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, lambda: sent.value)
+        pieces = sent.value
         for batch in batches:
             col = batch.column(at)
             starts, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
-            live = col.is_valid().to_pylist()
-            texts = [enc.decode(flat[a:b]) if ok else None for a, b, ok in zip(starts[:-1], starts[1:], live, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, out])
+            live = col.is_valid().to_numpy(zero_copy_only=False)
+            for a in range(0, len(col), BLOCK_ROWS):
+                b = min(a + BLOCK_ROWS, len(col))
+                texts = [decoded(pieces, flat[x:y]) if ok else None for x, y, ok in zip(starts[a:b], starts[a + 1:b + 1], live[a:b], strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(texts, pa.string())], names=[*names, out])
     return encoded.mapInArrow(run, arrow)
