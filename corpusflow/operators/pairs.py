@@ -93,6 +93,27 @@ def pairs_by_type(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return pairs.groupBy(*keys, "pair_type").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+def content_key(pairs: DataFrame) -> Column:
+    """Hash of a pair's texts."""
+    return F.sha2(F.concat_ws("\u0000", pairs["input_text"], pairs["output_text"]), 256)
+
+
+def dedupe_pairs(pairs: DataFrame) -> DataFrame:
+    """Of pairs with equal texts, the one with the least id. Only (key, id) is aggregated and
+    joined; texts are hashed where they are."""
+    keyed = pairs.withColumn("_k", content_key(pairs))
+    first = keyed.groupBy("_k").agg(F.min("pair_id").alias("pair_id"))
+    return keyed.join(first, ["_k", "pair_id"], "left_semi").drop("_k")
+
+
+def split_train_eval(pairs: DataFrame, eval_share: float = 0.1) -> DataFrame:
+    """``split`` = 'eval' for about ``eval_share`` of the distinct texts, else 'train'. The split is
+    by the texts' hash: it needs no shuffle, repeats itself, and keeps equal pairs on one side."""
+    cut = f"{round(eval_share * (1 << 32)):08x}"
+    side = F.when(F.lit(eval_share >= 1) | (F.substring(content_key(pairs), 1, 8) < cut), F.lit("eval")).otherwise(F.lit("train"))
+    return pairs.withColumn("split", side)
+
+
 def export_instruction_pairs(files: DataFrame, ext: str = ".java",
                              instruction: str = INSTRUCTION) -> DataFrame:
     """(file text, constant instruction) rows for files of one extension."""

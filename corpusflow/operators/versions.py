@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pairs import PAIR_COLUMNS
+from .pairs import PAIR_COLUMNS, content_key
 
 
 def write_dataset_version(pairs: DataFrame, path: str, project: str, version: int) -> None:
@@ -58,10 +58,6 @@ def pairs_since(pairs: DataFrame, since: int, project: str | None = None) -> Dat
     return pairs.where(F.col("version") > since)
 
 
-def content_key(df: DataFrame) -> F.Column:
-    return F.sha2(F.concat_ws("\u0000", F.col("input_text"), F.col("output_text")), 256)
-
-
 def version_delta(pairs: DataFrame) -> DataFrame:
     """Pairs of each version whose (input, output) is absent from the
     previous version of the same project (train on the delta only)."""

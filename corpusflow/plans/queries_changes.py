@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import changes as C
 from ..operators import chunking
+from ..operators import pairs as PR
 from ..operators import versions as V
 from ..sources import fixtures as fx
 from . import oracle_fixtures as ofx
@@ -125,6 +126,31 @@ def q_version_delta(spark, sf):
     return d.select("pair_id", "project", F.col("version").cast("bigint").alias("version"))
 
 
+# every second pair also comes under another id
+COPIED_SQL = """,
+copied AS (SELECT pair_id, input_text, output_text FROM project_pairs UNION ALL
+           SELECT 'z' || pair_id, input_text, output_text FROM project_pairs WHERE substr(pair_id, 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e'))"""
+
+
+def copied_pairs(spark, sf):
+    p = project_pairs(spark, sf).select("pair_id", "input_text", "output_text")
+    again = p.where(F.substring("pair_id", 1, 1).isin(*"02468ace")).withColumn("pair_id", F.concat(F.lit("z"), "pair_id"))
+    return p.unionByName(again)
+
+
+@query("dedupe_pairs", W(ofx.PROJECT_CHUNKS) + COPIED_SQL + """
+SELECT min(pair_id) AS pair_id, sha256(input_text) AS input_sha FROM copied GROUP BY input_text, output_text""")
+def q_dedupe_pairs(spark, sf):
+    return PR.dedupe_pairs(copied_pairs(spark, sf)).select("pair_id", F.sha2("input_text", 256).alias("input_sha"))
+
+
+@query("train_eval_split", W(ofx.PROJECT_CHUNKS) + COPIED_SQL + """
+SELECT pair_id, CASE WHEN substr(sha256(input_text || chr(0) || output_text), 1, 8) < '1999999a' THEN 'eval' ELSE 'train' END AS split
+FROM copied""")
+def q_train_eval_split(spark, sf):
+    return PR.split_train_eval(copied_pairs(spark, sf)).select("pair_id", "split")
+
+
 @query("version_history", W(ofx.PROJECT_CHUNKS) + """,
 per_type AS (SELECT project, version, pair_type, count(*) AS n FROM project_pairs GROUP BY ALL),
 per_v AS (SELECT project, version, sum(n)::BIGINT AS total_pairs,
