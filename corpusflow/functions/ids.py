@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 # (24 bits), which collide at a few thousand files; 16 is the default here.
 CHUNK_HASH_WIDTH = 16
 # Width of a generic (non-Java) file chunk id and of a pair id.
-GENERIC_ID_WIDTH = 12
+GENERIC_ID_WIDTH = 16
 PAIR_ID_WIDTH = 16
 
 

@@ -109,7 +109,7 @@ indexed_tree AS (
 # generic chunks of the documents' tree (the .java ones hold prose: file chunk only)
 TREE_CHUNKS = """
 tree_chunks AS (
-  SELECT substr(md5(rel_path), 1, 12) AS chunk_id, rel_path AS file_path, substr(ext, 2) AS file_type,
+  SELECT substr(md5(rel_path), 1, 16) AS chunk_id, rel_path AS file_path, substr(ext, 2) AS file_type,
          'file' AS chunk_type, string_split(rel_path, '/')[-1] AS chunk_name, 1 AS start_line,
          length(content) - length(replace(content, chr(10), '')) + 1 AS end_line,
          content AS code_content, 'File: ' || string_split(rel_path, '/')[-1] AS description,
@@ -131,11 +131,11 @@ ALL_CHUNKS = """
 all_chunks AS (SELECT * FROM tree_chunks UNION ALL SELECT * FROM java_chunks)
 """
 
-# project files: documents as {source}/{doc_id}.md, version 1 + doc_id % 4
+# project files: documents as {source}/{doc_id}.md, version 1 + (doc_id // 20) % 4
 PROJECT_CHUNKS = """
 project_chunks AS (
   SELECT source AS project, (doc_id // 20) % 4 + 1 AS version,
-         substr(md5(source || '/' || doc_id || '.md'), 1, 12) AS chunk_id,
+         substr(md5(source || '/' || doc_id || '.md'), 1, 16) AS chunk_id,
          source || '/' || doc_id || '.md' AS file_path, doc_id || '.md' AS chunk_name,
          text AS code_content
   FROM documents),

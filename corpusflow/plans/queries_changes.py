@@ -48,7 +48,7 @@ def _reindex(spark, sf):
 
 
 @query("index_upsert", W(ofx.SNAPSHOTS) + """
-SELECT substr(md5(rel_path), 1, 12) AS chunk_id, rel_path AS file_path, sha256(content) AS checksum
+SELECT substr(md5(rel_path), 1, 16) AS chunk_id, rel_path AS file_path, sha256(content) AS checksum
 FROM snap_cur""")
 def q_index_upsert(spark, sf):
     _, diff, old_chunks, new_chunks = _reindex(spark, sf)
