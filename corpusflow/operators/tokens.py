@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 # The label ignore index and the text joining input and output.
 IGNORE_INDEX = -100
 EXPLANATION_HEADER = "\n\nEXPLANATION:\n"
@@ -222,7 +224,9 @@ def longest(df: DataFrame, column: str = "input_ids") -> DataFrame:
 
 def pad_to_longest(df: DataFrame, pad_id: int = PAD_ID) -> DataFrame:
     """Pad ids (pad id) and mask (0) to the global max id length; labels
-    to the same length with the ignore index (they may already be longer)."""
+    to the same length with the ignore index (they may already be longer). The rows are written
+    once, so that what made them does not run again for the maximum."""
+    df = materialize(df, "pad-rows")
     max_len = F.lit(longest(df).first()["max_len"])  # one scalar
     pad = max_len - F.size("input_ids")
     lab_pad = max_len - F.size("labels")

