@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from .common import keep_as_table
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Does every node hang on one node that hangs on none?"""
+    more = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    inner = edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a")
+    return not more.unionByName(inner).limit(1).count()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,19 +25,14 @@ def components(links: DataFrame) -> DataFrame:
     can split. Every round is written to the shared checkpoint folder."""
     edges = keep_as_table(links.filter(F.col("a") != F.col("b"))
                           .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-links")
-    state = _state(edges)
-    while state[0]:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        large = keep_as_table(large, "cc-large")
+        large = keep_as_table(both.join(low, "a").filter(F.col("b") > F.col("a"))
+                              .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "cc-large")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        near = large.join(low, "a")
-        small = (near.filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = (large.join(low, "a").filter(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        edges, before = keep_as_table(small, "cc-small"), state
-        state = _state(edges)
-        if state == before:
-            break
+        edges = keep_as_table(small, "cc-small")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

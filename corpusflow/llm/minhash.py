@@ -8,9 +8,11 @@ coordinates make candidates: two sets of similarity 0.85 share no band with prob
 1e-8. Every link is confirmed on full sets.
 
 Only components are wanted, so pairs are not expanded. First each set of a bucket is compared with the
-bucket's first one, and what is linked becomes one component. Then all pairs of a bucket that lie
-in different components are compared; a link inside a component changes nothing. So no link between
-found candidates is lost, and a large group of near copies costs comparisons in proportion to its size.
+bucket's first one, and what is linked becomes one component, so that copies of one text cost
+comparisons in proportion to their number. Then all pairs of a bucket that lie in different
+components are compared, in tiles of bounded size inside the tasks, each pair in the first band that it
+shares; only links between components come back. A link inside a component changes nothing, so no
+link between candidates is lost.
 
 Defined results: null text, or text without words, has an empty set (n_shingles 0) and is linked with
 nothing; a text of fewer than WIDTH words has one shingle; rows of equal sets are linked; rows of one
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +45,8 @@ ROWS, BANDS = 7, 48
 RING_BITS = 20
 SIMILARITY = 85  # percent
 BLOCK_BYTES, GATHER = 1_000_000, 8192
+TILE, STEP = 2048, 512  # members of a bucket compared by one task, and at once
+CELLS = 1 << 24
 _SEPARATORS = (9, 10, 11, 12, 13, 32)
 
 
@@ -167,6 +172,69 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
             .filter(100 * F.col("both") >= similarity * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"))
 
 
+def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets x[k] and y[k] (sorted, distinct)."""
+    used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+    mine = [sets[k] for k in used.tolist()]
+    if len(x) * 16 >= len(used) ** 2:
+        words, column = np.unique(np.concatenate(mine), return_inverse=True)
+        if len(words) * len(used) <= CELLS:  # most pairs are asked for: one product of incidence matrices
+            held = np.zeros((len(used), len(words)), np.float32)
+            held[np.repeat(np.arange(len(used)), [len(s) for s in mine]), column] = 1
+            return (held @ held.T)[place[:len(x)], place[len(x):]].astype(np.int64)
+    out = np.empty(len(x), np.int64)
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        one, two = (sets[a], sets[b]) if len(sets[a]) <= len(sets[b]) else (sets[b], sets[a])
+        at = np.minimum(np.searchsorted(two, one), len(two) - 1)
+        out[k] = np.count_nonzero(two[at] == one)
+    return out
+
+
+def _tile(similarity: int):
+    """One tile of a bucket -> links (a, b) between components that its members lie in, a spanning
+    forest of them. A pair is looked at in the first band that it shares, and no pair leaves the task."""
+    def run(table: pa.Table) -> pa.Table:
+        bucket, i, j = (table.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+        root, block = table.column("root").to_numpy(), table.column("block").to_numpy()
+        held = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        band = int(np.flatnonzero(held[0] == bucket)[0])
+        lists = table.column("shingles").combine_chunks()
+        flat = lists.flatten().to_numpy().view(np.uint64)  # each set as it was made: sorted, distinct
+        sizes = pc.list_value_length(lists).to_numpy()
+        sets = np.split(flat, np.cumsum(sizes)[:-1])
+        parent: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while (up := parent.get(r, r)) != r:
+                parent[r] = parent.get(up, up)
+                r = up
+            return r
+        one, two = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for a in range(0, len(one), STEP):
+            p = one[a:a + STEP]
+            for b in range(a if i == j else 0, len(two), STEP):
+                q = two[b:b + STEP]
+                look = root[p][:, None] != root[q][None, :]
+                if i == j:
+                    look &= p[:, None] < q[None, :]
+                look &= 100 * np.minimum(sizes[p][:, None], sizes[q][None, :]) >= similarity * np.maximum(sizes[p][:, None], sizes[q][None, :])
+                for k in range(band):
+                    look &= held[p, k][:, None] != held[q, k][None, :]
+                x, y = np.nonzero(look)
+                if not len(x):
+                    continue
+                x, y = p[x], q[y]
+                both = _common(sets, x, y)
+                hit = 100 * both >= similarity * (sizes[x] + sizes[y] - both)
+                for u, v in set(zip(root[x[hit]].tolist(), root[y[hit]].tolist(), strict=True)):
+                    u, v = find(u), find(v)
+                    if u != v:
+                        parent[max(u, v)] = min(u, v)
+        links = [(a, b) for a, b in parent.items() if a != b]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+    return run
+
+
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per row; also the set's key, the
     component's root node (both null for an empty set), and whether the doc_id is null."""
@@ -189,19 +257,22 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     size = members.select(F.col("node").alias("first"), F.col("n").alias("first_n")).distinct()
     stars = (members.filter(F.col("node") != F.col("first")).select("node", "n", "first").distinct()
              .join(size, "first").filter(fits(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("node").alias("b")))
-    links = keep_as_table(_confirmed(stars, sets, similarity), "minhash-links")
-    roots = components(links)
+    roots = components(_confirmed(stars, sets, similarity))
     placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("bucket")
-    rest = keep_as_table(placed.join(mixed, "bucket").select("bucket", "node", "n", "root", "first"), "minhash-rest")
-    one, two = (rest.select("bucket", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("root").alias(f"root_{x}"),
-                            F.col("first").alias(f"first_{x}")) for x in ("a", "b"))
-    cross = (one.join(two, "bucket")
-             .filter((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & (F.col("a") != F.col("first_a")) &
-                     fits(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct())
-    more = keep_as_table(_confirmed(cross, sets, similarity), "minhash-more")
-    if more.limit(1).count():
-        roots = components(links.unionByName(more))
+    mixed = (placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"))
+             .filter("lo < hi").select("bucket", F.ceil(F.col("size") / TILE).cast("int").alias("blocks")))
+    rest = (placed.select("bucket", "node", "root").join(mixed, "bucket")
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .select("bucket", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")))
+    # compute-heavy for its bytes: dealt to the session's number of tasks, not coalesced by size
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = rest.join(nodes.select("node", "bands"), "node").join(sets, "node").repartition(tasks, "bucket", "i", "j")
+    more = whole.groupBy("bucket", "i", "j").applyInArrow(_tile(similarity), "a long, b long")
+    # links between components: components of those, then of the nodes in them
+    above = components(more)
+    roots = keep_as_table(roots.join(above.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "full_outer")
+                          .select(F.coalesce("node", "root").alias("node"), F.coalesce("top", "root").alias("root")), "minhash-roots")
     named = (nodes.select("node", "key", "doc_id").join(roots, "node", "left")
              .withColumn("root", F.coalesce("root", "node")))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
