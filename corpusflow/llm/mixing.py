@@ -65,9 +65,12 @@ def _cut(rows: DataFrame, bucket: str) -> DataFrame:
     sums = rows.groupBy("source_key", bucket).agg(F.sum("size").alias("words"), F.first("need").alias("need"))
     w = Window.partitionBy("source_key").orderBy(bucket)
     run = sums.withColumn("upto", F.sum("words").over(w))
-    return (run.filter(F.col("upto") > F.col("need")).groupBy("source_key")
-            .agg(F.min_by(F.struct(bucket, (F.col("upto") - F.col("words")).alias("before")), F.col(bucket)).alias("cut"))
-            .select("source_key", F.col(f"cut.{bucket}").alias("cut"), F.col("cut.before").alias("before")))
+    found = (run.filter(F.col("upto") > F.col("need")).groupBy("source_key")
+             .agg(F.min_by(F.struct(bucket, (F.col("upto") - F.col("words")).alias("before")), F.col(bucket)).alias("cut"))
+             .select("source_key", F.col(f"cut.{bucket}").alias("cut"), F.col("cut.before").alias("before")))
+    # one row a source, written: the planner knows its size, and while it is small it is broadcast,
+    # so that a hot source's documents are not brought together
+    return keep_as_table(found, f"mix-{bucket}")
 
 
 def _order(seed: str) -> F.Column:
