@@ -31,11 +31,11 @@ from pyspark.sql import types as T
 
 from .pieces import SPACE, Pieces, WordStore, blank_run, cuts_word, prepared, send, text_blocks
 
-BLOCK_BYTES = 2_000_000
-STORE_WORDS = 250_000
+BLOCK_BYTES = 1_000_000
+STORE_WORDS = 200_000
 BLOCK_ROWS = 500
-CELLS = 300_000  # characters of equally long words that advance together
-STORE_PAIRS = 1_000_000
+CELLS = 200_000  # characters of equally long words that advance together
+STORE_PAIRS = 600_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
