@@ -75,3 +75,17 @@ def range_of(key: str, bounds: list[int]):
         at = np.searchsorted(cuts, keys.fillna(np.iinfo(np.int64).min).to_numpy(dtype=np.int64), side="right")
         return pd.Series(at.astype(np.int32))
     return find(F.col(key).cast("long"))
+
+
+def mark_held(df: DataFrame, key, ids: DataFrame, out: str, bits: int = 23) -> DataFrame:
+    """``df`` with ``out``: may ``key`` be in the one-column table ``ids`` of longs? True for every id
+    in the table, and for few others while the table has far fewer than 2**bits rows, so most rows can
+    be kept out of a join that then decides; null is always marked. The test is a bitmap of fixed size: at most
+    2**bits / 64 words (131,072, some 2 MB), which is what is broadcast."""
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << bits))
+    words = keep_as_table(
+        ids.select(place(F.col(ids.columns[0])).alias("at")).groupBy(F.shiftright("at", 6).alias("_word"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("_set")), "bitmap")
+    bit = F.expr("shiftright(_set, cast(_at & 63 as int)) & 1L") == 1
+    return (df.withColumn("_at", place(key)).join(F.broadcast(words), F.shiftright("_at", 6) == F.col("_word"), "left")
+            .withColumn(out, key.isNull() | F.coalesce(bit, F.lit(False))).drop("_at", "_word", "_set"))

@@ -39,7 +39,7 @@ MIN_RATIO = 0.1
 LENGTHS = (3, 4)
 PROBES = 2
 SLOTS_PER_GRAM = 16
-BLOCK_CHARS, WINDOW = 1_000_000, 1_000_000
+BLOCK_CHARS, WINDOW = 250_000, 250_000
 NONE = "und"
 
 _LETTER = np.zeros(0, bool)

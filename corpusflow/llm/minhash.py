@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep_as_table
+from .common import keep_as_table, mark_held
 from .components import components
 from .pieces import text_blocks
 
@@ -44,7 +44,7 @@ WIDTH = 5
 ROWS, BANDS = 7, 48
 RING_BITS = 20
 SIMILARITY = 85  # percent
-BLOCK_BYTES, GATHER = 1_000_000, 8192
+BLOCK_BYTES, GATHER = 250_000, 4096
 TILE, STEP = 2048, 512  # members of a bucket compared by one task, and at once
 CELLS = 1 << 24
 _SEPARATORS = (9, 10, 11, 12, 13, 32)
@@ -86,7 +86,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not gap[0]:
         edge = np.concatenate([[0], edge])
     starts, ends = edge[::2], edge[1::2]
-    power, inverse = _powers(1 << max(20, int(len(data)).bit_length()))
+    power, inverse = _powers(1 << max(18, int(len(data)).bit_length()))
     run = np.concatenate([[np.uint64(0)], np.cumsum(_VALUE[data] * power[:len(data)])])
     words = _mix((run[ends] - run[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     return words, np.concatenate([[0], np.searchsorted(starts, ends_of_text)])
@@ -249,8 +249,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
               .filter(F.col("first") < F.col("last")).select("bucket", "first"))
     members = keep_as_table(banded.join(shared, "bucket"), "minhash-members")
     # full sets of the documents that are in some shared bucket
-    wanted = members.select("node").distinct().join(nodes.select("node", "key", "doc_id"), "node")
-    texts = rows.join(wanted.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    wanted = keep_as_table(members.select("node").distinct().join(nodes.select("node", "key", "doc_id"), "node"), "minhash-wanted")
+    texts = mark_held(rows, F.col("doc_id"), wanted.select("doc_id"), "_may").filter("_may").select("doc_id", "text").join(wanted.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     found = texts.select("text").mapInArrow(_sets, "key binary, shingles array<long>")
     sets = keep_as_table(found.join(wanted.select("node", "key"), "key").dropDuplicates(["node"]).select("node", "shingles"), "minhash-sets")
     fits = lambda m, n: 100 * F.least(m, n) >= similarity * F.greatest(m, n)
@@ -301,9 +301,14 @@ def deduplicate(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     chosen = found.filter(F.col("key").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id_order", "doc_id", "key")).alias("c"))
     chosen = chosen.select(F.col("c.doc_id").alias("_mh_id"), F.col("c.key").alias("_mh_chosen"))
     wordless = found.filter(F.col("key").isNull()).select(F.col("doc_id").alias("_mh_id"))
-    ids = keep_as_table(chosen.select("_mh_id").unionByName(wordless).distinct(), "minhash-kept")
+    ids = chosen.select("_mh_id").unionByName(wordless).distinct()
+    gone = keep_as_table(found.select(F.col("doc_id").alias("_mh_id")).distinct()
+                         .join(ids.withColumnRenamed("_mh_id", "_kept"), F.col("_mh_id").eqNullSafe(F.col("_kept")), "left_anti"), "minhash-gone")
     own = F.col("doc_id").cast("long")
-    rows = docs.join(ids, own.eqNullSafe(F.col("_mh_id")), "left_semi")
+    # only documents that may be in ``gone`` are shuffled
+    marked = mark_held(docs, own, gone, "_mh_may")
+    rows = (marked.filter("not _mh_may").drop("_mh_may")
+            .unionByName(marked.filter("_mh_may").drop("_mh_may").join(gone, own.eqNullSafe(F.col("_mh_id")), "left_anti")))
     repeats = keep_as_table(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_mh_id")), "minhash-repeats")
     if not repeats.limit(1).count():
         return rows
