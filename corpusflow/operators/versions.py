@@ -21,6 +21,13 @@ def write_dataset_version(pairs: DataFrame, path: str, project: str, version: in
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project", "version").parquet(path))
 
 
+def write_dataset_versions(pairs: DataFrame, path: str) -> None:
+    """All projects and versions of ``pairs`` (its ``project`` and ``version`` columns) in one
+    write. Each partition that gets rows is replaced, so a retry leaves no row twice."""
+    (pairs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("project", "version").parquet(path))
+
+
 def next_version(spark: SparkSession, path: str, project: str) -> int:
     """Version number for the next build of ``project`` (1 when none). Only a missing data set
     counts as none; any other failure to read it is raised."""
@@ -77,5 +84,5 @@ def version_history(pairs: DataFrame) -> DataFrame:
     return per_v.withColumn("growth", F.col("total_pairs") - F.coalesce(F.lag("total_pairs").over(w), F.lit(0)))
 
 
-__all__ = ["PAIR_COLUMNS", "write_dataset_version", "next_version", "current_version",
+__all__ = ["PAIR_COLUMNS", "write_dataset_version", "write_dataset_versions", "next_version", "current_version",
            "read_dataset_version", "pairs_since", "version_delta", "version_history"]
