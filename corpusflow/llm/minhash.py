@@ -3,9 +3,9 @@
 A document's set holds its distinct shingles of ``WIDTH`` words, as 64-bit hashes. One permutation
 (a mix of the hash) gives a shingle its place on a ring of 2**RING_BITS, a second one is a fixed random
 permutation of the ring, and coordinate k of the signature is the least value of the second,
-circularly shifted by k, over the set's places. Equal sets are one node. ``BANDS`` bands of ``ROWS``
-coordinates make candidates: two sets of similarity 0.85 share no band with probability below
-1e-8. Every link is confirmed on full sets.
+circularly shifted by k, over the set's places. Equal sets are one node. Bands of a few coordinates make
+candidates; their number and rows follow from the similarity asked for (``banding``), so that two sets of just that
+similarity share no band with probability below 1e-8. Every link is confirmed on full sets.
 
 Only components are wanted, so pairs are not expanded. First each set of a bucket is compared with the
 bucket's first one, and what is linked becomes one component, so that copies of one text cost
@@ -27,6 +27,7 @@ their full sets. Joins are on nodes and buckets, which adaptive execution splits
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,9 @@ from .components import components
 from .pieces import text_blocks
 
 WIDTH = 5
-ROWS, BANDS = 7, 48
+ROWS = 7  # of a band, at most
+COORDINATES = 384  # of a signature, at most
+MISS = 1e-8
 RING_BITS = 20
 SIMILARITY = 85  # percent
 BLOCK_BYTES, GATHER = 250_000, 4096
@@ -50,6 +53,19 @@ CELLS = 1 << 24
 _SEPARATORS = (9, 10, 11, 12, 13, 32)
 
 
+def banding(similarity: int) -> tuple[int, int]:
+    """Rows of a band and number of bands: the longest bands with which two sets of this similarity
+    (percent) share none with probability below MISS."""
+    if not 0 < similarity <= 100:
+        raise ValueError(f"similarity is a percentage above 0: {similarity}")
+    for rows in range(ROWS, 0, -1):
+        same = (similarity / 100) ** rows
+        bands = 1 if same == 1 else math.ceil(math.log(MISS) / math.log1p(-same))
+        if rows * bands <= COORDINATES:
+            return rows, bands
+    raise ValueError(f"similarity {similarity} needs more than {COORDINATES} bands")
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
@@ -112,12 +128,13 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Circulant MinHash of each (non-empty) set: len(sets) x (ROWS * BANDS)."""
-    size = ROWS * BANDS
+def signatures(sets: list[np.ndarray], similarity: int = SIMILARITY) -> np.ndarray:
+    """Circulant MinHash of each (non-empty) set: len(sets) x (rows * bands)."""
+    size = math.prod(banding(similarity))
     if not _RINGS:
         ring = np.random.Generator(np.random.PCG64(97)).permutation(1 << RING_BITS).astype(np.int32)
-        _RINGS.append(np.lib.stride_tricks.sliding_window_view(np.concatenate([ring, ring[:size]]), size))
+        _RINGS.append(np.concatenate([ring, ring[:COORDINATES]]))
+    windows = np.lib.stride_tricks.sliding_window_view(_RINGS[0], size)
     out = np.full((len(sets), size), np.iinfo(np.int32).max, np.int32)
     if not sets:
         return out
@@ -126,29 +143,32 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     for a in range(0, len(places), GATHER):
         mine = owner[a:a + GATHER]
         first = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
-        least = np.minimum.reduceat(_RINGS[0][places[a:a + GATHER]], first, axis=0)
+        least = np.minimum.reduceat(windows[places[a:a + GATHER]], first, axis=0)
         out[mine[first]] = np.minimum(out[mine[first]], least)
     return out
 
 
-def bands(signature: np.ndarray) -> np.ndarray:
-    """Band hashes (number of the band included): n x BANDS."""
-    parts = signature.astype(np.uint64).reshape(-1, BANDS, ROWS)
-    return _mix(_mix((parts * _BAND).sum(2, dtype=np.uint64)) + np.arange(1, BANDS + 1, dtype=np.uint64)).view(np.int64)
+def bands(signature: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
+    """Band hashes (number of the band included): n x bands."""
+    rows, count = banding(similarity)
+    parts = signature.astype(np.uint64).reshape(-1, count, rows)
+    return _mix(_mix((parts * _BAND[:rows]).sum(2, dtype=np.uint64)) + np.arange(1, count + 1, dtype=np.uint64)).view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(similarity: int):
     """(doc_id, text) -> doc_id, n, key (of the set; null if empty), bands."""
-    for batch in batches:
-        ids = batch.column(0)
-        for a, b, texts in text_blocks(batch.column(1), BLOCK_BYTES):
-            sets = shingle_sets(texts)
-            full = [s for s in sets if len(s)]
-            hashes = iter(bands(signatures(full)).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                 pa.array([next(hashes) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "key", "bands"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for a, b, texts in text_blocks(batch.column(1), BLOCK_BYTES):
+                sets = shingle_sets(texts)
+                full = [s for s in sets if len(s)]
+                hashes = iter(bands(signatures(full, similarity), similarity).tolist())
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                     pa.array([next(hashes) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n", "key", "bands"])
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +213,12 @@ def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _tile(similarity: int):
     """One tile of a bucket -> links (a, b) between components that its members lie in, a spanning
     forest of them. A pair is looked at in the first band that it shares, and no pair leaves the task."""
+    count = banding(similarity)[1]
+
     def run(table: pa.Table) -> pa.Table:
         bucket, i, j = (table.column(c)[0].as_py() for c in ("bucket", "i", "j"))
         root, block = table.column("root").to_numpy(), table.column("block").to_numpy()
-        held = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        held = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, count)
         band = int(np.flatnonzero(held[0] == bucket)[0])
         lists = table.column("shingles").combine_chunks()
         flat = lists.flatten().to_numpy().view(np.uint64)  # each set as it was made: sorted, distinct
@@ -239,7 +261,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per row; also the set's key, the
     component's root node (both null for an empty set), and whether the doc_id is null."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = keep_as_table(rows.mapInArrow(_sign, "doc_id long, n long, key binary, bands array<long>"), "minhash-rows")
+    signed = keep_as_table(rows.mapInArrow(_sign(similarity), "doc_id long, n long, key binary, bands array<long>"), "minhash-rows")
     nodes = keep_as_table(
         signed.filter(F.col("key").isNotNull()).groupBy("key")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
