@@ -202,18 +202,21 @@ def tokenize_pairs(pairs: DataFrame, encoder, max_length: int = DEFAULT_MAX_LENG
         "original_length")
 
 
-def token_stats(tokenized: DataFrame) -> DataFrame:
+def token_stats(tokenized: DataFrame, key: str = "pair_id") -> DataFrame:
     """A5: count, sum, avg, max, min of token counts (zeros when empty), and
-    rows whose labels are all masked (an input filling the window)."""
+    rows whose labels are all masked (an input filling the window). Windows of one pair
+    (a ``window_no`` column) count as that pair, with all its tokens."""
     t = F.col("token_count")
-    fully_masked = F.size(F.array_remove("labels", IGNORE_INDEX)) == 0
-    return tokenized.agg(
+    rows = tokenized.withColumn("_masked", F.size(F.array_remove("labels", IGNORE_INDEX)) == 0)
+    if "window_no" in tokenized.columns:
+        rows = rows.groupBy(key).agg(F.sum(t).alias("token_count"), F.bool_and("_masked").alias("_masked"))
+    return rows.agg(
         F.count(F.lit(1)).alias("total_pairs"),
         F.coalesce(F.sum(t), F.lit(0)).cast("bigint").alias("total_tokens"),
         F.coalesce(F.round(F.avg(t), 6), F.lit(0.0)).alias("avg_tokens_per_pair"),
         F.coalesce(F.max(t), F.lit(0)).cast("bigint").alias("max_tokens"),
         F.coalesce(F.min(t), F.lit(0)).cast("bigint").alias("min_tokens"),
-        F.count_if(fully_masked).alias("fully_masked"),
+        F.count_if("_masked").alias("fully_masked"),
     )
 
 

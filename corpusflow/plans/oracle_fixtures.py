@@ -371,6 +371,28 @@ tokenized AS (
 """)
 
 
+def tokenized_windows(max_length: int) -> str:
+    """CTE ``windows`` of whole ``turn_pairs`` (needs ``vocab``): each pair in rows of ``max_length`` tokens."""
+    comb = "input_text || chr(10) || chr(10) || 'EXPLANATION:' || chr(10) || output_text"
+    return (encode("enc_in", "turn_pairs", "pair_id", "input_text") + "," +
+            encode("enc_all", "turn_pairs", "pair_id", comb) + f""",
+win_all AS (
+  SELECT p.pair_id, a.ids, length({comb}) AS original_length,
+         list_concat(list_resize([]::INTEGER[], len(i.ids), -100), list_slice(a.ids, len(i.ids) + 1, len(a.ids))) AS lab
+  FROM turn_pairs p JOIN enc_in i ON p.pair_id = i.k JOIN enc_all a ON p.pair_id = a.k
+  WHERE p.input_text IS NOT NULL AND p.output_text IS NOT NULL),
+win_no AS (SELECT *, unnest(range((len(ids) + {max_length} - 1) // {max_length})) AS window_no FROM win_all),
+win_cut AS (
+  SELECT pair_id, window_no, original_length, list_slice(ids, window_no * {max_length} + 1, (window_no + 1) * {max_length}) AS part,
+         list_slice(lab, window_no * {max_length} + 1, (window_no + 1) * {max_length}) AS lab FROM win_no),
+windows AS (
+  SELECT pair_id, window_no::BIGINT AS window_no, pair_id || '#' || window_no AS window_id, len(part) AS token_count, original_length,
+         list_resize(part, {max_length}, 0) AS input_ids, list_resize(lab, {max_length}, -100) AS labels,
+         list_resize(list_resize([]::INTEGER[], len(part), 1), {max_length}, 0) AS attention_mask
+  FROM win_cut)
+""")
+
+
 def packed(src: str, key: str, size: str, max_tokens: int = 2048, max_sequences: int = 16) -> str:
     """CTE ``packed``(key, size, batch_id): the greedy walk as a recursive CTE."""
     brk = f"(w.cur_len >= {max_sequences} OR w.cur_tok + o.sz > {max_tokens})"

@@ -258,3 +258,75 @@ def q_tokenize_corpus(spark, sf):
         F.sum("token_count").cast("bigint").alias("total_tokens"), F.sum(labels).cast("bigint").alias("label_tokens"),
         F.sum(F.aggregate(real, F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("id_sum"),
         F.sum(F.size(real) - F.size(F.array_remove(real, K.UNK_ID))).cast("bigint").alias("unknown"))
+
+
+# ---------------------------------------------------------------------------
+# whole turn pairs: every token in some window, the vocabulary of the pairs themselves. The queries
+# of the same names without "_whole" cut at MAX_LENGTH, as their SQL (and the reference) does.
+# ---------------------------------------------------------------------------
+
+WINDOWS_SQL = W(ofx.TURN_PAIRS, ofx.vocab(CORPUS_VOCAB, "SELECT input_text AS text FROM turn_pairs UNION ALL SELECT output_text FROM turn_pairs"),
+                ofx.tokenized_windows(MAX_LENGTH))
+PACKED_WINDOWS_SQL = WINDOWS_SQL + "," + ofx.packed("windows", "window_id", "token_count").strip()
+PAIR_TOTALS_SQL = """pair_totals AS (
+  SELECT pair_id, sum(token_count) AS token_count,
+         bool_and(list_bool_and(list_transform(labels, lambda x: x = -100))) AS masked FROM windows GROUP BY pair_id)"""
+
+
+def turn_windows(spark, sf) -> DataFrame:
+    ps = fx.turn_pairs(spark, sf)
+    texts = ps.select(F.explode(F.array("input_text", "output_text")).alias("text"))
+    enc = K.encoder_from_vocab(K.build_vocab(texts, "text", CORPUS_VOCAB))
+    t = K.tokenize_pairs(ps, enc, max_length=MAX_LENGTH, windows=True)
+    return t.withColumn("window_id", F.concat_ws("#", "pair_id", F.col("window_no").cast("string")))
+
+
+@query("tokenize_pairs_whole", WINDOWS_SQL + """
+SELECT pair_id, window_no, token_count::BIGINT AS token_count, original_length::BIGINT AS original_length,
+       array_to_string(input_ids, ' ') AS input_ids, array_to_string(attention_mask, ' ') AS attention_mask,
+       array_to_string(labels, ' ') AS labels FROM windows""")
+def q_tokenize_pairs_whole(spark, sf):
+    return turn_windows(spark, sf).select(
+        "pair_id", *[F.col(c).cast("bigint").alias(c) for c in ("window_no", "token_count", "original_length")],
+        *[_s(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
+@query("token_stats_whole", WINDOWS_SQL + "," + PAIR_TOTALS_SQL + """
+SELECT count(*)::BIGINT AS total_pairs, coalesce(sum(token_count), 0)::BIGINT AS total_tokens,
+       coalesce(round(avg(token_count), 6), 0.0) AS avg_tokens_per_pair,
+       coalesce(max(token_count), 0)::BIGINT AS max_tokens, coalesce(min(token_count), 0)::BIGINT AS min_tokens,
+       count(*) FILTER (WHERE masked)::BIGINT AS fully_masked FROM pair_totals""")
+def q_token_stats_whole(spark, sf):
+    return K.token_stats(turn_windows(spark, sf))
+
+
+@query("training_arrays_whole", WINDOWS_SQL + """
+SELECT array_to_string(input_ids, ' ') AS input_ids, array_to_string(attention_mask, ' ') AS attention_mask,
+       array_to_string(labels, ' ') AS labels FROM windows""")
+def q_training_arrays_whole(spark, sf):
+    t = K.training_arrays(turn_windows(spark, sf))
+    return t.select(*[_s(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
+@query("collate_whole", PACKED_WINDOWS_SQL + """
+SELECT p.batch_id, count(*)::BIGINT AS n_rows, string_agg(p.window_id, ' ' ORDER BY p.token_count DESC, p.window_id) AS window_ids,
+       sum(p.token_count)::BIGINT AS n_tokens
+FROM packed p GROUP BY p.batch_id""")
+def q_collate_whole(spark, sf):
+    t = turn_windows(spark, sf)
+    c = P.collate(t, P.pack_batches(t, id_col="window_id"), id_col="window_id")
+    return c.select("batch_id", F.size("window_ids").cast("bigint").alias("n_rows"), F.array_join("window_ids", " ").alias("window_ids"),
+                    F.aggregate(F.flatten("attention_mask"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_tokens"))
+
+
+@query("tokenize_report_whole", PACKED_WINDOWS_SQL + "," + PAIR_TOTALS_SQL + """,
+sizes AS (SELECT batch_id, count(*) AS n FROM packed GROUP BY batch_id),
+ts AS (SELECT count(*)::BIGINT AS total_pairs, coalesce(sum(token_count), 0)::BIGINT AS total_tokens,
+              coalesce(round(avg(token_count), 6), 0.0) AS avg_tokens_per_pair FROM pair_totals),
+bs AS (SELECT count(*)::BIGINT AS total_batches, coalesce(round(avg(n), 6), 0.0) AS avg_batch_size FROM sizes)
+SELECT * FROM ts, bs""")
+def q_tokenize_report_whole(spark, sf):
+    t = turn_windows(spark, sf)
+    st = K.token_stats(t).select("total_pairs", "total_tokens", "avg_tokens_per_pair")
+    bs = P.batch_stats(P.pack_batches(t, id_col="window_id")).select("total_batches", "avg_batch_size")
+    return st.crossJoin(bs)  # two one-row aggregates

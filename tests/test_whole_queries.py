@@ -2,9 +2,14 @@
 
 from collections import Counter
 
-from corpusflow.operators import versions
+import regex
+from pyspark.sql import functions as F
+
+from corpusflow.operators import tokens, versions
 from corpusflow.plans import queries_io as io
+from corpusflow.plans import queries_tokens as qt
 from corpusflow.plans.queries_corpus import project_pairs
+from corpusflow.sources import fixtures as fx
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -18,3 +23,15 @@ def test_all_versions_are_written(spark, monkeypatch):
     paths.clear()
     io.q_dataset_version_write(spark, SF_SMALL)
     assert len(paths) == 2 and spark.read.parquet(paths[0]).count() == sum(want.values())
+
+
+def test_no_token_of_a_pair_is_lost(spark):
+    pairs = fx.turn_pairs(spark, SF_SMALL).collect()
+    count = {r.pair_id: len(regex.findall(tokens.TOKEN_PATTERN, r.input_text + tokens.EXPLANATION_HEADER + r.output_text)) for r in pairs}
+    assert max(count.values()) > qt.MAX_LENGTH
+    rows = qt.turn_windows(spark, SF_SMALL)
+    mine = rows.groupBy("pair_id").agg(F.sum("token_count").alias("n"), F.sum(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("m"))
+    assert {r.pair_id: (r.n, r.m) for r in mine.collect()} == {k: (n, n) for k, n in count.items()}
+    stats = qt.q_token_stats_whole(spark, SF_SMALL).first()
+    assert (stats.total_pairs, stats.total_tokens, stats.max_tokens) == (len(count), sum(count.values()), max(count.values()))
+    assert sum(r.n_tokens for r in qt.q_collate_whole(spark, SF_SMALL).collect()) == sum(count.values())
