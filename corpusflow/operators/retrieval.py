@@ -225,9 +225,10 @@ def jaccard_summary(questions: DataFrame, chunks: DataFrame, qid: str = "qid", q
         (F.coalesce("sum_c", F.lit(0.0)) + F.coalesce("sum_h", F.lit(0.0))).alias("sum_score"))
 
 
-def citations(topk: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Per question, the ordered citation structs and context pieces."""
-    snippet = F.col("snippet") if "snippet" in chunks.columns else _snippet(SNIPPET_CUT)
+def citations(topk: DataFrame, chunks: DataFrame, snippet_cut: int | None = SNIPPET_CUT) -> DataFrame:
+    """Per question, the ordered citation structs and context pieces. Chunks without a
+    ``snippet`` column show ``snippet_cut`` characters, None for all of them."""
+    snippet = F.col("snippet") if "snippet" in chunks.columns else _snippet(snippet_cut)
     j = topk.join(chunks.select("chunk_id", "file_path", "chunk_type", "chunk_name", snippet.alias("snippet")),
                   "chunk_id")
     item = F.struct(

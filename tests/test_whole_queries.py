@@ -5,7 +5,7 @@ from collections import Counter
 import regex
 from pyspark.sql import functions as F
 
-from corpusflow.operators import tokens, versions
+from corpusflow.operators import retrieval, tokens, versions
 from corpusflow.plans import queries_io as io
 from corpusflow.plans import queries_tokens as qt
 from corpusflow.plans.queries_corpus import project_pairs
@@ -35,3 +35,11 @@ def test_no_token_of_a_pair_is_lost(spark):
     stats = qt.q_token_stats_whole(spark, SF_SMALL).first()
     assert (stats.total_pairs, stats.total_tokens, stats.max_tokens) == (len(count), sum(count.values()), max(count.values()))
     assert sum(r.n_tokens for r in qt.q_collate_whole(spark, SF_SMALL).collect()) == sum(count.values())
+
+
+def test_citations_show_whole_chunks(spark):
+    chunks = spark.createDataFrame([("c1", "a.md", "file", "a.md", "x" * 900)],
+                                   "chunk_id string, file_path string, chunk_type string, chunk_name string, code_content string")
+    topk = spark.createDataFrame([(1, 1, "c1")], "qid long, rank int, chunk_id string")
+    shown = [retrieval.citations(topk, chunks, **cut).first().citations[0].context.count("x") for cut in ({}, {"snippet_cut": None})]
+    assert shown == [retrieval.SNIPPET_CUT, 900]
