@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, minhash, mixing, parsing, quality, secrets, transducer, viterbi, warc
+from . import embeddings, langid, minhash, mixing, parsing, quality, rules, secrets, transducer, viterbi, warc
 from .common import table
 
 def vocabulary() -> str:
@@ -98,3 +98,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all vectors."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_quality_rules", rules.ORACLE)
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threshold table over all documents."""
+    return (rules.judge(table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
