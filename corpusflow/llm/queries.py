@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, minhash, mixing, parsing, quality, rules, secrets, transducer, viterbi, warc
+from . import divergence, embeddings, langid, minhash, mixing, parsing, quality, rules, secrets, transducer, viterbi, warc, whitening
 from .common import table
 
 def vocabulary() -> str:
@@ -105,3 +105,15 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The threshold table over all documents."""
     return (rules.judge(table(spark, sf_dir, "documents"))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"))
+
+
+@query("op12_source_divergence", divergence.ORACLE)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources of all documents."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of all vectors."""
+    return whitening.components_of(table(spark, sf_dir, "embeddings"))
