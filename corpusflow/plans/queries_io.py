@@ -19,13 +19,12 @@ W = ofx.with_ctes
 
 
 @query("scan_source_tree", W(ofx.DOC_TREE) + """
-SELECT replace(rel_path, '/_x/', '/x/') AS rel_path, ext, sha256(content) AS file_sha, length(content)::BIGINT AS n_chars
+SELECT rel_path, ext, sha256(content) AS file_sha, length(content)::BIGINT AS n_chars
 FROM indexed_tree""")
 def q_scan_source_tree(spark, sf):
     """The documents written as a source tree, then scanned."""
     root = f"{scratch_dir(spark, 'tree')}/build/project"  # the root itself lies under a skipped name
-    # Spark's file sources skip names that start with an underscore: one folder gets another name
-    src.write_source_tree(fx.doc_tree(spark, sf).withColumn("rel_path", F.replace("rel_path", F.lit("/_x/"), F.lit("/x/"))), root)
+    src.write_source_tree(fx.doc_tree(spark, sf), root)
     return src.scan_source_tree(spark, root).select("rel_path", "ext", "file_sha", F.length("content").cast("bigint").alias("n_chars"))
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.ledger_store import LedgerStore
 from ..sources import fixtures as fx
 from ..streaming import jobs
 from . import oracle_fixtures as ofx
@@ -22,9 +23,10 @@ def q_stream_ledger(spark, sf):
     writes = fx.checkpoint_writes(spark, sf)
     # three update files, applied as three micro-batches
     writes.repartition(3, F.col("seq") % 3).write.parquet(f"{root}/updates")
-    jobs.write_snapshot(fx.ledger(spark, sf), f"{root}/ledger", 0)
-    jobs.stream_ledger(spark, f"{root}/updates", writes.schema, f"{root}/ledger", f"{root}/_checkpoint")
-    return ledger_view(jobs.latest_snapshot(spark, f"{root}/ledger"))
+    store = LedgerStore(spark, f"{root}/ledger", range_size=1_000)
+    store.create(fx.ledger(spark, sf))
+    jobs.stream_ledger_store(store, f"{root}/updates", writes.schema, f"{root}/_checkpoint")
+    return ledger_view(store.read())
 
 
 @query("stream_reindex")

@@ -1,8 +1,7 @@
 """File sources and sinks.
 
-``scan_source_tree`` reads a directory tree once with the ``binaryFile``
-source; after that, work runs on a compact ``files`` table
-(path, rel_path, ext, content, file_sha) that can live in Parquet.
+``scan_source_tree`` lists and reads a directory tree on the executors; after that, work runs on a
+compact ``files`` table (path, rel_path, ext, content, file_sha) that can live in Parquet.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import ids, paths
+from ..session import materialize
 
 FILES_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()),
@@ -44,27 +44,106 @@ def qualified(spark: SparkSession, path: str) -> str:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
 
 
+#: Bytes of file contents that one task reads, about, and that one Arrow batch holds at most (one file at least).
+READ_BYTES = 128 << 20
+BATCH_BYTES = 32 << 20
+
+
+def open_arrow(uri: str):
+    """(file system, path) of a root, opened in a task by its scheme. Another store is plugged in by a
+    function like this one."""
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+
+
+def _list_folders(uri: str, opener):
+    """Folders (relative to ``uri``) -> their entries: rel_path, is_dir, size. A folder that has gone since is
+    empty; links to folders are not followed."""
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+        system, top = opener(uri)
+        local = isinstance(system, fs.LocalFileSystem)
+        for batch in batches:
+            for rel in batch.column(0).to_pylist():
+                at = f"{top}/{rel}" if rel else top
+                found = [(f"{rel}/{i.base_name}" if rel else i.base_name, i.type == fs.FileType.Directory, i.size or 0)
+                         for i in system.get_file_info(fs.FileSelector(at, recursive=False, allow_not_found=True))
+                         if i.type == fs.FileType.File or i.type == fs.FileType.Directory and not (local and os.path.islink(i.path))]
+                for k in range(0, len(found), 10_000):
+                    part = found[k:k + 10_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.bool_()),
+                         pa.array([x[2] for x in part], pa.int64())], names=["rel_path", "is_dir", "size"])
+    return run
+
+
+def list_tree(spark: SparkSession, root: str, keep_all: bool = False, opener=open_arrow) -> DataFrame:
+    """All files under ``root``: rel_path, size. One round a level: the folders of a level are rows, dealt to the
+    executors, which list them; skipped folders (F1) are dropped before the next round opens them."""
+    uri = qualified(spark, root)
+    level, files = spark.createDataFrame([("",)], "rel_path string"), None
+    cores = spark.sparkContext.defaultParallelism
+    while True:
+        # written: a level is listed once, and a lost executor lists only its own folders again
+        found = materialize(level.repartition(cores).mapInArrow(_list_folders(uri, opener), "rel_path string, is_dir boolean, size long"), "tree-level")
+        here = found.where(~F.col("is_dir")).select("rel_path", "size")
+        files = here if files is None else files.unionByName(here)
+        level = found.where("is_dir").select("rel_path")
+        if not keep_all:
+            level = level.where(paths.not_in_skipped_dir(F.concat("rel_path", F.lit("/"))))
+        if level.isEmpty():
+            return files
+
+
+def _read_files(uri: str, opener):
+    """Files (rel_path) -> rel_path, content, in batches of bounded bytes. A file that has gone since is left out."""
+    def run(batches):
+        import pyarrow as pa
+        system, top = opener(uri)
+        made = lambda rows: pa.RecordBatch.from_arrays(
+            [pa.array([r for r, _ in rows], pa.string()), pa.array([c for _, c in rows], pa.binary())], names=["rel_path", "content"])
+        for batch in batches:
+            rows, held = [], 0
+            for rel in batch.column(0).to_pylist():
+                try:
+                    with system.open_input_stream(f"{top}/{rel}", compression=None) as f:
+                        content = f.read()
+                except FileNotFoundError:
+                    continue
+                if rows and held + len(content) > BATCH_BYTES:
+                    yield made(rows)
+                    rows, held = [], 0
+                rows.append((rel, content))
+                held += len(content)
+            if rows:
+                yield made(rows)
+    return run
+
+
 def scan_source_tree(spark: SparkSession, root: str, exts: list[str] | None = None,
-                     keep_all: bool = False) -> DataFrame:
+                     keep_all: bool = False, opener=open_arrow) -> DataFrame:
     """Recursive walk of ``root`` (relative, absolute, or with a scheme) into a files table.
 
-    The file checksum is taken over the raw bytes (as the reference's change
-    detector does); content is decoded text. Extensions (F2) are a glob filter of the listing, so files
-    of others are never opened; hidden and build directories are pruned by F1. ``keep_all`` turns
-    both off. Spark's file source itself skips names starting with ``_`` or ``.``; use a prepared
-    files table when such directories matter.
+    The executors list the tree (``list_tree``) and read the files; the driver sees neither names nor
+    contents. Folders and extensions are tested on the listing, so nothing of a skipped folder (F1) and no file
+    of another extension (F2) is opened; ``keep_all`` turns both off. Names may start with an underscore; hidden files
+    are left out. The file checksum is taken over the raw bytes (as the reference's change
+    detector does); content is decoded text.
     """
-    base = qualified(spark, root)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if not keep_all:
-        reader = reader.option("pathGlobFilter", "*{" + ",".join(exts or paths.INDEXED_EXTENSIONS) + "}")
-    # the same file system may write its root with one slash or three
-    tidy = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-    rel = paths.relative_path(tidy(F.col("path")), re.sub("^file:/+", "file:/", base))
-    raw = reader.load(base).withColumn("rel_path", rel).withColumn("ext", paths.extension(F.col("rel_path")))
+    uri = qualified(spark, root)
+    found = (list_tree(spark, root, keep_all, opener).withColumn("ext", paths.extension(F.col("rel_path")))
+             .where(~paths.basename(F.col("rel_path")).startswith(".")))
     if not keep_all:
-        raw = select_indexable(raw, exts)
-    return raw.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "rel_path", "ext",
+        found = select_indexable(found, exts)
+    total = found.agg(F.sum("size")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // READ_BYTES))
+    raw = (found.select("rel_path").repartition(int(tasks), "rel_path")
+           .mapInArrow(_read_files(uri, opener), "rel_path string, content binary"))
+    top = re.sub("^file:/+", "/", uri)
+    return raw.select(F.concat(F.lit(top + "/"), "rel_path").alias("path"), "rel_path", paths.extension(F.col("rel_path")).alias("ext"),
                       decode_text(F.col("content")).alias("content"), F.sha2(F.col("content"), 256).alias("file_sha"))
 
 

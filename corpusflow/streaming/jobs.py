@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import changes, chunking, ledger, pairs
+from ..operators.ledger_store import LedgerStore
 from ..session import checkpoint_dir
 
 SNAPSHOT = "snapshot"
@@ -75,6 +76,17 @@ def stream_ledger(spark: SparkSession, updates_dir: str, updates_schema: T.Struc
     q.awaitTermination()
 
 
+def stream_ledger_store(store: LedgerStore, updates_dir: str, updates_schema: T.StructType, checkpoint: str,
+                        files_per_batch: int = 1) -> None:
+    """T2 on a merge-on-read ledger: each micro-batch writes its own deltas instead of the ledger. A batch
+    replayed after a crash replaces what it wrote; the checkpoint skips committed batches."""
+    q = (store.spark.readStream.format("parquet").schema(updates_schema)
+         .option("maxFilesPerTrigger", files_per_batch).load(updates_dir)
+         .writeStream.foreachBatch(store.apply).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 # ---------------------------------------------------------------------------
 # Re-index on change
 # ---------------------------------------------------------------------------

@@ -85,3 +85,29 @@ def test_log_entry_empty_vs_missing_author(spark):
                                 ('<logentry revision="2"><date>d</date></logentry>',)], "xml string")
     rows = sorted(tuple(r) for r in ledger.parse_log_xml(df).collect())
     assert rows == [(1, "", "d", "", 0), (2, "unknown", "d", "", 0)]   # empty element vs no element
+
+
+def test_scan_keeps_underscore_folders_and_prunes_before_opening(spark, tmp_path):
+    for rel in ("_docs/a.md", "__tests__/x/b.py", "src/_c.java", "node_modules/deep/er/no.md", ".git/no.py", "e.md"):
+        p = tmp_path / rel
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(rel)
+    (tmp_path / "loop").symlink_to(tmp_path)
+    (tmp_path / "empty").mkdir()
+    df = files.scan_source_tree(spark, str(tmp_path))
+    assert {r.rel_path: r.content for r in df.collect()} == {k: k for k in ("_docs/a.md", "__tests__/x/b.py", "src/_c.java", "e.md")}
+    assert "binaryFile" not in df._jdf.queryExecution().toString()
+    listed = {r.rel_path for r in files.list_tree(spark, str(tmp_path)).collect()}
+    assert not any(x.startswith(("node_modules", ".git", "loop")) for x in listed)
+    kept = {r.rel_path for r in files.scan_source_tree(spark, str(tmp_path), keep_all=True).collect()}
+    assert "node_modules/deep/er/no.md" in kept and ".git/no.py" in kept
+    assert files.scan_source_tree(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_large_contents_come_in_bounded_batches(spark, tmp_path, monkeypatch):
+    for k in range(6):
+        (tmp_path / f"f{k}.md").write_text("x" * 1000 * k)
+    monkeypatch.setattr(files, "BATCH_BYTES", 2500)
+    import pyarrow as pa
+    batches = list(files._read_files(str(tmp_path), files.open_arrow)(iter([pa.RecordBatch.from_pydict({"rel_path": [f"f{k}.md" for k in range(6)] + ["gone.md"]})])))
+    assert sum(b.num_rows for b in batches) == 6 and all(b.num_rows == 1 or b.column(1).nbytes < 3000 for b in batches) and len(batches) > 3
