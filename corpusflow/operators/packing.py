@@ -92,7 +92,7 @@ def pack_batches(df: DataFrame, id_col: str = "pair_id", size_col: str = "token_
                  num_partitions: int | None = None) -> DataFrame:
     """W2 + W3: (id, size, batch_id, seq) for every row; batch ids start at 0
     in descending size order, ties in ``id_col`` order (stable sort)."""
-    slim = df.select(F.col(id_col).alias("_id"), F.col(size_col).cast("long").alias("_size"))
+    slim = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(size_col), F.lit(0)).cast("long").alias("_size"))
     placed = _placed(slim, [F.desc("_size"), F.asc("_id")], num_partitions, "pack-sorted")
     # rows per (size, range partition), and the place at which the size starts there
     counts = placed.groupBy("_size", "_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_place").alias("_first"))
@@ -113,35 +113,99 @@ def _fits(count: int, tokens: int, size: int, max_tokens: int, max_sequences: in
     return count > 0 and count < max_sequences and tokens + max(size, 0) <= max_tokens
 
 
+#: Rows of a partition that are worked on at once.
+CHUNK_ROWS = 1 << 16
+
+
+class _Chunk:
+    """A run of rows in order. ``jumps[k][i]`` is the row at which the batch 2**k batches after one that
+    starts at row i starts (the number of rows if there is none): the first by prefix sums and a
+    sorted search, the others by doubling. All are nondecreasing in i."""
+
+    def __init__(self, sizes: np.ndarray, max_tokens: int, max_sequences: int):
+        self.n, self.max_tokens, self.max_sequences = len(sizes), max_tokens, max_sequences
+        self.sums = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])
+        at = np.arange(self.n)
+        fit = np.searchsorted(self.sums, self.sums[:-1] + max_tokens, side="right") - 1
+        step = np.minimum(np.minimum(at + max_sequences, np.maximum(at + 1, fit)), self.n)
+        self.jumps = [np.append(step, self.n)]
+        while self.jumps[-1][0] < self.n:
+            self.jumps.append(self.jumps[-1][self.jumps[-1]])
+
+    def joining(self, count: int, tokens: int) -> int:
+        """Rows at the start that still go to an open batch."""
+        if count <= 0:
+            return 0
+        fit = int(np.searchsorted(self.sums, self.max_tokens - tokens, side="right")) - 1
+        return max(0, min(self.n, self.max_sequences - count, fit))
+
+    def last(self, start: int) -> tuple[int, int]:
+        """(batches that start at or after row ``start``, first row of the last), if one starts there."""
+        at, opened = start, 1
+        for k in range(len(self.jumps) - 1, -1, -1):
+            if self.jumps[k][at] < self.n:
+                at, opened = int(self.jumps[k][at]), opened + (1 << k)
+        return opened, at
+
+    def starts(self, start: int) -> np.ndarray:
+        """First rows of all batches from the one that starts at row ``start``."""
+        opened = self.last(start)[0]
+        at, steps = np.full(opened, start), np.arange(opened)
+        for k, jump in enumerate(self.jumps):
+            at = np.where(steps >> k & 1, jump[at], at)
+        return at
+
+    def walk(self, opened: int, count: int, tokens: int, skip: int) -> tuple[int, int, int, int, int]:
+        """State after the chunk: batches opened, the open batch's rows and tokens, rows still to skip; and the
+        row at which the first own batch starts (the number of rows if none does)."""
+        if skip >= self.n:
+            return opened, count, tokens, skip - self.n, self.n
+        first = skip or self.joining(count, tokens)
+        if first >= self.n:
+            return opened, count + self.n, tokens + int(self.sums[-1]), 0, self.n
+        new, last = self.last(first)
+        return opened + new, self.n - last, int(self.sums[-1] - self.sums[last]), 0, first
+
+
+def _pieces(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """(_pid, rows): the frames joined to some CHUNK_ROWS rows and cut where the partition changes."""
+    def cut(held):
+        rows = pd.concat(held, ignore_index=True)
+        edges = [0, *(np.flatnonzero(np.diff(rows["_pid"].to_numpy())) + 1).tolist(), len(rows)]
+        for a, b in zip(edges, edges[1:]):
+            yield int(rows["_pid"].iat[a]), rows.iloc[a:b]
+    held, n = [], 0
+    for f in frames:
+        if len(f):
+            held.append(f)
+            n += len(f)
+        if n >= CHUNK_ROWS:
+            yield from cut(held)
+            held, n = [], 0
+    if held:
+        yield from cut(held)
+
+
 def _partition_maps(max_tokens: int, max_sequences: int):
     """(_pid, _size) rows of a partition in order -> for each entry (rows that belong to an earlier
     partition's batch): batches opened, and the open batch's rows and tokens at the end. ``heads`` are
     the first sizes, by which the batch open before decides the entry."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid, heads, ways, at = None, [], None, 0
-        done = []
+    names = ["_pid", "entry", "rows", "heads", "opened", "count", "tokens"]
 
-        def close():
-            if pid is not None:
-                done.append(pd.DataFrame([(pid, e, at, heads, *w) for e, w in enumerate(ways)],
-                                         columns=["_pid", "entry", "rows", "heads", "opened", "count", "tokens"]))
-        for pdf in frames:
-            for p, size in zip(pdf["_pid"].tolist(), pdf["_size"].tolist()):
-                if p != pid:
-                    close()
-                    pid, heads, at, ways = p, [], 0, [(0, 0, 0)] * (max_sequences + 1)
-                if at <= max_sequences:
-                    heads = [*heads, size]
-                for e in range(max_sequences + 1):
-                    if at >= e:
-                        opened, count, tokens = ways[e]
-                        ways[e] = (opened, count + 1, tokens + max(size, 0)) if _fits(count, tokens, size, max_tokens, max_sequences) \
-                            else (opened + 1, 1, max(size, 0))
-                at += 1
-            yield from done
-            done.clear()
-        close()
-        yield from done
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pid, heads, ways, rows = None, [], [], 0
+        for p, piece in _pieces(frames):
+            if p != pid:
+                if pid is not None:
+                    yield pd.DataFrame([(pid, e, rows, heads, *w[:3]) for e, w in enumerate(ways)], columns=names)
+                pid, heads, rows, ways = p, [], 0, [(0, 0, 0, e) for e in range(max_sequences + 1)]
+            sizes = piece["_size"].to_numpy()
+            heads = [*heads, *sizes[:max_sequences + 1 - len(heads)].tolist()]
+            chunk = _Chunk(sizes, max_tokens, max_sequences)
+            ways = [chunk.walk(*w)[:4] for w in ways]
+            rows += len(sizes)
+        if pid is not None:
+            yield pd.DataFrame([(pid, e, rows, heads, *w[:3]) for e, w in enumerate(ways)], columns=names)
     return run
 
 
@@ -173,23 +237,20 @@ def _compose(max_tokens: int, max_sequences: int):
 def _numbered(max_tokens: int, max_sequences: int, schema: list[str]):
     """Rows of a partition in order, with its entry -> rows with batch_id."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid, batch, count, tokens, at = None, 0, 0, 0, 0
-        for pdf in frames:
-            ids = np.empty(len(pdf), np.int64)
-            for k, (p, size, entry, first, before) in enumerate(zip(
-                    pdf["_pid"].tolist(), pdf["_size"].tolist(), pdf["entry"].tolist(), pdf["first_own"].tolist(), pdf["before"].tolist())):
-                if p != pid:
-                    pid, batch, count, tokens, at = p, first - 1, 0, 0, 0
-                if at < entry:
-                    ids[k] = before
-                else:
-                    if _fits(count, tokens, size, max_tokens, max_sequences):
-                        count, tokens = count + 1, tokens + max(size, 0)
-                    else:
-                        batch, count, tokens = batch + 1, 1, max(size, 0)
-                    ids[k] = batch
-                at += 1
-            yield pd.DataFrame({schema[0]: pdf["_id"], schema[1]: pdf["_size"], "batch_id": ids})
+        pid, state = None, (0, 0, 0, 0)
+        for p, piece in _pieces(frames):
+            first_own, before = int(piece["first_own"].iat[0]), int(piece["before"].iat[0])
+            if p != pid:
+                pid, state = p, (0, 0, 0, int(piece["entry"].iat[0]))
+            chunk = _Chunk(piece["_size"].to_numpy(), max_tokens, max_sequences)
+            opened, skipping = state[0], state[3] > 0
+            *state, first = chunk.walk(*state)
+            # rows before the first own batch go on with the open one: this partition's, or the one before it
+            ids = np.full(chunk.n, before if skipping or not opened else first_own + opened - 1, np.int64)
+            if first < chunk.n:
+                starts = chunk.starts(first)
+                ids[first:] = first_own + opened + np.repeat(np.arange(len(starts)), np.diff(np.append(starts, chunk.n)))
+            yield pd.DataFrame({schema[0]: piece["_id"], schema[1]: piece["_size"], "batch_id": ids})
     return run
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.index_store import IndexStore
 from ..operators.ledger_store import LedgerStore
 from ..sources import fixtures as fx
 from ..streaming import jobs
@@ -36,10 +37,9 @@ def q_stream_reindex(spark, sf):
     # two polls of the tree: the previous snapshot, then the current one
     jobs.publish_poll(prev.repartition(5), f"{root}/polls", 1)
     jobs.publish_poll(cur.repartition(4), f"{root}/polls", 2)
-    jobs.empty_index(spark, f"{root}/index")
-    jobs.stream_reindex(spark, f"{root}/polls", cur.schema, f"{root}/index", f"{root}/dataset",
-                        f"{root}/_checkpoint")
-    return jobs.latest_snapshot(spark, f"{root}/index/chunks").select("chunk_id", "file_path", "checksum")
+    store = IndexStore(spark, f"{root}/index", buckets=16)
+    jobs.stream_reindex_store(store, f"{root}/polls", cur.schema, f"{root}/dataset", f"{root}/_checkpoint")
+    return store.read("chunks").select("chunk_id", "file_path", "checksum")
 
 
 @query("stream_event_log", "SELECT event_id, event_type, props FROM events")

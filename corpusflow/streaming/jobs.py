@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import changes, chunking, ledger, pairs
+from ..operators.index_store import IndexStore
 from ..operators.ledger_store import LedgerStore
 from ..session import checkpoint_dir
 
@@ -147,6 +148,29 @@ def empty_index(spark: SparkSession, index_path: str) -> None:
     write_snapshot(state, f"{index_path}/state", 0)
 
 
+def stream_reindex_store(store: IndexStore, polls_dir: str, files_schema: T.StructType, dataset_path: str,
+                         checkpoint: str, project: str = "default") -> None:
+    """T1 on a bucketed index: as ``stream_reindex``, but each poll rewrites only the buckets that hold
+    a changed path. The pairs of the new chunks are dataset version ``batch_id + 1``."""
+    spark = store.spark
+
+    def apply(announced: DataFrame, batch_id: int) -> None:
+        polls = announced.orderBy("poll").collect()  # one row by maxFilesPerTrigger
+        if len(polls) != 1:
+            raise ValueError(f"micro-batch {batch_id} announces {len(polls)} polls")
+        stamp = F.current_timestamp()
+        new_chunks = store.apply(spark.read.schema(files_schema).parquet(polls[0]["path"]), batch_id, stamp)
+        (pairs.generate_pairs(new_chunks, stamp, version=batch_id + 1).withColumn("project", F.lit(project)).write.mode("overwrite")
+         .parquet(f"{dataset_path}/project={project}/version={batch_id + 1}"))
+        new_chunks.unpersist()
+
+    q = (spark.readStream.format("json").schema(POLL_SCHEMA).option("maxFilesPerTrigger", 1)
+         .option("recursiveFileLookup", "true").load(f"{polls_dir}/ready")
+         .writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
 # ---------------------------------------------------------------------------
 # Event log
 # ---------------------------------------------------------------------------
