@@ -47,16 +47,16 @@ def key_ranges(rows: DataFrame, key: str, weight: str, target: int, most: int =
     if lo is None:
         return []
     target = max(target, -(-int(total or 0) // most))
-    place = F.col(key) - F.lit(lo)
+    # bins are named by the key's high bits alone: keys may lie more than 64 bits apart
     shift = max(0, (hi - lo).bit_length() - 11)
     part, done = rows.filter(F.col(key).isNotNull()), []
     while True:
-        sums = part.groupBy(F.shiftright(place, shift).alias("bin")).agg(F.sum(weight).alias("w")).collect()
+        sums = part.groupBy(F.shiftright(key, shift).alias("bin")).agg(F.sum(weight).alias("w")).collect()
         heavy = [b for b, w in sums if (w or 0) > target and shift > 0]
-        done += [(lo + (b << shift), int(w or 0)) for b, w in sums if not ((w or 0) > target and shift > 0)]
+        done += [(b << shift, int(w or 0)) for b, w in sums if not ((w or 0) > target and shift > 0)]
         if not heavy:
             break
-        part, shift = rows.filter(F.shiftright(place, shift).isin(heavy)), max(0, shift - 3)
+        part, shift = rows.filter(F.shiftright(key, shift).isin(heavy)), max(0, shift - 3)
     bounds, run = [], 0
     for at, w in sorted(done):
         if not bounds or run + w > target:

@@ -162,6 +162,12 @@ def _committer(root: str):
     return run
 
 
+def _a_task_each(files: DataFrame) -> DataFrame:
+    """Rows of a manifest (a few bytes that stand for whole files) dealt to as many tasks as there are files, up
+    to 20,000: a number that is given is not reduced by the few bytes."""
+    return files.repartition(min(20_000, max(1, files.count())))
+
+
 def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES,
           min_revisit: int = MIN_REVISIT, level: int = 6) -> DataFrame:
     """Write (page_id, url, html) as archives under ``root`` and return the manifest, which is
@@ -186,7 +192,7 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, file_byte
         pieces.repartitionById(max(1, len(bounds)), F.col("shard"))
         .sortWithinPartitions("shard", "page_id", "digest", "is_page", "url")
         .mapInArrow(_writer(root, file_bytes, level, min_revisit), _FILES), "warc-pending")
-    done = pending.repartition("name").mapInArrow(_committer(root), _FILES)
+    done = _a_task_each(pending).mapInArrow(_committer(root), _FILES)
     done.drop("temp").write.mode("overwrite").parquet(f"{root}/manifest")
     fs.delete_dir(f"{base}/_temporary")
     return spark.read.parquet(f"{root}/manifest")
@@ -240,7 +246,7 @@ def _reader(root: str):
 def read(spark, root: str) -> DataFrame:
     """One row per response or revisit record of the committed archives under ``root``."""
     manifest = spark.read.parquet(f"{root}/manifest")
-    return manifest.select("name").repartition("name").mapInArrow(_reader(root), _RECORDS)
+    return _a_task_each(manifest.select("name")).mapInArrow(_reader(root), _RECORDS)
 
 
 def fresh_root(spark) -> str:
