@@ -154,7 +154,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, min_share: float = MIN_SHARE, mi
     """Learn from (text, lang); rows without either are left out. ``sample``: rows a language in
     the mean; at most 1 / min_share n-grams of each length and language reach the driver."""
     rows = train.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("_h"))
+    rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("_h"))
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
@@ -183,6 +183,15 @@ def fit(train: DataFrame, sample: int = SAMPLE, min_share: float = MIN_SHARE, mi
     return made
 
 
+#: A text with fewer letters is too short for its share of known n-grams to say much.
+ENOUGH_LETTERS = 50
+
+
+def letters(text):
+    """Letters of a text."""
+    return F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+
+
 def identify(docs: DataFrame, model: Filter, text: str = "text", out: tuple[str, str, str] = ("lang_pred", "score", "known")) -> DataFrame:
     """``docs`` with the language, the score and the share of the n-grams that the language has.
     Columns of these names are replaced."""
@@ -201,6 +210,20 @@ def identify(docs: DataFrame, model: Filter, text: str = "text", out: tuple[str,
     return docs.mapInArrow(run, shape)
 
 
+def low_shares(train: DataFrame, model: Filter, quantile: float = 0.01, sample: int = SAMPLE) -> dict[str, float]:
+    """Per learned language: the share of known n-grams that all but a ``quantile`` of its training rows
+    reach (rows of at least ENOUGH_LETTERS letters). Measured on ``sample`` rows a language in the mean, taken
+    from the other end of the hash's range than ``fit`` takes them, so that they are other rows where there are more."""
+    rows = train.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("_lang"), "text")
+    sizes = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}
+    rate = F.lit(0.0)
+    for lang, n in sizes.items():
+        rate = F.when(F.col("_lang") == lang, min(1.0, sample / n)).otherwise(rate)
+    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) >= (1 - rate) * (1 << 30))
+    found = identify(chosen.filter(letters(F.col("text")) >= ENOUGH_LETTERS), model, out=("_pred", "_score", "_known"))
+    return {r[0]: r[1] for r in found.groupBy("_lang").agg(F.percentile_approx("_known", quantile, 10_000)).collect()}
+
+
 def held_out(doc_id: str = "doc_id"):
     """Rows that training must not see."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
