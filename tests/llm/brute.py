@@ -37,7 +37,7 @@ def components(ids, linked):
     return [least.get(sets.find(k)) for k in range(len(ids))]
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, similarity=85):
     """(doc_id, text) -> (doc_id, n_shingles, component_id, kept), by an inverted index."""
     sets, index, linked = [shingles(t) for _, t in rows], defaultdict(list), []
     for k, s in enumerate(sets):
@@ -46,6 +46,6 @@ def near_duplicates(rows):
             for j in index[g]:
                 common[j] += 1
             index[g].append(k)
-        linked += [(j, k) for j, c in common.items() if 100 * c >= 85 * (len(s) + len(sets[j]) - c)]
+        linked += [(j, k) for j, c in common.items() if 100 * c >= similarity * (len(s) + len(sets[j]) - c)]
     comp = components([i for i, _ in rows], linked)
     return [(i, len(s), c, i == c) for (i, _), s, c in zip(rows, sets, comp, strict=True)]

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corpusflow.llm import langid, secrets
@@ -46,7 +47,7 @@ def copies(rows):
 
 def test_whole_run_equals_plain_version(spark):
     docs = [r for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if any(c.isalpha() for c in r.text or "")]
-    kept = {i for i, _, _, stays in brute.near_duplicates([(r.doc_id, r.text) for r in docs]) if stays}
+    kept = {i for i, _, _, stays in brute.near_duplicates([(r.doc_id, r.text) for r in docs], 80) if stays}
     rows = [(r.doc_id, r.source, masked(r.text)) for r in docs if r.doc_id in kept]
     times = copies(rows)
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
@@ -75,3 +76,15 @@ def test_language_keeps_clean_documents(spark):
     gone = docs.join(corpus_pipeline.language(spark, docs, SF).select("doc_id"), "doc_id", "left_anti")
     assert all(not any(c.isalpha() for c in r.text or "") for r in gone.collect())
     assert langid.NONE == "und"
+
+
+def test_language_rejects_one_that_no_row_is_labelled_with(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(4)
+    langs = {r.doc_id: r.lang for r in docs.collect()}
+    for unlearned in ("de", "es"):
+        mixed = docs.withColumn("lang", F.when(F.col("lang") != unlearned, F.col("lang")))
+        stay = {r.doc_id for r in corpus_pipeline.language(spark, mixed, SF).select("doc_id").collect()}
+        long = {r.doc_id for r in docs.filter(langid.letters(F.col("text")) >= langid.ENOUGH_LETTERS).collect()}
+        foreign = {i for i in long if langs[i] == unlearned}
+        assert len(foreign & stay) <= 0.02 * len(foreign), unlearned
+        assert {i for i in long if langs[i] != unlearned} <= stay
