@@ -1,17 +1,17 @@
 """Cut source files into file-, class- and method-level chunks.
 
 Input is a ``files`` table (rel_path, ext, content, ...). File chunks and
-generic chunks are pure column expressions. Java class and method spans need
-a brace scan, which runs per file in ``mapInArrow``; it returns members' texts,
+generic chunks are pure column expressions. Java class and method spans need paired
+brackets, which are found for blocks of files at once in ``mapInArrow``; it returns members' texts,
 names and raw comments, and native columns derive ids, hashes and descriptions.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,16 +106,149 @@ _CTOR_HEAD = re.compile(
 _BETWEEN_DOC_AND_DECL = re.compile(r"\s*(?:@[\w$.]+(?:\s*\([^()]*\))?\s*)*")
 
 
-def _mask(text: str) -> tuple[str, list[tuple[int, int]]]:
-    docs: list[tuple[int, int]] = []
-
-    def blank(m: re.Match) -> str:
-        s = m.group(0)
-        if s.startswith("/**") and not s.startswith("/**/"):
-            docs.append((m.start(), m.end()))
-        return re.sub(r"[^\n]", " ", s)
-
-    return _LITERALS.sub(blank, text), docs
+#: Parts the files of a block: no pattern matches it and no statement crosses it.
+_PART = "\0"
+
+
+def _masked(texts: list[str]) -> tuple[str, np.ndarray, list[int], list[int]]:
+    """(the texts joined by _PART, each character of a comment or literal but its line ends blanked;
+    first characters of the texts and, last, the end; starts and ends of javadoc comments)."""
+    firsts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    starts, ends, docs_from, docs_to = [], [], [], []
+    for text, first in zip(texts, firsts.tolist()):
+        for m in _LITERALS.finditer(text):
+            a, b = m.span()
+            starts.append(first + a)
+            ends.append(first + b)
+            if text.startswith("/**", a) and not text.startswith("/**/", a):
+                docs_from.append(first + a)
+                docs_to.append(first + b)
+    chars = np.frombuffer((_PART.join(t.replace(_PART, " ") for t in texts) + _PART).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    inside = np.zeros(len(chars) + 1, np.int32)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, ends, -1)
+    chars[(np.cumsum(inside[:-1]) > 0) & (chars != 10)] = 32
+    return chars.tobytes().decode("utf-32-le", "surrogatepass"), firsts, docs_from, docs_to
+
+
+def _paired(opens: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Brackets in order, each of one part: (its other half, the bracket that opens around it), -1 for none.
+    Depths are running sums, floored at the part's start so that a closing bracket too many is left out; in an
+    order by depth, stable in the place, the halves of a pair stand side by side."""
+    n = len(opens)
+    half, around = np.full(n, -1), np.full(n, -1)
+    if not n:
+        return half, around
+    step = np.where(opens, 1, -1)
+    first = np.searchsorted(part, part)
+    run = np.cumsum(step)
+    ground = -part.astype(np.int64) * 2 * n      # lower for every further part, so that the floor starts anew
+    level = run - (run[first] - step[first]) + ground
+    floor = np.minimum.accumulate(np.minimum(level, ground))
+    before = np.minimum(np.concatenate([[0], floor[:-1]]), ground)
+    depth = level - floor + ~opens
+    real = np.flatnonzero(opens | (floor == before))
+    key = part[real].astype(np.int64) * (2 * n + 2) + depth[real]
+    order = np.argsort(key, kind="stable")
+    key, by_depth = key[order], real[order]
+    a, b = by_depth[:-1], by_depth[1:]
+    pair = opens[a] & ~opens[b] & (key[:-1] == key[1:])
+    half[a[pair]], half[b[pair]] = b[pair], a[pair]
+    # the last bracket one level up that stands before
+    place = key * n + by_depth
+    inner = np.flatnonzero(opens & (depth > 1))
+    up = np.searchsorted(place, (part[inner].astype(np.int64) * (2 * n + 2) + depth[inner] - 1) * n + inner) - 1
+    around[inner] = by_depth[up]
+    return half, around
+
+
+def _places(text: np.ndarray, of: str) -> np.ndarray:
+    return np.flatnonzero(np.isin(text, np.array([ord(c) for c in of], np.uint32)))
+
+
+def java_block_spans(texts: list[str]) -> list[list[tuple]]:
+    """Class and method spans of a block of Java files, a list per file of
+    (chunk_type, name, start_line, end_line, start, end, parent, return_type, raw_javadoc), start and end
+    in characters. Brackets are paired for the whole block at once; patterns look only at
+    declaration heads."""
+    masked, firsts, docs_from, docs_to = _masked(texts)
+    chars = np.frombuffer(masked.encode("utf-32-le", "surrogatepass"), np.uint32)
+    stops = _places(chars, ";{}" + _PART)
+    heads = _places(chars, ";{" + _PART)
+    newlines = _places(chars, "\n")
+
+    def brackets(pair: str):
+        at = _places(chars, pair)
+        return at, *_paired(chars[at] == ord(pair[0]), np.searchsorted(firsts, at, side="right") - 1)
+    braces, brace_half, brace_around = brackets("{}")
+    parens, paren_half, _ = brackets("()")
+
+    def segments(at: np.ndarray) -> np.ndarray:
+        """Starts of the statements or bodies that places lie in."""
+        k = np.searchsorted(stops, at)
+        return np.where(k > 0, stops[np.maximum(k - 1, 0)] + 1, 0)
+
+    decls = []  # (start, kind, name, open brace, return_type)
+    found = [m for m in _CLASS_KEYWORD.finditer(masked) if not (m.start() and masked[m.start() - 1] in "$.@")]  # Foo.class, @interface
+    if found:
+        keyword = np.array([m.start() for m in found])
+        opened = heads[np.searchsorted(heads, np.array([m.end() for m in found]))]
+        for m, kw, k, seg in zip(found, keyword.tolist(), opened.tolist(), segments(keyword).tolist(), strict=True):
+            if masked[k] == "{":
+                h = _CLASS_HEAD.fullmatch(masked, seg, kw)
+                decls.append((h.start(1) if h is not None and h.group(1) else kw, "class", m.group(2), k, None))
+    tails = list(_METHOD_TAIL.finditer(masked))
+    if tails:
+        close = np.array([m.start() for m in tails])
+        other = paren_half[np.searchsorted(parens, close)]
+        opened = np.where(other >= 0, parens[other], 0)
+        # no statement or body may end between the parentheses
+        good = (other >= 0) & (np.searchsorted(stops, opened) == np.searchsorted(stops, close))
+        for k, i, seg in zip(np.flatnonzero(good).tolist(), opened[good].tolist(), segments(opened[good]).tolist(), strict=True):
+            brace = tails[k].end() - 1
+            h = _METHOD_HEAD.fullmatch(masked, seg, i)
+            if h is None:
+                c = _CTOR_HEAD.fullmatch(masked, seg, i)
+                if c is not None and c.group(2) not in _NOT_NAMES:   # kept only inside its own class
+                    decls.append((c.start(1), "ctor", c.group(2), brace, c.group(2)))  # returns its class
+                continue
+            rtype, name = h.group(2), h.group(3)
+            if name not in _NOT_NAMES and rtype not in _NOT_TYPES:
+                decls.append((h.start(1), "method", name, brace, re.sub(r"\s+", " ", rtype)))
+    out: list[list[tuple]] = [[] for _ in texts]
+    if not decls:
+        return out
+    decls.sort()
+    start = np.array([d[0] for d in decls])
+    at = np.searchsorted(braces, np.array([d[3] for d in decls]))
+    part = np.searchsorted(firsts, start, side="right") - 1
+    last = firsts[part + 1] - 1                       # the end of the file's text
+    end = np.where(brace_half[at] >= 0, braces[brace_half[at]] + 1, last)
+    class_at = {d[3]: d[2] for d in decls if d[1] == "class"}
+    around = np.where(brace_around[at] >= 0, braces[brace_around[at]], -1)
+    lines = np.searchsorted(newlines, np.stack([start, end])) - np.searchsorted(newlines, firsts[part]) + 1
+    before = np.searchsorted(docs_to, start, side="right") - 1
+    inside = np.searchsorted(docs_from, start)
+    rows = zip(decls, part.tolist(), end.tolist(), around.tolist(), lines[0].tolist(), lines[1].tolist(), before.tolist(), inside.tolist(), strict=True)
+    for (a, kind, name, _, rtype), p, b, outer, line, last_line, doc, inner in rows:
+        if kind in ("method", "ctor"):
+            parent = class_at.get(outer)
+            if parent is None or kind == "ctor" and name != parent:
+                continue     # not directly inside a class body, or a call like foo(x) { ... }
+            kind = "method"
+        else:
+            parent = name
+        text, first = texts[p], int(firsts[p])
+        # javadoc directly before the declaration, else the first one inside
+        javadoc = None
+        if doc >= 0 and docs_from[doc] >= first:
+            s, e = docs_from[doc], docs_to[doc]
+            if _BETWEEN_DOC_AND_DECL.fullmatch(masked, e, a) and not text[text.rfind("\n", 0, s - first) + 1:s - first].strip():
+                javadoc = text[s - first:e - first]
+        if javadoc is None and inner < len(docs_from) and docs_to[inner] <= b:
+            javadoc = text[docs_from[inner] - first:docs_to[inner] - first]
+        out[p].append((kind, name, line, last_line, a - first, b - first, parent, rtype, javadoc))
+    return out
 
 
 def java_spans(text: str) -> list[tuple]:
@@ -130,107 +263,8 @@ def java_spans(text: str) -> list[tuple]:
 
 
 def java_span_offsets(text: str) -> list[tuple]:
-    """As ``java_spans`` with (start, end) character offsets instead of text:
-    (chunk_type, name, start_line, end_line, start, end, parent, return_type, raw_javadoc)."""
-    masked, docs = _mask(text)
-    n = len(text)
-    newlines = [m.start() for m in re.finditer("\n", text)]
-    stops = [m.start() for m in re.finditer("[;{}]", masked)]
-
-    def segment(pos: int) -> int:
-        """Start of the statement or body that ``pos`` lies in."""
-        k = bisect.bisect_left(stops, pos)
-        return stops[k - 1] + 1 if k else 0
-
-    def line_at(pos: int) -> int:
-        return bisect.bisect_left(newlines, pos) + 1
-
-    decls = []  # (start, kind, name, open_brace, return_type)
-    for m in _CLASS_KEYWORD.finditer(masked):
-        kw = m.start()
-        if kw and masked[kw - 1] in "$.@":          # Foo.class, @interface
-            continue
-        k = m.end()
-        while k < n and masked[k] not in "{;":
-            k += 1
-        if k >= n or masked[k] != "{":
-            continue
-        seg = segment(kw)
-        h = _CLASS_HEAD.fullmatch(masked, seg, kw)
-        start = h.start(1) if h is not None and h.group(1) else kw
-        decls.append((start, "class", m.group(2), k, None))
-    for m in _METHOD_TAIL.finditer(masked):
-        close = m.start()
-        depth, i = 0, close
-        while i >= 0:
-            c = masked[i]
-            if c == ")":
-                depth += 1
-            elif c == "(":
-                depth -= 1
-                if depth == 0:
-                    break
-            elif c in ";{}":
-                i = -1
-                break
-            i -= 1
-        if i < 0:
-            continue
-        seg = segment(i)
-        h = _METHOD_HEAD.fullmatch(masked, seg, i)
-        if h is None:
-            c = _CTOR_HEAD.fullmatch(masked, seg, i)
-            if c is not None and c.group(2) not in _NOT_NAMES:   # kept only inside its own class
-                decls.append((c.start(1), "ctor", c.group(2), m.end() - 1, c.group(2)))  # returns its class
-            continue
-        rtype, name = h.group(2), h.group(3)
-        if name in _NOT_NAMES or rtype in _NOT_TYPES:
-            continue
-        decls.append((h.start(1), "method", name, m.end() - 1, re.sub(r"\s+", " ", rtype)))
-
-    # one pass over braces: matching close and the enclosing open brace
-    close_of: dict[int, int] = {}
-    parent_of: dict[int, int | None] = {}
-    stack: list[int] = []
-    for b in re.finditer(r"[{}]", masked):
-        p = b.start()
-        if masked[p] == "{":
-            parent_of[p] = stack[-1] if stack else None
-            stack.append(p)
-        elif stack:
-            close_of[stack.pop()] = p
-    class_at_brace = {d[3]: d[2] for d in decls if d[1] == "class"}
-    doc_starts, doc_ends = [s for s, _ in docs], [e for _, e in docs]
-
-    out = []
-    for start, kind, name, brace, rtype in sorted(decls):
-        end = close_of.get(brace, n - 1) + 1
-        enclosing = parent_of.get(brace)
-        if kind in ("method", "ctor"):
-            parent = class_at_brace.get(enclosing) if enclosing is not None else None
-            if parent is None:  # not directly inside a class body
-                continue
-            if kind == "ctor":
-                if name != parent:   # a call like foo(x) { ... } is not a declaration
-                    continue
-                kind = "method"
-        else:
-            parent = name
-        # javadoc directly before the declaration, else the first one inside
-        javadoc = None
-        i = bisect.bisect_right(doc_ends, start) - 1
-        if i >= 0:
-            s, e = docs[i]
-            line_start = text.rfind("\n", 0, s) + 1
-            if (_BETWEEN_DOC_AND_DECL.fullmatch(masked, e, start)
-                    and not text[line_start:s].strip()):
-                javadoc = text[s:e]
-        if javadoc is None:
-            i = bisect.bisect_left(doc_starts, start)
-            if i < len(docs) and docs[i][1] <= end:
-                javadoc = text[docs[i][0]:docs[i][1]]
-        out.append((kind, name, line_at(start), line_at(end), start, end, parent, rtype, javadoc))
-    return out
+    """As ``java_spans`` with (start, end) character offsets instead of text."""
+    return java_block_spans([text])[0]
 
 
 _MEMBER_FIELDS = [("chunk_type", "string"), ("chunk_name", "string"), ("start_line", "int32"),
@@ -240,29 +274,58 @@ MEMBERS_DDL = ("rel_path string, members array<struct<chunk_type: string, chunk_
                "end_line: int, code: string, parent_class: string, return_type: string, javadoc: string, nth: int>>")
 
 
-def java_members(text: str, with_file: bool = False) -> list[tuple]:
-    """Members of one file as (type, name, first line, last line, text, parent, return type, javadoc,
+def java_members(texts: list[str], with_file: bool = False) -> list[list[tuple]]:
+    """Members of each file as (type, name, first line, last line, text, parent, return type, javadoc,
     nth): ``nth`` counts members of one type that start on the same line."""
-    spans = [("file", "file_content", 1, text.count("\n") + 1, 0, len(text), None, None, None)] if with_file else []
-    seen: dict[tuple[str, int], int] = {}
     out = []
-    for kind, name, first, last, a, b, parent, rtype, doc in spans + java_span_offsets(text):
-        nth = seen.get((kind, first), 0)
-        seen[kind, first] = nth + 1
-        out.append((kind, name, first, last, text[a:b], parent, rtype, doc, nth))
+    for text, found in zip(texts, java_block_spans(texts), strict=True):
+        spans = [("file", "file_content", 1, text.count("\n") + 1, 0, len(text), None, None, None)] if with_file else []
+        seen: dict[tuple[str, int], int] = {}
+        rows = []
+        for kind, name, first, last, a, b, parent, rtype, doc in spans + found:
+            nth = seen.get((kind, first), 0)
+            seen[kind, first] = nth + 1
+            rows.append((kind, name, first, last, text[a:b], parent, rtype, doc, nth))
+        out.append(rows)
     return out
 
 
+#: Characters of files that are worked on at once (one file at least).
+BLOCK_CHARS = 1 << 18
+
+
+def file_blocks(sizes: list[int]):
+    """(first, end) of runs of files of some BLOCK_CHARS characters together."""
+    a, n = 0, 0
+    for k, size in enumerate(sizes):
+        if n and n + size > BLOCK_CHARS:
+            yield a, k
+            a, n = k, 0
+        n += size
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
 def _java_members_arrow(with_file: bool):
-    """Arrow batches of (rel_path, content) in, (rel_path, members) out, a bounded number of files at a time."""
+    """Arrow batches of (rel_path, content) in, (rel_path, members) out, a bounded number of characters at a time."""
     def run(batches):
         import pyarrow as pa
-        member = pa.list_(pa.struct([pa.field(n, pa.int32() if t == "int32" else pa.string()) for n, t in _MEMBER_FIELDS]))
+        import pyarrow.compute as pc
+        names = [n for n, _ in _MEMBER_FIELDS]
+        kinds = [pa.int32() if t == "int32" else pa.string() for _, t in _MEMBER_FIELDS]
         for rb in batches:
-            for a in range(0, rb.num_rows, 64):
-                part = rb.slice(a, 64)
-                members = [None if t is None else java_members(t, with_file) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(members, type=member)], names=["rel_path", "members"])
+            sizes = pc.fill_null(pc.binary_length(rb.column(1)), 0).to_pylist()
+            for a, b in file_blocks(sizes):
+                part = rb.slice(a, b - a)
+                texts = part.column(1).to_pylist()
+                members = java_members([t or "" for t in texts], with_file)
+                members = [None if t is None else m for t, m in zip(texts, members, strict=True)]
+                flat = [row for m in members if m for row in m]
+                columns = list(zip(*flat, strict=True)) if flat else [()] * len(names)
+                values = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                offsets = np.cumsum([0, *(len(m or ()) for m in members)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([m is None for m in members]))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["rel_path", "members"])
     return run
 
 
@@ -350,18 +413,51 @@ def chunks_per_file(chunks: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def register_chunk_udtf(spark, name: str = "chunk_code"):
-    """Register ``chunk_code(path, content)`` for ``LATERAL`` use in SQL;
-    yields the class and method spans of one Java file."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="chunk_type string, chunk_name string, start_line int, end_line int, "
-                     "parent_class string, code_content string")
+    """Register ``chunk_code`` for SQL: the class and method spans of Java files. With a table of the
+    columns path and content, ``SELECT * FROM chunk_code(TABLE(files) PARTITION BY path)`` (any
+    partitioning does, none too), it works on blocks of rows, as the chunker does, and returns the path
+    too; other columns are ignored. ``LATERAL chunk_code(path, content)`` is the same for one row. Null content
+    has no spans."""
+    from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+    fields = [("chunk_type", StringType()), ("chunk_name", StringType()), ("start_line", IntegerType()),
+              ("end_line", IntegerType()), ("parent_class", StringType()), ("code_content", StringType())]
+    spans = StructType([StructField(n, t) for n, t in fields])
+    located = StructType([StructField("path", StringType()), *spans.fields])
+    most = BLOCK_CHARS
+
+    @udtf
     class ChunkCode:
-        def eval(self, path: str, content: str):
-            if content is None:
-                return
-            for kind, cname, sl, el, body, parent, _rtype, _doc in java_spans(content):
-                yield kind, cname, sl, el, parent, body
+        def __init__(self):
+            self.held, self.size = [], 0
+
+        @staticmethod
+        def analyze(files: AnalyzeArgument, content: AnalyzeArgument | None = None) -> AnalyzeResult:
+            if not files.isTable:
+                return AnalyzeResult(spans)
+            if not {"path", "content"} <= {f.name for f in files.dataType.fields}:
+                raise ValueError("chunk_code takes a table with the columns path and content")
+            return AnalyzeResult(located)
+
+        def eval(self, files, content=None):
+            if not isinstance(files, str) and files is not None:
+                if files["content"] is not None:
+                    self.held.append((files["path"], files["content"]))
+                    self.size += len(files["content"])
+                if self.size > most:
+                    yield from self.cut()
+            else:
+                for kind, cname, first, last, body, parent, _rtype, _doc in java_spans(content or ""):
+                    yield kind, cname, first, last, parent, body
+
+        def terminate(self):
+            yield from self.cut()
+
+        def cut(self):
+            held, self.held, self.size = self.held, [], 0
+            for (path, text), found in zip(held, java_block_spans([t for _, t in held]), strict=True):
+                for kind, cname, first, last, a, b, parent, _rtype, _doc in found:
+                    yield path, kind, cname, first, last, parent, text[a:b]
 
     spark.udtf.register(name, ChunkCode)
     return ChunkCode

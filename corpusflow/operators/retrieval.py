@@ -9,7 +9,8 @@ as a WindowGroupLimit (a per-partition top-k before the exchange).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -60,10 +61,10 @@ def _snippet(cut: int | None) -> Column:
     return F.col("code_content") if cut is None else F.substring("code_content", 1, cut)
 
 
-def retrieval_index(chunks: DataFrame, snippet_cut: int | None = SNIPPET_CUT) -> DataFrame:
+def retrieval_index(chunks: DataFrame, snippet_cut: int | None = None) -> DataFrame:
     """The slim table retrieval reads: chunk id, file-order key, terms, the
-    columns a citation shows and the prompt snippet (``snippet_cut`` characters, None for whole
-    chunks). Written once to the shared folder; scoring then reads only (id, order, terms) columns."""
+    columns a citation shows and the prompt snippet (whole chunks, or ``snippet_cut`` characters
+    of each, SNIPPET_CUT for the reference's). Written once to the shared folder; scoring then reads only (id, order, terms) columns."""
     return materialize(chunk_order(chunks).select(
         "chunk_id", "_ord", terms(F.concat_ws(" ", "chunk_name", "description")).alias("tc"),
         "file_path", "chunk_type", "chunk_name", _snippet(snippet_cut).alias("snippet")),
@@ -117,59 +118,75 @@ def hot_terms(chunk_terms: DataFrame, hot_df: int) -> list[str]:
     return sorted(r["term"] for r in counts.where(F.col("df") > hot_df).select("term").collect())
 
 
-def topk_jaccard(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, qid: str = "qid",
-                 question: str = "question", hot_df: int | None = None) -> DataFrame:
-    """J4 + W1 exactly, without enumerating pairs that share only frequent terms.
-
-    * cold terms (in at most ``hot_df`` chunks): pairs sharing one are
-      enumerated, at most ``hot_df`` chunks per question term, and scored
-      exactly from both term arrays;
-    * hot terms: a chunk sharing only hot terms with a question scores by its
-      hot signature (its hot terms) and its term count alone, so chunks are
-      grouped by (signature, count) and only each group's first ``k`` chunks
-      in file order are candidates (a row_number <= k filter, run as a
-      per-partition top-k before the shuffle). Any other member of the
-      group has ``k`` candidates ranked ahead of it (equal or higher score,
-      earlier in file order), so the top-k is unchanged.
-
-    The hot set is bounded (see ``hot_terms``) and used as an IN-set inside
-    array lambdas, so signatures and cold terms are narrow per-row filters.
-    Output: qid, chunk_id, score, rank (1..k).
-    """
-    q = questions.select(F.col(qid).alias("qid"), terms(F.col(question)).alias("tq"))
-    # the slim index is read three times: it is written once to the shared folder
-    c = _index(chunks).select("chunk_id", "_ord", "tc")
-    if hot_df is None:
-        hot_df = max(HOT_MIN_DF, c.count() // HOT_FRACTION)
-    hot = hot_terms(c, hot_df)
-
-    def is_hot(t: Column) -> Column:
-        return t.isin(hot) if hot else F.lit(False)
+#: Groups that a question scores first, to learn how good its best ``k`` are at least.
+SEEDS = 1000
 
-    qt = q.select("qid", "tq", F.explode("tq").alias("term"))
-
-    # cold: every pair sharing a cold term, scored exactly
-    ct_cold = c.select("chunk_id", "_ord", "tc", F.explode(F.filter("tc", lambda t: ~is_hot(t))).alias("term"))
-    cold = (ct_cold.join(qt.where(~is_hot(F.col("term"))), "term")
-            # scored before the shuffle: the term arrays stay where they are
-            .select("qid", "chunk_id", "_ord", jaccard(F.col("tq"), F.col("tc")).alias("score")))
 
-    # hot: chunks grouped by (hot signature, term count); first k of each group
+def postings(questions: DataFrame, chunks: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(heads, lists), tables, for questions with ``tq``. A chunk's score for any of the questions depends on
+    its signature (the terms that some question asks for) and its term count ``nc`` alone. heads: the first
+    ``k`` chunks in file order of each (sig, nc) group. lists: posting lists of the groups, one row per
+    term of a signature: term, nc, sig, first (place of the group's first chunk)."""
+    wanted = questions.select(F.explode("tq").alias("term")).distinct()
+    met = (chunks.select("chunk_id", "_ord", F.size("tc").alias("nc"), F.explode("tc").alias("term"))
+           .join(wanted, "term", "left_semi"))
     # a term never contains whitespace, so the space-joined signature is a unique string key
-    sig = (c.select("chunk_id", "_ord", F.size("tc").alias("nc"), F.array_sort(F.filter("tc", is_hot)).alias("_s"))
-           .where(F.size("_s") > 0).select("chunk_id", "_ord", "nc", F.array_join("_s", " ").alias("sig")))
+    signed = met.groupBy("chunk_id", "_ord", "nc").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("sig"))
     w = Window.partitionBy("sig", "nc").orderBy("_ord")
-    heads = sig.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
-    groups = heads.select("sig", "nc").distinct()
-    q_hot = qt.where(is_hot(F.col("term"))).select("qid", F.size("tq").alias("nq"), "term")
-    gq = (groups.select("sig", "nc", F.explode(F.split("sig", " ")).alias("term")).join(q_hot, "term")
-          .groupBy("qid", "sig", "nc").agg(F.count(F.lit(1)).alias("s"), F.first("nq").alias("nq")))
-    hot_cands = gq.join(heads, ["sig", "nc"]).select(
-        "qid", "chunk_id", "_ord", (F.col("s") / (F.col("nq") + F.col("nc") - F.col("s"))).alias("score"))
+    heads = materialize(signed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k), "retrieval-heads")
+    lists = heads.where("_r = 1").select("sig", "nc", F.col("_ord").alias("first"), F.explode(F.split("sig", " ")).alias("term"))
+    return heads.drop("_r"), materialize(lists, "retrieval-lists")
+
+
+def _scored(pairs: DataFrame, questions: DataFrame) -> DataFrame:
+    """(qid, sig, nc, first) with the exact score."""
+    shared = F.size(F.array_intersect("tq", F.split("sig", " ")))
+    return (pairs.join(questions, "qid").withColumn("_s", shared)
+            .select("qid", "sig", "nc", "first", (F.col("_s") / (F.size("tq") + F.col("nc") - F.col("_s"))).alias("score")))
+
+
+def candidate_groups(questions: DataFrame, lists: DataFrame, k: int, seeds: int = SEEDS) -> DataFrame:
+    """(qid, sig, nc, first) of every group that may be among a question's best ``k``.
+
+    Posting lists lie in blocks of one term and one term count. Each question first opens its rarest
+    blocks, ``seeds`` groups at most; the ``k``-th best score among them, t, is a lower bound for its
+    ``k``-th best of all. A chunk of ``nc`` terms that reaches t shares at least
+    ``s = t (nq + nc) / (1 + t)`` of the question's ``nq`` terms, so it is in the list of one of
+    the question's ``nq - s + 1`` rarest terms (whichever those are): only those blocks are opened, and none whose
+    best possible score, all terms shared, is below t."""
+    blocks = lists.groupBy("term", "nc").agg(F.count(F.lit(1)).alias("n"))
+    asked = questions.select("qid", F.size("tq").alias("nq"), F.explode("tq").alias("term"))
+    seen = blocks.groupBy("term").agg(F.sum("n").alias("df"))
+    rarity = Window.partitionBy("qid").orderBy(F.coalesce("df", F.lit(0)), "term")
+    ranked = asked.join(seen, "term", "left").withColumn("place", F.row_number().over(rarity)).drop("df")
+    opened = materialize(ranked.join(blocks, "term"), "retrieval-blocks")  # blocks, not their lists
+    upto = Window.partitionBy("qid").orderBy("place", F.abs(F.col("nc") - F.col("nq")), "nc").rowsBetween(Window.unboundedPreceding, 0)
+    early = opened.withColumn("_upto", F.sum("n").over(upto)).where(F.col("_upto") <= seeds)
+    of = lambda chosen: chosen.join(lists, ["term", "nc"]).select("qid", "sig", "nc", "first").distinct()
+    best = Window.partitionBy("qid").orderBy(F.desc("score"))
+    least = (_scored(of(early.select("qid", "term", "nc")), questions).withColumn("_r", F.row_number().over(best))
+             .where(F.col("_r") == k).select("qid", F.col("score").alias("t")))
+    t = F.coalesce("t", F.lit(0.0))
+    need = F.greatest(F.lit(1), F.ceil(t * (F.col("nq") + F.col("nc")) / (t + 1) - 1e-9))
+    live = opened.join(least, "qid", "left").where((need <= F.least("nq", "nc")) & (F.col("place") <= F.col("nq") - need + 1))
+    return of(live.select("qid", "term", "nc"))
 
-    # a pair comes once for each shared cold term, always with the same score
-    best = cold.unionByName(hot_cands).groupBy("qid", "chunk_id", "_ord").agg(F.max("score").alias("score"))
-    return retrieve_topk(best, k=k)
+
+def topk_jaccard(questions: DataFrame, chunks: DataFrame, k: int = TOP_K, qid: str = "qid",
+                 question: str = "question", seeds: int = SEEDS) -> DataFrame:
+    """J4 + W1 exactly: qid, chunk_id, score, rank (1..k), ties in file order.
+
+    Chunks that look alike to all questions are one group (``postings``), and only blocks of the posting
+    lists that can hold a best ``k`` are opened (``candidate_groups``). Of the groups, the best ``k`` by score
+    and first chunk hold the best ``k`` chunks, since any other group's first chunk already has ``k`` ahead of it.
+    """
+    q = materialize(questions.select(F.col(qid).alias("qid"), terms(F.col(question)).alias("tq")), "retrieval-questions")
+    # the slim index is written once to the shared folder
+    heads, lists = postings(q, _index(chunks).select("chunk_id", "_ord", "tc"), k)
+    best = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("first"))
+    top = (_scored(candidate_groups(q, lists, k, seeds), q).withColumn("_r", F.row_number().over(best))
+           .where(F.col("_r") <= k).select("qid", "sig", "nc", "score"))
+    return retrieve_topk(top.join(heads, ["sig", "nc"]).select("qid", "chunk_id", "_ord", "score"), k=k)
 
 
 def jaccard_summary(questions: DataFrame, chunks: DataFrame, qid: str = "qid", question: str = "question",
@@ -225,9 +242,9 @@ def jaccard_summary(questions: DataFrame, chunks: DataFrame, qid: str = "qid", q
         (F.coalesce("sum_c", F.lit(0.0)) + F.coalesce("sum_h", F.lit(0.0))).alias("sum_score"))
 
 
-def citations(topk: DataFrame, chunks: DataFrame, snippet_cut: int | None = SNIPPET_CUT) -> DataFrame:
+def citations(topk: DataFrame, chunks: DataFrame, snippet_cut: int | None = None) -> DataFrame:
     """Per question, the ordered citation structs and context pieces. Chunks without a
-    ``snippet`` column show ``snippet_cut`` characters, None for all of them."""
+    ``snippet`` column are shown whole, or ``snippet_cut`` characters of them."""
     snippet = F.col("snippet") if "snippet" in chunks.columns else _snippet(snippet_cut)
     j = topk.join(chunks.select("chunk_id", "file_path", "chunk_type", "chunk_name", snippet.alias("snippet")),
                   "chunk_id")
@@ -276,14 +293,15 @@ def cache_misses(questions: DataFrame, cache: DataFrame, qid: str = "qid", quest
 
 
 def answer_questions(questions: DataFrame, chunks: DataFrame, cache: DataFrame | None = None,
-                     k: int = PROMPT_TOP_K) -> DataFrame:
-    """Cache probe, retrieval, citations, prompt and confidence per question.
+                     k: int = PROMPT_TOP_K, snippet_cut: int | None = None) -> DataFrame:
+    """Cache probe, retrieval, citations, prompt and confidence per question. Prompts show whole
+    chunks, or ``snippet_cut`` characters of each (an index made before keeps its own snippets).
 
     Output: qid, question, from_cache, answer (cached or null), citations,
     n_sources, confidence, prompt (null for cached answers).
     """
     todo = questions if cache is None else cache_misses(questions, cache)
-    idx = _index(chunks)
+    idx = chunks if "tc" in chunks.columns else retrieval_index(chunks, snippet_cut)
     cites = citations(topk_jaccard(todo, idx, k), idx)
     fresh = todo.join(cites, "qid", "left").select(
         "qid", "question", F.lit(False).alias("from_cache"), F.lit(None).cast("string").alias("answer"),
@@ -301,6 +319,29 @@ def answer_questions(questions: DataFrame, chunks: DataFrame, cache: DataFrame |
     return fresh.unionByName(hits)
 
 
+def read_answers(spark: SparkSession, path: str, snapshot: int) -> DataFrame:
+    """The cache (qkey, answer) of the answers given from one snapshot of the index; those of other
+    snapshots are stale and not served."""
+    rows = spark.read.schema("qkey string, answer string, snapshot long").parquet(path).where(F.col("snapshot") == snapshot)
+    return rows.groupBy("qkey").agg(F.min("answer").alias("answer"))
+
+
+def write_answers(answers: DataFrame, path: str, snapshot: int) -> None:
+    """Keep fresh answers (question, answer; rows of ``answer_questions`` once a model has
+    answered their prompts) under the question's key, for the index snapshot they were given
+    from. A question that is there already is not written again, so a replay adds no row; of several answers to one
+    question the least stays. Rows without an answer are not kept."""
+    spark = answers.sparkSession
+    fresh = (answers.where(F.col("answer").isNotNull() & F.col("question").isNotNull())
+             .groupBy(cache_key(F.col("question")).alias("qkey")).agg(F.min("answer").alias("answer")))
+    try:
+        fresh = fresh.join(read_answers(spark, path, snapshot).select("qkey"), "qkey", "left_anti")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    fresh.withColumn("snapshot", F.lit(snapshot).cast("long")).write.mode("append").partitionBy("snapshot").parquet(path)
+
+
 def answer_report(answers: DataFrame) -> DataFrame:
     """Questions, mean confidence and mean sources per answered question."""
     live = answers.where(~F.col("from_cache"))

@@ -450,7 +450,7 @@ topk AS (SELECT * FROM ranked WHERE rank <= {k}),
 cites AS (
   SELECT qid, count(*) AS n_sources, string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids,
          'RELEVANT CODE CONTEXT:' || chr(10) ||
-         string_agg(chr(10) || upper(chunk_type) || ': ' || chunk_name || chr(10) || substr(code_content, 1, 300)
+         string_agg(chr(10) || upper(chunk_type) || ': ' || chunk_name || chr(10) || code_content
                     || '...' || chr(10), '' ORDER BY rank) AS context
   FROM topk GROUP BY qid)
 """

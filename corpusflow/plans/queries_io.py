@@ -124,12 +124,11 @@ def q_user_encoder(spark, sf):
 
 
 @query("chunk_code", W(ofx.JAVA) + """
-SELECT chunk_type, chunk_name, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, parent_class, sha256(code_content) AS sha
+SELECT file_path AS path, chunk_type, chunk_name, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, parent_class, sha256(code_content) AS sha
 FROM java_chunks WHERE chunk_type <> 'file'""")
 def q_chunk_code(spark, sf):
-    """The table function over the Java files in SQL."""
+    """The table function over the Java files in SQL, with a table argument."""
     chunking.register_chunk_udtf(spark)
-    return spark.sql("""SELECT c.chunk_type, c.chunk_name, CAST(c.start_line AS BIGINT) AS start_line, CAST(c.end_line AS BIGINT) AS end_line,
-                               c.parent_class, sha2(c.code_content, 256) AS sha
-                        FROM {files} AS f, LATERAL chunk_code(f.rel_path, f.content) c""", files=fx.java_files(spark, sf))
-
+    return spark.sql("""SELECT path, chunk_type, chunk_name, CAST(start_line AS BIGINT) AS start_line, CAST(end_line AS BIGINT) AS end_line,
+                               parent_class, sha2(code_content, 256) AS sha
+                        FROM chunk_code(TABLE(SELECT rel_path AS path, content FROM {files}) PARTITION BY path)""", files=fx.java_files(spark, sf))

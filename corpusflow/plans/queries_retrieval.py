@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking
 from ..operators import retrieval as R
 from ..sources import fixtures as fx
+from ..streaming.jobs import scratch_dir
 from . import oracle_fixtures as ofx
 from .catalog import query
 from .queries_corpus import all_chunks, fixed_ts
@@ -92,6 +93,26 @@ def q_rag_prompts(spark, sf):
     return a.select("qid", F.sha2("prompt", 256).alias("prompt_sha"))
 
 
+@query("answer_cache_write", ANSWERS_SQL + """
+SELECT q.qid, true AS from_cache, coalesce(h.answer, n.answer) AS answer FROM questions q
+LEFT JOIN hits h ON h.qid = q.qid
+LEFT JOIN (SELECT lower(m.question) AS k, min(a.prompt_sha) AS answer FROM misses m JOIN answers a ON a.qid = m.qid GROUP BY 1) n ON n.k = lower(q.question)
+UNION ALL SELECT qid, false, NULL FROM questions""")
+def q_answer_cache_write(spark, sf):
+    """Ask, answer (a prompt's hash stands for the model's answer), write twice (a replay), and ask
+    again with that cache: all hits. After the next index snapshot nothing is served."""
+    path = scratch_dir(spark, "answers")
+    questions, idx = fx.questions(spark, sf), search_index(spark, sf)
+    known = questions.select("question").join(fx.answer_cache(spark, sf), R.cache_key(F.col("question")) == F.col("qkey"))
+    R.write_answers(known, path, 1)
+    asked = R.answer_questions(questions, idx, R.read_answers(spark, path, 1))
+    fresh = asked.where(~F.col("from_cache")).withColumn("answer", F.sha2("prompt", 256))
+    for _ in range(2):
+        R.write_answers(fresh, path, 1)
+    again = [R.answer_questions(questions, idx, R.read_answers(spark, path, n)) for n in (1, 2)]
+    return again[0].unionByName(again[1]).select("qid", "from_cache", "answer")
+
+
 @query("answer_report", ANSWERS_SQL + """
 SELECT count(*)::BIGINT AS questions, round(avg(confidence), 6) AS avg_confidence,
        round(avg(n_sources), 6) AS avg_sources FROM answers WHERE NOT from_cache""")

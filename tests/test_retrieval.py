@@ -58,11 +58,11 @@ def test_topk_hot_cold_equals_brute_force(spark):
     qs = spark.createDataFrame([(i, " ".join(rnd.sample(words, rnd.randint(1, 5)))) for i in range(40)],
                                "qid long, question string")
     brute = R.retrieve_topk(R.jaccard_scores(qs, chunks), chunks, k=3)
-    for hot_df in (0, 5, 30, 10_000):   # everything hot ... nothing hot
-        fast = R.topk_jaccard(qs, chunks, k=3, hot_df=hot_df)
+    for seeds in (0, 5, 30, 10_000):   # no lower bound ... every group a seed
+        fast = R.topk_jaccard(qs, chunks, k=3, seeds=seeds)
         a = sorted((r.qid, r.rank, r.chunk_id, round(r.score, 12)) for r in brute.collect())
         b = sorted((r.qid, r.rank, r.chunk_id, round(r.score, 12)) for r in fast.collect())
-        assert a == b, hot_df
+        assert a == b, seeds
 
 
 def test_jaccard_summary_equals_all_pairs(spark):
@@ -83,3 +83,41 @@ def test_jaccard_summary_equals_all_pairs(spark):
         got = {r.qid: (r.n_candidates, round(r.max_score, 9), round(r.sum_score, 9))
                for r in R.jaccard_summary(qs, chunks, hot_df=hot_df).collect()}
         assert got == want, hot_df
+
+
+def test_candidates_do_not_grow_with_the_index(spark):
+    import random
+    rnd = random.Random(8)
+    common, rare = [f"w{k}" for k in range(12)], [f"r{k}" for k in range(60)]
+    texts = [(rnd.choice(rare), " ".join(rnd.sample(common, rnd.randint(1, 6)) + rnd.sample(rare, 2))) for _ in range(400)]
+    schema = "chunk_id string, file_path string, start_line int, chunk_type string, chunk_name string, description string, code_content string"
+    qs = spark.createDataFrame([(i, " ".join(rnd.sample(common, 4) + rnd.sample(rare, 2))) for i in range(25)], "qid long, question string")
+    q = qs.select("qid", R.terms(F.col("question")).alias("tq"))
+    counted = {}
+    for times in (1, 8):
+        # each chunk again and again, with words that nobody asks for
+        rows = [(f"c{i}-{n}", f"f{n}/{i}.java", 1, "method", name, f"{text} u{i}x{n}", "") for n in range(times) for i, (name, text) in enumerate(texts)]
+        chunks = spark.createDataFrame(rows, schema)
+        index = R.retrieval_index(chunks)
+        _, lists = R.postings(q, index.select("chunk_id", "_ord", "tc"), 3)
+        pairs = {seeds: R.candidate_groups(q, lists, 3, seeds).count() for seeds in (0, R.SEEDS)}
+        assert pairs[R.SEEDS] < pairs[0] / 2          # blocks that can't hold a best 3 stay shut
+        counted[times] = pairs
+        brute = R.retrieve_topk(R.jaccard_scores(qs, chunks), chunks, k=3)
+        key = lambda d: sorted((r.qid, r.rank, r.chunk_id, round(r.score, 12)) for r in d.collect())
+        assert key(R.topk_jaccard(qs, index, 3)) == key(brute)
+    assert counted[8] == counted[1]
+
+
+def test_answers_are_written_back_once_and_by_snapshot(spark):
+    from corpusflow.streaming.jobs import scratch_dir
+    path = scratch_dir(spark, "t-answers")
+    fresh = spark.createDataFrame([("What is X", "b"), ("what is x", "a"), ("Y?", "y"), ("none", None)], "question string, answer string")
+    for _ in range(2):
+        R.write_answers(fresh, path, 1)
+    assert spark.read.parquet(path).count() == 2
+    got = {r.qkey: r.answer for r in R.read_answers(spark, path, 1).collect()}
+    keys = {r.question: r.k for r in fresh.select("question", R.cache_key(F.col("question")).alias("k")).collect()}
+    assert got == {keys["What is X"]: "a", keys["Y?"]: "y"} and R.read_answers(spark, path, 2).count() == 0
+    R.write_answers(fresh.where("question = 'Y?'").withColumn("answer", F.lit("newer")), path, 2)
+    assert [r.answer for r in R.read_answers(spark, path, 2).collect()] == ["newer"] and len(got) == 2

@@ -41,5 +41,5 @@ def test_citations_show_whole_chunks(spark):
     chunks = spark.createDataFrame([("c1", "a.md", "file", "a.md", "x" * 900)],
                                    "chunk_id string, file_path string, chunk_type string, chunk_name string, code_content string")
     topk = spark.createDataFrame([(1, 1, "c1")], "qid long, rank int, chunk_id string")
-    shown = [retrieval.citations(topk, chunks, **cut).first().citations[0].context.count("x") for cut in ({}, {"snippet_cut": None})]
-    assert shown == [retrieval.SNIPPET_CUT, 900]
+    shown = [retrieval.citations(topk, chunks, **cut).first().citations[0].context.count("x") for cut in ({}, {"snippet_cut": retrieval.SNIPPET_CUT})]
+    assert shown == [900, retrieval.SNIPPET_CUT]
