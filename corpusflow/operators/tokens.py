@@ -2,9 +2,9 @@
 
 No pretrained vocabulary is available offline, so the tokenizer is a
 vocabulary table built from the corpus (K1): words and single symbols, ids
-by frequency. Encoding (K2) runs in ``mapInPandas`` with the vocabulary
-broadcast as a dict (size bounded by ``vocab_size``), so no token is
-shuffled; a pure-JVM path (posexplode + broadcast join) is available too.
+by frequency. Encoding (K2) splits texts in the JVM and looks up the distinct tokens of each Arrow batch in the
+vocabulary, broadcast once (size bounded by ``vocab_size``), so no token is
+shuffled and none is touched by Python; a pure-JVM path (posexplode + join) is available too.
 Masking, padding and truncation (K3) are native array expressions.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import pickle
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -68,6 +69,7 @@ class VocabEncoder:
         self._pattern = regex.compile(TOKEN_PATTERN)
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int] | None]:
+        """Ids of a few texts on the driver; columns go through ``encode_columns``."""
         get, unk, find = self.vocab.get, self.unk_id, self._pattern.findall
         return [None if t is None else [get(tok, unk) for tok in find(t)] for t in texts]
 
@@ -77,26 +79,75 @@ def encoder_from_vocab(vocab: DataFrame, unk_id: int = UNK_ID) -> VocabEncoder:
     return VocabEncoder({r["token"]: int(r["id"]) for r in vocab.collect()}, unk_id)
 
 
-_ENCODERS: dict[str, object] = {}
+#: Encoders of this worker, the last few used: a reused worker does not unpickle one for every task.
+_ENCODERS: OrderedDict[str, object] = OrderedDict()
+_MOST_ENCODERS = 4
+
+
+def _encoder(token: str, sent):
+    if token not in _ENCODERS:
+        _ENCODERS[token] = pickle.loads(sent.value)
+    _ENCODERS.move_to_end(token)
+    while len(_ENCODERS) > _MOST_ENCODERS:
+        _ENCODERS.popitem(last=False)
+    return _ENCODERS[token]
+
+
+def _look_up(lists, known, ids, unk: int):
+    """Lists of tokens -> lists of ids: the batch's distinct tokens are looked up once, and the lists are rebuilt
+    from their lengths."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    coded = lists.flatten().dictionary_encode()
+    place = pc.index_in(coded.dictionary, value_set=known.cast(coded.dictionary.type))
+    found = place.fill_null(-1).to_numpy(zero_copy_only=False)
+    of = np.append(ids, np.int32(unk))[found]           # -1: the last, unknown
+    flat = of[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int32)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=lists.is_null())
+
+
+def _encode_by_vocabulary(df: DataFrame, columns: dict[str, str], encoder: VocabEncoder, keep: list[str]) -> DataFrame:
+    """K2 for a vocabulary: Spark splits the texts into tokens, tasks only look them up, whole columns at once."""
+    names = [f"_tokens{k}" for k in range(len(columns))]
+    split = df.select(*keep, *[tokens(F.col(c)).alias(n) for c, n in zip(columns, names, strict=True)])
+    order = sorted(encoder.vocab)
+    sent = df.sparkSession.sparkContext.broadcast(pickle.dumps((order, [encoder.vocab[t] for t in order])))
+    unk, token, out = encoder.unk_id, uuid.uuid4().hex, list(columns.values())
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(o, T.ArrayType(T.IntegerType())) for o in out])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        texts, numbers = _encoder(token, sent)
+        known, ids = pa.array(texts, pa.string()), np.array(numbers, np.int32)
+        for batch in batches:
+            kept = [batch.column(k) for k in range(len(keep))]
+            found = [_look_up(batch.column(len(keep) + k), known, ids, unk) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(kept + found, names=keep + out)
+    return split.mapInArrow(run, schema)
 
 
 def encode_columns(df: DataFrame, columns: dict[str, str], encoder, keep: list[str] | None = None) -> DataFrame:
     """Add ``out = ids of in`` for each (in -> out) with an object
-    that has ``encode_batch``; the encoder is broadcast once per executor.
+    that has ``encode_batch``; the encoder is broadcast once per executor. A ``VocabEncoder`` is
+    looked up by columns instead, without a Python step per token.
     ``keep`` limits the columns sent back from Python (default: all)."""
+    keep = list(df.columns) if keep is None else list(keep)
+    if type(encoder) is VocabEncoder:
+        return _encode_by_vocabulary(df, columns, encoder, keep)
     spark = df.sparkSession
     # cloudpickle so encoders defined in notebooks or functions travel by value
     bc = spark.sparkContext.broadcast(cloudpickle.dumps(encoder))
     token = uuid.uuid4().hex
-    keep = list(df.columns) if keep is None else list(keep)
     out_fields = [T.StructField(o, T.ArrayType(T.IntegerType())) for o in columns.values()]
     schema = T.StructType([df.schema[c] for c in keep] + out_fields)
     out_names = keep + list(columns.values())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = _ENCODERS.get(token)
-        if enc is None:  # once per reused Python worker
-            enc = _ENCODERS[token] = pickle.loads(bc.value)
+        enc = _encoder(token, bc)  # once per reused Python worker
         for pdf in batches:
             for src, dst in columns.items():
                 pdf[dst] = enc.encode_batch(pdf[src].tolist())
@@ -107,11 +158,11 @@ def encode_columns(df: DataFrame, columns: dict[str, str], encoder, keep: list[s
 
 def encode_column_join(df: DataFrame, column: str, key: str, vocab: DataFrame,
                        out: str = "ids", unk_id: int = UNK_ID) -> DataFrame:
-    """K2, JVM-only path: posexplode, broadcast join on the (bounded)
-    vocabulary, ordered regroup per row. Shuffles every token; prefer
+    """K2, JVM-only path: posexplode, join on the vocabulary (the planner broadcasts it while it is
+    small), ordered regroup per row. Shuffles every token; prefer
     ``encode_columns`` beyond ~1e8 tokens."""
     exploded = df.select(key, F.posexplode(tokens(F.col(column))).alias("pos", "token"))
-    looked = exploded.join(F.broadcast(vocab), "token", "left")
+    looked = exploded.join(vocab, "token", "left")
     regrouped = looked.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id")))).alias("_p"))
     ids = regrouped.select(key, F.transform("_p", lambda p: p["id"]).alias(out))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import packing as P
 from ..operators import pairs as PR
 from ..operators import tokens as K
+from ..session import materialize
 from ..sources import fixtures as fx
 from . import oracle_fixtures as ofx
 from .catalog import query
@@ -15,7 +16,7 @@ from .queries_corpus import all_chunks, fixed_ts
 
 W = ofx.with_ctes
 VOCAB_SIZE = 2000
-MAX_LENGTH = 256   # the registered checks use a short window so truncation is exercised
+MAX_LENGTH = 256   # a short window, so that many pairs have several
 
 
 def _s(c) -> F.Column:
@@ -27,11 +28,6 @@ def vocab(spark, sf) -> DataFrame:
     return K.build_vocab(fx.read_table(spark, sf, "documents"), "text", VOCAB_SIZE)
 
 
-def tokenized_turns(spark, sf) -> DataFrame:
-    enc = K.encoder_from_vocab(vocab(spark, sf))
-    return K.tokenize_pairs(fx.turn_pairs(spark, sf), enc, max_length=MAX_LENGTH)
-
-
 TOKENIZED_SQL = W(ofx.TURN_PAIRS, ofx.vocab(VOCAB_SIZE), ofx.tokenized(MAX_LENGTH))
 
 
@@ -57,37 +53,6 @@ def q_encode_join(spark, sf):
     return e.select("pair_id", _s("ids").alias("ids"), F.size("ids").cast("bigint").alias("n_tokens"))
 
 
-@query("tokenize_pairs", TOKENIZED_SQL + """
-SELECT pair_id, token_count::BIGINT AS token_count, original_length::BIGINT AS original_length,
-       array_to_string(input_ids, ' ') AS input_ids, array_to_string(attention_mask, ' ') AS attention_mask,
-       array_to_string(labels, ' ') AS labels FROM tokenized""")
-def q_tokenize_pairs(spark, sf):
-    t = tokenized_turns(spark, sf)
-    return t.select("pair_id", F.col("token_count").cast("bigint").alias("token_count"),
-                    F.col("original_length").cast("bigint").alias("original_length"),
-                    _s("input_ids").alias("input_ids"), _s("attention_mask").alias("attention_mask"),
-                    _s("labels").alias("labels"))
-
-
-@query("token_stats", TOKENIZED_SQL + """
-SELECT count(*)::BIGINT AS total_pairs, coalesce(sum(token_count), 0)::BIGINT AS total_tokens,
-       coalesce(round(avg(token_count), 6), 0.0) AS avg_tokens_per_pair,
-       coalesce(max(token_count), 0)::BIGINT AS max_tokens, coalesce(min(token_count), 0)::BIGINT AS min_tokens,
-       count(*) FILTER (WHERE list_bool_and(list_transform(labels, lambda x: x = -100)))::BIGINT AS fully_masked
-FROM tokenized""")
-def q_token_stats(spark, sf):
-    return K.token_stats(tokenized_turns(spark, sf))
-
-
-@query("training_arrays", TOKENIZED_SQL + """
-SELECT array_to_string(input_ids, ' ') AS input_ids, array_to_string(attention_mask, ' ') AS attention_mask,
-       array_to_string(labels, ' ') AS labels FROM tokenized""")
-def q_training_arrays(spark, sf):
-    t = K.training_arrays(tokenized_turns(spark, sf))
-    return t.select(_s("input_ids").alias("input_ids"), _s("attention_mask").alias("attention_mask"),
-                    _s("labels").alias("labels"))
-
-
 # Unpadded rows as the reference's loader script makes them: ids of the
 # input, labels = ids of the output (text_target), mask of ones.
 RAW_SQL = W(ofx.TURN_PAIRS, ofx.vocab(VOCAB_SIZE),
@@ -184,32 +149,6 @@ def q_batch_stats(spark, sf):
     return P.batch_stats(P.pack_batches(doc_sizes(spark, sf), id_col="doc_id"))
 
 
-@query("collate", TOKENIZED_SQL + "," + ofx.packed("tokenized", "pair_id", "token_count").strip() + """
-SELECT p.batch_id, count(*)::BIGINT AS n_rows, string_agg(p.pair_id, ' ' ORDER BY p.token_count DESC, p.pair_id)
-         AS pair_ids, max(len(t.input_ids))::BIGINT AS width
-FROM packed p JOIN tokenized t ON p.pair_id = t.pair_id GROUP BY p.batch_id""")
-def q_collate(spark, sf):
-    t = tokenized_turns(spark, sf)
-    c = P.collate(t, P.pack_batches(t))
-    return c.select("batch_id", F.size("pair_ids").cast("bigint").alias("n_rows"),
-                    F.array_join("pair_ids", " ").alias("pair_ids"),
-                    F.aggregate("input_ids", F.lit(0), lambda acc, x: F.greatest(acc, F.size(x)))
-                    .cast("bigint").alias("width"))
-
-
-@query("tokenize_report", TOKENIZED_SQL + "," + ofx.packed("tokenized", "pair_id", "token_count").strip() + """,
-sizes AS (SELECT batch_id, count(*) AS n FROM packed GROUP BY batch_id),
-ts AS (SELECT count(*)::BIGINT AS total_pairs, coalesce(sum(token_count), 0)::BIGINT AS total_tokens,
-              coalesce(round(avg(token_count), 6), 0.0) AS avg_tokens_per_pair FROM tokenized),
-bs AS (SELECT count(*)::BIGINT AS total_batches, coalesce(round(avg(n), 6), 0.0) AS avg_batch_size FROM sizes)
-SELECT * FROM ts, bs""")
-def q_tokenize_report(spark, sf):
-    t = tokenized_turns(spark, sf)
-    st = K.token_stats(t).select("total_pairs", "total_tokens", "avg_tokens_per_pair")
-    bs = P.batch_stats(P.pack_batches(t)).select("total_batches", "avg_batch_size")
-    return st.crossJoin(bs)  # two one-row aggregates
-
-
 # ---------------------------------------------------------------------------
 # the corpus pairs (the reference's own tokenisation input), full window
 # ---------------------------------------------------------------------------
@@ -243,11 +182,12 @@ counted AS (
   SELECT pair_type, count(*)::BIGINT AS n_pairs, sum((len(t) + {K.DEFAULT_MAX_LENGTH - 1}) // {K.DEFAULT_MAX_LENGTH})::BIGINT AS n_windows,
          sum(len(t))::BIGINT AS total_tokens, sum(len(t) - n_in)::BIGINT AS label_tokens FROM toks GROUP BY pair_type),
 ids AS (
-  SELECT pair_type, sum(coalesce(v.id, 1))::BIGINT AS id_sum, count(*) FILTER (v.id IS NULL)::BIGINT AS unknown
-  FROM (SELECT pair_type, unnest(t) AS token FROM toks) x LEFT JOIN vocab v ON x.token = v.token GROUP BY pair_type)
+  SELECT pair_type, sum(coalesce(v.id, 1) * ((pos - 1) % {K.DEFAULT_MAX_LENGTH} + 1))::BIGINT AS id_place_sum, count(*) FILTER (v.id IS NULL)::BIGINT AS unknown
+  FROM (SELECT pair_type, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM toks) x LEFT JOIN vocab v ON x.token = v.token GROUP BY pair_type)
 SELECT * FROM counted JOIN ids USING (pair_type)""")
 def q_tokenize_corpus(spark, sf):
-    ps = PR.generate_pairs(all_chunks(spark, sf), fixed_ts()).select("pair_id", "pair_type", "input_text", "output_text")
+    # written: the vocabulary and the ids read the same pairs
+    ps = materialize(PR.generate_pairs(all_chunks(spark, sf), fixed_ts()).select("pair_id", "pair_type", "input_text", "output_text"), "corpus-pairs")
     texts = ps.select(F.explode(F.array("input_text", "output_text")).alias("text"))
     enc = K.encoder_from_vocab(K.build_vocab(texts, "text", CORPUS_VOCAB))
     t = K.tokenize_pairs(ps, enc, max_length=K.DEFAULT_MAX_LENGTH, carry=["pair_type"], windows=True)
@@ -256,13 +196,13 @@ def q_tokenize_corpus(spark, sf):
     return t.groupBy("pair_type").agg(
         F.count_if(F.col("window_no") == 0).cast("bigint").alias("n_pairs"), F.count(F.lit(1)).alias("n_windows"),
         F.sum("token_count").cast("bigint").alias("total_tokens"), F.sum(labels).cast("bigint").alias("label_tokens"),
-        F.sum(F.aggregate(real, F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("id_sum"),
+        F.sum(F.aggregate(F.transform(real, lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("id_place_sum"),
         F.sum(F.size(real) - F.size(F.array_remove(real, K.UNK_ID))).cast("bigint").alias("unknown"))
 
 
 # ---------------------------------------------------------------------------
 # whole turn pairs: every token in some window, the vocabulary of the pairs themselves. The queries
-# of the same names without "_whole" cut at MAX_LENGTH, as their SQL (and the reference) does.
+# of the same names without "" cut at MAX_LENGTH, as their SQL (and the reference) does.
 # ---------------------------------------------------------------------------
 
 WINDOWS_SQL = W(ofx.TURN_PAIRS, ofx.vocab(CORPUS_VOCAB, "SELECT input_text AS text FROM turn_pairs UNION ALL SELECT output_text FROM turn_pairs"),
@@ -281,51 +221,57 @@ def turn_windows(spark, sf) -> DataFrame:
     return t.withColumn("window_id", F.concat_ws("#", "pair_id", F.col("window_no").cast("string")))
 
 
-@query("tokenize_pairs_whole", WINDOWS_SQL + """
+@query("tokenize_pairs", WINDOWS_SQL + """
 SELECT pair_id, window_no, token_count::BIGINT AS token_count, original_length::BIGINT AS original_length,
        array_to_string(input_ids, ' ') AS input_ids, array_to_string(attention_mask, ' ') AS attention_mask,
        array_to_string(labels, ' ') AS labels FROM windows""")
-def q_tokenize_pairs_whole(spark, sf):
+def q_tokenize_pairs(spark, sf):
     return turn_windows(spark, sf).select(
         "pair_id", *[F.col(c).cast("bigint").alias(c) for c in ("window_no", "token_count", "original_length")],
         *[_s(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 
-@query("token_stats_whole", WINDOWS_SQL + "," + PAIR_TOTALS_SQL + """
+@query("token_stats", WINDOWS_SQL + "," + PAIR_TOTALS_SQL + """
 SELECT count(*)::BIGINT AS total_pairs, coalesce(sum(token_count), 0)::BIGINT AS total_tokens,
        coalesce(round(avg(token_count), 6), 0.0) AS avg_tokens_per_pair,
        coalesce(max(token_count), 0)::BIGINT AS max_tokens, coalesce(min(token_count), 0)::BIGINT AS min_tokens,
        count(*) FILTER (WHERE masked)::BIGINT AS fully_masked FROM pair_totals""")
-def q_token_stats_whole(spark, sf):
+def q_token_stats(spark, sf):
     return K.token_stats(turn_windows(spark, sf))
 
 
-@query("training_arrays_whole", WINDOWS_SQL + """
+@query("training_arrays", WINDOWS_SQL + """
 SELECT array_to_string(input_ids, ' ') AS input_ids, array_to_string(attention_mask, ' ') AS attention_mask,
        array_to_string(labels, ' ') AS labels FROM windows""")
-def q_training_arrays_whole(spark, sf):
+def q_training_arrays(spark, sf):
     t = K.training_arrays(turn_windows(spark, sf))
     return t.select(*[_s(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 
-@query("collate_whole", PACKED_WINDOWS_SQL + """
+@query("collate", PACKED_WINDOWS_SQL + """
 SELECT p.batch_id, count(*)::BIGINT AS n_rows, string_agg(p.window_id, ' ' ORDER BY p.token_count DESC, p.window_id) AS window_ids,
-       sum(p.token_count)::BIGINT AS n_tokens
-FROM packed p GROUP BY p.batch_id""")
-def q_collate_whole(spark, sf):
+       sum(p.token_count)::BIGINT AS n_tokens, max(len(w.input_ids))::BIGINT AS width,
+       sha256(string_agg(array_to_string(w.input_ids, ' ') || '/' || array_to_string(w.attention_mask, ' ') || '/' || array_to_string(w.labels, ' '), ';'
+                         ORDER BY p.token_count DESC, p.window_id)) AS arrays_sha
+FROM packed p JOIN windows w ON w.window_id = p.window_id GROUP BY p.batch_id""")
+def q_collate(spark, sf):
     t = turn_windows(spark, sf)
     c = P.collate(t, P.pack_batches(t, id_col="window_id"), id_col="window_id")
     return c.select("batch_id", F.size("window_ids").cast("bigint").alias("n_rows"), F.array_join("window_ids", " ").alias("window_ids"),
-                    F.aggregate(F.flatten("attention_mask"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_tokens"))
+                    F.aggregate(F.flatten("attention_mask"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_tokens"),
+                    F.array_max(F.transform("input_ids", F.size)).cast("bigint").alias("width"),
+                    F.sha2(F.array_join(F.zip_with(
+                        F.zip_with("input_ids", "attention_mask", lambda i, m: F.concat_ws("/", _s(i), _s(m))),
+                        "labels", lambda x, y: F.concat_ws("/", x, _s(y))), ";"), 256).alias("arrays_sha"))
 
 
-@query("tokenize_report_whole", PACKED_WINDOWS_SQL + "," + PAIR_TOTALS_SQL + """,
+@query("tokenize_report", PACKED_WINDOWS_SQL + "," + PAIR_TOTALS_SQL + """,
 sizes AS (SELECT batch_id, count(*) AS n FROM packed GROUP BY batch_id),
 ts AS (SELECT count(*)::BIGINT AS total_pairs, coalesce(sum(token_count), 0)::BIGINT AS total_tokens,
               coalesce(round(avg(token_count), 6), 0.0) AS avg_tokens_per_pair FROM pair_totals),
 bs AS (SELECT count(*)::BIGINT AS total_batches, coalesce(round(avg(n), 6), 0.0) AS avg_batch_size FROM sizes)
 SELECT * FROM ts, bs""")
-def q_tokenize_report_whole(spark, sf):
+def q_tokenize_report(spark, sf):
     t = turn_windows(spark, sf)
     st = K.token_stats(t).select("total_pairs", "total_tokens", "avg_tokens_per_pair")
     bs = P.batch_stats(P.pack_batches(t, id_col="window_id")).select("total_batches", "avg_batch_size")

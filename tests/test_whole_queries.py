@@ -32,9 +32,9 @@ def test_no_token_of_a_pair_is_lost(spark):
     rows = qt.turn_windows(spark, SF_SMALL)
     mine = rows.groupBy("pair_id").agg(F.sum("token_count").alias("n"), F.sum(F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)).alias("m"))
     assert {r.pair_id: (r.n, r.m) for r in mine.collect()} == {k: (n, n) for k, n in count.items()}
-    stats = qt.q_token_stats_whole(spark, SF_SMALL).first()
+    stats = qt.q_token_stats(spark, SF_SMALL).first()
     assert (stats.total_pairs, stats.total_tokens, stats.max_tokens) == (len(count), sum(count.values()), max(count.values()))
-    assert sum(r.n_tokens for r in qt.q_collate_whole(spark, SF_SMALL).collect()) == sum(count.values())
+    assert sum(r.n_tokens for r in qt.q_collate(spark, SF_SMALL).collect()) == sum(count.values())
 
 
 def test_citations_show_whole_chunks(spark):
