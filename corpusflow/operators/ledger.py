@@ -255,19 +255,24 @@ def status_counts(ledger: DataFrame) -> DataFrame:
     return ledger.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def migration_summary(ledger: DataFrame) -> DataFrame:
-    """A10: totals per status and percent complete (0 when empty)."""
-    s = F.col("status")
-    agg = ledger.agg(
-        F.count(F.lit(1)).alias("total_revisions"),
-        F.count_if(s == COMPLETED).alias("completed"),
-        F.count_if(s == FAILED).alias("failed"),
-        F.count_if(s == PENDING).alias("pending"),
-        F.count_if(s == IN_PROGRESS).alias("in_progress"),
-    )
+def migration_summary(ledger: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """A10: totals per status and percent complete (0 when empty), ``status_counts`` (every status
+    that occurs, a map in the order of names) and, with ``runs``, ``metadata``: the newest run as a struct, null if
+    there is none."""
+    per = ledger.groupBy("status").agg(F.count(F.lit(1)).alias("n"))  # a handful of statuses
+    of = lambda status: F.coalesce(F.sum(F.when(F.col("status") == status, F.col("n"))), F.lit(0)).cast("bigint")
+    agg = per.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_revisions"),
+        of(COMPLETED).alias("completed"), of(FAILED).alias("failed"), of(PENDING).alias("pending"),
+        of(IN_PROGRESS).alias("in_progress"), of(SKIPPED).alias("skipped"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("status", F.lit("")).alias("status"), "n")))).alias("status_counts"))
     pct = F.when(F.col("total_revisions") > 0,
                  F.col("completed") / F.col("total_revisions") * 100.0).otherwise(F.lit(0.0))
-    return agg.withColumn("progress_percent", F.round(pct, 6))
+    out = agg.withColumn("progress_percent", F.round(pct, 6))
+    if runs is None:
+        return out
+    newest = latest_run(runs).select(F.struct(*runs.columns).alias("metadata"))
+    return out.join(newest, F.lit(True), "left")  # one row beside at most one
 
 
 def last_completed(ledger: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ shuffle, so pair generation is a narrow map at any scale.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,17 +93,21 @@ def pairs_by_type(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return pairs.groupBy(*keys, "pair_type").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
-def content_key(pairs: DataFrame) -> Column:
-    """Hash of a pair's texts."""
-    return F.sha2(F.concat_ws("\u0000", pairs["input_text"], pairs["output_text"]), 256)
+def content_key(pairs: DataFrame, normalised: bool = False) -> Column:
+    """Hash of a pair's texts; a null text is no text, and unlike any. ``normalised``: of the texts in lower case
+    without blanks around them."""
+    texts = [F.lower(F.trim(pairs[c])) if normalised else pairs[c] for c in ("input_text", "output_text")]
+    key = F.sha2(F.concat_ws("\u0000", *[F.coalesce(t, F.lit("")) for t in texts]), 256)
+    return F.concat(key, *[F.when(t.isNull(), f"-no{k}").otherwise("") for k, t in enumerate(texts)])
 
 
 def dedupe_pairs(pairs: DataFrame) -> DataFrame:
-    """Of pairs with equal texts, the one with the least id. Only (key, id) is aggregated and
-    joined; texts are hashed where they are."""
-    keyed = pairs.withColumn("_k", content_key(pairs))
-    first = keyed.groupBy("_k").agg(F.min("pair_id").alias("pair_id"))
-    return keyed.join(first, ["_k", "pair_id"], "left_semi").drop("_k")
+    """Of pairs with equal normalised texts, one row: the one with the least id (null last), of those
+    with the least texts. All columns stay. Each partition keeps its first row of a key before the
+    shuffle, so a pair that a third of all rows repeat reaches one task once a partition."""
+    w = Window.partitionBy("_k").orderBy(F.asc_nulls_last("pair_id"), F.asc_nulls_last("input_text"), F.asc_nulls_last("output_text"))
+    keyed = pairs.withColumn("_k", content_key(pairs, normalised=True))
+    return keyed.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_k", "_r")
 
 
 def split_train_eval(pairs: DataFrame, eval_share: float = 0.1) -> DataFrame:

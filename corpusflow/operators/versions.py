@@ -84,5 +84,29 @@ def version_history(pairs: DataFrame) -> DataFrame:
     return per_v.withColumn("growth", F.col("total_pairs") - F.coalesce(F.lag("total_pairs").over(w), F.lit(0)))
 
 
-__all__ = ["PAIR_COLUMNS", "write_dataset_version", "write_dataset_versions", "next_version", "current_version",
+def _model_version(tag: str = "tag"):
+    """The number of a model tag ``v12``; other tags have none."""
+    return F.regexp_extract(tag, r"^v([0-9]+)$", 1).try_cast("int")
+
+
+def latest_model_version(runs: DataFrame) -> DataFrame:
+    """Per project the highest model version of ``runs`` (project, tag, ...), 0 if it has none."""
+    return runs.groupBy("project").agg(F.coalesce(F.max(_model_version()), F.lit(0)).alias("latest_version"))
+
+
+def model_history(runs: DataFrame) -> DataFrame:
+    """Per project its models by number (v10 after v9): project, version, ``metrics`` (the last value of each
+    metric, a map in the order of names), created_at and ``place`` (1, 2, ...). ``runs`` has a row
+    per metric: project, tag, metric, value, created_at, seq."""
+    numbered = runs.withColumn("version", _model_version()).where(F.col("version").isNotNull())
+    last = numbered.groupBy("project", "version", "metric").agg(
+        F.max_by("value", F.struct("created_at", "seq")).alias("value"), F.max("created_at").alias("created_at"))
+    named = F.struct("metric", "value")
+    models = last.groupBy("project", "version").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("metric").isNotNull(), named)))).alias("metrics"),  # a model's few metrics
+        F.max("created_at").alias("created_at"))
+    return models.withColumn("place", F.row_number().over(Window.partitionBy("project").orderBy("version")))
+
+
+__all__ = ["latest_model_version", "model_history", "PAIR_COLUMNS", "write_dataset_version", "write_dataset_versions", "next_version", "current_version",
            "read_dataset_version", "pairs_since", "version_delta", "version_history"]

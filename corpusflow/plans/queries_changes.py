@@ -8,7 +8,10 @@ from ..operators import changes as C
 from ..operators import chunking
 from ..operators import pairs as PR
 from ..operators import versions as V
+from ..operators.version_store import VersionStore
+from ..session import materialize
 from ..sources import fixtures as fx
+from ..streaming.jobs import scratch_dir
 from . import oracle_fixtures as ofx
 from .catalog import query
 from .queries_corpus import fixed_ts, project_pairs
@@ -126,10 +129,15 @@ def q_version_delta(spark, sf):
     return d.select("pair_id", "project", F.col("version").cast("bigint").alias("version"))
 
 
-# every second pair also comes under another id
+# every second pair also comes under another id, with some capitals and blanks around, and without an output
 COPIED_SQL = """,
+half AS (SELECT * FROM project_pairs WHERE substr(pair_id, 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e')),
 copied AS (SELECT pair_id, input_text, output_text FROM project_pairs UNION ALL
-           SELECT 'z' || pair_id, input_text, output_text FROM project_pairs WHERE substr(pair_id, 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e'))"""
+           SELECT 'z' || pair_id, input_text, output_text FROM half)"""
+SHOUTED_SQL = COPIED_SQL + """,
+shouted AS (SELECT * FROM copied UNION ALL SELECT 'y' || pair_id, '  ' || translate(input_text, 'abcdefgh', 'ABCDEFGH'), output_text || ' ' FROM half
+            UNION ALL SELECT 'x' || pair_id, input_text, NULL FROM half UNION ALL SELECT 'w' || pair_id, NULL, input_text FROM half
+            UNION ALL SELECT 'x' || pair_id, input_text, NULL FROM half)"""
 
 
 def copied_pairs(spark, sf):
@@ -138,10 +146,80 @@ def copied_pairs(spark, sf):
     return p.unionByName(again)
 
 
-@query("dedupe_pairs", W(ofx.PROJECT_CHUNKS) + COPIED_SQL + """
-SELECT min(pair_id) AS pair_id, sha256(input_text) AS input_sha FROM copied GROUP BY input_text, output_text""")
+def shouted_pairs(spark, sf):
+    p = project_pairs(spark, sf).select("pair_id", "input_text", "output_text")
+    half = p.where(F.substring("pair_id", 1, 1).isin(*"02468ace"))
+    named = lambda c: F.concat(F.lit(c), "pair_id").alias("pair_id")
+    none = half.select(named("x"), "input_text", F.lit(None).cast("string").alias("output_text"))
+    return (copied_pairs(spark, sf).unionByName(half.select(named("y"), F.concat(F.lit("  "), F.translate("input_text", "abcdefgh", "ABCDEFGH")).alias("input_text"), F.concat("output_text", F.lit(" ")).alias("output_text")))
+            .unionByName(none).unionByName(none).unionByName(half.select(named("w"), F.lit(None).cast("string").alias("input_text"), F.col("input_text").alias("output_text"))))
+
+
+@query("dedupe_pairs", W(ofx.PROJECT_CHUNKS) + SHOUTED_SQL + """
+SELECT min(pair_id) AS pair_id, sha256(coalesce(i, '?')) AS input_sha, sha256(coalesce(o, '?')) AS output_sha
+FROM (SELECT pair_id, lower(trim(input_text)) AS i, lower(trim(output_text)) AS o FROM shouted) GROUP BY i, o""")
 def q_dedupe_pairs(spark, sf):
-    return PR.dedupe_pairs(copied_pairs(spark, sf)).select("pair_id", F.sha2("input_text", 256).alias("input_sha"))
+    norm = lambda c: F.sha2(F.coalesce(F.lower(F.trim(c)), F.lit("?")), 256)
+    return PR.dedupe_pairs(shouted_pairs(spark, sf)).select("pair_id", norm("input_text").alias("input_sha"), norm("output_text").alias("output_sha"))
+
+
+# versions with repeats, and with pairs that are gone in the next version and come back in the one after
+RETURNED_SQL = ROLLED_SQL + """,
+returned AS (
+  SELECT pair_id, pair_type, project, version, input_text, output_text FROM project_pairs
+  UNION ALL SELECT pair_id, pair_type, project, version + 1, input_text, output_text FROM project_pairs
+  WHERE substr(pair_id, 1, 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e')
+  UNION ALL SELECT pair_id, pair_type, project, version + 2, input_text, output_text FROM project_pairs WHERE substr(pair_id, 1, 1) IN ('1', '2', '3')
+  UNION ALL SELECT 'z' || pair_id, pair_type, project, version + 1, input_text, output_text FROM project_pairs WHERE substr(pair_id, 1, 1) IN ('5', '6')
+  UNION ALL SELECT pair_id, pair_type, project, version, input_text, output_text FROM project_pairs WHERE substr(pair_id, 1, 1) = '7')"""
+
+
+def returned_pairs(spark, sf):
+    p = project_pairs(spark, sf).select("pair_id", "pair_type", "project", "version", "input_text", "output_text")
+    of = lambda digits, by: p.where(F.substring("pair_id", 1, 1).isin(*digits)).withColumn("version", F.col("version") + by)
+    renamed = of("56", 1).withColumn("pair_id", F.concat(F.lit("z"), "pair_id"))
+    return p.unionByName(of("02468ace", 1)).unionByName(of("123", 2)).unionByName(renamed).unionByName(of("7", 0))
+
+
+def version_store(spark, sf) -> VersionStore:
+    """All versions of all projects, written one after the other, the last one twice (a retry)."""
+    store = VersionStore(spark, scratch_dir(spark, "versions"))
+    rows = materialize(returned_pairs(spark, sf), "versions-input")
+    versions = sorted(r.version for r in rows.select("version").distinct().collect())  # version numbers of a build series
+    for v in [*versions, versions[-1]] if versions else []:
+        store.add(rows.where(F.col("version") == v), v)
+    return store
+
+
+@query("version_store", W(ofx.PROJECT_CHUNKS) + RETURNED_SQL + """
+SELECT project, version::BIGINT AS version, pair_id, sha256(input_text) AS input_sha, sha256(output_text) AS output_sha FROM returned""")
+def q_version_store(spark, sf):
+    """Every version of every project stored by content, and read back with its texts."""
+    store = version_store(spark, sf)
+    out = None
+    for r in store._read("builds").select("version").distinct().collect():
+        rows = store.read(r.version)
+        out = rows if out is None else out.unionByName(rows)
+    return out.select("project", F.col("version").cast("bigint").alias("version"), "pair_id",
+                      F.sha2("input_text", 256).alias("input_sha"), F.sha2("output_text", 256).alias("output_sha"))
+
+
+@query("version_store_delta", W(ofx.PROJECT_CHUNKS) + RETURNED_SQL + """
+SELECT p.pair_id, p.project, p.version::BIGINT AS version, count(*)::BIGINT AS copies FROM returned p
+WHERE NOT EXISTS (SELECT 1 FROM returned q WHERE q.project = p.project AND q.version = p.version - 1
+                  AND q.input_text = p.input_text AND q.output_text = p.output_text) GROUP BY ALL""")
+def q_version_store_delta(spark, sf):
+    """J8 from the membership alone."""
+    return version_store(spark, sf).delta().select("pair_id", "project", F.col("version").cast("bigint").alias("version"), "copies")
+
+
+@query("version_store_since", W(ofx.PROJECT_CHUNKS) + RETURNED_SQL + """
+SELECT project, version::BIGINT AS version, pair_type, count(*)::BIGINT AS n_pairs FROM returned WHERE version > 2 GROUP BY ALL""")
+def q_version_store_since(spark, sf):
+    """J7, W7 from the membership alone."""
+    rows = version_store(spark, sf).rows(since=2)
+    return (rows.groupBy("project", F.col("version").cast("bigint").alias("version"), "pair_type")
+            .agg(F.sum("copies").cast("bigint").alias("n_pairs")))
 
 
 @query("train_eval_split", W(ofx.PROJECT_CHUNKS) + COPIED_SQL + """
@@ -167,3 +245,32 @@ def q_version_history(spark, sf):
                                              lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))),
                                  ",").alias("pairs_by_type"),
                     F.col("growth").cast("bigint").alias("growth"))
+
+
+# ---------------------------------------------------------------------------
+# model runs
+# ---------------------------------------------------------------------------
+
+MODELS_SQL = """
+runs AS (SELECT 'src' || (user_id % 20) AS project, 1 + event_id % 12 AS version, event_type AS metric,
+                arg_max(value, {'t': ts, 'e': event_id}) AS value, max(ts) AS ts FROM events GROUP BY ALL)"""
+
+
+@query("latest_model_version", W(MODELS_SQL) + """
+SELECT project, max(version)::BIGINT AS latest_version FROM runs GROUP BY project""")
+def q_latest_model_version(spark, sf):
+    """The newest model of each project."""
+    m = V.latest_model_version(fx.model_runs(spark, sf))
+    return m.select("project", F.col("latest_version").cast("bigint").alias("latest_version"))
+
+
+@query("model_history", W(MODELS_SQL) + """,
+h AS (SELECT project, version, string_agg(metric || '=' || round(value, 4)::DECIMAL(18,4), ',' ORDER BY metric) AS metrics, max(ts) AS ts FROM runs GROUP BY ALL)
+SELECT project, version::BIGINT AS version, metrics, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS created_at,
+       row_number() OVER (PARTITION BY project ORDER BY version)::BIGINT AS place FROM h""")
+def q_model_history(spark, sf):
+    """Each project's models in numeric order with their metrics."""
+    h = V.model_history(fx.model_runs(spark, sf))
+    shown = F.array_join(F.transform(F.map_entries("metrics"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"], 4).cast("decimal(18,4)").cast("string"))), ",")
+    return h.select("project", F.col("version").cast("bigint").alias("version"), shown.alias("metrics"),
+                    F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"), F.col("place").cast("bigint").alias("place"))

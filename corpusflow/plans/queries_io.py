@@ -58,15 +58,8 @@ def q_append_event(spark, sf):
 
 
 @query("dataset_version_write", W(ofx.PROJECT_CHUNKS) + """
-SELECT project, version::BIGINT AS version, pair_id FROM project_pairs WHERE project IN ('src1', 'src2') AND version <= 2""")
-def q_dataset_version_write(spark, sf):
-    """Every version of every project written; of what is read back, the rows that the SQL compares."""
-    return q_dataset_versions_write(spark, sf).where(F.col("project").isin("src1", "src2") & (F.col("version") <= 2))
-
-
-@query("dataset_versions_write", W(ofx.PROJECT_CHUNKS) + """
 SELECT project, version::BIGINT AS version, pair_id FROM project_pairs""")
-def q_dataset_versions_write(spark, sf):
+def q_dataset_version_write(spark, sf):
     """All versions of all projects written, twice (a retry), and read back."""
     path = scratch_dir(spark, "dataset")
     p = project_pairs(spark, sf)
@@ -76,34 +69,45 @@ def q_dataset_versions_write(spark, sf):
     return spark.read.schema(p.schema).parquet(path).select("project", F.col("version").cast("bigint").alias("version"), "pair_id")
 
 
-@query("register_extractor", W(ofx.DOC_TREE) + """
-SELECT rel_path AS file_path, CASE WHEN ext = '.py' THEN 'Python module' ELSE 'File: ' || string_split(rel_path, '/')[-1] END AS description
-FROM indexed_tree WHERE ext IN ('.py', '.md')""")
+@query("read_jsonl_strict", W(ofx.DOC_TREE, ofx.TREE_CHUNKS) + CHUNK_VIEW_SQL.format(src="tree_chunks WHERE file_type <> 'java'"))
+def q_read_jsonl_strict(spark, sf):
+    """S3: chunks written as JSON Lines and read back strictly (a malformed line would fail the read)."""
+    path = scratch_dir(spark, "chunks")
+    chunks = chunking.extract_generic_chunks(indexed_tree(spark, sf).where(F.col("ext") != ".java"), fixed_ts())
+    src.write_chunks(chunks, path, fmt="json")
+    return chunk_view(src.read_jsonl(spark, path, chunks.schema, lenient=False))
+
+
+@query("register_extractor", W(ofx.DOC_TREE, ofx.TREE_CHUNKS) + """
+SELECT file_path, chunk_type, chunk_name, CASE WHEN file_type = 'py' THEN 'Python module' ELSE description END AS description
+FROM tree_chunks""")
 def q_register_extractor(spark, sf):
-    """Files of one extension go to a user's extractor."""
+    """The whole tree, with files of one extension going to a user's extractor."""
     def python_files(files, extracted_at):
         return chunking.extract_generic_chunks(files, extracted_at).withColumn("description", F.lit("Python module"))
 
     saved = chunking.registered_extractors()
     chunking.register_extractor(".py", python_files)
     try:
-        files = indexed_tree(spark, sf).where(F.col("ext").isin(".py", ".md"))
-        return chunking.extract_chunks(files, fixed_ts()).select("file_path", "description")
+        return chunking.extract_chunks(indexed_tree(spark, sf), fixed_ts()).select("file_path", "chunk_type", "chunk_name", "description")
     finally:
         chunking._EXTRACTORS.clear()
         chunking._EXTRACTORS.update(saved)
 
 
 @query("register_handler", W(ofx.DOC_TREE) + """
-SELECT rel_path, 'PropsHandler' AS handler, 'Properties: ' || length(content) AS description FROM indexed_tree WHERE ext = '.properties'""")
+SELECT rel_path, CASE WHEN ext = '.properties' THEN 'PropsHandler' WHEN ext = '.java' THEN 'JavaFileHandler' WHEN ext = '.md' THEN 'MarkdownFileHandler'
+                      WHEN ext IN ('.yaml', '.yml') THEN 'YamlFileHandler' END AS handler,
+       CASE WHEN ext = '.properties' THEN 'Properties: ' || length(content) END AS props
+FROM indexed_tree""")
 def q_register_handler(spark, sf):
-    """A user's handler describes files of its suffix."""
+    """The whole tree, with a user's handler for files of its suffix."""
     before = list(metadata._HANDLERS)
     metadata.register_handler("PropsHandler", [".properties"], lambda c: {
         "description": F.concat(F.lit("Properties: "), F.length(c).cast("string")), "lines": F.lit(1)})
     try:
-        files = indexed_tree(spark, sf).where(F.col("ext") == ".properties")
-        return metadata.file_metadata(files).select("rel_path", "handler", "description")
+        found = metadata.file_metadata(indexed_tree(spark, sf))
+        return found.select("rel_path", "handler", F.when(F.col("handler") == "PropsHandler", F.col("description")).alias("props"))
     finally:
         metadata._HANDLERS[:] = before
 

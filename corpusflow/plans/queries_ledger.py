@@ -215,17 +215,31 @@ def q_status_counts(spark, sf):
     return L.status_counts(fx.ledger(spark, sf))
 
 
-@query("migration_summary", W(ofx.LEDGER) + """
+# every ninth revision is skipped
+SKIPPED_SQL = """,
+skipping AS (SELECT * REPLACE (CASE WHEN svn_revision % 9 = 0 THEN 'skipped' ELSE status END AS status) FROM ledger)"""
+
+
+@query("migration_summary", W(ofx.LEDGER, ofx.RUNS) + SKIPPED_SQL + """,
+newest AS (SELECT run_id, migration_status FROM runs_updated ORDER BY last_update_time DESC, run_id DESC LIMIT 1)
 SELECT count(*)::BIGINT AS total_revisions,
        count(*) FILTER (WHERE status = 'completed')::BIGINT AS completed,
        count(*) FILTER (WHERE status = 'failed')::BIGINT AS failed,
        count(*) FILTER (WHERE status = 'pending')::BIGINT AS pending,
        count(*) FILTER (WHERE status = 'in_progress')::BIGINT AS in_progress,
+       count(*) FILTER (WHERE status = 'skipped')::BIGINT AS skipped,
+       (SELECT string_agg(status || ':' || n, ',' ORDER BY status) FROM (SELECT status, count(*) AS n FROM skipping GROUP BY status)) AS status_counts,
        round(CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE status = 'completed') / count(*) * 100.0
-                  ELSE 0.0 END, 6) AS progress_percent
-FROM ledger""")
+                  ELSE 0.0 END, 6) AS progress_percent,
+       (SELECT run_id FROM newest)::BIGINT AS run_id, (SELECT migration_status FROM newest) AS run_status
+FROM skipping""")
 def q_migration_summary(spark, sf):
-    return L.migration_summary(fx.ledger(spark, sf))
+    """A10 over the ledger, some of its revisions skipped, with the newest run."""
+    ledger = fx.ledger(spark, sf).withColumn("status", F.when(F.col("svn_revision") % 9 == 0, L.SKIPPED).otherwise(F.col("status")))
+    s = L.migration_summary(ledger, L.update_run(fx.runs(spark, sf), fx.run_updates(spark, sf)))
+    counts = F.array_join(F.transform(F.map_entries("status_counts"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return s.select("total_revisions", "completed", "failed", "pending", "in_progress", "skipped", counts.alias("status_counts"),
+                    "progress_percent", F.col("metadata.run_id").alias("run_id"), F.col("metadata.migration_status").alias("run_status"))
 
 
 @query("last_completed", W(ofx.LEDGER) + """

@@ -286,6 +286,14 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("in_progress").alias("migration_status"))
 
 
+def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of model runs in long form, from the events."""
+    e = _events(spark, sf_dir)
+    return e.select(F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("project"),
+                    F.concat(F.lit("v"), (F.col("event_id") % 12 + 1).cast("string")).alias("tag"),
+                    F.col("event_type").alias("metric"), "value", F.col("ts").alias("created_at"), F.col("event_id").alias("seq"))
+
+
 def run_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Field updates per run in long form (field, value); signup events try a
     field outside the whitelist."""

@@ -17,11 +17,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 def test_all_versions_are_written(spark, monkeypatch):
     paths, write = [], versions.write_dataset_versions
     monkeypatch.setattr(versions, "write_dataset_versions", lambda p, path: (paths.append(path), write(p, path)))
-    got = io.q_dataset_versions_write(spark, SF_SMALL)
+    got = io.q_dataset_version_write(spark, SF_SMALL)
     want = Counter((r.project, r.version, r.pair_id) for r in project_pairs(spark, SF_SMALL).collect())
     assert Counter(map(tuple, got.collect())) == want and len({v for _, v, _ in want}) == 4
-    paths.clear()
-    io.q_dataset_version_write(spark, SF_SMALL)
     assert len(paths) == 2 and spark.read.parquet(paths[0]).count() == sum(want.values())
 
 
