@@ -30,12 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .pieces import SPACE, Pieces, WordStore, blank_run, cuts_word, prepared, send, text_blocks
+from .transducer import Table
 
 BLOCK_BYTES = 1_000_000
 STORE_WORDS = 200_000
 BLOCK_ROWS = 500
 CELLS = 200_000  # characters of equally long words that advance together
 STORE_PAIRS = 600_000
+LONG = 512  # characters; a longer unit is encoded in windows of this length
+OVERLAP = 128
 _B = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,8 +59,7 @@ class Encoder:
         self.grows = np.array([t in grows for t in starts])[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("substring keys collide; take another multiplier")
-        self.known = np.zeros(1, np.int64) - 1
-        self.known_stable = np.zeros(1, bool)
+        self.known = Table()
         self.store = WordStore(STORE_WORDS)
         self.unit = re.compile(cuts_word(pieces))
 
@@ -78,21 +80,20 @@ class Encoder:
 
     def _stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``Pieces.stable`` with a bounded store of pairs met before."""
-        key = a.astype(np.int64) * np.int64(len(self.p.text) + 1) + b
-        at = np.minimum(np.searchsorted(self.known, key), len(self.known) - 1)
-        new = self.known[at] != key
+        n = np.int64(len(self.p.text) + 1)
+        key = a.astype(np.int64) * n + b
+        at = self.known.find(key)
+        new = at < 0
         if new.any():
             fresh = np.unique(key[new])
-            n = np.int64(len(self.p.text) + 1)
-            answer = self.p.stable(fresh // n, fresh % n)
-            if len(self.known) > STORE_PAIRS:
-                self.known, self.known_stable = fresh, answer
+            if self.known.n + len(fresh) > STORE_PAIRS and self.known.n:
+                self.known = Table()
                 return self._stable(a, b)
-            keys = np.concatenate([self.known, fresh])
-            order = np.argsort(keys, kind="stable")
-            self.known, self.known_stable = keys[order], np.concatenate([self.known_stable, answer])[order]
-            at = np.searchsorted(self.known, key)
-        return self.known_stable[at]
+            answer = np.zeros((len(fresh), 2), np.int32)
+            answer[:, 0] = self.p.stable(fresh // n, fresh % n)
+            self.known.add(fresh, answer)
+            at = self.known.find(key)
+        return self.known.values[at, 0] > 0
 
     def segment(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Code points of equally long words (n x length) -> (back pointers, last pieces), each
@@ -171,9 +172,10 @@ class Encoder:
     def _blanks(self, n: int) -> bytes:
         return np.array([self.p.blank_ids[k] for k in blank_run(n, self.p)], np.int32).tobytes()
 
-    def _store(self, words: list[str], chars: np.ndarray, back: np.ndarray, last: np.ndarray) -> None:
-        n, size = chars.shape
-        # walk all words back together
+    @staticmethod
+    def _walk(back: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All words walked back together: their pieces and the pieces' first characters, -1 before them."""
+        n, size = back.shape[0], back.shape[1] - 1
         at = np.full(n, size, np.int64)
         cols = []
         rows = np.arange(n)
@@ -183,34 +185,82 @@ class Encoder:
             step = np.where(go, back[rows, at], 0)
             at = at - step
             cols.append((piece, at.copy()))
-        pieces = np.stack([c[0] for c in cols[::-1]], 1)
-        starts = np.stack([c[1] for c in cols[::-1]], 1)
+        return np.stack([c[0] for c in cols[::-1]], 1), np.stack([c[1] for c in cols[::-1]], 1)
+
+    def _with_blanks(self, word: str, got: bytes, first: int) -> bytes:
+        """Ids of a word whose blanks but the last are not in ``got``; ``first`` is its first piece."""
+        blanks = len(word) - len(word.lstrip(SPACE))
+        if blanks <= 1:
+            return got
+        # blanks merge last: the one before the word stays with them if the word left it alone
+        return self._blanks(blanks) + got[4:] if first == self.p.index.get(SPACE) else self._blanks(blanks - 1) + got
+
+    def _store(self, words: list[str], chars: np.ndarray, back: np.ndarray, last: np.ndarray) -> None:
+        pieces, starts = self._walk(back, last)
         counts = (pieces >= 0).sum(1)
         flat = pieces[pieces >= 0]
         ids = self.p.ids[flat]
         ends = np.cumsum(counts)
         plain = np.add.reduceat(ids < 0, np.concatenate([[0], ends[:-1]])) == 0
-        data, mark = ids.astype(np.int32).tobytes(), self.p.index.get(SPACE)
+        data = ids.astype(np.int32).tobytes()
         for k, w in enumerate(words):
             a, b = int(ends[k] - counts[k]), int(ends[k])
             got = data[4 * a:4 * b] if plain[k] else self._ids(flat[a:b], chars[k, starts[k][pieces[k] >= 0]])
-            blanks = len(w) - len(w.lstrip(SPACE))
-            if blanks > 1:
-                # blanks merge last: the one before the word stays with them if the word left it alone
-                got = self._blanks(blanks) + got[4:] if flat[a] == mark else self._blanks(blanks - 1) + got
-            self.store.now[w] = got
+            self.store.now[w] = self._with_blanks(w, got, flat[a])
+
+    def long_word(self, word: str) -> bytes:
+        """Ids of a unit of any length. Overlapping windows advance together. A piece that two neighbouring
+        windows both have joins them: beside it the one's pieces before and the other's behind are
+        stable, so the joined pieces are the unit's. Windows without one are encoded as one."""
+        body = word.lstrip(SPACE)
+        unit = word[-(len(body) + (len(body) < len(word))):] if body else ""
+        if not unit:
+            return self._blanks(len(word))
+        chars = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = len(chars)
+        begins = np.append(np.arange(0, size - LONG, LONG - OVERLAP), size - LONG) if size > LONG else np.zeros(1, np.int64)
+        found, step = [], max(1, CELLS // LONG)
+        for k in range(0, len(begins), step):
+            grid = chars[begins[k:k + step, None] + np.arange(min(LONG, size))]
+            pieces, starts = self._walk(*self.segment(grid))
+            found += [(p[p >= 0], s[p >= 0] + g) for p, s, g in zip(pieces, starts, begins[k:k + step], strict=True)]
+        pieces, starts = [found[0][0]], [found[0][1]]
+        for p, s in found[1:]:
+            # (first character, piece) names a place; the piece gives its end
+            both = np.intersect1d(starts[-1] * np.int64(1 << 31) + pieces[-1], s * np.int64(1 << 31) + p)
+            if not len(both):
+                whole, where = self._walk(*self.segment(chars[None, :]))
+                pieces, starts = [whole[0][whole[0] >= 0]], [where[0][whole[0] >= 0]]
+                break
+            first = both[0] >> 31
+            keep = starts[-1] <= first
+            pieces[-1], starts[-1] = pieces[-1][keep], starts[-1][keep]
+            pieces.append(p[s > first])
+            starts.append(s[s > first])
+        flat, where = np.concatenate(pieces), np.concatenate(starts)
+        return self._with_blanks(word, self._ids(flat, chars[where]), flat[0])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         units = [self.unit.findall(prepared(t)) for t in texts]
-        if new := self.store.missing(set().union(*units)):
+        distinct = set().union(*units)
+        # long units are not kept: the store is bounded by words
+        long = {u: self.long_word(u) for u in distinct if len(u) > LONG}
+        if new := self.store.missing(distinct - long.keys()):
             self.encode_words(new)
         get = self.store.now.__getitem__
+        if long:
+            get = lambda u: long[u] if u in long else self.store.now[u]
         return [np.frombuffer(b"".join(map(get, u)), np.int32) for u in units]
 
 
 def decoded(pieces: Pieces, ids: np.ndarray) -> str:
-    """Text of ids. The blank that encoding put in front goes."""
-    text = b"".join(map(pieces.decoded.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")
+    """Text of ids."""
+    return _text(b"".join(map(pieces.decoded.__getitem__, ids.tolist())))
+
+
+def _text(joined: bytes) -> str:
+    """Text of joined pieces. The blank that encoding put in front goes."""
+    text = joined.decode("utf-8", "replace").replace(SPACE, " ")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -252,13 +302,17 @@ def decode(encoded: DataFrame, path: str, ids: str = "token_ids", out: str = "de
     at = names.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = sent.value
+        table = pa.array(sent.value.decoded, pa.binary())
         for batch in batches:
             col = batch.column(at)
             starts, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
             live = col.is_valid().to_numpy(zero_copy_only=False)
             for a in range(0, len(col), BLOCK_ROWS):
                 b = min(a + BLOCK_ROWS, len(col))
-                texts = [decoded(pieces, flat[x:y]) if ok else None for x, y, ok in zip(starts[a:b], starts[a + 1:b + 1], live[a:b], strict=True)]
+                # the pieces' bytes, one after the other, and where each begins
+                joined = table.take(pa.array(flat[starts[a]:starts[b]]))
+                begins = np.frombuffer(joined.buffers()[1], np.int32)[starts[a:b + 1] - starts[a]].tolist() if len(joined) else [0] * (b - a + 1)
+                data = memoryview(joined.buffers()[2] or b"")
+                texts = [_text(bytes(data[x:y])) if ok else None for x, y, ok in zip(begins[:-1], begins[1:], live[a:b], strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(texts, pa.string())], names=[*names, out])
     return encoded.mapInArrow(run, arrow)
