@@ -33,10 +33,10 @@ from .pieces import SPACE, Pieces, WordStore, blank_run, cuts_word, prepared, se
 from .transducer import Table
 
 BLOCK_BYTES = 1_000_000
-STORE_WORDS = 200_000
+STORE_WORDS = 150_000
 BLOCK_ROWS = 500
 CELLS = 200_000  # characters of equally long words that advance together
-STORE_PAIRS = 600_000
+STORE_PAIRS = 260_000
 LONG = 512  # characters; a longer unit is encoded in windows of this length
 OVERLAP = 128
 _B = np.uint64(0x9E3779B97F4A7C15)
