@@ -6,9 +6,11 @@ many tokens fewer that place has than the present one; a transition reads one ch
 annotated with the tokens that the prefix's encoding gains (which may be negative: the sum
 telescopes to the count of the whole). States are made when a text first needs them. A text falls
 into units that no piece reaches across, so a unit starts in the start state; all units of a block
-step together. Units longer than CHUNK characters are cut into chunks: each chunk keeps a map from
-entry state to (exit state, tokens), first for a guessed entry (the state after the characters just
-before it), and a prefix scan composes the maps, adding the entries that it finds missing.
+step together. Units longer than CHUNK characters are cut into chunks that step together too, each from a
+guessed entry state (the state after the characters just before it). Where a chunk's entry proves not to be the
+exit of the chunk before, the chunk is run again from there, ROUNDS times at most, then what is left is
+walked in order. So the chunks' maps are each known for one entry at a time and are not composed
+as whole maps by a prefix scan: all entry states of a chunk are not known beforehand.
 
 Counts equal ``len(SentencePieceProcessor.encode(text))`` of the same model; tests compare them.
 
@@ -163,7 +165,7 @@ class Transducer:
         return state[back], gained[back]
 
     def _long(self, codes: np.ndarray) -> int:
-        """Tokens of one long unit, by chunk maps and their composition."""
+        """Tokens of one long unit, by chunks from guessed entries that are mended."""
         n = len(codes)
         starts = np.arange(0, n, CHUNK)
         sizes = np.minimum(CHUNK, n - starts)
