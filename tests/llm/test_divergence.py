@@ -80,3 +80,14 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.lang, r.source, r.text) for r in odd_docs.collect()]
     assert sorted(map(tuple, divergence.audit(odd_docs.withColumn("zero", F.lit(1)), least_docs=1).collect())) == plain(rows, 1, 50)
     assert divergence.audit(no_docs).count() == 0
+
+
+def test_rates_are_exact(spark):
+    rng = random.Random(9)
+    rows = [(0, 1, 1), (7, 0, 0), (10**12, 10**12 + 10**6, 5000), (9 * 10**9, 9 * 10**9, 1), (9 * 10**9 + 1, 10**13, 7)]
+    for _ in range(3000):
+        total = rng.randrange(1, 10 ** rng.randrange(1, 16))
+        rows.append((rng.randrange(total + 1), total, rng.randrange(1, 10 ** rng.randrange(1, 7))))
+    df = spark.createDataFrame(rows, "n long, total long, kept long").withColumn("p", divergence._rate(F.col("n"), F.col("total"), F.col("kept")))
+    for n, total, kept, p in df.collect():
+        assert p == (1 + 10**9 * (n + 5) // (total + 5 * kept) if kept else 0), (n, total, kept)
