@@ -6,11 +6,15 @@ many tokens fewer that place has than the present one; a transition reads one ch
 annotated with the tokens that the prefix's encoding gains (which may be negative: the sum
 telescopes to the count of the whole). States are made when a text first needs them. A text falls
 into units that no piece reaches across, so a unit starts in the start state; all units of a block
-step together. Units longer than CHUNK characters are cut into chunks that step together too, each from a
-guessed entry state (the state after the characters just before it). Where a chunk's entry proves not to be the
-exit of the chunk before, the chunk is run again from there, ROUNDS times at most, then what is left is
-walked in order. So the chunks' maps are each known for one entry at a time and are not composed
-as whole maps by a prefix scan: all entry states of a chunk are not known beforehand.
+step together. Units longer than CHUNK characters are cut into chunks, and a chunk is a map from the state
+that it is entered in to its exit and the tokens gained. A map is kept for the entry states that can matter: a
+guess (the state after the characters just before the chunk), then what the maps to its left lead to. The maps of
+all chunks of all long units of a block are composed by a parallel prefix scan: the up-sweep joins neighbouring
+segments two by two, all pairs of a level at once, and looks up (or adds) the right map's value at the left map's
+exit; the down-sweep gives each chunk the state in which it is really entered and the tokens before it. A unit's
+first chunk maps every entry to what the start state gives, so units need no scans of their own: their counts are
+differences of the scan. Runs of chunks that are equal share one map. A level adds one entry state at most for each
+chunk, so a text of n characters costs O(n log n) steps even where no border synchronises.
 
 Counts equal ``len(SentencePieceProcessor.encode(text))`` of the same model; tests compare them.
 
@@ -164,27 +168,17 @@ class Transducer:
         back[order] = np.arange(len(order))
         return state[back], gained[back]
 
-    def _long(self, codes: np.ndarray) -> int:
-        """Tokens of one long unit, by chunks from guessed entries that are mended."""
-        n = len(codes)
-        starts = np.arange(0, n, CHUNK)
-        sizes = np.minimum(CHUNK, n - starts)
-        none = np.zeros(len(starts), np.int64)
-        entry, _ = self.run(codes, np.maximum(starts - GUESS, 0), np.minimum(starts, GUESS), none)
-        leave, gain = self.run(codes, starts, sizes, entry)
-        for _ in range(ROUNDS):
-            # composition holds where a chunk's entry is the exit of the one before
-            wrong = np.flatnonzero(entry[1:] != leave[:-1]) + 1
-            if not len(wrong):
-                return int(gain.sum())
-            entry[wrong] = leave[wrong - 1]
-            leave[wrong], gain[wrong] = self.run(codes, starts[wrong], sizes[wrong], entry[wrong])
-        state = np.zeros(1, np.int64)
-        total = 0
-        for a, size in zip(starts.tolist(), sizes.tolist(), strict=True):
-            state, more = self.run(codes, np.array([a]), np.array([size]), state)
-            total += int(more[0])
-        return total
+    def count_long(self, units: list[str]) -> np.ndarray:
+        """Tokens of each unit, by one scan over the chunks of all."""
+        lengths = np.array([len(u) for u in units], np.int64)
+        codes = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        chunks = -(-lengths // CHUNK)
+        last = np.cumsum(chunks) - 1
+        place = (np.arange(int(chunks.sum())) - np.repeat(last + 1 - chunks, chunks)) * CHUNK
+        starts = np.repeat(np.cumsum(lengths) - lengths, chunks) + place
+        sizes = np.minimum(CHUNK, np.repeat(lengths, chunks) - place)
+        upto = ChunkMaps(self, codes, starts, sizes, place).scan()
+        return np.diff(upto[last], prepend=0)
 
     def count_words(self, words: list[str]) -> None:
         """Put the counts of units into the store."""
@@ -205,9 +199,9 @@ class Transducer:
             _, tokens = self.run(codes, np.cumsum(sizes) - sizes, sizes, np.zeros(len(short), np.int64))
             for (w, u, blanks), n in zip(short, tokens.tolist(), strict=True):
                 self.store.now[w] = n if blanks < 2 else n + self._more_blanks(u, blanks)
-        for w, u, blanks in plain:
-            if len(u) > CHUNK:
-                n = self._long(np.frombuffer(u.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64))
+        long = [x for x in plain if len(x[1]) > CHUNK]
+        if long:
+            for (w, u, blanks), n in zip(long, self.count_long([u for _, u, _ in long]).tolist(), strict=True):
                 self.store.now[w] = n if blanks < 2 else n + self._more_blanks(u, blanks)
 
     def _more_blanks(self, unit: str, blanks: int) -> int:
@@ -238,6 +232,80 @@ class Transducer:
         return [sum(map(get, u)) for u in units]
 
 
+class ChunkMaps:
+    """Maps (entry state -> exit state, tokens gained) of runs of 2**level chunks, for all levels up to the
+    whole. ``place`` is a chunk's distance from the start of its unit. Equal runs share one map: ``kind`` numbers a
+    level's runs by content, ``halves`` are a kind's kinds one level below (-1 for none), or, for chunks, one
+    of them."""
+
+    def __init__(self, machine: Transducer, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, place: np.ndarray):
+        self.machine, self.codes, self.starts, self.sizes, self.place = machine, codes, starts, sizes, place
+        seen: dict[tuple[bool, bytes], int] = {}
+        kind = np.array([seen.setdefault((first, codes[a:a + n].tobytes()), len(seen)) for first, a, n in
+                         zip((place == 0).tolist(), starts.tolist(), sizes.tolist(), strict=True)], np.int64)
+        self.kind, self.halves = [kind], [np.unique(kind, return_index=True)[1]]
+        while len(kind) > 1:
+            two = np.append(kind, -1)[:len(kind) + len(kind) % 2].reshape(-1, 2) + 1
+            pairs, kind = np.unique(two[:, 0] * (len(self.halves[-1]) + 1) + two[:, 1], return_inverse=True)
+            self.halves.append(np.stack(np.divmod(pairs, len(self.halves[-1]) + 1), axis=1) - 1)
+            self.kind.append(kind)
+        self.maps = [Table(4) for _ in self.kind]
+        self.runs = 0
+
+    def apply(self, level: int, kind: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the kinds' maps at ``entry``; what a map does not hold yet is composed of its
+        halves' values (a chunk's: by running it) and added."""
+        if level == 0:
+            entry = np.where(self.place[self.halves[0][kind]] == 0, 0, entry)
+        table, keys = self.maps[level], kind << 32 | entry
+        slot = table.find(keys)
+        if (slot < 0).any():
+            new = np.unique(keys[slot < 0])
+            parts, state = self.halves[level][new >> 32], new & 0xFFFFFFFF
+            if level == 0:
+                state, gain = self.machine.run(self.codes, self.starts[parts], self.sizes[parts], state)
+                self.runs += len(parts)
+            else:
+                state, gain = self.apply(level - 1, parts[:, 0], state)
+                two = parts[:, 1] >= 0
+                state[two], more = self.apply(level - 1, parts[two, 1], state[two])
+                gain[two] += more
+            table.add(new, np.stack([state, gain], axis=1).astype(np.int32))
+            slot = table.find(keys)
+        got = table.values[slot].astype(np.int64)
+        return got[:, 0], got[:, 1]
+
+    def grow(self, entry: np.ndarray) -> None:
+        """Chunks' maps for the guessed entries, then for the exits of the chunk before, while those change
+        (ROUNDS times at most: what is missing then is added by the scan)."""
+        kind = self.kind[0]
+        leave, _ = self.apply(0, kind, entry)
+        behind = np.arange(1, len(kind))
+        for _ in range(ROUNDS):
+            if not len(behind):
+                return
+            exits, _ = self.apply(0, kind[behind], leave[behind - 1])
+            # only a chunk whose exit changed can lead to an entry that the next one's map lacks
+            moved = (exits != leave[behind]) & (behind + 1 < len(kind))
+            leave[behind] = exits
+            behind = behind[moved] + 1
+
+    def scan(self) -> np.ndarray:
+        """Tokens up to the end of each chunk, over all units in their order."""
+        ahead = np.minimum(self.place, GUESS)
+        guess, _ = self.machine.run(self.codes, self.starts - ahead, ahead, np.zeros(len(ahead), np.int64))
+        self.grow(guess)
+        for level in range(1, len(self.kind)):
+            self.apply(level, self.kind[level], guess[::1 << level])
+        entry, tokens = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        for level in range(len(self.kind) - 1, 0, -1):
+            leave, gain = self.apply(level - 1, self.kind[level - 1][::2], entry)
+            most = len(self.kind[level - 1])
+            entry = np.stack([entry, leave], axis=1).ravel()[:most]
+            tokens = np.stack([tokens, tokens + gain], axis=1).ravel()[:most]
+        return tokens + self.apply(0, self.kind[0], entry)[1]
+
+
 _MADE: dict[str, Transducer] = {}
 
 

@@ -4,11 +4,12 @@ import base64
 import random
 import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
 
-from corpusflow.llm import parsing, pieces, viterbi, warc
+from corpusflow.llm import parsing, pieces, transducer, viterbi, warc
 from corpusflow.llm.common import key_ranges
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -69,3 +70,41 @@ def test_archives_are_read_by_many_tasks(spark):
     read = warc.read(spark, root)
     files = manifest.count()
     assert files > 8 and read.rdd.getNumPartitions() == files and read.count() == 400
+
+
+def test_chunk_maps_compose_in_any_tree(both, monkeypatch):
+    _, library = both
+    machine = transducer.Transducer(pieces.load(PATH))
+    rng = random.Random(8)
+    units = ["onhaer" * 90, "=" * 1001, "a" * 65, "é日\U0001F600" * 300, *("".join(rng.choice(a) for _ in range(rng.randrange(70, 3_000)))
+             for a in ("=-", "ab", "thesnaor", "0123456789", "é日a=") for _ in range(8))]
+    want = [len(x) - len(library.encode("\n")) for x in library.encode(["\n" + u for u in units])]
+    for chunk, guess, rounds in ((64, 32, 16), (64, 32, 0), (7, 0, 0), (3, 2, 1), (64, 0, 2)):
+        for name, value in (("CHUNK", chunk), ("GUESS", guess), ("ROUNDS", rounds)):
+            monkeypatch.setattr(transducer, name, value)
+        assert machine.count_long(units).tolist() == want
+        assert [machine.count_long([u])[0] for u in units[:6]] == want[:6]
+
+
+def test_chunk_maps_gain_one_entry_a_level_at_most(both, monkeypatch):
+    machine = transducer.Transducer(pieces.load(PATH))
+    monkeypatch.setattr(transducer, "GUESS", 0)
+    monkeypatch.setattr(transducer, "ROUNDS", 0)
+    codes = np.array([ord(c) for c in "=-" * 4_001 + "=" * 9_999], np.int64)
+    starts = np.arange(0, len(codes), 7)
+    maps = transducer.ChunkMaps(machine, codes, starts, np.minimum(7, len(codes) - starts), starts)
+    upto = maps.scan()
+    assert maps.runs <= len(starts) * len(maps.maps)
+    # the scan's value at every chunk is that of a walk from the start
+    state, total = np.zeros(1, np.int64), 0
+    for a, n in list(zip(starts.tolist(), upto.tolist(), strict=True))[:600]:
+        state, more = machine.run(codes, np.array([a]), np.array([min(7, len(codes) - a)]), state)
+        total += int(more[0])
+        assert total == n
+
+
+def test_counts_of_a_million_characters(both):
+    _, library = both
+    machine = transducer.Transducer(pieces.load(PATH))
+    texts = [base64.b64encode(random.Random(1).randbytes(750_000)).decode(), "=" * 1_000_000]
+    assert machine.counts(texts) == [len(library.encode(t)) for t in texts]
