@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from .common import keep_as_table, key_ranges, range_of
 
-SHARD_BYTES = 16 << 20
-FILE_BYTES = 256 << 20
+#: A shard's payload, four times a file's compressed size, so that shards roll unless pages shrink to a quarter;
+#: of a very large table shards are larger (at most 20,000 of them) and roll more often.
+SHARD_BYTES = 128 << 20
+FILE_BYTES = 32 << 20
 MIN_REVISIT = 100
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"

@@ -63,3 +63,14 @@ def test_empty_table(spark):
     root = warc.fresh_root(spark)
     assert warc.write(pages(spark, rows()).limit(0), root).count() == 0
     assert warc.read(spark, root).count() == 0
+
+
+def test_shards_roll_at_the_default_sizes(spark):
+    page = "concat_ws('', transform(sequence(1, 16384), k -> sha2(concat(id, ':', k), 256)))"  # a megabyte that halves
+    table = spark.range(0, 90, 1, 6).selectExpr("id as page_id", "'u' as url", f"{page} as html")
+    root = warc.fresh_root(spark)
+    files = warc.write(table, root).orderBy("name").collect()
+    assert len({f.shard for f in files}) == 1 and [f.seq for f in files] == list(range(len(files))) and len(files) > 1
+    assert all(f.file_bytes <= warc.FILE_BYTES for f in files) and files[0].file_bytes > 0.9 * warc.FILE_BYTES
+    got = warc.read(spark, root)
+    assert got.select("page_id").distinct().count() == got.filter("payload_bytes = 1048576").count() == 90
