@@ -24,6 +24,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import itertools
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,10 +36,13 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 from .common import keep_as_table, key_ranges, range_of
 
-#: A shard's payload, four times a file's compressed size, so that shards roll unless pages shrink to a quarter;
-#: of a very large table shards are larger (at most 20,000 of them) and roll more often.
-SHARD_BYTES = 128 << 20
-FILE_BYTES = 32 << 20
+SHARD_BYTES = 32 << 20
+#: A table has at most so many shards: those of a very large one are larger.
+MOST_SHARDS = 20_000
+#: Unless told otherwise, a file's compressed size is this part of a shard's payload, so that shards roll unless pages
+#: shrink to less, and files grow with the shards (over 1 GB at 100 TB).
+FILE_PART = 4
+READ_ROWS = 20_000
 MIN_REVISIT = 100
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -170,7 +174,7 @@ def _a_task_each(files: DataFrame) -> DataFrame:
     return files.repartition(min(20_000, max(1, files.count())))
 
 
-def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES,
+def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, file_bytes: int | None = None,
           min_revisit: int = MIN_REVISIT, level: int = 6) -> DataFrame:
     """Write (page_id, url, html) as archives under ``root`` and return the manifest, which is
     also the Parquet table ``root/manifest``: one row per file, in order of shard and seq."""
@@ -179,7 +183,11 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, file_byte
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.col("html"))
     facts = keep_as_table(rows.select("page_id", F.unhex(F.sha2(html, 256)).alias("digest"),
                                       F.octet_length(html).cast("long").alias("n")), "warc-facts")
-    bounds = key_ranges(facts.withColumn("n", F.col("n") + 500), "page_id", "n", shard_bytes)
+    weighed = facts.withColumn("n", F.col("n") + 500)
+    if file_bytes is None:
+        total = weighed.agg(F.sum("n")).first()[0] or 0
+        file_bytes = max(shard_bytes, total // MOST_SHARDS) // FILE_PART
+    bounds = key_ranges(weighed, "page_id", "n", shard_bytes, MOST_SHARDS)
     shared = (facts.filter(F.col("n") >= min_revisit).groupBy("digest")
               .agg(F.min("page_id").alias("owner"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"))
     notes = facts.filter(F.col("n") >= min_revisit).join(shared, "digest").select("page_id", "digest", "owner").distinct()
@@ -218,30 +226,35 @@ def records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]
         yield head, block
 
 
+def _checked(name: str, head: dict[str, str], block: bytes) -> bool:
+    """Is it a page's record? Its block must match its digest."""
+    if head["WARC-Block-Digest"] != f"sha256:{_sha(block)}":
+        raise ValueError(f"{name}: a block does not match its digest")
+    return head["WARC-Type"] != "warcinfo"
+
+
+def _read_row(name: str, head: dict[str, str], block: bytes) -> tuple:
+    http, _, payload = block.partition(b"\r\n\r\n")
+    size = int(http.rpartition(b"Content-Length: ")[2])
+    digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
+    if head["WARC-Type"] == "response" and (len(payload) != size or _sha(payload) != digest):
+        raise ValueError(f"{name}: a payload does not match its digest")
+    key, to = head.get("X-Key"), head.get("X-Refers-To-Key")
+    return (None if key is None else int(key), size, digest, head["WARC-Type"], None if to is None else int(to), head["WARC-Target-URI"], name)
+
+
 def _reader(root: str):
+    columns = [f.split()[0] for f in _RECORDS.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
         fs, base = filesystem(root)
         for batch in batches:
             for name in batch.column("name").to_pylist():
-                out = []
                 with fs.open_input_file(f"{base}/{name}") as f, gzip.GzipFile(fileobj=f) as z:
-                    for head, block in records(z):
-                        if head["WARC-Block-Digest"] != f"sha256:{_sha(block)}":
-                            raise ValueError(f"{name}: a block does not match its digest")
-                        if head["WARC-Type"] == "warcinfo":
-                            continue
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        size = int(http.rpartition(b"Content-Length: ")[2])
-                        digest = head["WARC-Payload-Digest"].removeprefix("sha256:")
-                        if head["WARC-Type"] == "response" and (len(payload) != size or _sha(payload) != digest):
-                            raise ValueError(f"{name}: a payload does not match its digest")
-                        key, to = head.get("X-Key"), head.get("X-Refers-To-Key")
-                        out.append((None if key is None else int(key), size, digest, head["WARC-Type"], None if to is None else int(to),
-                                    head["WARC-Target-URI"], name))
-                cols = list(zip(*out, strict=True)) if out else [()] * 7
-                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                                 names=[f.split()[0] for f in _RECORDS.split(", ")])
+                    rows = (_read_row(name, head, block) for head, block in records(z) if _checked(name, head, block))
+                    while some := list(itertools.islice(rows, READ_ROWS)):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names=columns)
     return run
 
 
