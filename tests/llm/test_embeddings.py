@@ -67,3 +67,47 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)} | {300: 300, 301: 300}
     assert got == want
+
+
+def clusters(n=8, size=60, dim=24, seed=6):
+    """Tight clusters of one label: links inside them at, above and below the threshold."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        centre = rng.normal(size=dim)
+        out += [(centre + rng.normal(size=dim) * s).tolist() for s in rng.uniform(0.05, 0.25, size)]
+    return [(k, v, 1) for k, v in enumerate(out)], "vec_id long, embedding array<double>, label int"
+
+
+def test_one_large_label_in_cells_equals_brute_force(spark):
+    rows, shape = clusters()
+    df = spark.createDataFrame(rows, shape).repartition(4)
+    want = plain(rows)
+    for tile in (7, 40, 4096):
+        got = embeddings.near_duplicates(df, tile=tile).collect()
+        assert sorted(str((r.vec_id, r.n_links, r.component_id, r.kept)) for r in got) == want
+
+
+def test_vectors_visit_near_cells_only_and_a_byte_a_component_is_sent(spark):
+    rows, _ = clusters()
+    nodes = spark.createDataFrame([("1", 24, bytearray(np.array(v).tobytes()), k, 1, bytearray(b"%d" % k)) for k, v, _ in rows],
+                                  "label string, dim int, data binary, node long, copies long, key binary")
+    got = embeddings.seats(nodes, 0.98, 10)
+    assert "data" not in got.columns and all(len(r.q) == 24 for r in got.collect())
+    cells = got.filter("home").select("cell").distinct().count()
+    assert got.filter("home").count() == len(rows) and cells > 20
+    assert got.count() < len(rows) * cells / 8  # all pairs of cells would be half of that product
+
+
+def test_sure_and_open_pairs_are_told_apart():
+    import pyarrow as pa
+    rows, _ = clusters()
+    v = np.array([r[1] for r in rows])
+    block = embeddings.Block(pa.table({"node": list(range(len(v))), "copies": [1] * len(v), "data": [x.tobytes() for x in v]}), 24)
+    true = (v @ v.T) / np.outer(np.linalg.norm(v, axis=1), np.linalg.norm(v, axis=1))
+    seen = np.zeros(true.shape, np.int8)
+    for x, y, sure in embeddings.bounded(block, block, True, 0.98):
+        seen[x, y] = 1 + sure
+    up = np.triu(np.ones(true.shape, bool), 1)
+    assert (true[seen == 2] >= 0.98).all() and (true[up & (seen == 0)] < 0.98).all()
+    assert (seen == 2).any() and (seen == 1).any()
