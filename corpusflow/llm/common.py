@@ -43,7 +43,7 @@ def key_ranges(rows: DataFrame, key: str, weight: str, target: int, most: int =
     (at least a ``most``-th of all weight): the same for the same rows, however they are
     partitioned. Bins of equal width are summed, and bins that are too heavy are cut in eight
     until they are light or hold one key; at most ``8 * most`` bin sums reach the driver at once."""
-    lo, hi, total = rows.agg(F.min(key), F.max(key), F.sum(weight)).first()
+    lo, hi, total = rows.filter(F.col(key).isNotNull()).agg(F.min(key), F.max(key), F.sum(weight)).first()
     if lo is None:
         return []
     target = max(target, -(-int(total or 0) // most))
@@ -77,6 +77,19 @@ def range_of(key: str, bounds: list[int]):
     return find(F.col(key).cast("long"))
 
 
+def null_safe_ranges(rows: DataFrame, key: str, tie: str, weight: str, target: int, most: int = 20_000):
+    """Ranges of ``key_ranges`` for a key that many rows may lack: rows without a key are cut by the long ``tie`` (of
+    theirs, a hash) in ranges of their own, which come first. Number of ranges, and the function (key
+    column, tie column) -> number of a row's range."""
+    bounds = key_ranges(rows, key, weight, target, most)
+    without = key_ranges(rows.filter(F.col(key).isNull()), tie, weight, target, most)
+
+    def of(key: str, tie: str):
+        at = range_of(key, bounds)
+        return F.when(F.col(key).isNull(), range_of(tie, without)).otherwise(at + len(without)) if without else at
+    return max(1, len(bounds) + len(without)), of
+
+
 def mark_held(df: DataFrame, key, ids: DataFrame, out: str, bits: int = 23) -> DataFrame:
     """``df`` with ``out``: may ``key`` be in the one-column table ``ids`` of longs? True for every id
     in the table, and for few others while the table has far fewer than 2**bits rows, so most rows can

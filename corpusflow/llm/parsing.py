@@ -12,11 +12,12 @@ The fingerprint is the ``COARSE`` least names of level 3 (some 25 characters a p
 texts have ``LEAST`` phrases there, else of level 2.
 
 Defined results: null text counts as empty; the empty text has the fingerprint ``:``, likeness 1 to
-itself and 0 to others; rows without a doc_id come last, and rows of one doc_id in order of their
-texts; a single document is its own next; an empty table gives an empty result; other columns are
+itself and 0 to others; rows without a doc_id come last, in falling order of a hash of their texts, and rows of one
+doc_id in order of their texts; a single document is its own next; an empty table gives an empty result; other columns are
 ignored.
 
-Scale: texts are shuffled once, into ranges of doc_id of bounded size; a range also gets the first
+Scale: texts are shuffled once, into ranges of bounded size of doc_id (or, without one, of that hash; a range
+holds one doc_id's or one hash's rows at least); a range also gets the first
 row of the range that follows, so every row meets its successor in a streamed pass.
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_as_table, key_ranges, range_of
+from .common import keep_as_table, null_safe_ranges
 from .pieces import blocks
 
 LEVELS = 3
@@ -193,23 +194,24 @@ def _stream(alone: bool, names: list[str], types: list[pa.DataType]):
 def fingerprint(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
     """(doc_id, text) -> doc_id, n_chars, the edited text's hash, both fingerprints, and the
     likenesses to the edited text and to the next document in descending doc_id."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    facts = keep_as_table(rows.select("doc_id", (F.coalesce(F.length("text"), F.lit(0)) + 100).cast("long").alias("n")), "parse-facts")
-    bounds = key_ranges(facts, "doc_id", "n", range_chars)
-    n = max(1, len(bounds))
-    of = range_of("doc_id", bounds)
+    tie = F.when(F.col("doc_id").cast("long").isNull(), F.xxhash64("text")).alias("_tie")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), tie)
+    facts = keep_as_table(rows.select("doc_id", "_tie", (F.coalesce(F.length("text"), F.lit(0)) + 100).cast("long").alias("n")), "parse-facts")
+    n, of = null_safe_ranges(facts, "doc_id", "_tie", "n", range_chars)
     if n > 1:
-        heads = [r[0] for r in facts.filter("doc_id is not null").groupBy(of.alias("at")).agg(F.max("doc_id").alias("head"))
-                 .select("head").collect()]  # one a range
-        at = rows.withColumn("_at", of)
+        heads = facts.groupBy(of("doc_id", "_tie").alias("at")).agg(F.max("doc_id").alias("id"), F.max("_tie").alias("tie")).collect()  # one a range
+        head = F.coalesce(F.col("doc_id").isin([r.id for r in heads if r.id is not None]), F.lit(False))
+        if ties := [r.tie for r in heads if r.id is None]:
+            head |= F.coalesce(F.col("_tie").isin(ties), F.lit(False))
+        at = rows.withColumn("_at", of("doc_id", "_tie"))
         both = F.array(F.struct(F.col("_at").alias("at"), F.lit(False).alias("ghost")),
                        F.struct(((F.col("_at") + 1) % n).alias("at"), F.lit(True).alias("ghost")))
-        placed = (at.withColumn("_to", F.explode(F.when(F.col("doc_id").isin(heads), both).otherwise(F.slice(both, 1, 1))))
-                  .select("doc_id", "text", F.col("_to.ghost").alias("ghost"), F.col("_to.at").alias("at")))
+        placed = (at.withColumn("_to", F.explode(F.when(head, both).otherwise(F.slice(both, 1, 1))))
+                  .select("doc_id", "_tie", "text", F.col("_to.ghost").alias("ghost"), F.col("_to.at").alias("at")))
     else:
-        placed = rows.select("doc_id", "text", F.lit(False).alias("ghost"), F.lit(0).alias("at"))
+        placed = rows.select("doc_id", "_tie", "text", F.lit(False).alias("ghost"), F.lit(0).alias("at"))
     names = ["doc_id", *[f.split()[0] for f in _OUT.split(", ")]]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     return (placed.repartitionById(n, F.col("at"))
-            .sortWithinPartitions("ghost", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+            .sortWithinPartitions("ghost", F.col("doc_id").desc_nulls_last(), F.col("_tie").desc(), F.col("text").asc_nulls_first())
             .select("doc_id", "text", "ghost").mapInArrow(_stream(n == 1, names, types), f"doc_id long, {_OUT}"))

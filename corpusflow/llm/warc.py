@@ -10,8 +10,8 @@ commit finds them renamed) and drops what lost attempts left. ``read`` takes the
 manifest, checks every digest and returns one row per record.
 
 Defined results: null html is an empty payload; equal keys with equal payloads of that size are
-one response and revisits of it; a null key sorts first, and is referred to only if all keys of its
-payload are null; a null url gives ``urn:page:<key>``; control characters in urls are
+one response and revisits of it; null keys sort first (in shards of their own,
+by a hash of the digest), and are referred to only if all keys of their payload are null; a null url gives ``urn:page:<key>``; control characters in urls are
 percent-encoded; an empty table gives no files and no rows; other columns are ignored.
 
 Scale: payloads are shuffled once, by shard, and streamed batch by batch into the files; the
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from .common import keep_as_table, key_ranges, range_of
+from .common import keep_as_table, null_safe_ranges
 
 SHARD_BYTES = 32 << 20
 #: A table has at most so many shards: those of a very large one are larger.
@@ -187,19 +187,22 @@ def write(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, file_byte
     if file_bytes is None:
         total = weighed.agg(F.sum("n")).first()[0] or 0
         file_bytes = max(shard_bytes, total // MOST_SHARDS) // FILE_PART
-    bounds = key_ranges(weighed, "page_id", "n", shard_bytes, MOST_SHARDS)
+    # pages without an id: shards of their own, by digest
+    tied = lambda df: df.withColumn("tie", F.when(F.col("page_id").isNull(), F.xxhash64("digest")))
+    shards, shard_of = null_safe_ranges(tied(weighed), "page_id", "tie", "n", shard_bytes, MOST_SHARDS)
     shared = (facts.filter(F.col("n") >= min_revisit).groupBy("digest")
               .agg(F.min("page_id").alias("owner"), F.count(F.lit(1)).alias("copies")).filter("copies > 1").drop("copies"))
     notes = facts.filter(F.col("n") >= min_revisit).join(shared, "digest").select("page_id", "digest", "owner").distinct()
-    shard = range_of("page_id", bounds).alias("shard")
-    pieces = (rows.select(shard, "page_id", F.unhex(F.sha2(html, 256)).alias("digest"), F.lit(True).alias("is_page"),
+    columns = ["page_id", "digest", "is_page", "owner", "url", "html"]
+    pieces = (rows.select("page_id", F.unhex(F.sha2(html, 256)).alias("digest"), F.lit(True).alias("is_page"),
                           F.lit(None).cast("long").alias("owner"), "url", "html")
-              .unionByName(notes.select(shard, "page_id", "digest", F.lit(False).alias("is_page"), "owner",
+              .unionByName(notes.select("page_id", "digest", F.lit(False).alias("is_page"), "owner",
                                         F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))))
+    pieces = tied(pieces).select(shard_of("page_id", "tie").alias("shard"), *columns)
     fs, base = filesystem(root)
     fs.create_dir(f"{base}/_temporary", recursive=True)
     pending = keep_as_table(
-        pieces.repartitionById(max(1, len(bounds)), F.col("shard"))
+        pieces.repartitionById(shards, F.col("shard"))
         .sortWithinPartitions("shard", "page_id", "digest", "is_page", "url")
         .mapInArrow(_writer(root, file_bytes, level, min_revisit), _FILES), "warc-pending")
     done = _a_task_each(pending).mapInArrow(_committer(root), _FILES)
