@@ -45,47 +45,86 @@ def _described(intro: str, *parts: tuple[Column, str, Column]) -> Column:
     return F.concat(F.lit(intro), *[F.when(there, F.concat(F.lit(label), value)).otherwise(F.lit("")) for there, label, value in parts])
 
 
+def _java_code(content: Column) -> Column:
+    return F.regexp_replace(content, JAVA_OPAQUE, " ")
+
+
+def _tight(c: Column) -> Column:
+    return F.regexp_replace(c, r"\s+", "")
+
+
+def _java_facts(code: Column) -> dict[str, Column]:
+    return {"package": F.nullif(_tight(F.regexp_extract(code, JAVA_PACKAGE, 1)), F.lit("")), "classes": _extract_all(code, JAVA_TYPE)}
+
+
+def _java_description(package: Column, classes: Column) -> Column:
+    return _described(JAVA_DESC, (package.isNotNull(), JAVA_IN_PACKAGE, package),
+                      (F.size(classes) > 0, JAVA_CLASSES, F.array_join(classes, ", ")))
+
+
 def java_metadata(content: Column) -> dict[str, Column]:
     """Package, declared types, imports, lines; and the X12 description. Words in comments and
     literals do not count."""
-    code = F.regexp_replace(content, JAVA_OPAQUE, " ")
-    tight = lambda c: F.regexp_replace(c, r"\s+", "")
-    package = F.nullif(tight(F.regexp_extract(code, JAVA_PACKAGE, 1)), F.lit(""))
-    types = _extract_all(code, JAVA_TYPE)
-    return {"file_type": F.lit("java"), "package": package, "classes": types,
-            "imports": F.transform(_extract_all(code, JAVA_IMPORT), tight), "lines": line_count(content),
-            "description": _described(JAVA_DESC, (package.isNotNull(), JAVA_IN_PACKAGE, package),
-                                      (F.size(types) > 0, JAVA_CLASSES, F.array_join(types, ", ")))}
+    code = _java_code(content)
+    facts = _java_facts(code)
+    return {"file_type": F.lit("java"), **facts, "imports": F.transform(_extract_all(code, JAVA_IMPORT), _tight),
+            "lines": line_count(content), "description": _java_description(**facts)}
+
+
+def _markdown_open(content: Column) -> Column:
+    return F.regexp_replace(content, MD_FENCE, "")
+
+
+def _markdown_facts(text: Column) -> dict[str, Column]:
+    return {"headings": F.transform(_extract_all(text, MD_HEADING), lambda h: F.rtrim(h))}
+
+
+def _markdown_description(headings: Column) -> Column:
+    return _described(MD_DESC, (F.size(headings) > 0, MD_SECTIONS, F.array_join(F.slice(headings, 1, MD_MAX_SECTIONS), ", ")))
 
 
 def markdown_metadata(content: Column) -> dict[str, Column]:
     """Headings outside code blocks, lines, code fence flag; description with three sections."""
-    headings = F.transform(_extract_all(F.regexp_replace(content, MD_FENCE, ""), MD_HEADING), lambda h: F.rtrim(h))
-    return {"file_type": F.lit("markdown"), "headings": headings, "lines": line_count(content),
-            "has_code_blocks": content.contains("```"),
-            "description": _described(MD_DESC, (F.size(headings) > 0, MD_SECTIONS, F.array_join(F.slice(headings, 1, MD_MAX_SECTIONS), ", ")))}
+    facts = _markdown_facts(_markdown_open(content))
+    return {"file_type": F.lit("markdown"), **facts, "lines": line_count(content),
+            "has_code_blocks": content.contains("```"), "description": _markdown_description(**facts)}
+
+
+def _yaml_facts(content: Column) -> dict[str, Column]:
+    return {"top_level_keys": F.array_sort(F.array_distinct(_extract_all(content, YAML_TOP_KEY)))}
+
+
+def _yaml_description(top_level_keys: Column) -> Column:
+    return _described(YAML_DESC, (F.size(top_level_keys) > 0, YAML_PROPS, F.array_join(F.slice(top_level_keys, 1, YAML_MAX_KEYS), ", ")))
 
 
 def yaml_metadata(content: Column) -> dict[str, Column]:
     """Top-level keys (distinct, sorted: decision 18), lines; description
     with the first five keys."""
-    keys = F.array_sort(F.array_distinct(_extract_all(content, YAML_TOP_KEY)))
-    return {"file_type": F.lit("yaml"), "top_level_keys": keys, "lines": line_count(content),
-            "description": _described(YAML_DESC, (F.size(keys) > 0, YAML_PROPS, F.array_join(F.slice(keys, 1, YAML_MAX_KEYS), ", ")))}
+    facts = _yaml_facts(content)
+    return {"file_type": F.lit("yaml"), **facts, "lines": line_count(content), "description": _yaml_description(**facts)}
 
 
 @dataclass
 class Handler:
+    """``columns(content)`` gives description, lines and more. A handler whose description needs costly facts may
+    also give it in steps, each computed once a file: ``clean`` text, ``facts`` of it, ``described`` by them."""
+
     name: str
     suffixes: list[str]
     columns: callable  # content Column -> dict[str, Column] with at least description and lines
     extras: list[str] = field(default_factory=list)
+    file_type: str | None = None
+    clean: callable = None
+    facts: callable = None
+    described: callable = None
 
 
 _HANDLERS: list[Handler] = [
-    Handler(JAVA_HANDLER, [".java"], java_metadata),
-    Handler(MARKDOWN_HANDLER, [".md"], markdown_metadata),
-    Handler(YAML_HANDLER, [".yaml", ".yml"], yaml_metadata),
+    Handler(JAVA_HANDLER, [".java"], java_metadata, file_type="java", clean=_java_code, facts=_java_facts, described=_java_description),
+    Handler(MARKDOWN_HANDLER, [".md"], markdown_metadata, file_type="markdown", clean=_markdown_open, facts=_markdown_facts,
+            described=_markdown_description),
+    Handler(YAML_HANDLER, [".yaml", ".yml"], yaml_metadata, file_type="yaml", facts=_yaml_facts, described=_yaml_description),
 ]
 
 
@@ -114,19 +153,26 @@ def handler_of(rel_path: Column) -> Column:
 def file_metadata(files: DataFrame) -> DataFrame:
     """U8: handler, file type, description and line count per file (null
     handler for files without one). Each handler's expressions apply only to
-    its own rows."""
-    h = handler_of(F.col("rel_path"))
-    out = files.withColumn("handler", h)
-    desc = F.lit(None).cast("string")
-    lines = F.lit(None).cast("int")
-    ftype = F.lit(None).cast("string")
-    content = F.col("content")
-    for hd in reversed(_HANDLERS):
-        cols = hd.columns(content)
-        mine = F.col("handler") == hd.name
-        desc = F.when(mine, cols["description"]).otherwise(desc)
-        lines = F.when(mine, cols["lines"]).otherwise(lines)
-        ftype = F.when(mine, cols.get("file_type", F.lit(hd.name))).otherwise(ftype)
+    its own rows; cleaned texts and the facts of a description are projections of their
+    own, so no pattern runs twice over a file."""
+    content, stepwise = F.col("content"), [h for h in _HANDLERS if h.facts]
+    mine = lambda h: F.col("handler") == h.name
+    clean = F.lit(None).cast("string")
+    for h in stepwise:
+        clean = F.when(mine(h), h.clean(content) if h.clean else content).otherwise(clean)
+    facts = {h.name: f"_facts{k}" for k, h in enumerate(stepwise)}
+    out = files.withColumn("handler", handler_of(F.col("rel_path"))).withColumn("_clean", clean)
+    out = out.withColumns({facts[h.name]: F.when(mine(h), F.struct(*[c.alias(n) for n, c in h.facts(F.col("_clean")).items()])) for h in stepwise})
+    desc, lines, ftype = (F.lit(None).cast(t) for t in ("string", "int", "string"))
+    for h in reversed(_HANDLERS):
+        if h.facts:
+            names = h.facts(F.col("_clean"))
+            cols = {"description": h.described(**{n: F.col(facts[h.name])[n] for n in names}), "lines": line_count(content), "file_type": F.lit(h.file_type)}
+        else:
+            cols = h.columns(content)
+        desc = F.when(mine(h), cols["description"]).otherwise(desc)
+        lines = F.when(mine(h), cols["lines"]).otherwise(lines)
+        ftype = F.when(mine(h), cols.get("file_type", F.lit(h.name))).otherwise(ftype)
     return out.select("rel_path", "handler", ftype.alias("file_type"), desc.alias("description"),
                       lines.alias("lines"))
 

@@ -27,6 +27,10 @@ DEFAULT_CONF = {
 }
 
 
+#: A single file beyond this has row groups enough to be split by the scan.
+SMALL_FILE_BYTES = 1 << 28
+
+
 def build_session(master: str | None = None, app: str = "corpusflow",
                   shuffle_partitions: int | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
@@ -82,8 +86,11 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table scan. A table that is one single file (the supplied test tables, of one row group
-    each) would be read by one task, so its rows are dealt to all cores; any other is left as scanned."""
-    df = spark.read.parquet(table_path(sf_dir, name))
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if cores > 1 and len(df.inputFiles()) == 1 else df
+    """Parquet table scan. A table that is one single small file (the supplied test tables, of one row group
+    each) would be read by one task, so its rows are dealt to all cores; any other is left as scanned. Only the path's
+    own status is asked for: no file of a folder is listed here."""
+    path, cores = table_path(sf_dir, name), spark.sparkContext.defaultParallelism
+    df = spark.read.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+    return df.repartition(cores) if cores > 1 and status.isFile() and status.getLen() <= SMALL_FILE_BYTES else df

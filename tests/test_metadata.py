@@ -44,3 +44,16 @@ def test_javadoc_keeps_inner_stars(spark):
     raw = "/**\n * Says 2 * 3.\n * @see a.*\n */"
     got = spark.createDataFrame([(raw,)], "t string").select(describe.clean_javadoc(F.col("t"))).first()[0]
     assert got == "Says 2 * 3.\n  @see a.*"
+
+
+def test_file_metadata_runs_each_pattern_once_and_equals_the_handlers(spark):
+    texts = {"A.java": JAVA, "b.md": "# A\n```\n# code\n```\n## B\n", "c.yml": "name: x\nother:\n", "d.txt": "class X {}", "E.java": "", "f.md": ""}
+    df = spark.createDataFrame([(p, t) for p, t in texts.items()], "rel_path string, content string")
+    got = {r.rel_path: r for r in M.file_metadata(df).collect()}
+    for path, h in (("A.java", M.java_metadata), ("E.java", M.java_metadata), ("b.md", M.markdown_metadata), ("f.md", M.markdown_metadata), ("c.yml", M.yaml_metadata)):
+        want = one(spark, h(F.col("content")), texts[path])
+        assert (got[path].description, got[path].file_type, got[path].lines) == (want["description"], want["file_type"], want["lines"])
+    assert got["d.txt"].handler is None and got["d.txt"].description is None
+    stored = df.repartition(2)  # a plan that the optimizer cannot evaluate in place
+    plan = M.file_metadata(stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("|//[^") == 1 and plan.count("`{3}[^") <= 2
