@@ -33,3 +33,34 @@ def test_blocks_are_bounded(monkeypatch):
     monkeypatch.setattr(chunking, "BLOCK_CHARS", 10)
     assert list(chunking.file_blocks([4, 4, 4, 30, 1, 0, 9])) == [(0, 2), (2, 3), (3, 4), (4, 7)]
     assert list(chunking.file_blocks([])) == []
+
+
+class Counted:
+    """A pattern that counts what it is asked."""
+
+    def __init__(self, pattern):
+        self.pattern, self.asked = pattern, 0
+
+    def fullmatch(self, *args):
+        self.asked += 1
+        return self.pattern.fullmatch(*args)
+
+
+def test_heads_are_tried_for_declarations_only(monkeypatch):
+    head = Counted(chunking._METHOD_HEAD)
+    monkeypatch.setattr(chunking, "_METHOD_HEAD", head)
+    body = "if (a > 1) { a = 1; } for (;;) { } while (a) { } " * 20
+    found = chunking.java_block_spans(["class A { void f(int a) { " + body + "} }"] * 3)
+    assert [[m[1] for m in file] for file in found] == [["A", "f"]] * 3
+    assert head.asked == 3
+
+
+def test_members_are_rows_of_their_own():
+    import pyarrow as pa
+    texts = [JAVA, None, "", "class B { void f() { } void f(int x) { } }"]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"p{k}" for k in range(4)]), pa.array(texts)], names=["rel_path", "content"])
+    rows = pa.Table.from_batches(list(chunking._java_members_arrow(True)(iter([batch])))).to_pylist()
+    assert [(r["rel_path"], r["chunk_type"], r["chunk_name"], r["nth"]) for r in rows] == [
+        ("p0", "file", "file_content", 0), ("p0", "class", "A", 0), ("p0", "method", "f", 0), ("p0", "method", "A", 0), ("p2", "file", "file_content", 0),
+        ("p3", "file", "file_content", 0), ("p3", "class", "B", 0), ("p3", "method", "f", 0), ("p3", "method", "f", 1)]
+    assert [r["code"] for r in rows if r["chunk_type"] == "file"] == [texts[0], texts[2], texts[3]]
