@@ -30,12 +30,14 @@ SIMILARITY = 80
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no known language; the others get the predicted one as ``lang``."""
     ship(spark)
-    model = langid.fit(docs)
+    model = langid.fit(docs, sample=None)
+    found = langid.identify(docs, model, out=("_pred", "_score", "_known"))
+    # written once: the thresholds are taken from all of its labelled rows
+    found = keep_as_table(found.withColumn("_letters", langid.letters(F.col("text"))), "language-found")
     least = F.lit(0.0)
-    for lang, share in langid.low_shares(docs, model).items():
+    for lang, share in langid.low_shares(found, model, found=("_known", "_letters")).items():
         least = F.when(F.col("_pred") == lang, LEAST_PART * share).otherwise(least)
-    found = langid.identify(docs, model, out=("_pred", "_score", "_known"))
-    foreign = (F.col("_known") < least) & (langid.letters(F.col("text")) >= langid.ENOUGH_LETTERS)
+    foreign = (F.col("_known") < least) & (F.col("_letters") >= langid.ENOUGH_LETTERS)
     return (found.filter((F.col("_pred") != langid.NONE) & ~foreign)
             .withColumn("lang", F.col("_pred")).select(*docs.columns))
 

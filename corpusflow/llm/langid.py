@@ -7,7 +7,7 @@ for false positives with the language's own fill: ``(found - n * p) / (1 - p)``.
 the largest corrected count wins; its share of all languages' counts is the score.
 
 Training reads a sample of labelled rows (``SAMPLE`` rows a language in the mean, chosen by a hash of
-the row, so it does not grow with the corpus). A language keeps the n-grams with at least
+the row, so it does not grow with the corpus), or all of them with ``sample=None``, as the pipeline does. A language keeps the n-grams with at least
 ``MIN_SHARE`` of its n-grams (hence at most 1 / MIN_SHARE per length) whose rate is at least ``MIN_RATIO`` of the
 rate in the language that has them most, which leaves out what other languages' quotations bring.
 
@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pieces import blocks, text_blocks
+from .common import keep_as_table
+from .pieces import blocks, text_blocks, then_released
 
 SAMPLE = 2000
 MIN_SHARE = 2e-5
@@ -150,21 +151,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                          pa.array(grams.view(np.int64)), pa.array(counts, pa.int64())], names=["lang", "n", "gram", "count"])
 
 
-def fit(train: DataFrame, sample: int = SAMPLE, min_share: float = MIN_SHARE, min_ratio: float = MIN_RATIO) -> Filter:
+def fit(train: DataFrame, sample: int | None = SAMPLE, min_share: float = MIN_SHARE, min_ratio: float = MIN_RATIO) -> Filter:
     """Learn from (text, lang); rows without either are left out. ``sample``: rows a language in
-    the mean; at most 1 / min_share n-grams of each length and language reach the driver."""
+    the mean, None: all rows; at most 1 / min_share n-grams of each length and language reach the driver."""
     rows = train.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = rows.select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("text").alias("_h"))
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return Filter([], 1, np.zeros((2, 1), np.uint64), np.zeros(0), 0)
-    rate = F.lit(0.0)
-    for lang in langs:
-        rate = F.when(F.col("lang") == lang, min(1.0, sample / sizes[lang])).otherwise(rate)
-    chosen = rows.filter(F.pmod("_h", F.lit(1 << 30)) < rate * (1 << 30)).select("lang", "text")
-    counts = (chosen.mapInArrow(_count, "lang string, n int, gram long, count long")
-              .groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")))
+    if sample is not None:
+        rate = F.lit(0.0)
+        for lang in langs:
+            rate = F.when(F.col("lang") == lang, min(1.0, sample / sizes[lang])).otherwise(rate)
+        rows = rows.filter(F.pmod("_h", F.lit(1 << 30)) < rate * (1 << 30))
+    counts = keep_as_table(rows.select("lang", "text").mapInArrow(then_released(_count), "lang string, n int, gram long, count long")
+                           .groupBy("lang", "n", "gram").agg(F.sum("count").alias("count")), "langid-counts")
     totals = counts.groupBy("lang", "n").agg(F.sum("count").alias("total"))
     rates = counts.join(F.broadcast(totals), ["lang", "n"]).withColumn("rate", F.col("count") / F.col("total"))
     tops = rates.filter(F.col("rate") >= min_share)
@@ -207,21 +209,22 @@ def identify(docs: DataFrame, model: Filter, text: str = "text", out: tuple[str,
                 langs, score, known = sent.value.decide(texts)
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(langs, pa.string()), pa.array(score), pa.array(known)],
                                                  names=[*names, *out])
-    return docs.mapInArrow(run, shape)
+    return docs.mapInArrow(then_released(run), shape)
 
 
-def low_shares(train: DataFrame, model: Filter, quantile: float = 0.01, sample: int = SAMPLE) -> dict[str, float]:
+def low_shares(train: DataFrame, model: Filter, quantile: float = 0.01, found: tuple[str, str] | None = None) -> dict[str, float]:
     """Per learned language: the share of known n-grams that all but a ``quantile`` of its training rows
-    reach (rows of at least ENOUGH_LETTERS letters). Measured on ``sample`` rows a language in the mean, taken
-    from the other end of the hash's range than ``fit`` takes them, so that they are other rows where there are more."""
-    rows = train.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("lang").cast("string").alias("_lang"), "text")
-    sizes = {r[0]: r[1] for r in rows.groupBy("_lang").count().collect()}
-    rate = F.lit(0.0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col("_lang") == lang, min(1.0, sample / n)).otherwise(rate)
-    chosen = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) >= (1 - rate) * (1 << 30))
-    found = identify(chosen.filter(letters(F.col("text")) >= ENOUGH_LETTERS), model, out=("_pred", "_score", "_known"))
-    return {r[0]: r[1] for r in found.groupBy("_lang").agg(F.percentile_approx("_known", quantile, 10_000)).collect()}
+    reach (rows of at least ENOUGH_LETTERS letters), over all rows with text and lang. ``found``: the columns of ``train``
+    with the known share and the number of letters, if ``identify`` has been over it."""
+    rows = train.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    if found is None:
+        rows = identify(rows.filter(letters(F.col("text")) >= ENOUGH_LETTERS), model, out=("_pred", "_score", "_known"))
+        known = "_known"
+    else:
+        known = found[0]
+        rows = rows.filter(F.col(found[1]) >= ENOUGH_LETTERS)
+    by_lang = rows.groupBy(F.col("lang").cast("string").alias("_lang"))
+    return {r[0]: r[1] for r in by_lang.agg(F.percentile_approx(known, quantile, 10_000)).collect()}
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 
 from .common import keep_as_table, mark_held
 from .components import components
-from .pieces import text_blocks
+from .pieces import text_blocks, then_released
 
 WIDTH = 5
 ROWS = 7  # of a band, at most
@@ -48,8 +48,8 @@ MISS = 1e-8
 RING_BITS = 20
 SIMILARITY = 85  # percent
 BLOCK_BYTES, GATHER = 250_000, 4096
-TILE, STEP = 2048, 512  # members of a bucket compared by one task, and at once
-CELLS = 1 << 24
+TILE, STEP = 2048, 256  # members of a bucket compared by one task, and at once
+CELLS = 1 << 23
 _SEPARATORS = (9, 10, 11, 12, 13, 32)
 
 
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """(doc_id, text) -> doc_id, n_shingles, component_id, kept, one row per row; also the set's key, the
     component's root node (both null for an empty set), and whether the doc_id is null."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = keep_as_table(rows.mapInArrow(_sign(similarity), "doc_id long, n long, key binary, bands array<long>"), "minhash-rows")
+    signed = keep_as_table(rows.mapInArrow(then_released(_sign(similarity)), "doc_id long, n long, key binary, bands array<long>"), "minhash-rows")
     nodes = keep_as_table(
         signed.filter(F.col("key").isNotNull()).groupBy("key")
         .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     # full sets of the documents that are in some shared bucket
     wanted = keep_as_table(members.select("node").distinct().join(nodes.select("node", "key", "doc_id"), "node"), "minhash-wanted")
     texts = mark_held(rows, F.col("doc_id"), wanted.select("doc_id"), "_may").filter("_may").select("doc_id", "text").join(wanted.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    found = texts.select("text").mapInArrow(_sets, "key binary, shingles array<long>")
+    found = texts.select("text").mapInArrow(then_released(_sets), "key binary, shingles array<long>")
     sets = keep_as_table(found.join(wanted.select("node", "key"), "key").dropDuplicates(["node"]).select("node", "shingles"), "minhash-sets")
     fits = lambda m, n: 100 * F.least(m, n) >= similarity * F.greatest(m, n)
     size = members.select(F.col("node").alias("first"), F.col("n").alias("first_n")).distinct()

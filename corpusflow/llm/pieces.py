@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
 SPACE = "▁"
@@ -218,6 +219,17 @@ def text_blocks(column, most: int):
         a = b
 
 
+def then_released(run):
+    """``run``, a task over Arrow batches, and at its end what Arrow's pool holds unused goes back to the machine: a worker
+    that is used again, for other stages, does not carry it along."""
+    def released(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+    return released
+
+
 def cuts_word(pieces: Pieces) -> str:
     """Pattern of the units that can be tokenised alone: no piece reaches across their borders."""
     apart = "".join(sorted(c for c in "\n\t\r" if c not in pieces.index))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .pieces import SPACE, Pieces, WordStore, blank_run, cuts_word, prepared, send, text_blocks
+from .pieces import SPACE, Pieces, WordStore, blank_run, cuts_word, prepared, send, text_blocks, then_released
 from .transducer import Table
 
 BLOCK_BYTES = 1_000_000
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids), pa.int32()),
                                                  mask=column.slice(a, b - a).is_null())
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], names=[*names, out])
-    return docs.mapInArrow(run, arrow)
+    return docs.mapInArrow(then_released(run), arrow)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:

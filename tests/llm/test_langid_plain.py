@@ -63,3 +63,26 @@ def test_low_shares_of_training_rows(spark):
     assert set(shares) == set(model.langs) and all(0.5 < s <= 1 for s in shares.values())
     assert langid.low_shares(docs.limit(0), model) == {}
     assert docs.select(langid.letters(F.lit("aé1 ß!")).alias("n")).first().n == 3
+
+
+def test_thresholds_come_from_all_rows(spark):
+    """4,000 rows of one language, one of them short of known n-grams: each counts, none is drawn."""
+    rows = [(k, f"the old house stands near the river and the people walk there every morning {k} times", "en") for k in range(4000)]
+    odd = [(9000 + k, "zq xj kv wq " * 30 + f"the {k}", "en") for k in range(60)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(docs, sample=None)
+    found = langid.identify(docs, model, out=("_pred", "_score", "_known"))
+    shares = sorted(r._known for r in found.filter(langid.letters(F.col("text")) >= langid.ENOUGH_LETTERS).collect())
+    assert len(shares) == 4060
+    want = {q: shares[max(0, -(-len(shares) * q // 10_000) - 1)] for q in (1, 100, 147, 149, 5000)}
+    for q, share in want.items():
+        assert langid.low_shares(docs, model, q / 10_000)["en"] == share
+        assert langid.low_shares(found.withColumn("_n", langid.letters(F.col("text"))), model, q / 10_000, ("_known", "_n"))["en"] == share
+
+
+def test_whole_fit_counts_every_row(spark):
+    """An n-gram of one row in 4,000 is in the counts of the whole fit, with its own rate."""
+    rows = [(f"river house {k % 7}", "en") for k in range(4000)] + [("qxzv " * 20, "en")]
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    model = langid.fit(docs, sample=None, min_share=1e-4)
+    assert model.decide(["qxzv qxzv"])[2][0] == 1
