@@ -63,7 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode the texts: documents' columns and ``token_ids``."""
     ship(spark)
-    return viterbi.encode(docs, vocabulary())
+    return viterbi.encode(docs, vocabulary(), keep_store=False)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", mask_secrets), ("mix", mix), ("tokens", tokens)]

@@ -63,6 +63,10 @@ class Encoder:
         self.store = WordStore(STORE_WORDS)
         self.unit = re.compile(cuts_word(pieces))
 
+    def forget(self) -> None:
+        """Empty stores of words and pairs."""
+        self.known, self.store = Table(), WordStore(STORE_WORDS)
+
     @staticmethod
     def _keys(texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts), np.uint64)
@@ -274,8 +278,9 @@ def encoder(path: str, pieces) -> Encoder:
     return _ENCODERS[path]
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """``docs`` with ``out``: the ids of column ``text`` (null for null)."""
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids", keep_store: bool = True) -> DataFrame:
+    """``docs`` with ``out``: the ids of column ``text`` (null for null). Without ``keep_store`` a task leaves its
+    words and pairs behind at its end, so that its worker has the memory for other stages."""
     docs = docs.drop(out)
     names, sent = docs.columns, send(docs.sparkSession, path)
     arrow = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
@@ -291,6 +296,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(ids), pa.int32()),
                                                  mask=column.slice(a, b - a).is_null())
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists], names=[*names, out])
+        if not keep_store:
+            enc.forget()
     return docs.mapInArrow(then_released(run), arrow)
 
 

@@ -29,7 +29,7 @@ def random_texts():
 
 
 def test_ids_and_texts_equal_the_library(library, table):
-    enc = viterbi.Encoder(table)
+    enc = viterbi.Encoder(pieces.load(vocabulary()))
     texts = ODD + random_texts()
     for text, ids, want in zip(texts, enc.encode(texts), library.encode(texts), strict=True):
         assert ids.tolist() == want
@@ -85,3 +85,16 @@ def test_operators_on_odd_rows(spark, odd_docs, no_docs, library):
         assert r.n_tokens == len(library.encode(r.text or "")) and r.n_bytes == len((r.text or "").encode())
         assert r.over_limit == (r.n_tokens > 4096)
     assert viterbi.encode(no_docs, PATH).count() == 0 and transducer.count(no_docs, PATH).count() == 0
+
+
+def test_store_is_left_behind_only_when_asked(spark):
+    """Same ids with and without the store; the encoder itself forgets and goes on."""
+    from corpusflow.llm import pieces, viterbi
+    from corpusflow.llm.queries import vocabulary
+    docs = spark.createDataFrame([(k, f"word{k % 7} and größe {k} def f(x): return x") for k in range(60)], "doc_id long, text string").repartition(3)
+    ids = [{r.doc_id: r.token_ids for r in viterbi.encode(docs, vocabulary(), keep_store=keep).collect()} for keep in (True, False, False)]
+    assert ids[0] == ids[1] == ids[2]
+    enc = viterbi.Encoder(pieces.load(vocabulary()))
+    first = enc.encode(["some words"])[0].tolist()
+    enc.forget()
+    assert not enc.store.now and not enc.known.n and enc.encode(["some words"])[0].tolist() == first
