@@ -13,9 +13,7 @@ from __future__ import annotations
 import pickle
 import uuid
 from collections import OrderedDict
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -93,6 +91,22 @@ def _encoder(token: str, sent):
     return _ENCODERS[token]
 
 
+#: Bytes of texts that a user's encoder is given at once (one row at least): only they and their ids are Python objects.
+ENCODE_BYTES = 1 << 20
+
+
+def row_blocks(sizes: list[int], most: int):
+    """(first, end) of runs of rows of at most ``most`` together, or of one row."""
+    a, n = 0, 0
+    for k, size in enumerate(sizes):
+        if n and n + size > most:
+            yield a, k
+            a, n = k, 0
+        n += size
+    if a < len(sizes):
+        yield a, len(sizes)
+
+
 def _look_up(lists, known, ids, unk: int):
     """Lists of tokens -> lists of ids: the batch's distinct tokens are looked up once, and the lists are rebuilt
     from their lengths."""
@@ -144,16 +158,23 @@ def encode_columns(df: DataFrame, columns: dict[str, str], encoder, keep: list[s
     token = uuid.uuid4().hex
     out_fields = [T.StructField(o, T.ArrayType(T.IntegerType())) for o in columns.values()]
     schema = T.StructType([df.schema[c] for c in keep] + out_fields)
-    out_names = keep + list(columns.values())
+    sources, outs = list(columns), list(columns.values())
+    sent = [*keep, *[c for c in sources if c not in keep]]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
         enc = _encoder(token, bc)  # once per reused Python worker
-        for pdf in batches:
-            for src, dst in columns.items():
-                pdf[dst] = enc.encode_batch(pdf[src].tolist())
-            yield pdf[out_names]
+        kind = pa.list_(pa.int32())
+        for batch in batches:
+            sizes = sum(pc.fill_null(pc.binary_length(batch.column(sent.index(c))), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in sources)
+            for a, b in row_blocks(sizes.tolist(), ENCODE_BYTES):
+                part = batch.slice(a, b - a)
+                found = [[x.astype(np.int32) if isinstance(x, np.ndarray) else x for x in enc.encode_batch(part.column(sent.index(c)).to_pylist())] for c in sources]
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], *[pa.array(x, kind) for x in found]], names=keep + outs)
 
-    return df.mapInPandas(run, schema)
+    return df.select(*sent).mapInArrow(run, schema)
 
 
 def encode_column_join(df: DataFrame, column: str, key: str, vocab: DataFrame,

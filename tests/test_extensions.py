@@ -49,3 +49,20 @@ def test_chunk_code_udtf(spark):
     rows = spark.sql("SELECT c.chunk_type, c.chunk_name, c.start_line FROM src_files, "
                      "LATERAL chunk_code(path, content) c ORDER BY c.start_line").collect()
     assert [(r.chunk_type, r.chunk_name, r.start_line) for r in rows] == [("class", "A", 1), ("method", "f", 2)]
+
+
+def test_user_encoder_is_given_bounded_blocks(spark):
+    from corpusflow.operators import tokens as K
+
+    class Widest:
+        """Returns how many texts and characters it was given at once; local, so that it travels by value."""
+
+        def encode_batch(self, texts):
+            size = sum(len(t) for t in texts if t is not None)
+            return [None if t is None else [len(texts), size] for t in texts]
+
+    rows = [(k, "x" * 200_000 if k != 5 else None) for k in range(40)]
+    df = spark.createDataFrame(rows, "k long, text string").coalesce(1)
+    got = K.encode_columns(df, {"text": "ids"}, Widest(), keep=["k"]).collect()
+    assert sorted(r.k for r in got) == list(range(40)) and [r.k for r in got if r.ids is None] == [5]
+    assert max(r.ids[1] for r in got if r.ids is not None) <= K.ENCODE_BYTES
