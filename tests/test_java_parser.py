@@ -1,5 +1,6 @@
 """Java span extraction (U1): decisions 1-5 of the survey, on small sources."""
 
+from corpusflow.operators import chunking
 from corpusflow.operators.chunking import java_spans
 
 
@@ -78,3 +79,27 @@ def test_constructors_are_methods_of_their_class():
     got = [(k, n, s, e, p) for k, n, s, e, _b, p, _t, _d in java_spans(src)]
     assert got == [("class", "Box", 1, 8, "Box"), ("method", "Box", 3, 5, "Box"),
                    ("method", "Box", 6, 6, "Box"), ("method", "get", 7, 7, "Box")]
+
+
+def test_heads_met_often_are_not_tried_again(monkeypatch):
+    asked = []
+
+    class Counted:
+        def fullmatch(self, text, *rest, pattern=chunking._METHOD_HEAD):
+            asked.append(text)
+            return pattern.fullmatch(text, *rest)
+    monkeypatch.setattr(chunking, "_METHOD_HEAD", Counted())
+    member = "  public static int get{0}(int a) {{ if (a > 1) {{ a = 1; }} return a; }}\n"
+    found = chunking.java_block_spans(["class A {\n" + "".join(member.format(k) for k in range(50)) + "}"] * 2)
+    assert [[m[1] for m in file] for file in found] == [["A", *(f"get{k}" for k in range(50))]] * 2
+    assert {m[7] for m in found[1][1:]} == {"int"} and len(asked) <= 10
+
+
+def test_member_heads_of_all_forms():
+    heads = ["void a()", "int[] b()", "int c() [ ]", "List<T>  d()\n", "void e() throws X,\n Y", "@On(x) final\tint f()", "<T> T g()", "void h()\x0b \n \n \n \n ",
+             "void é()", "a.b.C $i()", "A()", "<T>A()", "public A()", "B()", "new j()", "import k()", "void if()", "9x()", "void 9y()", "void l(int a))"]
+    src = "class A {" + "".join(h + "{ }" for h in heads) + "}"
+    assert [(n, t) for _k, n, *_r, t, _d in java_spans(src)][1:] == [
+        ("a", "void"), ("b", "int[]"), ("c", "int"), ("d", "List<T>"), ("e", "void"), ("f", "int"), ("g", "T"), ("h", "void"),
+        ("$i", "a.b.C"), ("A", "A"), ("A", "A"), ("A", "public")]
+    assert java_spans(src * 2)[-1][:2] == ("method", "A")
