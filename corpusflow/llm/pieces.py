@@ -187,11 +187,14 @@ class WordStore:
         """Words without a result; those found in the older half move to the newer."""
         if len(self.now) + len(words) > self.most and self.now:
             self.now, self.before = {}, self.now
-        new = words - self.now.keys()
-        old = new & self.before.keys()
-        for w in old:
-            self.now[w] = self.before[w]
-        return list(new - old)
+        # the words are gone through, not the store
+        out = []
+        for w in words.difference(self.now):
+            if w in self.before:
+                self.now[w] = self.before[w]
+            else:
+                out.append(w)
+        return out
 
 
 def blocks(texts: list, most: int):

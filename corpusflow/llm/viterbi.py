@@ -40,6 +40,7 @@ STORE_PAIRS = 260_000
 LONG = 512  # characters; a longer unit is encoded in windows of this length
 OVERLAP = 128
 _B = np.uint64(0x9E3779B97F4A7C15)
+_TWO = SPACE * 2
 
 
 class Encoder:
@@ -59,6 +60,10 @@ class Encoder:
         self.grows = np.array([t in grows for t in starts])[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("substring keys collide; take another multiplier")
+        # a character's key is its code plus one: its place, and -1 for all beyond the last that a piece holds
+        single = np.array([ord(t) for t in starts if len(t) == 1], np.int64)
+        self.of_char = np.full(int(single.max(initial=0)) + 2, -1, np.int64)
+        self.of_char[single] = self._probe(single.astype(np.uint64) + np.uint64(1))
         self.known = Table()
         self.store = WordStore(STORE_WORDS)
         self.unit = re.compile(cuts_word(pieces))
@@ -109,12 +114,13 @@ class Encoder:
         state = None
         for span in range(1, most + 1):
             if span == 1:
-                key, alive = codes.copy(), np.ones((n, size), bool)
+                key = codes
+                at = self.of_char[np.minimum(chars, len(self.of_char) - 1)]
             else:
                 key = state[0][:, :-1] * _B + codes[:, span - 1:]
-                alive = state[1][:, :-1]
-            at = np.full(key.shape, -1, np.int64)
-            at[alive] = self._probe(key[alive])
+                at = np.full(key.shape, -1, np.int64)
+                alive = np.flatnonzero(state[1][:, :-1])
+                at.reshape(-1)[alive] = self._probe(key.reshape(-1)[alive])
             hit = at >= 0
             piece = np.where(hit, self.piece[at], -1).astype(np.int32)
             if span == 1:
@@ -158,17 +164,21 @@ class Encoder:
         """Put the ids of ``words`` (each a unit of ``cuts_word``) into the store."""
         by_size: dict[int, list[str]] = {}
         for w in words:
-            body = w.lstrip(SPACE)
-            blanks = len(w) - len(body)
-            if not body:
-                self.store.now[w] = self._blanks(blanks)
+            if w[-1] == SPACE:     # blanks only
+                self.store.now[w] = self._blanks(len(w))
+                continue
+            size = len(w)
+            if w[:2] == _TWO:
+                size = len(w.lstrip(SPACE)) + 1
+            if size in by_size:
+                by_size[size].append(w)
             else:
-                by_size.setdefault(len(body) + (blanks > 0), []).append(w)
+                by_size[size] = [w]
         for size, group in by_size.items():
             step = max(1, CELLS // size)
             for a in range(0, len(group), step):
                 part = group[a:a + step]
-                units = [w[-size:] for w in part]
+                units = [w if len(w) == size else w[-size:] for w in part]
                 chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, size)
                 back, last = self.segment(chars)
                 self._store(part, chars, back, last)
@@ -204,13 +214,14 @@ class Encoder:
         counts = (pieces >= 0).sum(1)
         flat = pieces[pieces >= 0]
         ids = self.p.ids[flat]
-        ends = np.cumsum(counts)
+        ends = np.cumsum(counts)    # every word has a piece
         plain = np.add.reduceat(ids < 0, np.concatenate([[0], ends[:-1]])) == 0
         data = ids.astype(np.int32).tobytes()
-        for k, w in enumerate(words):
-            a, b = int(ends[k] - counts[k]), int(ends[k])
-            got = data[4 * a:4 * b] if plain[k] else self._ids(flat[a:b], chars[k, starts[k][pieces[k] >= 0]])
-            self.store.now[w] = self._with_blanks(w, got, flat[a])
+        now, a = self.store.now, 0
+        for k, (w, b, whole) in enumerate(zip(words, ends.tolist(), plain.tolist(), strict=True)):
+            got = data[4 * a:4 * b] if whole else self._ids(flat[a:b], chars[k, starts[k][pieces[k] >= 0]])
+            now[w] = self._with_blanks(w, got, flat[a]) if w[:2] == _TWO else got
+            a = b
 
     def long_word(self, word: str) -> bytes:
         """Ids of a unit of any length. Overlapping windows advance together. A piece that two neighbouring
