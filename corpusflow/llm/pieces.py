@@ -8,6 +8,8 @@ first, and asking at each step whether the two border parts would have merged be
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -222,14 +224,24 @@ def text_blocks(column, most: int):
         a = b
 
 
+def _trim() -> None:
+    """What this process holds unused goes back to the machine: Arrow's pool, and the C library's heap (where it is
+    glibc, which otherwise keeps what lies below anything that is still used)."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def then_released(run):
-    """``run``, a task over Arrow batches, and at its end what Arrow's pool holds unused goes back to the machine: a worker
-    that is used again, for other stages, does not carry it along."""
+    """``run``, a task over Arrow batches, and at its end the memory that it no longer uses goes back to the machine: a
+    worker that is used again, for other stages, does not carry it along."""
     def released(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            _trim()
     return released
 
 
