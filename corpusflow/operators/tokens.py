@@ -2,9 +2,9 @@
 
 No pretrained vocabulary is available offline, so the tokenizer is a
 vocabulary table built from the corpus (K1): words and single symbols, ids
-by frequency. Encoding (K2) splits texts in the JVM and looks up the distinct tokens of each Arrow batch in the
-vocabulary, broadcast once (size bounded by ``vocab_size``), so no token is
-shuffled and none is touched by Python; a pure-JVM path (posexplode + join) is available too.
+by frequency. Both split texts by bytes, whole Arrow columns at once (texts beyond ASCII by the pattern, in the JVM).
+Encoding (K2) looks up the distinct tokens of a block of texts in the vocabulary, broadcast once (size bounded by
+``vocab_size``), so no token is shuffled and none is a Python object; a pure-JVM path (posexplode + join) is available too.
 Masking, padding and truncation (K3) are native array expressions.
 """
 
@@ -38,17 +38,74 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), 0)
 
 
+def _spelled(text: Column) -> Column:
+    """The text for ``_block_tokens``: itself if it is ASCII, else its tokens with blanks between (no token holds one).
+    A string, not a list: Spark sizes its Arrow batches row by row, which for lists takes the square of a batch's rows."""
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.array_join(tokens(text), " "))
+
+
+#: TOKEN_PATTERN over ASCII: 0 white space, 1 part of a word, 2 a token of its own.
+_KINDS = bytes(0 if chr(c) in " \t\n\x0b\f\r" else 1 if chr(c).isalnum() or c == ord("_") else 2 for c in range(128)) + bytes([1]) * 128
+#: Bytes of texts that are split at once (one row at least).
+SPLIT_BYTES = 1 << 21
+
+
+def _tokens_of(texts):
+    """Spelled texts -> (their tokens, one after the other; how many are each text's). Without its white space, the
+    column's bytes are the tokens' bytes."""
+    import numpy as np
+    import pyarrow as pa
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
+    at = at - at[0]
+    kinds = np.frombuffer(_KINDS, np.uint8)[data]
+    if len(high := np.flatnonzero(data > 127)):
+        split = np.zeros(len(texts), bool)      # texts whose tokens the JVM has found
+        split[np.searchsorted(at, high, side="right") - 1] = True
+        kinds = np.where(np.repeat(split, np.diff(at)), data != ord(" "), kinds)
+    word = kinds == 1
+    first = kinds != 0
+    some = np.flatnonzero(first)
+    on = word[1:] & word[:-1]                   # a word goes on from the byte before, in the same text
+    on[at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(data))] - 1] = False
+    first[1:] &= ~on
+    counts = np.diff(np.searchsorted(np.flatnonzero(first), at))
+    starts = np.append(np.flatnonzero(first[some]), len(some))
+    return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data[some])), counts
+
+
+def _block_tokens(texts):
+    """``_tokens_of`` for blocks of a column's rows."""
+    import numpy as np
+    import pyarrow.compute as pc
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for a, b in row_blocks(sizes.tolist(), SPLIT_BYTES):
+        yield _tokens_of(texts.slice(a, b - a))
+
+
+def _count_tokens(batches):
+    """K1: how often each token is met in a block of texts."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    for batch in batches:
+        for found, _ in _block_tokens(batch.column(0)):
+            found = pc.value_counts(found)
+            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], names=["token", "n"])
+
+
 def build_vocab(texts: DataFrame, column: str = "text", vocab_size: int = 32000,
                 specials: list[str] | None = None) -> DataFrame:
     """K1: (token, id) for the specials and the most frequent tokens.
 
-    Counting is a partially aggregated groupBy; the top-N is a
+    Tasks count a block of texts at a time and Spark adds the counts up; the top-N is a
     TakeOrderedAndProject, so only N rows reach the numbering step.
     """
     specials = SPECIALS if specials is None else specials
     n = max(vocab_size - len(specials), 0)
-    counts = (texts.select(F.explode(tokens(F.col(column))).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("freq")))
+    counts = (texts.select(_spelled(F.col(column)).alias("text")).mapInArrow(_count_tokens, "token string, n long")
+              .groupBy("token").agg(F.sum("n").alias("freq")))
     top = counts.where(~F.col("token").isin(specials)).orderBy(F.desc("freq"), "token").limit(n)
     w = Window.orderBy(F.desc("freq"), "token")  # over the N kept rows only
     ranked = top.select("token", (F.row_number().over(w) + len(specials) - 1).cast("int").alias("id"))
@@ -107,36 +164,38 @@ def row_blocks(sizes: list[int], most: int):
         yield a, len(sizes)
 
 
-def _look_up(lists, known, ids, unk: int):
-    """Lists of tokens -> lists of ids: the batch's distinct tokens are looked up once, and the lists are rebuilt
-    from their lengths."""
+def _look_up(texts, known, ids, unk: int):
+    """Spelled texts -> lists of ids: a block's distinct tokens are looked up once, and the lists are rebuilt from their
+    lengths."""
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
-    coded = lists.flatten().dictionary_encode()
-    place = pc.index_in(coded.dictionary, value_set=known.cast(coded.dictionary.type))
-    found = place.fill_null(-1).to_numpy(zero_copy_only=False)
-    of = np.append(ids, np.int32(unk))[found]           # -1: the last, unknown
-    flat = of[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int32)
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=lists.is_null())
+    of = np.append(ids, np.int32(unk))                  # -1: the last, unknown
+    flat, lengths = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for found, counts in _block_tokens(texts):
+        coded = found.dictionary_encode()
+        place = pc.index_in(coded.dictionary, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+        flat.append(of[place][coded.indices.to_numpy(zero_copy_only=False)])
+        lengths.append(counts)
+    ends = np.cumsum(np.concatenate(lengths)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat), pa.int32()), mask=texts.is_null())
 
 
 def _encode_by_vocabulary(df: DataFrame, columns: dict[str, str], encoder: VocabEncoder, keep: list[str]) -> DataFrame:
-    """K2 for a vocabulary: Spark splits the texts into tokens, tasks only look them up, whole columns at once."""
-    names = [f"_tokens{k}" for k in range(len(columns))]
-    split = df.select(*keep, *[tokens(F.col(c)).alias(n) for c, n in zip(columns, names, strict=True)])
+    """K2 for a vocabulary: tasks split and look up whole columns at once."""
+    names = [f"_text{k}" for k in range(len(columns))]
+    split = df.select(*keep, *[_spelled(F.col(c)).alias(n) for c, n in zip(columns, names, strict=True)])
     order = sorted(encoder.vocab)
     sent = df.sparkSession.sparkContext.broadcast(pickle.dumps((order, [encoder.vocab[t] for t in order])))
     unk, token, out = encoder.unk_id, uuid.uuid4().hex, list(columns.values())
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(o, T.ArrayType(T.IntegerType())) for o in out])
+    # no id is null, which spares array functions a look at each
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(o, T.ArrayType(T.IntegerType(), False)) for o in out])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         texts, numbers = _encoder(token, sent)
-        known, ids = pa.array(texts, pa.string()), np.array(numbers, np.int32)
+        known, ids = pa.array(texts, pa.large_string()), np.array(numbers, np.int32)
         for batch in batches:
             kept = [batch.column(k) for k in range(len(keep))]
             found = [_look_up(batch.column(len(keep) + k), known, ids, unk) for k in range(len(names))]

@@ -192,12 +192,16 @@ def q_tokenize_corpus(spark, sf):
     enc = K.encoder_from_vocab(K.build_vocab(texts, "text", CORPUS_VOCAB))
     t = K.tokenize_pairs(ps, enc, max_length=K.DEFAULT_MAX_LENGTH, carry=["pair_type"], windows=True)
     real = F.slice("input_ids", 1, F.col("token_count"))
-    labels = F.size(F.array_remove("labels", K.IGNORE_INDEX))
-    return t.groupBy("pair_type").agg(
-        F.count_if(F.col("window_no") == 0).cast("bigint").alias("n_pairs"), F.count(F.lit(1)).alias("n_windows"),
-        F.sum("token_count").cast("bigint").alias("total_tokens"), F.sum(labels).cast("bigint").alias("label_tokens"),
-        F.sum(F.aggregate(F.transform(real, lambda x, i: x.cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("id_place_sum"),
-        F.sum(F.size(real) - F.size(F.array_remove(real, K.UNK_ID))).cast("bigint").alias("unknown"))
+    # counts of a window are read from its row of the first place; a window without tokens has one row, without a place
+    per_window = t.select("pair_type", "window_no", "token_count", F.size(F.array_remove("labels", K.IGNORE_INDEX)).alias("n_labels"), real.alias("real"))
+    places = per_window.select("pair_type", "window_no", "token_count", "n_labels", F.posexplode_outer("real").alias("place", "id"))
+    first = F.coalesce("place", F.lit(0)) == 0
+    return places.groupBy("pair_type").agg(
+        F.count_if(first & (F.col("window_no") == 0)).cast("bigint").alias("n_pairs"), F.count_if(first).cast("bigint").alias("n_windows"),
+        F.sum(F.when(first, F.col("token_count")).otherwise(0)).cast("bigint").alias("total_tokens"),
+        F.sum(F.when(first, F.col("n_labels")).otherwise(0)).cast("bigint").alias("label_tokens"),
+        F.coalesce(F.sum(F.col("id").cast("bigint") * (F.col("place") + 1)), F.lit(0)).alias("id_place_sum"),
+        F.count_if(F.col("id") == K.UNK_ID).cast("bigint").alias("unknown"))
 
 
 # ---------------------------------------------------------------------------

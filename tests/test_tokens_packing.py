@@ -1,6 +1,7 @@
 """Tokenisation and packing: masks, padding, oversize pairs, exact greedy batches."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -159,3 +160,21 @@ def test_windows_lose_no_token(spark):
         n_in = len(enc.encode_batch([a])[0])
         assert labels == [-100] * n_in + want[n_in:]
         assert [r.window_no for r in mine] == list(range(len(mine))) and len(mine) == -(-len(want) // 8)
+
+
+def test_texts_go_to_python_as_strings_and_split_as_by_the_pattern(spark, monkeypatch):
+    """Lists sent to Python cost the square of a batch's rows, so texts are sent, and split as the pattern does."""
+    texts = ["", None, " ", "a", "a_b-1 c", "\x0b\x0cx\t\ny\r", "a\x1cb\x00c\x7f", "été x", "  a b", "日本 語x", "\U0001F600\U0001F600", "()", "a" * 50, "  é  "]
+    rng = random.Random(5)
+    texts += ["".join(rng.choice("ab_1 \t\n\x0b\x1f.(é́日 　\U0001F600") for _ in range(rng.randrange(12))) for _ in range(200)]
+    monkeypatch.setattr(K, "SPLIT_BYTES", 64)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    want = {r.id: r.t for r in df.select("id", K.tokens(F.col("text")).alias("t")).collect()}
+    counts = Counter(t for v in want.values() for t in v or [])
+    vocab = {r.token: r.id for r in K.build_vocab(df, "text", 40).collect()}
+    best = sorted((t for t in counts if t not in K.SPECIALS), key=lambda t: (-counts[t], t.encode()))[:37]
+    assert vocab == {t: k for k, t in enumerate([*K.SPECIALS, *best])}
+    encoded = K.encode_columns(df, {"text": "ids"}, K.VocabEncoder(vocab))
+    assert {r.id: r.ids for r in encoded.collect()} == {k: None if v is None else [vocab.get(t, K.UNK_ID) for t in v] for k, v in want.items()}
+    sent = encoded._jdf.queryExecution().analyzed().child().schema()
+    assert [f.dataType().typeName() for f in sent.fields()] == ["integer", "string", "string"]
