@@ -20,14 +20,15 @@ MD_DESC, MD_SECTIONS, MD_MAX_SECTIONS = "Documentation file", " with sections: "
 YAML_DESC, YAML_PROPS, YAML_MAX_KEYS = "YAML configuration file", " with properties: ", 5
 MAX_EXAMPLES = 3
 
-# Java, from the language's grammar. Comments and string or character literals are blanked first.
-JAVA_OPAQUE = (r"""(?s)"{3}.*?"{3}|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|/\*.*?\*/|//[^\n]*""")
+# Java, from the language's grammar. Comments and string or character literals are blanked first. A look at the next
+# character comes first: nearly every place of a text fails there.
+JAVA_OPAQUE = (r"""(?s)(?=["'/])(?:"{3}.*?"{3}|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|/\*.*?\*/|//[^\n]*)""")
 JAVA_NAME = r"[\p{L}_$][\p{L}\p{N}_$]*"
 JAVA_QUALIFIED = JAVA_NAME + r"(?:\s*\.\s*" + JAVA_NAME + ")*"
-JAVA_STATEMENT = r"(?m)(?:^|(?<=;))\s*"  # package and import clauses stand at the start of a statement
+JAVA_STATEMENT = r"(?m)(?=[\sip])(?:^|(?<=;))\s*+"  # package and import clauses stand at the start of a statement
 JAVA_PACKAGE = JAVA_STATEMENT + r"package\s+(" + JAVA_QUALIFIED + r")\s*;"
 JAVA_IMPORT = JAVA_STATEMENT + r"import\s+(?:static\s+)?(" + JAVA_QUALIFIED + r"(?:\s*\.\s*\*)?)\s*;"
-JAVA_TYPE = (r"(?<![\p{L}\p{N}_$.])(?:class|interface|enum|record)\s+(" + JAVA_NAME
+JAVA_TYPE = (r"(?=[cier])(?<![\p{L}\p{N}_$.])(?:class|interface|enum|record)\s+(" + JAVA_NAME
              + r")(?=\s*[<({]|\s+(?:extends|implements|permits)\b)")
 # Markdown: fenced code is blanked; a heading has one to six marks, a blank, and text.
 MD_FENCE = r"(?sm)^ {0,3}`{3}[^\n]*\n.*?(?:^ {0,3}`{3}[^\n]*$|\z)"
@@ -62,10 +63,16 @@ def _java_description(package: Column, classes: Column) -> Column:
                       (F.size(classes) > 0, JAVA_CLASSES, F.array_join(classes, ", ")))
 
 
-def java_metadata(content: Column) -> dict[str, Column]:
+def with_java_code(files: DataFrame) -> DataFrame:
+    """Files with ``code``, their content without comments and literals: a projection of its own, so that ``java_metadata``
+    has it once a file."""
+    return files.withColumn("code", _java_code(F.col("content")))
+
+
+def java_metadata(content: Column, code: Column | None = None) -> dict[str, Column]:
     """Package, declared types, imports, lines; and the X12 description. Words in comments and
-    literals do not count."""
-    code = _java_code(content)
+    literals do not count. ``code``: the column of ``with_java_code``."""
+    code = _java_code(content) if code is None else code
     facts = _java_facts(code)
     return {"file_type": F.lit("java"), **facts, "imports": F.transform(_extract_all(code, JAVA_IMPORT), _tight),
             "lines": line_count(content), "description": _java_description(**facts)}

@@ -26,8 +26,8 @@ def _j(c: str, sep: str = ",") -> F.Column:
 SELECT rel_path, package, array_to_string(classes, ',') AS classes, array_to_string(imports, ',') AS imports,
        lines::BIGINT AS lines FROM java_meta""")
 def q_java_metadata(spark, sf):
-    f = fx.java_files(spark, sf)
-    m = M.java_metadata(F.col("content"))
+    f = M.with_java_code(fx.java_files(spark, sf))
+    m = M.java_metadata(F.col("content"), F.col("code"))
     return f.select("rel_path", m["package"].alias("package"), F.array_join(m["classes"], ",").alias("classes"),
                     F.array_join(m["imports"], ",").alias("imports"), m["lines"].cast("bigint").alias("lines"))
 

@@ -1,9 +1,13 @@
 """Metadata patterns: comments, literals, fences and other declarations."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from corpusflow.functions import describe
+from corpusflow.operators import chunking
 from corpusflow.operators import metadata as M
+from corpusflow.plans import queries_meta
 
 JAVA = '''// this class does nothing
 package a . b.c; import x.y.Z; import static p.Q.*;
@@ -57,3 +61,21 @@ def test_file_metadata_runs_each_pattern_once_and_equals_the_handlers(spark):
     stored = df.repartition(2)  # a plan that the optimizer cannot evaluate in place
     plan = M.file_metadata(stored)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("|//[^") == 1 and plan.count("`{3}[^") <= 2
+
+
+def test_java_texts_are_cleaned_once_and_patterns_find_what_they_did(spark):
+    """The query's comments are blanked once a file; a look at the next character changes no match."""
+    plan = queries_meta.q_java_metadata(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count('"{3}.*?') == 1
+    name, qualified = M.JAVA_NAME, M.JAVA_QUALIFIED
+    plain = [(M.JAVA_OPAQUE, r"""(?s)"{3}.*?"{3}|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|/\*.*?\*/|//[^\n]*"""),
+             (M.JAVA_PACKAGE, r"(?m)(?:^|(?<=;))\s*package\s+(" + qualified + r")\s*;"),
+             (M.JAVA_IMPORT, r"(?m)(?:^|(?<=;))\s*import\s+(?:static\s+)?(" + qualified + r"(?:\s*\.\s*\*)?)\s*;"),
+             (M.JAVA_TYPE, r"(?<![\p{L}\p{N}_$.])(?:class|interface|enum|record)\s+(" + name + r")(?=\s*[<({]|\s+(?:extends|implements|permits)\b)")]
+    rng = random.Random(3)
+    bits = ["import ", "package ", "a.b", ";", "\n", "  ", "\r\n", "class A", " {", "enum E(", "static ", ".class", "record R<", "'", '"', '"""', "\\", "/*", "*/", "//", "/", "é", "\x85", "xclass B {", "interface I extends "]
+    df = spark.createDataFrame([("".join(rng.choice(bits) for _ in range(rng.randrange(30))),) for _ in range(1500)], "t string")
+    for now, before in plain:
+        assert df.where(F.regexp_replace("t", now, "#") != F.regexp_replace("t", before, "#")).count() == 0
+    lines = df.select("t", chunking.line_count(F.col("t")).alias("n")).collect()
+    assert all(r.n == r.t.count("\n") + 1 for r in lines)
