@@ -64,3 +64,15 @@ def test_members_are_rows_of_their_own():
         ("p0", "file", "file_content", 0), ("p0", "class", "A", 0), ("p0", "method", "f", 0), ("p0", "method", "A", 0), ("p2", "file", "file_content", 0),
         ("p3", "file", "file_content", 0), ("p3", "class", "B", 0), ("p3", "method", "f", 0), ("p3", "method", "f", 1)]
     assert [r["code"] for r in rows if r["chunk_type"] == "file"] == [texts[0], texts[2], texts[3]]
+
+
+def test_a_lone_short_file_is_walked_without_arrays(monkeypatch):
+    """PARTITION BY path hands the function one file at a time: arrays would cost it a millisecond a file."""
+    rng = random.Random(7)
+    bits = ["class A ", "enum E ", "{", "}", "{", "}", "(", ")", ";", "\n", "void f", "(int a) ", " throws X ", "/** d */", "/* open", "\"", "'", "A(", "A()", ") {", "[]",
+            "interface B ", "@X(1) ", "public static int g(int a) {", "if (a) {", "\u3000", "\xa0", "\x1c", "é\U0001F600", "\0", "  ", "class A class C {", "return h() {", "final class D {"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(3000)] + [JAVA, ""]
+    want = chunking.java_block_spans(texts)
+    assert sum(map(len, want)) > 2000
+    monkeypatch.setattr(chunking, "_block_columns", None)
+    assert [chunking.java_span_offsets(t) for t in texts] == want
