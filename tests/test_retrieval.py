@@ -121,3 +121,15 @@ def test_answers_are_written_back_once_and_by_snapshot(spark):
     assert got == {keys["What is X"]: "a", keys["Y?"]: "y"} and R.read_answers(spark, path, 2).count() == 0
     R.write_answers(fresh.where("question = 'Y?'").withColumn("answer", F.lit("newer")), path, 2)
     assert [r.answer for r in R.read_answers(spark, path, 2).collect()] == ["newer"] and len(got) == 2
+
+
+def test_best_chunks_are_a_small_table_before_the_index_is_joined(spark):
+    """What the planner sees of the best chunks is a written table of known size: it sends them to the index, not the index to them."""
+    chunks = spark.createDataFrame([(f"c{k}", f"f{k}", "class", f"Order{k}", f"text {k % 3}", 1, "body") for k in range(9)],
+                                   "chunk_id string, file_path string, chunk_type string, chunk_name string, description string, start_line int, code_content string")
+    questions = spark.createDataFrame([(1, "order4 text"), (2, "nothing")], "qid long, question string")
+    index = R.retrieval_index(chunks)
+    top = R.topk_jaccard(questions, index, 2)
+    assert "Join" not in top._jdf.queryExecution().optimizedPlan().toString()
+    got = R.citations(top, index).collect()
+    assert [(r.qid, [c.chunk_id for c in r.citations]) for r in got] == [(1, ["c4", "c0"])]
