@@ -181,28 +181,38 @@ def _look_up(texts, known, ids, unk: int):
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat), pa.int32()), mask=texts.is_null())
 
 
-def _encode_by_vocabulary(df: DataFrame, columns: dict[str, str], encoder: VocabEncoder, keep: list[str]) -> DataFrame:
-    """K2 for a vocabulary: tasks split and look up whole columns at once."""
+def _by_vocabulary(df: DataFrame, columns: list[str], encoder: VocabEncoder, keep: list[str], make, schema: T.StructType) -> DataFrame:
+    """Tasks split and look up whole columns at once; ``make`` gets batches of (kept columns, a column's lists of ids each)
+    and gives those of ``schema``."""
     names = [f"_text{k}" for k in range(len(columns))]
     split = df.select(*keep, *[_spelled(F.col(c)).alias(n) for c, n in zip(columns, names, strict=True)])
     order = sorted(encoder.vocab)
     sent = df.sparkSession.sparkContext.broadcast(pickle.dumps((order, [encoder.vocab[t] for t in order])))
-    unk, token, out = encoder.unk_id, uuid.uuid4().hex, list(columns.values())
-    # no id is null, which spares array functions a look at each
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(o, T.ArrayType(T.IntegerType(), False)) for o in out])
+    unk, token = encoder.unk_id, uuid.uuid4().hex
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         texts, numbers = _encoder(token, sent)
         known, ids = pa.array(texts, pa.large_string()), np.array(numbers, np.int32)
-        for batch in batches:
-            kept = [batch.column(k) for k in range(len(keep))]
-            found = [_look_up(batch.column(len(keep) + k), known, ids, unk) for k in range(len(names))]
-            yield pa.RecordBatch.from_arrays(kept + found, names=keep + out)
+        return make((batch.columns[:len(keep)], [_look_up(batch.column(len(keep) + k), known, ids, unk) for k in range(len(names))])
+                    for batch in batches)
     return split.mapInArrow(run, schema)
 
 
+def _encode_by_vocabulary(df: DataFrame, columns: dict[str, str], encoder: VocabEncoder, keep: list[str]) -> DataFrame:
+    """K2 for a vocabulary."""
+    out = list(columns.values())
+    # no id is null, which spares array functions a look at each
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(o, T.ArrayType(T.IntegerType(), False)) for o in out])
+
+    def make(found):
+        import pyarrow as pa
+        for kept, ids in found:
+            yield pa.RecordBatch.from_arrays([*kept, *ids], names=keep + out)
+    return _by_vocabulary(df, list(columns), encoder, keep, make, schema)
+
+
 def encode_columns(df: DataFrame, columns: dict[str, str], encoder, keep: list[str] | None = None) -> DataFrame:
     """Add ``out = ids of in`` for each (in -> out) with an object
     that has ``encode_batch``; the encoder is broadcast once per executor. A ``VocabEncoder`` is
@@ -282,9 +292,65 @@ def pad_or_truncate(ids: Column, labels: Column, max_length: int, pad_id: int =
     }
 
 
+#: Places of windows (of each of their arrays) that a task holds at once (one window at least).
+WINDOW_PLACES = 1 << 18
+
+
+def _spread(starts, counts):
+    """(where, which): the places starts[k], starts[k] + 1, ..., counts[k] of them, of all k in order, and the number k of each."""
+    import numpy as np
+    which = np.repeat(np.arange(len(counts)), counts)
+    return np.arange(len(which)) + (starts - (np.cumsum(counts) - counts))[which], which
+
+
+def _made_windows(found, header: list[int], max_length: int, pad_id: int, mask_header: bool, windows: bool, names: list[str]):
+    """K3 by columns: batches of (key, carried columns and original length, [ids of inputs, ids of outputs]) in, rows of
+    ``tokenize_pairs`` out, a bounded number of places at a time."""
+    import numpy as np
+    import pyarrow as pa
+    head = np.array(header, np.int32)
+
+    def flat(lists):
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        return lists.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]], np.diff(ends)
+
+    def padded(width: int, fill: int, at, values):
+        array = np.full(width * max_length, fill, np.int32)
+        array[at] = values
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(array) + 1, max_length), pa.int32()), pa.array(array))
+    for kept, (inputs, outputs) in found:
+        (ins, n_in), (outs, n_out) = flat(inputs), flat(outputs)
+        total = n_in + len(head) + n_out
+        first = np.cumsum(total) - total            # a pair's tokens: its input's, the header's, its output's
+        tokens = np.empty(total.sum(), np.int32)
+        tokens[_spread(first, n_in)[0]] = ins
+        tokens[_spread(first + n_in, np.full(len(total), len(head)))[0]] = np.tile(head, len(total))
+        tokens[_spread(first + n_in + len(head), n_out)[0]] = outs
+        masked = n_in + len(head) * mask_header
+        each = np.maximum(-(-total // max_length), 1) if windows else np.ones(len(total), np.int64)
+        number, pair = _spread(np.zeros(len(each), np.int64), each)
+        before = number * max_length                # the pair's tokens in earlier windows
+        count = np.minimum(total[pair] - before, max_length)
+        unlabelled = np.clip(masked[pair] - before, 0, count)
+        step = max(WINDOW_PLACES // max_length, 1)
+        for a in range(0, len(pair), step):
+            rows, n, skip = pair[a:a + step], count[a:a + step], unlabelled[a:a + step]
+            from_, _ = _spread(first[rows] + before[a:a + step], n)
+            at, window = _spread(np.arange(len(rows)) * max_length, n)
+            ids = tokens[from_]
+            labelled = at - window * max_length >= skip[window]
+            taken = pa.array(rows)
+            columns = [c.take(taken) for c in kept]
+            yield pa.RecordBatch.from_arrays([
+                *columns[:-1], *([pa.array(number[a:a + step], pa.int32())] if windows else []),
+                padded(len(rows), pad_id, at, ids), padded(len(rows), 0, at, 1), padded(len(rows), IGNORE_INDEX, at[labelled], ids[labelled]),
+                pa.array(n, pa.int32()), columns[-1]], names=names)
+
+
 def tokenize_pairs(pairs: DataFrame, encoder, max_length: int = DEFAULT_MAX_LENGTH,
                    pad_id: int = PAD_ID, mask_header: bool = False,
-                   key: str = "pair_id", carry: list[str] | None = None, windows: bool = False) -> DataFrame:
+                   key: str = "pair_id", carry: list[str] | None = None, windows: bool = False,
+                   then: tuple | None = None) -> DataFrame:
     """K3: combined text, input-masked labels, pad/truncate, counts.
 
     A pair beyond ``max_length`` tokens is cut like the reference's, or, with ``windows``, gives
@@ -294,8 +360,14 @@ def tokenize_pairs(pairs: DataFrame, encoder, max_length: int = DEFAULT_MAX_LENG
     pair whose tokenisation raises). ``mask_header`` also masks the
     EXPLANATION header (decision 12; off by default like the reference).
     ``carry`` columns are passed through unchanged.
+
+    ``then``: a function as for ``mapInArrow`` and its schema, for callers who need less than all rows. It gets Arrow
+    batches of these rows, and only what it gives is returned. With a ``VocabEncoder`` the task that has the ids makes the
+    padded rows too and hands them over, so that they are never rows of Spark, which copies arrays place by place.
     """
     carry = list(carry or [])
+    if then is not None and type(encoder) is not VocabEncoder:
+        return tokenize_pairs(pairs, encoder, max_length, pad_id, mask_header, key, carry, windows).mapInArrow(*then)
     base = pairs.where(F.col("input_text").isNotNull() & F.col("output_text").isNotNull()).select(
         key, *carry, "input_text", "output_text",
         (F.length("input_text") + len(EXPLANATION_HEADER) + F.length("output_text")).cast("int")
@@ -305,7 +377,12 @@ def tokenize_pairs(pairs: DataFrame, encoder, max_length: int = DEFAULT_MAX_LENG
         # The token rule never crosses whitespace, and the header is fenced by
         # newlines, so ids(combined) = ids(input) + ids(header) + ids(output):
         # each text is encoded once.
-        header = F.array(*[F.lit(i) for i in encoder.encode_batch([EXPLANATION_HEADER])[0]]).cast("array<int>")
+        header_ids = encoder.encode_batch([EXPLANATION_HEADER])[0]
+        if then is not None:
+            names = [key, *carry, *["window_no"] * windows, "input_ids", "attention_mask", "labels", "token_count", "original_length"]
+            return _by_vocabulary(base, ["input_text", "output_text"], encoder, keep, lambda ids: then[0](
+                _made_windows(ids, header_ids, max_length, pad_id, mask_header, windows, names)), then[1])
+        header = F.array(*[F.lit(i) for i in header_ids]).cast("array<int>")
         enc = encode_columns(base, {"input_text": "_in_ids", "output_text": "_out_ids"}, encoder, keep)
         enc = enc.withColumn("_all_ids", F.concat("_in_ids", header, "_out_ids"))
         if mask_header:

@@ -171,6 +171,31 @@ def q_tokenize_windows(spark, sf):
 
 
 CORPUS_VOCAB = 32000
+WINDOW_SUMS = ["n_pairs", "n_windows", "total_tokens", "label_tokens", "id_place_sum", "unknown"]
+WINDOW_SUMS_DDL = "pair_type string, " + ", ".join(f"{c} long" for c in WINDOW_SUMS)
+
+
+def _window_sums(batches):
+    """Arrow batches of padded windows in, their sums by pair type out (places count from 1 in each window)."""
+    import numpy as np
+    import pyarrow as pa
+    for b in batches:
+        kind = b.column("pair_type").dictionary_encode(null_encoding="encode")
+        of, kinds = kind.indices.to_numpy(), len(kind.dictionary)
+        ids, real, labels = (b.column(c).flatten().to_numpy() for c in ("input_ids", "attention_mask", "labels"))
+        width = len(ids) // b.num_rows
+        at = np.flatnonzero(real == 1)
+        window, ids = at // width, ids[at]
+        each = np.zeros((b.num_rows, len(WINDOW_SUMS)), np.int64)
+        each[:, 0] = b.column("window_no").to_numpy() == 0
+        each[:, 1] = 1
+        each[:, 2] = b.column("token_count").to_numpy()
+        each[:, 3] = np.bincount(np.flatnonzero(labels != K.IGNORE_INDEX) // width, minlength=b.num_rows)
+        np.add.at(each[:, 4], window, ids.astype(np.int64) * (at - window * width + 1))
+        each[:, 5] = np.bincount(window[ids == K.UNK_ID], minlength=b.num_rows)
+        sums = np.zeros((kinds, len(WINDOW_SUMS)), np.int64)
+        np.add.at(sums, of, each)
+        yield pa.RecordBatch.from_arrays([kind.dictionary, *map(pa.array, sums.T)], names=["pair_type", *WINDOW_SUMS])
 
 
 @query("tokenize_corpus", W(ofx.JAVA, ofx.DOC_TREE, ofx.TREE_CHUNKS, ofx.ALL_CHUNKS, ofx.pairs_of("all_chunks"),
@@ -190,18 +215,8 @@ def q_tokenize_corpus(spark, sf):
     ps = materialize(PR.generate_pairs(all_chunks(spark, sf), fixed_ts()).select("pair_id", "pair_type", "input_text", "output_text"), "corpus-pairs")
     texts = ps.select(F.explode(F.array("input_text", "output_text")).alias("text"))
     enc = K.encoder_from_vocab(K.build_vocab(texts, "text", CORPUS_VOCAB))
-    t = K.tokenize_pairs(ps, enc, max_length=K.DEFAULT_MAX_LENGTH, carry=["pair_type"], windows=True)
-    real = F.slice("input_ids", 1, F.col("token_count"))
-    # counts of a window are read from its row of the first place; a window without tokens has one row, without a place
-    per_window = t.select("pair_type", "window_no", "token_count", F.size(F.array_remove("labels", K.IGNORE_INDEX)).alias("n_labels"), real.alias("real"))
-    places = per_window.select("pair_type", "window_no", "token_count", "n_labels", F.posexplode_outer("real").alias("place", "id"))
-    first = F.coalesce("place", F.lit(0)) == 0
-    return places.groupBy("pair_type").agg(
-        F.count_if(first & (F.col("window_no") == 0)).cast("bigint").alias("n_pairs"), F.count_if(first).cast("bigint").alias("n_windows"),
-        F.sum(F.when(first, F.col("token_count")).otherwise(0)).cast("bigint").alias("total_tokens"),
-        F.sum(F.when(first, F.col("n_labels")).otherwise(0)).cast("bigint").alias("label_tokens"),
-        F.coalesce(F.sum(F.col("id").cast("bigint") * (F.col("place") + 1)), F.lit(0)).alias("id_place_sum"),
-        F.count_if(F.col("id") == K.UNK_ID).cast("bigint").alias("unknown"))
+    t = K.tokenize_pairs(ps, enc, max_length=K.DEFAULT_MAX_LENGTH, carry=["pair_type"], windows=True, then=(_window_sums, WINDOW_SUMS_DDL))
+    return t.groupBy("pair_type").agg(*[F.sum(c).alias(c) for c in WINDOW_SUMS])
 
 
 # ---------------------------------------------------------------------------
