@@ -46,6 +46,7 @@ def _spelled(text: Column) -> Column:
 
 #: TOKEN_PATTERN over ASCII: 0 white space, 1 part of a word, 2 a token of its own.
 _KINDS = bytes(0 if chr(c) in " \t\n\x0b\f\r" else 1 if chr(c).isalnum() or c == ord("_") else 2 for c in range(128)) + bytes([1]) * 128
+_BLANKS = bytes(c for c in range(128) if not _KINDS[c])
 #: Bytes of texts that are split at once (one row at least).
 SPLIT_BYTES = 1 << 21
 
@@ -58,22 +59,27 @@ def _tokens_of(texts):
     texts = texts.fill_null("").cast(pa.large_string())
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    data = np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
+    data = data[at[0]:at[-1]].to_pybytes() if data is not None else b""
     at = at - at[0]
-    kinds = np.frombuffer(_KINDS, np.uint8)[data]
-    if len(high := np.flatnonzero(data > 127)):
+    kinds, ascii = np.frombuffer(data.translate(_KINDS), np.uint8), data.isascii()
+    if not ascii:
+        data = np.frombuffer(data, np.uint8)
         split = np.zeros(len(texts), bool)      # texts whose tokens the JVM has found
-        split[np.searchsorted(at, high, side="right") - 1] = True
+        split[np.searchsorted(at, np.flatnonzero(data > 127), side="right") - 1] = True
         kinds = np.where(np.repeat(split, np.diff(at)), data != ord(" "), kinds)
-    word = kinds == 1
-    first = kinds != 0
-    some = np.flatnonzero(first)
+    word, some = kinds == 1, kinds != 0
+    first = some.copy()
     on = word[1:] & word[:-1]                   # a word goes on from the byte before, in the same text
     on[at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(data))] - 1] = False
     first[1:] &= ~on
-    counts = np.diff(np.searchsorted(np.flatnonzero(first), at))
-    starts = np.append(np.flatnonzero(first[some]), len(some))
-    return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(data[some])), counts
+    counts = np.zeros(len(texts), np.int64)
+    if len(full := np.flatnonzero(at[1:] > at[:-1])):
+        counts[full] = np.add.reduceat(first, at[full], dtype=np.int64)
+    # bytes to leave out are faster left out by bytes.translate than by an array
+    marks = np.frombuffer((some.view(np.uint8) + first).tobytes().translate(None, b"\0"), np.uint8)
+    starts = np.append(np.flatnonzero(marks == 2), len(marks))
+    kept = data.translate(None, _BLANKS) if ascii else data[some]
+    return pa.LargeStringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(kept)), counts
 
 
 def _block_tokens(texts):
@@ -90,21 +96,23 @@ def _count_tokens(batches):
     import pyarrow as pa
     import pyarrow.compute as pc
     for batch in batches:
-        for found, _ in _block_tokens(batch.column(0)):
-            found = pc.value_counts(found)
-            yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], names=["token", "n"])
+        for column in batch.columns:
+            for found, _ in _block_tokens(column):
+                found = pc.value_counts(found)
+                yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], names=["token", "n"])
 
 
-def build_vocab(texts: DataFrame, column: str = "text", vocab_size: int = 32000,
+def build_vocab(texts: DataFrame, column: str | list[str] = "text", vocab_size: int = 32000,
                 specials: list[str] | None = None) -> DataFrame:
-    """K1: (token, id) for the specials and the most frequent tokens.
+    """K1: (token, id) for the specials and the most frequent tokens of a column, or of several together.
 
     Tasks count a block of texts at a time and Spark adds the counts up; the top-N is a
     TakeOrderedAndProject, so only N rows reach the numbering step.
     """
     specials = SPECIALS if specials is None else specials
     n = max(vocab_size - len(specials), 0)
-    counts = (texts.select(_spelled(F.col(column)).alias("text")).mapInArrow(_count_tokens, "token string, n long")
+    columns = [column] if isinstance(column, str) else column
+    counts = (texts.select(*[_spelled(F.col(c)).alias(f"text{k}") for k, c in enumerate(columns)]).mapInArrow(_count_tokens, "token string, n long")
               .groupBy("token").agg(F.sum("n").alias("freq")))
     top = counts.where(~F.col("token").isin(specials)).orderBy(F.desc("freq"), "token").limit(n)
     w = Window.orderBy(F.desc("freq"), "token")  # over the N kept rows only
@@ -297,10 +305,10 @@ WINDOW_PLACES = 1 << 18
 
 
 def _spread(starts, counts):
-    """(where, which): the places starts[k], starts[k] + 1, ..., counts[k] of them, of all k in order, and the number k of each."""
+    """The places starts[k], starts[k] + 1, ..., counts[k] of them, of all k in order."""
     import numpy as np
-    which = np.repeat(np.arange(len(counts)), counts)
-    return np.arange(len(which)) + (starts - (np.cumsum(counts) - counts))[which], which
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
 def _made_windows(found, header: list[int], max_length: int, pad_id: int, mask_header: bool, windows: bool, names: list[str]):
@@ -308,43 +316,47 @@ def _made_windows(found, header: list[int], max_length: int, pad_id: int, mask_h
     ``tokenize_pairs`` out, a bounded number of places at a time."""
     import numpy as np
     import pyarrow as pa
-    head = np.array(header, np.int32)
 
     def flat(lists):
         ends = lists.offsets.to_numpy().astype(np.int64)
         return lists.values.to_numpy(zero_copy_only=False)[ends[0]:ends[-1]], np.diff(ends)
 
+    step = max(WINDOW_PLACES // max_length, 1)
+    ends = pa.array(np.arange(step + 1) * max_length, pa.int32())
+
     def padded(width: int, fill: int, at, values):
         array = np.full(width * max_length, fill, np.int32)
         array[at] = values
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(array) + 1, max_length), pa.int32()), pa.array(array))
+        return pa.ListArray.from_arrays(ends[:width + 1], pa.array(array))
     for kept, (inputs, outputs) in found:
         (ins, n_in), (outs, n_out) = flat(inputs), flat(outputs)
-        total = n_in + len(head) + n_out
+        total = n_in + len(header) + n_out
         first = np.cumsum(total) - total            # a pair's tokens: its input's, the header's, its output's
         tokens = np.empty(total.sum(), np.int32)
-        tokens[_spread(first, n_in)[0]] = ins
-        tokens[_spread(first + n_in, np.full(len(total), len(head)))[0]] = np.tile(head, len(total))
-        tokens[_spread(first + n_in + len(head), n_out)[0]] = outs
-        masked = n_in + len(head) * mask_header
+        tokens[_spread(first, n_in)] = ins
+        for k, token in enumerate(header):
+            tokens[first + n_in + k] = token
+        tokens[_spread(first + n_in + len(header), n_out)] = outs
+        masked = n_in + len(header) * mask_header
         each = np.maximum(-(-total // max_length), 1) if windows else np.ones(len(total), np.int64)
-        number, pair = _spread(np.zeros(len(each), np.int64), each)
+        pair = np.repeat(np.arange(len(each)), each)
+        number = _spread(np.zeros(len(each), np.int64), each)
         before = number * max_length                # the pair's tokens in earlier windows
         count = np.minimum(total[pair] - before, max_length)
         unlabelled = np.clip(masked[pair] - before, 0, count)
-        step = max(WINDOW_PLACES // max_length, 1)
+        before += first[pair]
+        # a block makes the arrays only, since each call of Arrow costs as much as some windows
+        taken = pa.array(pair)
+        of_windows = [*(c.take(taken) for c in kept[:-1]), *([pa.array(number, pa.int32())] if windows else []), pa.array(count, pa.int32()), kept[-1].take(taken)]
         for a in range(0, len(pair), step):
-            rows, n, skip = pair[a:a + step], count[a:a + step], unlabelled[a:a + step]
-            from_, _ = _spread(first[rows] + before[a:a + step], n)
-            at, window = _spread(np.arange(len(rows)) * max_length, n)
-            ids = tokens[from_]
-            labelled = at - window * max_length >= skip[window]
-            taken = pa.array(rows)
-            columns = [c.take(taken) for c in kept]
-            yield pa.RecordBatch.from_arrays([
-                *columns[:-1], *([pa.array(number[a:a + step], pa.int32())] if windows else []),
-                padded(len(rows), pad_id, at, ids), padded(len(rows), 0, at, 1), padded(len(rows), IGNORE_INDEX, at[labelled], ids[labelled]),
-                pa.array(n, pa.int32()), columns[-1]], names=names)
+            n = count[a:a + step]
+            left = np.arange(len(n)) * max_length
+            at = _spread(left, n)
+            ids = tokens[before[a]:before[a] + len(at)] if windows else tokens[_spread(before[a:a + step], n)]
+            labelled = at >= np.repeat(left + unlabelled[a:a + step], n)
+            arrays = [padded(len(n), pad_id, at, ids), padded(len(n), 0, at, 1), padded(len(n), IGNORE_INDEX, at[labelled], ids[labelled])]
+            others = [c.slice(a, len(n)) for c in of_windows]
+            yield pa.RecordBatch.from_arrays([*others[:-2], *arrays, *others[-2:]], names=names)
 
 
 def tokenize_pairs(pairs: DataFrame, encoder, max_length: int = DEFAULT_MAX_LENGTH,

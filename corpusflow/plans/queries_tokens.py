@@ -178,24 +178,31 @@ WINDOW_SUMS_DDL = "pair_type string, " + ", ".join(f"{c} long" for c in WINDOW_S
 def _window_sums(batches):
     """Arrow batches of padded windows in, their sums by pair type out (places count from 1 in each window)."""
     import numpy as np
-    import pyarrow as pa
+
+    def count(marks):   # of each row: bits are counted faster than bytes
+        return np.bitwise_count(np.packbits(marks, axis=1)).sum(axis=1)
+    held: list = []     # numbers of each window; added up for many batches at once
     for b in batches:
-        kind = b.column("pair_type").dictionary_encode(null_encoding="encode")
-        of, kinds = kind.indices.to_numpy(), len(kind.dictionary)
-        ids, real, labels = (b.column(c).flatten().to_numpy() for c in ("input_ids", "attention_mask", "labels"))
-        width = len(ids) // b.num_rows
-        at = np.flatnonzero(real == 1)
-        window, ids = at // width, ids[at]
-        each = np.zeros((b.num_rows, len(WINDOW_SUMS)), np.int64)
-        each[:, 0] = b.column("window_no").to_numpy() == 0
-        each[:, 1] = 1
-        each[:, 2] = b.column("token_count").to_numpy()
-        each[:, 3] = np.bincount(np.flatnonzero(labels != K.IGNORE_INDEX) // width, minlength=b.num_rows)
-        np.add.at(each[:, 4], window, ids.astype(np.int64) * (at - window * width + 1))
-        each[:, 5] = np.bincount(window[ids == K.UNK_ID], minlength=b.num_rows)
-        sums = np.zeros((kinds, len(WINDOW_SUMS)), np.int64)
-        np.add.at(sums, of, each)
-        yield pa.RecordBatch.from_arrays([kind.dictionary, *map(pa.array, sums.T)], names=["pair_type", *WINDOW_SUMS])
+        ids, real, labels = (b.column(c).flatten().to_numpy().reshape(b.num_rows, -1) for c in ("input_ids", "attention_mask", "labels"))
+        held.append((b.column("pair_type"), b.column("window_no").to_numpy() == 0, b.column("token_count").to_numpy(), count(labels != K.IGNORE_INDEX),
+                     np.einsum("ij,j->i", ids * real, np.arange(1, ids.shape[1] + 1)), count((ids == K.UNK_ID) & (real == 1))))
+        if len(held) == 64:
+            yield _added_up(held)
+            held = []
+    if held:
+        yield _added_up(held)
+
+
+def _added_up(held: list):
+    import numpy as np
+    import pyarrow as pa
+    kinds, *numbers = zip(*held, strict=True)
+    kind = pa.concat_arrays(kinds).dictionary_encode(null_encoding="encode")
+    of, n = kind.indices.to_numpy(), len(kind.dictionary)
+    new, tokens, labels, places, unknown = (np.concatenate(x) for x in numbers)
+    # weights are doubles: these sums are far below 2^53
+    sums = [np.bincount(of, x, n).astype(np.int64) for x in (new, np.ones(len(of)), tokens, labels, places, unknown)]
+    return pa.RecordBatch.from_arrays([kind.dictionary, *map(pa.array, sums)], names=["pair_type", *WINDOW_SUMS])
 
 
 @query("tokenize_corpus", W(ofx.JAVA, ofx.DOC_TREE, ofx.TREE_CHUNKS, ofx.ALL_CHUNKS, ofx.pairs_of("all_chunks"),
@@ -213,8 +220,7 @@ SELECT * FROM counted JOIN ids USING (pair_type)""")
 def q_tokenize_corpus(spark, sf):
     # written: the vocabulary and the ids read the same pairs
     ps = materialize(PR.generate_pairs(all_chunks(spark, sf), fixed_ts()).select("pair_id", "pair_type", "input_text", "output_text"), "corpus-pairs")
-    texts = ps.select(F.explode(F.array("input_text", "output_text")).alias("text"))
-    enc = K.encoder_from_vocab(K.build_vocab(texts, "text", CORPUS_VOCAB))
+    enc = K.encoder_from_vocab(K.build_vocab(ps, ["input_text", "output_text"], CORPUS_VOCAB))
     t = K.tokenize_pairs(ps, enc, max_length=K.DEFAULT_MAX_LENGTH, carry=["pair_type"], windows=True, then=(_window_sums, WINDOW_SUMS_DDL))
     return t.groupBy("pair_type").agg(*[F.sum(c).alias(c) for c in WINDOW_SUMS])
 

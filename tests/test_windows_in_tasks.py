@@ -74,3 +74,17 @@ def test_a_task_holds_few_places_at_once(monkeypatch, places):
 def test_corpus_windows_are_never_rows_of_spark(spark):
     plan = Q.q_tokenize_corpus(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "array_repeat" not in plan and "explode" not in plan
+
+
+def test_vocabulary_of_two_columns_is_that_of_all_their_texts(spark):
+    pairs = odd_pairs(spark)
+    both = pairs.selectExpr("explode(array(input_text, output_text)) AS text")
+    assert sorted(K.build_vocab(pairs, ["input_text", "output_text"], 6).collect()) == sorted(K.build_vocab(both, "text", 6).collect())
+
+
+def test_rows_of_blanks_and_empty_rows_between_split_right():
+    texts = ["", "a b", " \t\n", "", "a.b", "x", "", "  ", "y_1 (z"]
+    for column in (texts, [*texts, "é"], ["é", *texts]):
+        found, counts = K._tokens_of(pa.array(["skipped", *column, "skipped"]).slice(1, len(column)))
+        want = [K.VocabEncoder({})._pattern.findall(t) for t in column]
+        assert found.to_pylist() == [t for w in want for t in w] and counts.tolist() == [len(w) for w in want]
